@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import fetch
+from .neardup import near_duplicates
+from .quality import quality_verdicts
 from .token_blocks import token_blocks
 
 
@@ -14,8 +16,16 @@ def op1_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_blocks(fetch(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op8_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_verdicts(fetch(spark, sf_dir, "documents"))
+
+
+def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(fetch(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    return {"op1_token_blocks": op1_token_blocks}
+    return {"op1_token_blocks": op1_token_blocks, "op8_host_rules": op8_host_rules, "op9_near_duplicates": op9_near_duplicates}
 
 
 def oracle_sql() -> dict[str, str]:
