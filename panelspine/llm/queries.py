@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import fetch
+from .decontam import contaminated
 from .neardup import near_duplicates
+from .packing import pack_documents
+from .pii import replace_pii
 from .quality import quality_verdicts
 from .token_blocks import token_blocks
 
@@ -16,6 +19,18 @@ def op1_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_blocks(fetch(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op2_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return replace_pii(fetch(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op4_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(fetch(spark, sf_dir, "documents"))
+
+
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(fetch(spark, sf_dir, "documents"), fetch(spark, sf_dir, "benchmark"))
+
+
 def op8_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_verdicts(fetch(spark, sf_dir, "documents"))
 
@@ -24,8 +39,12 @@ def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(fetch(spark, sf_dir, "documents"))
 
 
+#: In the order of the operators' numbers.
+QUERIES = [op1_token_blocks, op2_surrogates, op4_best_fit, op5_decontaminate, op8_host_rules, op9_near_duplicates]
+
+
 def queries() -> dict:
-    return {"op1_token_blocks": op1_token_blocks, "op8_host_rules": op8_host_rules, "op9_near_duplicates": op9_near_duplicates}
+    return {f.__name__: f for f in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
