@@ -7,11 +7,13 @@ from pyspark.sql import DataFrame, SparkSession
 from .chat import format_chats
 from .common import fetch
 from .decontam import contaminated
+from .langid import identify
 from .neardup import near_duplicates
 from .packing import pack_documents
 from .pii import replace_pii
 from .quality import quality_verdicts
 from .token_blocks import token_blocks
+from .toxicity import score_toxicity
 
 
 def op1_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,6 +40,16 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(fetch(spark, sf_dir, "documents"), fetch(spark, sf_dir, "benchmark"))
 
 
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return identify(fetch(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_toxicity(fetch(spark, sf_dir, "documents"), fetch(spark, sf_dir, "labels"))
+
+
 def op8_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_verdicts(fetch(spark, sf_dir, "documents"))
 
@@ -47,7 +59,7 @@ def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: In the order of the operators' numbers.
-QUERIES = [op1_token_blocks, op2_surrogates, op3_reply_trees, op4_best_fit, op5_decontaminate, op8_host_rules, op9_near_duplicates]
+QUERIES = [op1_token_blocks, op2_surrogates, op3_reply_trees, op4_best_fit, op5_decontaminate, op6_language, op7_toxicity, op8_host_rules, op9_near_duplicates]
 
 
 def queries() -> dict:
