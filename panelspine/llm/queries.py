@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .chat import format_chats
 from .common import fetch
 from .decontam import contaminated
+from .html_extract import extract_main
 from .langid import identify
 from .neardup import near_duplicates
 from .packing import pack_documents
@@ -58,8 +59,12 @@ def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(fetch(spark, sf_dir, "documents"))
 
 
+def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_main(fetch(spark, sf_dir, "pages"))
+
+
 #: In the order of the operators' numbers.
-QUERIES = [op1_token_blocks, op2_surrogates, op3_reply_trees, op4_best_fit, op5_decontaminate, op6_language, op7_toxicity, op8_host_rules, op9_near_duplicates]
+QUERIES = [op1_token_blocks, op2_surrogates, op3_reply_trees, op4_best_fit, op5_decontaminate, op6_language, op7_toxicity, op8_host_rules, op9_near_duplicates, op10_main_text]
 
 
 def queries() -> dict:
