@@ -9,9 +9,8 @@ signature component is the earliest point that falls to it, so two texts agree
 in a component with exactly their weighted Jaccard similarity.
 
 Steps: texts of equal multisets become one node; signatures are cut in bands;
-in each bucket every node is compared with the bucket's smallest node; pairs
-that this could miss are found by the triangle inequality of the Jaccard
-distance and compared too; all comparisons are of whole multisets; connected
+in each bucket every node is compared with the bucket's smallest node; nodes of
+buckets that hold several components get finer bands and are compared there; all comparisons are of whole multisets; connected
 components of the links are the groups.
 """
 
@@ -30,7 +29,9 @@ from .common import stored, text_slices
 from .words import GOLDEN, coded, hashes, mix
 
 SHINGLE = 5
+#: Two texts of similarity 0.8 share a band with probability 0.9999, a fine one with 0.99.
 BANDS, ROWS = 30, 6
+FINE_BANDS, FINE_ROWS = 160, 16
 
 
 def _times(k: int) -> np.uint64:
@@ -201,27 +202,54 @@ def links(signed: DataFrame, docs: DataFrame, threshold: float) -> tuple[DataFra
     texts = stored(texts.dropDuplicates(["node"]), "texts")
     seen = stored(_similarities(first, texts), "similar")
     near = seen.where(F.col("j") >= threshold).select("a", "b")
-    # What comparing with the least node alone could miss: two nodes of a bucket
-    # that are not yet in one component, whose distances to that node differ by
-    # at most the allowed distance and whose sizes allow the similarity.
+    found = _missed(nodes, many, seen, texts, near, first, threshold)
+    return nodes, stored(near.union(found), "links")
+
+
+def _missed(nodes: DataFrame, many: DataFrame, seen: DataFrame, texts: DataFrame, near: DataFrame, first: DataFrame, threshold: float) -> DataFrame:
+    """Links that comparing with each bucket's least node alone could miss.
+
+    They join two components that meet in a bucket. The nodes of such buckets
+    get finer bands, which dissimilar texts seldom share; there, nodes of
+    different components are compared unless their sizes, or by the triangle
+    inequality their distances to a common least node, rule the link out. Nodes
+    of a bucket's most frequent component are not paired with each other.
+    """
     root = components(near)
-    sized = many.where("a != node").join(nodes.select("node", "size"), "node").join(seen.withColumnRenamed("b", "node"), ["a", "node"]).join(root, "node", "left")
-    sized = sized.select("bucket", "node", "size", "j", F.coalesce("root", "node").alias("root"))
-    open_ = sized.groupBy("bucket").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 != r1").select("bucket")
-    sized = stored(sized.join(open_, "bucket", "left_semi"), "open-members")
-    x, y = sized.alias("x"), sized.alias("y")
-    slack = 1 - threshold + 1e-9
-    more = x.join(
+    member = many.where("a != node").join(seen.withColumnRenamed("b", "node"), ["a", "node"]).join(root, "node", "left")
+    member = stored(member.select("bucket", "node", "a", "j", F.coalesce("root", "node").alias("root")), "members")
+    split = member.groupBy("bucket").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 != r1").select("bucket")
+    again = member.join(split, "bucket", "left_semi").groupBy("node").agg(F.min(F.struct("a", "j", "root")).alias("m"))
+    again = stored(again.select("node", "m.*").join(nodes.select("node", "size"), "node"), "open-nodes")
+    fine = _finer(texts.join(again.select("node"), "node", "left_semi")).join(again, "node")
+    fine = stored(fine, "fine-members")
+    count = fine.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n"))
+    top = count.groupBy("bucket").agg(F.max(F.struct("n", "root")).alias("top"), F.count(F.lit(1)).alias("roots")).where("roots > 1")
+    fine = stored(fine.join(top.select("bucket", F.col("top.root").alias("top")), "bucket"), "fine-open")
+    x, y = fine.where("root != top").alias("x"), fine.alias("y")
+    pairs = x.join(
         y,
         (F.col("x.bucket") == F.col("y.bucket"))
-        & (F.col("x.node") < F.col("y.node"))
         & (F.col("x.root") != F.col("y.root"))
-        & (F.abs(F.col("x.j") - F.col("y.j")) <= slack)
+        & ((F.col("x.node") < F.col("y.node")) | (F.col("y.root") == F.col("y.top")))
+        & ((F.col("x.a") != F.col("y.a")) | (F.abs(F.col("x.j") - F.col("y.j")) <= 1 - threshold + 1e-9))
         & (F.least("x.size", "y.size") >= threshold * F.greatest("x.size", "y.size")),
-    ).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
-    more = stored(more.distinct().join(first, ["a", "b"], "left_anti"), "more-pairs")
-    found = _similarities(more, texts).where(F.col("j") >= threshold).select("a", "b")
-    return nodes, stored(near.union(found), "links")
+    ).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
+    pairs = stored(pairs.distinct().join(first, ["a", "b"], "left_anti"), "more-pairs")
+    return _similarities(pairs, texts).where(F.col("j") >= threshold).select("a", "b")
+
+
+def _finer(texts: DataFrame) -> DataFrame:
+    """(node, bucket) of the fine bands of (node, text) rows."""
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            got = batch.column(1).to_pylist()
+            for a, b in text_slices(got, 300_000):
+                bands = band_hashes(bag_signatures(shingle_bags(got[a:b]), FINE_BANDS * FINE_ROWS), FINE_BANDS, FINE_ROWS)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a).take(pa.array(np.repeat(np.arange(b - a), FINE_BANDS))), pa.array(bands.reshape(-1))], ["node", "bucket"])
+
+    return texts.select("node", "text").mapInArrow(sign, "node long, bucket long")
 
 
 def _classes(docs: DataFrame, id_col: str, text_col: str, threshold: float) -> DataFrame:
