@@ -110,16 +110,21 @@ query(
     lambda t: t.records.select(F.dayofyear("date").alias("doy")).distinct().select("doy", S.month_of_doy(F.col("doy")).alias("month"), S.quarter_of_doy(F.col("doy")).alias("quarter")),
     "SELECT DISTINCT dayofyear(date)::INT AS doy, least(12, (dayofyear(date) - 1) // 30 + 1)::INT AS month, (CASE WHEN dayofyear(date) <= 79 THEN 1 WHEN dayofyear(date) <= 171 THEN 2 WHEN dayofyear(date) <= 264 THEN 3 ELSE 4 END)::INT AS quarter FROM records",
 )
-_ORD = S.ord_of_index(F.col("season_idx"))
+
+
+def _ord():
+    return S.ord_of_index(F.col("season_idx"))
+
+
 query(
     "q06_season_start",
-    lambda t: t.records.select("season_idx", "season_year").distinct().select("season_idx", S.season_start(_ORD, F.col("season_year")).alias("start")),
+    lambda t: t.records.select("season_idx", "season_year").distinct().select("season_idx", S.season_start(_ord(), F.col("season_year")).alias("start")),
     "SELECT DISTINCT season_idx, (CASE WHEN season_idx % 4 = 0 THEN make_date(season_year - 1, 12, 1) ELSE make_date(season_year, (season_idx % 4) * 3, 1) END)::DATE::VARCHAR AS start FROM records",
 )
 _START = "CASE WHEN season_idx % 4 = 0 THEN make_date(season_year - 1, 12, 1) ELSE make_date(season_year, (season_idx % 4) * 3, 1) END"
 query(
     "q07_preseason_months",
-    lambda t: t.records.select("season_idx", "season_year").distinct().select("season_idx", F.explode(S.preseason_months(_ORD, F.col("season_year"), 3)).alias("month")),
+    lambda t: t.records.select("season_idx", "season_year").distinct().select("season_idx", F.explode(S.preseason_months(_ord(), F.col("season_year"), 3)).alias("month")),
     f"SELECT season_idx, ({_START} - to_months(k))::DATE::VARCHAR AS month FROM (SELECT DISTINCT season_idx, season_year FROM records), (SELECT unnest([1, 2, 3]) AS k)",
 )
 query("q08_partial_seasons", lambda t: t.records.select("season_idx").distinct().select("season_idx", S.is_partial(F.col("season_idx"), CFG.partial_seasons).alias("partial")), "SELECT DISTINCT season_idx, season_idx IN (0, 26) AS partial FROM records")

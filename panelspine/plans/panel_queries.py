@@ -15,13 +15,24 @@ from .bindings import CFG, CLASS
 from .registry import query
 
 TIER = ["human", "natural", "unknown"]
-TEST = F.col("season_year") >= CFG.test_start
 LAST = "OVER (PARTITION BY place, season ORDER BY season_idx ROWS BETWEEN {k} PRECEDING AND 1 PRECEDING)"
 CELLS = "OVER (PARTITION BY cell, season_idx % 4 ORDER BY season_idx ROWS BETWEEN {k} PRECEDING AND 1 PRECEDING)"
 ROWS = "OVER (PARTITION BY cell ORDER BY season_idx ROWS BETWEEN {k} PRECEDING AND 1 PRECEDING)"
 Q = {"human": "human", "natural": '"natural"', "unknown": "unknown"}
 
 
+def _test():
+    return F.col("season_year") >= CFG.test_start
+
+
+def _p():
+    return [F.col(f"p_{c}") for c in TIER]
+
+
+def _a():
+    return [F.col(c) for c in TIER]
+
+
 def tier1_forecast(t, k=7, ks=None):
     """tier1 with p_class, the trailing mean of each share over k rows."""
     return t.tier1.withColumns({f"p_{c}": T.trailing_mean(c, SERIES, k) for c in TIER})
@@ -33,12 +44,11 @@ def _pred_sql(k) -> str:
 
 
 TVD = '0.5 * (abs(p_human - human) + abs(p_natural - "natural") + abs(p_unknown - unknown))'
-_P, _A = [F.col(f"p_{c}") for c in TIER], [F.col(c) for c in TIER]
 SCORE = "count(*) AS n_cells, avg(m) AS plain, sum(m * w) / sum(w) AS weighted"
 
 query(
     "tier1_floor",
-    lambda t: R.score_masked(tier1_forecast(t), X.tvd(_P, _A), F.col("total"), TEST),
+    lambda t: R.score_masked(tier1_forecast(t), X.tvd(_p(), _a()), F.col("total"), _test()),
     f"SELECT {SCORE} FROM (SELECT {TVD} AS m, total AS w FROM ({_pred_sql(7)}) WHERE season_year >= 1999) WHERE m IS NOT NULL",
     "plain weighted",
 )
@@ -124,24 +134,23 @@ query("a14_cell_season_burn", lambda t: t.overlap.join(t.records.select(F.col("i
     "SELECT cell, season_idx, sum(overlap) AS acres, count(DISTINCT event) AS events, max(area) AS area, CASE WHEN max(area) > 0 THEN least(sum(overlap) / max(area), 1.0) END AS frac FROM overlap o JOIN (SELECT id, season_idx FROM records) r ON id = event LEFT JOIN (SELECT cell, area FROM supplier_grid) g USING (cell) GROUP BY ALL", "acres frac")
 query("a15_start_panel", lambda t: t.starts.withColumn("log_area", X.log_positive(F.col("area"))), "SELECT *, CASE WHEN area > 0 THEN ln(area) END AS log_area FROM starts", "log_area")
 query("a16_size_panel", lambda t: t.acres.select("cell", "season_idx", "size_natural", "size_human", "size_unknown", "size_total"), "SELECT cell, season_idx, size_natural, size_human, size_unknown, size_total FROM acres", "size_natural size_human size_unknown size_total")
-query("a25_train_anomaly", lambda t: t.tier1.select("place", "season_idx", (F.col("log_total") - T.train_mean("log_total", ["place"], ~TEST)).alias("anomaly")), "SELECT place, season_idx, log_total - avg(log_total) FILTER (season_year < 1999) OVER (PARTITION BY place) AS anomaly FROM tier1", "anomaly")
+query("a25_train_anomaly", lambda t: t.tier1.select("place", "season_idx", (F.col("log_total") - T.train_mean("log_total", ["place"], ~_test())).alias("anomaly")), "SELECT place, season_idx, log_total - avg(log_total) FILTER (season_year < 1999) OVER (PARTITION BY place) AS anomaly FROM tier1", "anomaly")
 query("j18_aligned_predictions", lambda t: t.tier1.select(*CELL, "human").join(tier1_forecast(t).select("place", "season", "season_idx", "p_human"), ["place", "season", "season_idx"]).select("place", "season_idx", "human", "p_human"), f"SELECT place, season_idx, human, p_human FROM ({_pred_sql(7)})", "human p_human")
 query("j19_leakage_audit", lambda t: T.audit(t.tier1, "human", SERIES, 7), f"SELECT place, season, season_idx, p_human AS mean FROM ({_pred_sql(7)}) WHERE p_human IS NOT NULL", "mean")
 
 # measures
-query("x01_tvd", lambda t: tier1_forecast(t).select("place", "season_idx", X.tvd(_P, _A).alias("tvd")), f"SELECT place, season_idx, {TVD} AS tvd FROM ({_pred_sql(7)})", "tvd")
-_LT = F.avg("log_total").over(T.before(SERIES, 6))
-query("x02_level_errors", lambda t: t.tier1.select("season_year", X.absolute_error(_LT, F.col("log_total")).alias("e")).where(TEST & F.col("e").isNotNull()).agg(F.count(F.lit(1)).alias("n"), F.avg("e").alias("mae"), F.sqrt(F.avg(F.col("e") * F.col("e"))).alias("rmse"), F.pow(F.lit(10.0), F.avg("e")).alias("times_off")),
+query("x01_tvd", lambda t: tier1_forecast(t).select("place", "season_idx", X.tvd(_p(), _a()).alias("tvd")), f"SELECT place, season_idx, {TVD} AS tvd FROM ({_pred_sql(7)})", "tvd")
+query("x02_level_errors", lambda t: t.tier1.select("season_year", X.absolute_error(T.trailing_mean("log_total", SERIES, 6), F.col("log_total")).alias("e")).where(_test() & F.col("e").isNotNull()).agg(F.count(F.lit(1)).alias("n"), F.avg("e").alias("mae"), F.sqrt(F.avg(F.col("e") * F.col("e"))).alias("rmse"), F.pow(F.lit(10.0), F.avg("e")).alias("times_off")),
     f"SELECT count(*) AS n, avg(e) AS mae, sqrt(avg(e * e)) AS rmse, pow(10, avg(e)) AS times_off FROM (SELECT season_year, abs(avg(log_total) {LAST.format(k=6)} - log_total) AS e FROM tier1) WHERE season_year >= 1999 AND e IS NOT NULL", "mae rmse times_off")
 _ARG = "CASE WHEN {h} >= {n} AND {h} >= {u} THEN 1 WHEN {n} >= {u} THEN 2 ELSE 3 END"
 _HIT = f"({_ARG.format(h='p_human', n='p_natural', u='p_unknown')} = {_ARG.format(h='human', n=chr(34) + 'natural' + chr(34), u='unknown')})::INT::DOUBLE"
-query("x03_top1_hit", lambda t: tier1_forecast(t).select("place", "season_idx", X.top1_hit(_P, _A).alias("hit")), f"SELECT place, season_idx, CASE WHEN p_human IS NOT NULL THEN {_HIT} END AS hit FROM ({_pred_sql(7)})")
-query("x04_score_masked", lambda t: R.score_masked(tier1_forecast(t), X.tvd(_P, _A), F.col("total"), TEST, hit=X.top1_hit(_P, _A)),
+query("x03_top1_hit", lambda t: tier1_forecast(t).select("place", "season_idx", X.top1_hit(_p(), _a()).alias("hit")), f"SELECT place, season_idx, CASE WHEN p_human IS NOT NULL THEN {_HIT} END AS hit FROM ({_pred_sql(7)})")
+query("x04_score_masked", lambda t: R.score_masked(tier1_forecast(t), X.tvd(_p(), _a()), F.col("total"), _test(), hit=X.top1_hit(_p(), _a())),
     f"SELECT {SCORE}, avg(hit) AS hit FROM (SELECT {TVD} AS m, total AS w, {_HIT} AS hit FROM ({_pred_sql(7)}) WHERE season_year >= 1999) WHERE m IS NOT NULL", "plain weighted hit")
 
 
 def _sweep(t):
-    return R.sweep(t.tier1, lambda k: [T.trailing_mean(c, SERIES, k) for c in TIER], lambda p: X.tvd(p, _A), [1, 2, 3, 4, None], F.col("total"), TEST)
+    return R.sweep(t.tier1, lambda k: [T.trailing_mean(c, SERIES, k) for c in TIER], lambda p: X.tvd(p, _a()), [1, 2, 3, 4, None], F.col("total"), _test())
 
 
 SWEEP = " UNION ALL ".join(f"SELECT '{name}' AS label, {SCORE} FROM (SELECT {TVD} AS m, total AS w FROM ({_pred_sql(k)}) WHERE season_year >= 1999) WHERE m IS NOT NULL" for name, k in (("k=1", 1), ("k=2", 2), ("k=3", 3), ("k=4", 4), ("expanding", "UNBOUNDED")))
@@ -163,7 +172,7 @@ def start_forecast(t):
 
 query("x07_poisson_deviance", lambda t: start_forecast(t).agg(F.avg(X.poisson_deviance(F.col("y").cast("double"), F.col("p"))).alias("deviance")), f"SELECT avg(2 * (CASE WHEN y > 0 THEN y * ln(y / greatest(p, 1e-6)) ELSE 0 END - (y - greatest(p, 1e-6)))) AS deviance FROM ({_ST}) WHERE p IS NOT NULL", "deviance")
 query("x08_mae", lambda t: start_forecast(t).agg(F.avg(X.absolute_error(F.col("p"), F.col("y"))).alias("mae")), f"SELECT avg(abs(p - y)) AS mae FROM ({_ST})", "mae")
-query("x09_overlap", lambda t: tier1_forecast(t).select("place", "season_idx", X.overlap(_P, _A).alias("overlap")), f'SELECT place, season_idx, CASE WHEN p_human IS NOT NULL THEN least(p_human, human) + least(p_natural, "natural") + least(p_unknown, unknown) END AS overlap FROM ({_pred_sql(7)})', "overlap")
+query("x09_overlap", lambda t: tier1_forecast(t).select("place", "season_idx", X.overlap(_p(), _a()).alias("overlap")), f'SELECT place, season_idx, CASE WHEN p_human IS NOT NULL THEN least(p_human, human) + least(p_natural, "natural") + least(p_unknown, unknown) END AS overlap FROM ({_pred_sql(7)})', "overlap")
 query("x10_verdicts", lambda t: R.ladder(_sweep(t).withColumnRenamed("label", "rung"), "k=1", "weighted").select("rung", X.verdict(F.col("delta")).alias("verdict")), f"SELECT label AS rung, CASE WHEN d < -0.005 THEN 'better' WHEN d > 0.005 THEN 'worse' ELSE 'level' END AS verdict FROM (SELECT label, weighted - (SELECT weighted FROM ({SWEEP}) WHERE label = 'k=1') AS d FROM ({SWEEP}))")
 
 # rank statistics
@@ -202,7 +211,7 @@ query("m13_hurdle_frames", lambda t: hex_panel(t).where("ord = 2").agg(F.count(F
 _MAG = f"SELECT ord, log_total AS y, cond_total AS p FROM ({HEX}) WHERE size_total > 0 AND cond_total IS NOT NULL AND season_idx >= 16"
 query("m23_magnitude_scores", lambda t: K.spearman(hex_panel(t).where("size_total > 0 and cond_total is not null and season_idx >= 16"), "log_total", "cond_total", ["ord"]), rho_sql(_MAG, "y", "p", "ord"), "rho")
 query("m23_occurrence_scores", lambda t: K.spearman(hex_panel(t).where("season_idx >= 16").withColumn("any", (F.col("size_total") > 0).cast("int")), "any", "persist_total", ["ord"]), rho_sql(f"SELECT ord, (size_total > 0)::INT AS y, persist_total AS p FROM ({HEX}) WHERE season_idx >= 16", "y", "p", "ord"), "rho")
-query("m12_marginal_signal", lambda t: K.spearman(t.tier1.where(TEST & (F.col("season") == "JJA")).select("human", F.explode(F.array(*[F.struct(F.lit(c).alias("covariate"), F.col(c).cast("double").alias("v")) for c in ("log_total", "n", "log_mean_size")])).alias("r")).select("human", "r.*"), "human", "v", ["covariate"]),
+query("m12_marginal_signal", lambda t: K.spearman(t.tier1.where(_test() & (F.col("season") == "JJA")).select("human", F.explode(F.array(*[F.struct(F.lit(c).alias("covariate"), F.col(c).cast("double").alias("v")) for c in ("log_total", "n", "log_mean_size")])).alias("r")).select("human", "r.*"), "human", "v", ["covariate"]),
     rho_sql("UNPIVOT (SELECT human, log_total, n::DOUBLE AS n, log_mean_size FROM tier1 WHERE season_year >= 1999 AND season = 'JJA') ON log_total, n, log_mean_size INTO NAME covariate VALUE v", "human", "v", "covariate"), "rho")
 query("m14_shuffled_null", lambda t: K.spearman(K.permuted(start_forecast(t).where("p is not null and season_idx >= 16").withColumn("key", F.concat_ws(":", "cell", "season_idx")), "p", "key", 11), "y", "p_permuted"))
 query("a54_cross_place_correlation", lambda t: t.tier1.groupBy("place").agg(F.avg("unknown").alias("u"), F.avg("natural").alias("v")).agg(K.guarded_corr("u", "v").alias("pearson")), 'SELECT corr(u, v) AS pearson FROM (SELECT place, avg(unknown) AS u, avg("natural") AS v FROM tier1 GROUP BY ALL)', "pearson")

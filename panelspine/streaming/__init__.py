@@ -1,0 +1 @@
+"""No operator works on streams: every source is read once and whole."""
