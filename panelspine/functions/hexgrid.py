@@ -23,14 +23,18 @@ def cell_of(lat: Column, lon: Column, side_km: float) -> Column:
     """The id of the cell that holds a point; NULL for an unknown place."""
     x = EARTH_KM * F.radians(lon) * F.cos(F.radians(lat))
     y = EARTH_KM * F.radians(lat)
-    q = (math.sqrt(3) / 3 * x - y / 3) / side_km
-    r = (2 / 3 * y) / side_km
-    s = -q - r
-    rq, rr, rs = F.round(q), F.round(r), F.round(s)
-    dq, dr, ds = F.abs(rq - q), F.abs(rr - r), F.abs(rs - s)
-    cq = F.when((dq > dr) & (dq > ds), -rr - rs).otherwise(rq)
-    cr = F.when(~((dq > dr) & (dq > ds)) & (dr > ds), -rq - rs).otherwise(rr)
-    return F.when(lat.isNotNull() & lon.isNotNull(), cell_id(cq.cast("long"), cr.cast("long")))
+    # Steps over an array of one bind what the next step uses more than once.
+    v = F.array(F.struct(((math.sqrt(3) / 3 * x - y / 3) / side_km).alias("q"), ((2 / 3 * y) / side_km).alias("r")))
+    v = F.transform(v, lambda p: F.struct(p["q"].alias("q"), p["r"].alias("r"), F.round(p["q"]).alias("rq"), F.round(p["r"]).alias("rr"), F.round(-p["q"] - p["r"]).alias("rs")))
+    v = F.transform(v, lambda p: F.struct(p["rq"].alias("rq"), p["rr"].alias("rr"), p["rs"].alias("rs"), F.abs(p["rq"] - p["q"]).alias("dq"), F.abs(p["rr"] - p["r"]).alias("dr"), F.abs(p["rs"] + p["q"] + p["r"]).alias("ds")))
+
+    def rounded(p: Column) -> Column:
+        q_off = (p["dq"] > p["dr"]) & (p["dq"] > p["ds"])
+        q = F.when(q_off, -p["rr"] - p["rs"]).otherwise(p["rq"])
+        r = F.when(~q_off & (p["dr"] > p["ds"]), -p["rq"] - p["rs"]).otherwise(p["rr"])
+        return cell_id(q.cast("long"), r.cast("long"))
+
+    return F.when(lat.isNotNull() & lon.isNotNull(), F.transform(v, rounded)[0])
 
 
 def centre(cell: Column, side_km: float) -> tuple[Column, Column]:
