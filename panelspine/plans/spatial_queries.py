@@ -35,7 +35,6 @@ def layer(t, boxes=BOXES):
 _PTS = f"SELECT id, size, agency, {LON.format(k='id')} AS x, {LAT.format(k='id')} AS y FROM raw"
 _BOX = "(VALUES " + ", ".join(str(b) for b in BOXES) + ") b(poly, place, parent, x0, x1, y0, y1)"
 _IN = f"SELECT p.id, min(poly) AS poly FROM ({_PTS}) p JOIN {_BOX} ON x > x0 AND x < x1 AND y > y0 AND y < y1 GROUP BY ALL"
-query("s10_polygon_edges", lambda t: layer(t).select("poly", "place", "x1", "y1", "x2", "y2"))
 query("p06_box_prefilter", lambda t: points(t).where("x between -150 and 40 and y between -60 and 60").agg(F.count(F.lit(1)).alias("n")), f"SELECT count(*) AS n FROM ({_PTS}) WHERE x BETWEEN -150 AND 40 AND y BETWEEN -60 AND 60")
 query("j10_point_in_polygon", lambda t: P.points_in_polygons(points(t), layer(t), 10.0).groupBy("id").agg(F.min("poly").alias("poly")), f"SELECT id, poly::BIGINT AS poly FROM ({_IN})")
 query("j11_routed_layers", lambda t: P.join_routed(points(t), [("agency = 'F'", layer(t, BOXES[:2])), ("agency <> 'F'", layer(t, BOXES[2:]))], 10.0).groupBy("place", "parent").agg(F.count(F.lit(1)).alias("n")),
@@ -124,7 +123,7 @@ def _panel(t):
 def _ladder(t, train_year=CFG.test_start, shuffle=False):
     p = _panel(t)
     if shuffle:
-        p = L.shuffled_covariates(p, ["log_area", "last"], "key", 3)
+        p = L.shuffled_covariates(p.where("last is not null and persist_total is not null"), ["log_area", "last"], "key", 3)
     rungs = {"history": ["persist_total"], "history_and_cell": ["persist_total", "log_area", "last"]}
     parts = L.rank_ladder(p, "log_total", "persist_total", rungs, F.col("season_year") < train_year, "key", lambda y: L.boosted(y, rounds=5))
     return reduce(lambda a, b: a.unionByName(b), [d.withColumn("rung", F.lit(n)) for n, d in parts])
