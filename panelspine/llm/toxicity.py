@@ -73,7 +73,7 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(odds, -50, 50)))
 
 
-def fit(rows: list[tuple[int, str]], *, table_rows: int = 1 << 18, dimensions: int = 4, epochs: int = 12, batch: int = 32, rate: float = 0.05, decay: float = 1e-6, seed: int = 7) -> Model:
+def fit(rows: list[tuple[int, str]], *, table_rows: int = 1 << 18, dimensions: int = 4, epochs: int = 12, least_steps: int = 600, batch: int = 32, rate: float = 0.05, decay: float = 1e-6, seed: int = 7) -> Model:
     """rows: (label, text). Without both labels the model answers the share of label 1."""
     rng = np.random.default_rng(seed)
     labels = np.array([y for y, _ in rows], np.int64)
@@ -99,6 +99,7 @@ def fit(rows: list[tuple[int, str]], *, table_rows: int = 1 << 18, dimensions: i
     m_out, s_out = np.zeros_like(out), np.zeros_like(out)
     last = np.zeros(table_rows, np.int64)
     step = 0
+    epochs = max(epochs, -(-least_steps // max(1, len(rows) // batch)))  # few rows are seen more often
     for epoch in range(epochs):
         lr = rate * (1 - epoch / epochs)
         for part in np.array_split(rng.permutation(len(rows)), max(1, len(rows) // batch)):
