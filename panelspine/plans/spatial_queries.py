@@ -14,6 +14,7 @@ from ..operators import spatial as P
 from ..operators import trailing as T
 from ..sources import artifacts as A
 from .bindings import CFG
+from .describe_queries import _CONF, _H7, confidence, human_forecast
 from .panel_queries import hex_panel
 from .registry import query
 
@@ -95,6 +96,60 @@ query("a62_naive_and_apportioned", lambda t: t.supplier_grid.select("cell").join
 
 # backfill
 query("s07_planned_minus_done", lambda t: A.unfinished(t.records.select("place", "season_year").distinct(), t.records.where("agency = 'F' and state = 'BUILDING' and size > 300000"), ["place", "season_year"]), "SELECT DISTINCT place, season_year FROM records EXCEPT SELECT place, season_year FROM records WHERE agency = 'F' AND state = 'BUILDING' AND size > 300000")
+query("s05_written_artifact", lambda t: A.write_checked(t.tier1.select("place", "season_idx", "human"), A.scratch_path(t.spark, "tier1"), ["place", "season_idx"]), "SELECT place, season_idx, human FROM tier1", "human")
+
+
+def _cached(t):
+    path = A.scratch_path(t.spark, "panel")
+    A.build_cached(t.spark, path, lambda: t.starts.select("cell", "season_idx", "starts_total"))
+    return A.build_cached(t.spark, path, lambda: t.starts.limit(0))
+
+
+query("s08_cached_panel", _cached, "SELECT cell, season_idx, starts_total FROM starts")
+
+
+def _backfilled(t):
+    """Two runs over the same plan; the first leaves the last years as holes."""
+    path, planned = A.scratch_path(t.spark, "years"), t.records.select("season_year").distinct()
+
+    def build(todo):
+        return t.records.join(todo, "season_year", "left_semi").groupBy("season_year", "place").agg(F.count(F.lit(1)).alias("n"))
+
+    A.backfill(planned, path, ["season_year"], lambda todo: build(todo.where("season_year < 2000")))
+    A.backfill(planned, path, ["season_year"], build)
+    return t.spark.read.parquet(path).select("season_year", "place", "n")
+
+
+query("s07_resumed_backfill", _backfilled, "SELECT season_year, place, count(*) AS n FROM records GROUP BY ALL")
+
+
+def _csv(t):
+    path = A.scratch_path(t.spark, "scores")
+    A.write_csv(t.records.groupBy("place", "season").agg(F.count(F.lit(1)).alias("n")), path)
+    return A.read_csv(t.spark, path, "place string, season string, n long")
+
+
+query("s09_csv_round_trip", _csv, "SELECT place, season, count(*) AS n FROM records GROUP BY ALL")
+query(
+    "m16_steady_but_wrong",
+    lambda t: confidence(t).where(F.col("sd") <= confidence(t).agg(F.percentile("sd", F.lit(0.25))).first()[0]).where("err > 0.2").select("place", "season_idx", "sd", "err"),
+    f"SELECT place, season_idx, sd, err FROM ({_CONF.replace('SELECT season,', 'SELECT place, season_idx,')}) WHERE sd <= (SELECT quantile_cont(sd, 0.25) FROM ({_CONF})) AND err > 0.2",
+    "sd err",
+)
+query(
+    "m06_steady_and_volatile",
+    lambda t: _steadiness(t),
+    f"SELECT CASE WHEN sd <= a[1] THEN 'steady' WHEN sd >= a[2] THEN 'volatile' ELSE 'middle' END AS band, count(*) AS n, sum(abs(p0 - h0) * human_size) / sum(human_size) AS weighted FROM ({_H7}), (SELECT quantile_cont(sd, [0.25, 0.75]) AS a FROM ({_H7}) WHERE season_year >= 1999 AND sd IS NOT NULL) WHERE season_year >= 1999 AND sd IS NOT NULL GROUP BY ALL",
+    "weighted",
+)
+
+
+def _steadiness(t):
+    h = human_forecast(t).where("season_year >= 1999 and sd is not null")
+    lo, hi = h.agg(F.percentile("sd", F.array(F.lit(0.25), F.lit(0.75)))).first()[0]
+    band = F.when(F.col("sd") <= lo, "steady").when(F.col("sd") >= hi, "volatile").otherwise("middle")
+    return h.groupBy(band.alias("band")).agg(F.count(F.lit(1)).alias("n"), X.weighted_mean(F.abs(F.col("p0") - F.col("h0")), F.col("human_size")).alias("weighted"))
+
 
 # learned rungs
 TIER = ["human", "natural", "unknown"]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +14,19 @@ from pyspark.sql.utils import AnalysisException
 from ..operators.contracts import key_violations
 
 
+_OWN_SCRATCH: dict[str, str] = {}
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A fresh path in the folder that driver and executors share
+    (spark.checkpoint.dir); a local one only where that is not set."""
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not root:
+        app = spark.sparkContext.applicationId
+        root = _OWN_SCRATCH.setdefault(app, "file://" + tempfile.mkdtemp(prefix="panelspine-"))
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def write_checked(df: DataFrame, path: str, keys: list[str]) -> DataFrame:
     """Write df, read it back, and fail if keys are not unique or empty."""
     df.write.mode("overwrite").parquet(path)
