@@ -185,7 +185,7 @@ def attempts(docs: DataFrame, text_col: str, key: str) -> DataFrame:
     return drawn.where("attempt > 0").select("form", "attempt")
 
 
-def replace_pii(docs: DataFrame, *, text_col: str = "text", key: str = "surrogate-key", lookup_rows: int = 20_000) -> DataFrame:
+def replace_pii(docs: DataFrame, *, text_col: str = "text", key: str = "surrogate-key", lookup_rows: int = 2000) -> DataFrame:
     """docs with entities replaced in text_col, and column n_entities.
 
     A null text stays null with 0 entities; texts without entities stay as
