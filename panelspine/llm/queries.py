@@ -72,7 +72,7 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_reply_trees": CHAT_SQL}
+    return {"op3_reply_trees": CHAT_SQL, "op8_host_rules": HOST_SQL}
 
 
 #: formatted_chars: 25 characters of markers a turn, and one backslash for each control-like string.
@@ -88,3 +88,25 @@ SELECT conv_id, count(*) AS n_turns,
   sum(24 + length(role) + length(text) + len(regexp_extract_all(text, '<\\\\*[|]')))::BIGINT AS formatted_chars
 FROM t GROUP BY conv_id
 """
+
+_RULES = {"short": "n_words < 10", "repeats": "100 * n_repeat_words > 20 * n_words", "symbols": "10 * n_symbols > word_chars", "lines": "n_dup_lines > 10"}
+_RATE = """
+  SELECT host FROM (SELECT host, (k + m * s) / (n + s) AS rate FROM (SELECT *, CASE WHEN v > 0 THEN least(1000, greatest(2, m * (1 - m) / v - 1)) ELSE 1000 END AS s
+    FROM (SELECT *, sum(n * (k / n - m) ** 2) OVER () / sum(n) OVER () AS v FROM (SELECT *, sum(k) OVER () / sum(n) OVER () AS m
+      FROM (SELECT source AS host, count(*) AS n, count(*) FILTER ({rule}) AS k FROM counted WHERE source IS NOT NULL GROUP BY ALL))))) WHERE rate > 0.5"""
+HOST_SQL = (
+    """
+WITH w AS (SELECT doc_id, source, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+g AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, w[i:i+4]) AS c FROM w, unnest(range(1, len(w) - 3)) AS t(i)),
+r AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM g, (SELECT unnest(range(0, 5)) AS k) WHERE c > 1 GROUP BY ALL),
+l AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM w) WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]') GROUP BY ALL),
+counted AS (SELECT doc_id, source, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars,
+  length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, coalesce(l.n, 0)::BIGINT AS n_dup_lines, coalesce(r.n, 0)::BIGINT AS n_repeat_words
+  FROM w LEFT JOIN r USING (doc_id) LEFT JOIN l USING (doc_id)),
+bad AS ("""
+    + " UNION ".join(_RATE.format(rule=x) for x in _RULES.values())
+    + f""")
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, ({_RULES['short']} OR {_RULES['repeats']}) AS base_failed,
+  NOT ({_RULES['short']} OR {_RULES['repeats']}) AND coalesce(source NOT IN (SELECT host FROM bad), true) AS kept FROM counted
+"""
+)
