@@ -18,13 +18,19 @@ def cell_category(records: DataFrame, cfg: PanelConfig, cell: list[str] = CELL)
     repeated on each row of the cell; missing_frac: missing over all, NULL when
     all is 0. A cell with sentinel rows only has no rows here.
     """
-    sums = records.groupBy(*cell, "category").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n"))
-    attributed, missing = sums.where(~missing_flag(cfg)), sums.where(missing_flag(cfg))
-    vocabulary = F.array(*map(F.lit, cfg.vocabulary))
-    dense = attributed.select(*cell).distinct().select(*cell, F.explode(vocabulary).alias("category"))
-    out = dense.join(attributed, [*cell, "category"], "left").fillna({"size": 0.0, "n": 0})
-    out = out.withColumn("cell_size", F.sum("size").over(Window.partitionBy(*cell)))
-    out = out.join(missing.select(*cell, F.col("size").alias("missing_size"), F.col("n").alias("missing_n")), cell, "left").fillna({"missing_size": 0.0, "missing_n": 0})
+    miss = missing_flag(cfg)
+    pick = {c: F.col("category") == c for c in cfg.vocabulary}
+    # One aggregate with a column per category, then one row per category: no join, one shuffle.
+    wide = records.groupBy(*cell).agg(
+        F.count_if(~miss).alias("__attributed"),
+        F.sum(F.when(miss, F.col("size")).otherwise(0.0)).alias("missing_size"),
+        F.count_if(miss).alias("missing_n"),
+        *[F.sum(F.when(on, F.col("size")).otherwise(0.0)).alias(f"__s{i}") for i, on in enumerate(pick.values())],
+        *[F.count_if(on).alias(f"__n{i}") for i, on in enumerate(pick.values())],
+    )
+    wide = wide.where("__attributed > 0").withColumn("cell_size", total([F.col(f"__s{i}") for i in range(len(pick))]))
+    long = F.explode(F.array(*[F.struct(F.lit(c).alias("category"), F.col(f"__s{i}").alias("size"), F.col(f"__n{i}").alias("n")) for i, c in enumerate(pick)]))
+    out = wide.select(*cell, long.alias("r"), "cell_size", "missing_size", "missing_n").select(*cell, "r.*", "cell_size", "missing_size", "missing_n")
     return out.withColumns({"share": ratio(F.col("size"), F.col("cell_size")), "missing_frac": ratio(F.col("missing_size"), F.col("missing_size") + F.col("cell_size"))})
 
 
@@ -51,10 +57,16 @@ def series_support(grain: DataFrame, series: list[str], thresholds: tuple[int, .
     return out.select("*", *[(F.col("seasons") >= t).alias(f"at_least_{t}") for t in thresholds])
 
 
-def by_class(grain: DataFrame, cfg: PanelConfig, value: str = "size", cell: list[str] = CELL) -> DataFrame:
-    """Cells with one column per attributed class, 0 where it is absent."""
-    sums = {c: F.sum(F.when(coarse_class(cfg) == c, F.col(value)).otherwise(0)) for c in ("Natural", "Human")}
-    return grain.groupBy(*cell).agg(*[s.alias(c.lower()) for c, s in sums.items()])
+def by_class(grain: DataFrame, cfg: PanelConfig, *more: Column, cell: list[str] = CELL) -> DataFrame:
+    """Cells with the size of each attributed class, 0 where it is absent, and
+    more aggregates of the same pass."""
+    sums = {c: F.sum(F.when(coarse_class(cfg) == c, F.col("size")).otherwise(0)) for c in ("Natural", "Human")}
+    return grain.groupBy(*cell).agg(*[s.alias(c.lower()) for c, s in sums.items()], *more)
+
+
+def repeated_value(col: str) -> Column:
+    """Aggregate: a value that all rows of a cell repeat. It is never summed."""
+    return F.max(col).alias(col)
 
 
 def composition(grain: DataFrame, cfg: PanelConfig, with_counts: bool = False) -> DataFrame:
@@ -64,9 +76,7 @@ def composition(grain: DataFrame, cfg: PanelConfig, with_counts: bool = False) -
     log_total: log10 of the total. with_counts adds n and log_mean_size.
     """
     g = drop_partial(grain, cfg)
-    sizes = by_class(g, cfg).join(per_cell(g, ["missing_size", "missing_n"]), CELL)
-    if with_counts:
-        sizes = sizes.join(g.groupBy(*CELL).agg(F.sum("n").alias("n_attributed")), CELL)
+    sizes = by_class(g, cfg, repeated_value("missing_size"), repeated_value("missing_n"), F.sum("n").alias("n_attributed"))
     out = sizes.withColumn("total", F.col("natural") + F.col("human") + F.col("missing_size")).where("total > 0")
     out = out.withColumns({"natural": F.col("natural") / F.col("total"), "human": F.col("human") / F.col("total"), "unknown": F.col("missing_size") / F.col("total"), "log_total": F.log10("total")})
     extra = []
@@ -95,14 +105,14 @@ def natural_starts(grain: DataFrame, cfg: PanelConfig) -> DataFrame:
 def attribution_quality(grain: DataFrame, cfg: PanelConfig) -> DataFrame:
     """Missing fraction beside the attributed classes and the natural share."""
     g = drop_partial(grain, cfg)
-    out = by_class(g, cfg).join(per_cell(g, ["missing_frac", "missing_size"]), CELL)
+    out = by_class(g, cfg, repeated_value("missing_frac"), repeated_value("missing_size"))
     return out.withColumn("natural_share", ratio(F.col("natural"), F.col("natural") + F.col("human"))).where("missing_frac is not null")
 
 
 def class_snapshot(grain: DataFrame, cfg: PanelConfig) -> DataFrame:
     """Size and share of the three classes over all cells."""
     g = drop_partial(grain, cfg)
-    sizes = by_class(g, cfg).join(per_cell(g, ["missing_size"]), CELL).agg(*[F.sum(c).alias(c) for c in ("natural", "human", "missing_size")])
+    sizes = by_class(g, cfg, repeated_value("missing_size")).agg(*[F.sum(c).alias(c) for c in ("natural", "human", "missing_size")])
     long = sizes.select(F.explode(F.array(*[F.struct(F.lit(n).alias("class"), F.col(c).alias("size")) for n, c in (("Natural", "natural"), ("Human", "human"), ("Unknown", "missing_size"))])).alias("r"), (F.col("natural") + F.col("human") + F.col("missing_size")).alias("all"))
     return long.select("r.class", "r.size", (F.col("r.size") / 1e6).alias("millions"), ratio(F.col("r.size"), F.col("all")).alias("share"))
 
