@@ -132,13 +132,14 @@ class Model:
 
     def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
         """Languages ('und' without a letter) and their posterior probabilities."""
-        codes, distinct, bounds = coded([parts_of(words_of(t)) for t in texts])
+        lists = [parts_of(words_of(t)) for t in texts]
+        codes, distinct, bounds = coded(lists)
         scores = self.word_scores(list(distinct))
         total = np.zeros((len(texts), len(self.languages)))
         doc = np.repeat(np.arange(len(texts)), np.diff(bounds))
         for k in range(len(self.languages)):
             total[:, k] = np.bincount(doc, scores[codes, k], len(texts)) if len(codes) else 0
-        some = np.diff(bounds) > 0
+        some = np.array([any(any(map(str.isalpha, w)) for w in ws) for ws in lists], bool)  # not only other numbers
         if not self.languages:
             return ["und"] * len(texts), np.zeros(len(texts))
         best = total.argmax(axis=1)
