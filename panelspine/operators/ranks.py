@@ -95,3 +95,22 @@ def permuted(df: DataFrame, col: str, key: str, seed: int) -> DataFrame:
     own = first_ranks(df.withColumn("__o", F.xxhash64(F.lit(seed), key).cast("double")), "__o", key).drop("__o", "n")
     other = first_ranks(df.select(F.col(key).alias("__k"), F.col(col).alias("__v")).withColumn("__o", F.xxhash64(F.lit(seed + 1), "__k").cast("double")), "__o", "__k").select("rank", F.col("__v").alias(f"{col}_permuted"))
     return own.join(other, "rank").drop("rank")
+
+
+def shuffled_scores(df: DataFrame, a: str, b: str, key: str, times: int) -> DataFrame:
+    """One row: the rank correlation of a and b, mean and deviation over times
+    keyed permutations of b, and how many deviations the real one is above.
+
+    For scored cells of one panel: rows times permutations are made.
+    """
+    rows = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(F.col(key).alias("k"), F.col(a).alias("a"), F.col(b).alias("b"))
+    ranked = rows.join(average_ranks(rows, "a").withColumnRenamed("rank", "ra"), "a").join(average_ranks(rows, "b").withColumnRenamed("rank", "rb"), "b").select("k", "ra", "rb")
+    seeded = ranked.withColumn("seed", F.explode(F.sequence(F.lit(1), F.lit(times))))
+    w = Window.partitionBy("seed")
+    own = seeded.withColumn("at", F.row_number().over(w.orderBy("k"))).select("seed", "at", "ra")
+    other = seeded.withColumn("at", F.row_number().over(w.orderBy(F.xxhash64("seed", "k"), "k"))).select("seed", "at", "rb")
+    null = own.join(other, ["seed", "at"]).groupBy("seed").agg(guarded_corr("ra", "rb").alias("rho"))
+    null = null.agg(F.avg("rho").alias("null_mean"), F.stddev_samp("rho").alias("null_std"))
+    real = ranked.agg(F.count(F.lit(1)).alias("n"), guarded_corr("ra", "rb").alias("rho"))
+    both = real.withColumn("__one", F.lit(1)).join(null.withColumn("__one", F.lit(1)), "__one").drop("__one")  # one row each
+    return both.withColumn("deviations", F.try_divide(F.col("rho") - F.col("null_mean"), F.col("null_std")))

@@ -273,3 +273,4 @@ _CAL = f"SELECT p, log_total AS y, {BUCKET.format(q=20)} AS stratum FROM (SELECT
 query("m17_calibration", lambda t: K.first_ranks(hex_panel(t).where("persist_total is not null and season_idx >= 16").select(F.concat_ws(":", "cell", "season_idx").alias("key"), F.col("persist_total").alias("p"), F.col("log_total").alias("y")), "p", "key").withColumn("stratum", K.equal_count_bucket(F.col("rank"), F.col("n"), 20)).groupBy("stratum").agg(n_rows().alias("n"), F.avg("p").alias("predicted"), F.avg("y").alias("actual"), F.avg((F.col("y") <= -4).cast("double")).alias("zeros")))
 query("m21_uniform_and_persistence", lambda t: start_forecast(t).where("p is not null and season_idx >= 16").agg(F.avg(F.abs(F.col("p") - F.col("y"))).alias("persistence"), F.avg(F.abs(F.lit(t.starts.where("season_idx < 16").agg(F.avg("starts_total")).first()[0]) - F.col("y"))).alias("uniform")), f"SELECT avg(abs(p - y)) AS persistence, avg(abs((SELECT avg(starts_total) FROM starts WHERE season_idx < 16) - y)) AS uniform FROM (SELECT season_idx, starts_total AS y, avg(starts_total) {CELLS.format(k=3)} AS p FROM starts) WHERE p IS NOT NULL AND season_idx >= 16", "persistence uniform")
 query("m24_predictor_agreement", lambda t: R.global_prior(tier1_forecast(t), ["human", "natural", "unknown"], F.col("season_year") < CFG.test_start).where("season_year >= 1999 and p_human is not null").agg(F.avg(X.tvd([F.col(f"p_{c}") for c in ("human", "natural", "unknown")], [F.col(f"prior_{c}") for c in ("human", "natural", "unknown")])).alias("distance")), f"SELECT avg(0.5 * (abs(ph - gh) + abs(pn - gn) + abs(pu - gu))) AS distance FROM ({_P7}), ({_PRIOR}) WHERE season_year >= 1999 AND ph IS NOT NULL", "distance")
+query("m15_confidence_shuffles", lambda t: K.shuffled_scores(confidence(t).withColumn("key", F.concat_ws(":", "place", "season_idx")), "sd", "err", "key", 200))
