@@ -60,7 +60,9 @@ def paths(messages: DataFrame) -> DataFrame:
         if not left:
             break
         above = now.select("tree", F.col("node").alias("up"), F.col("up").alias("higher"), F.col("path").alias("before"))
-        now = now.join(above, ["tree", "up"], "left").select("tree", "node", F.col("higher").alias("up"), F.concat(F.coalesce("before", F.array().cast("array<bigint>")), "path").alias("path"))
+        longer = now.where("up is not null").join(above, ["tree", "up"])
+        longer = longer.select("tree", "node", F.col("higher").alias("up"), F.concat("before", "path").alias("path"))
+        now = now.where("up is null").union(longer.select(*now.columns))
     return now.where("up is null").join(inner, ["tree", "node"], "left_anti").select("tree", F.col("node").alias("leaf"), "path")
 
 
