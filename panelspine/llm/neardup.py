@@ -18,6 +18,8 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pandas as pd
@@ -32,6 +34,7 @@ SHINGLE = 5
 #: Two texts of similarity 0.8 share a band with probability 0.9999, a fine one with 0.99.
 BANDS, ROWS = 30, 6
 FINE_BANDS, FINE_ROWS = 160, 16
+SKETCH = 1024
 
 
 def _times(k: int) -> np.uint64:
@@ -209,47 +212,75 @@ def links(signed: DataFrame, docs: DataFrame, threshold: float) -> tuple[DataFra
 def _missed(nodes: DataFrame, many: DataFrame, seen: DataFrame, texts: DataFrame, near: DataFrame, first: DataFrame, threshold: float) -> DataFrame:
     """Links that comparing with each bucket's least node alone could miss.
 
-    They join two components that meet in a bucket. The nodes of such buckets
-    get finer bands, which dissimilar texts seldom share; there, nodes of
-    different components are compared unless their sizes, or by the triangle
-    inequality their distances to a common least node, rule the link out. Nodes
+    They join two components that meet in a bucket. There, the nodes outside the
+    most frequent one are compared with one of its nodes more. What stays apart
+    gets finer bands, which dissimilar texts seldom share; there, nodes of
+    different components are compared unless their sizes, their sketches, or by
+    the triangle inequality their distances to a common least node rule the link out. Nodes
     of a bucket's most frequent component are not paired with each other.
     """
-    root = components(near)
-    member = many.where("a != node").join(seen.withColumnRenamed("b", "node"), ["a", "node"]).join(root, "node", "left")
-    member = stored(member.select("bucket", "node", "a", "j", F.coalesce("root", "node").alias("root")), "members")
-    split = member.groupBy("bucket").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 != r1").select("bucket")
-    again = member.join(split, "bucket", "left_semi").groupBy("node").agg(F.min(F.struct("a", "j", "root")).alias("m"))
+    member = many.where("a != node").join(seen.withColumnRenamed("b", "node"), ["a", "node"]).select("bucket", "node", "a", "j")
+
+    def rooted(edges: DataFrame) -> DataFrame:
+        return stored(member.join(components(edges), "node", "left").withColumn("root", F.coalesce("root", "node")), "members")
+
+    # A second comparison per bucket: with a node, drawn by hash, of its most frequent component.
+    now = rooted(near)
+    of = now.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n"), F.min_by("node", F.xxhash64("bucket", "node")).alias("pick"))
+    of = of.groupBy("bucket").agg(F.max(F.struct("n", "root", "pick")).alias("top"), F.count(F.lit(1)).alias("roots")).where("roots > 1")
+    second = now.join(of, "bucket").where("root != top.root").select(F.least("node", "top.pick").alias("a"), F.greatest("node", "top.pick").alias("b"))
+    second = stored(second.distinct().join(first, ["a", "b"], "left_anti"), "second-pairs")
+    found = stored(_similarities(second, texts).where(F.col("j") >= threshold).select("a", "b"), "second-links")
+    now = rooted(near.union(found))
+    split = now.groupBy("bucket").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 != r1").select("bucket")
+    again = now.join(split, "bucket", "left_semi").groupBy("node").agg(F.min(F.struct("a", "j", "root")).alias("m"))
     again = stored(again.select("node", "m.*").join(nodes.select("node", "size"), "node"), "open-nodes")
-    fine = _finer(texts.join(again.select("node"), "node", "left_semi")).join(again, "node")
-    fine = stored(fine, "fine-members")
-    count = fine.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n"))
+    signed = stored(_finer(texts.join(again.select("node"), "node", "left_semi")), "fine-signed")
+    slim = stored(signed.select("node", F.explode("buckets").alias("bucket")).join(again.select("node", "root"), "node"), "fine-members")
+    count = slim.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n"))
     top = count.groupBy("bucket").agg(F.max(F.struct("n", "root")).alias("top"), F.count(F.lit(1)).alias("roots")).where("roots > 1")
-    fine = stored(fine.join(top.select("bucket", F.col("top.root").alias("top")), "bucket"), "fine-open")
+    words = [f"k{i}" for i in range(SKETCH // 64)]
+    known = again.join(signed.select("node", *[F.col("sketch")[i].alias(k) for i, k in enumerate(words)]), "node")
+    fine = slim.drop("root").join(top.select("bucket", F.col("top.root").alias("top")), "bucket").join(known, "node")
+    fine = stored(fine, "fine-open")
     x, y = fine.where("root != top").alias("x"), fine.alias("y")
+    apart = reduce(add, [F.bit_count(F.col(f"x.{k}").bitwiseXOR(F.col(f"y.{k}"))) for k in words])
     pairs = x.join(
         y,
         (F.col("x.bucket") == F.col("y.bucket"))
         & (F.col("x.root") != F.col("y.root"))
         & ((F.col("x.node") < F.col("y.node")) | (F.col("y.root") == F.col("y.top")))
         & ((F.col("x.a") != F.col("y.a")) | (F.abs(F.col("x.j") - F.col("y.j")) <= 1 - threshold + 1e-9))
-        & (F.least("x.size", "y.size") >= threshold * F.greatest("x.size", "y.size")),
+        & (F.least("x.size", "y.size") >= threshold * F.greatest("x.size", "y.size"))
+        & (apart <= sketch_limit(threshold)),
     ).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
-    pairs = stored(pairs.distinct().join(first, ["a", "b"], "left_anti"), "more-pairs")
-    return _similarities(pairs, texts).where(F.col("j") >= threshold).select("a", "b")
+    pairs = stored(pairs.distinct().join(first.union(second), ["a", "b"], "left_anti"), "more-pairs")
+    return found.union(_similarities(pairs, texts).where(F.col("j") >= threshold).select("a", "b"))
+
+
+def sketch_limit(threshold: float) -> int:
+    """How many of the SKETCH bits may differ: a bit of two texts of similarity
+    j agrees with probability (1 + j) / 2; the limit is 4.5 deviations beyond
+    the mean at the threshold, where it rules out 3 in a million links."""
+    p = (1 - threshold) / 2
+    return int(SKETCH * p + 4.5 * (SKETCH * p * (1 - p)) ** 0.5)
 
 
 def _finer(texts: DataFrame) -> DataFrame:
-    """(node, bucket) of the fine bands of (node, text) rows."""
+    """(node, buckets, sketch) of (node, text) rows: the fine bands, and one bit
+    of each of the first SKETCH signature components."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             got = batch.column(1).to_pylist()
             for a, b in text_slices(got, 300_000):
-                bands = band_hashes(bag_signatures(shingle_bags(got[a:b]), FINE_BANDS * FINE_ROWS), FINE_BANDS, FINE_ROWS)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a).take(pa.array(np.repeat(np.arange(b - a), FINE_BANDS))), pa.array(bands.reshape(-1))], ["node", "bucket"])
+                sig = bag_signatures(shingle_bags(got[a:b]), FINE_BANDS * FINE_ROWS)
+                bits = (mix(np.ascontiguousarray(sig[:, :SKETCH]).view(np.uint64)) >> np.uint64(63)).astype(np.uint8)
+                sketch = np.packbits(bits, axis=1, bitorder="little").view("<i8")
+                buckets = band_hashes(sig, FINE_BANDS, FINE_ROWS)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(list(buckets), pa.list_(pa.int64())), pa.array(list(sketch), pa.list_(pa.int64()))], ["node", "buckets", "sketch"])
 
-    return texts.select("node", "text").mapInArrow(sign, "node long, bucket long")
+    return texts.select("node", "text").mapInArrow(sign, "node long, buckets array<long>, sketch array<long>")
 
 
 def _classes(docs: DataFrame, id_col: str, text_col: str, threshold: float) -> DataFrame:
