@@ -95,7 +95,8 @@ def bag_signatures(bags: list[tuple[np.ndarray, np.ndarray]], m: int = BANDS * R
         draws = mix(state[:, None] + GOLDEN * np.arange(1, steps + 1, dtype=np.uint64))
         state = state + _times(steps)
         gaps = -np.log1p(-((draws >> np.uint64(11)).astype(np.float64) * 2.0**-53)) / length[:, None]
-        times = time[:, None] + np.cumsum(gaps, axis=1)
+        gaps[:, 0] += time  # one addition after the other, so that rounding does not depend on steps
+        times = np.cumsum(gaps, axis=1)
         where = mix(draws ^ GOLDEN)
         place = ((where >> np.uint64(40)) * np.uint64(m) >> np.uint64(24)).astype(np.int64)
         cell = lowest[:, None] + (where & (length[:, None] - 1).astype(np.uint64)).astype(np.int64)

@@ -307,6 +307,17 @@ def test_signatures_are_unbiased():
     assert np.isinf(sig[4]).all()
 
 
+def test_signatures_do_not_depend_on_the_batch():
+    """A bag signed alone, among few and among 100,000 shingles has the same components."""
+    rng = np.random.default_rng(8)
+    bags = [(np.unique(rng.integers(0, 2**63, n).astype(np.uint64)), rng.integers(1, 4, n)) for n in (1, 10, 20, 46, 235, 1000)]
+    rest = [(np.unique(rng.integers(0, 2**63, 2000).astype(np.uint64)), np.ones(2000, np.int64)) for _ in range(50)]
+    for m in (neardup.BANDS * neardup.ROWS, neardup.FINE_BANDS * neardup.FINE_ROWS):
+        alone = np.concatenate([neardup.bag_signatures([b], m) for b in bags])
+        assert (neardup.bag_signatures(bags, m) == alone).all()
+        assert (neardup.bag_signatures([*rest, *bags], m)[len(rest) :] == alone).all()
+
+
 def test_near_duplicates_match_brute_force(spark):
     rng = np.random.default_rng(6)
     texts = []
