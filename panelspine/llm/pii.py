@@ -5,7 +5,8 @@ keeps its format: digits stay digits, letters keep case and script, separators
 stay, a card number keeps its issuer digit and whether its Luhn sum holds, an
 address part stays in 0..255, a titled name keeps the gender of its title and
 its script. The surrogate is a function of key, type and canonical form (lower
-case, or digits alone), so mentions of one entity agree in every document.
+case, without spaces, or digits alone, after a + where a phone has one), so
+mentions of one entity agree in every document and in every format.
 
 Distinct entities could get one surrogate, or a surrogate could be another
 entity of the corpus. All distinct canonical forms are checked for both; those
@@ -45,6 +46,8 @@ NAMES = {
 LETTERS = {"latin": "abcdefghijklmnopqrstuvwxyz", "cyrillic": "абвгдежзиклмнопрстуфхцчшщыэюя", "greek": "αβγδεζηθικλμνξοπρστυφχψω"}
 ENTITY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 ATTEMPTS = 30
+#: The country code that a number after + begins with.
+COUNTRY = r"^\+(1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})"
 #: What every entity has a match of: cheap, so that most texts are read once only.
 HINT = r"[@0-9]|(?:sk|pk|ghp|gho|xoxb|xoxp)[-_][A-Za-z0-9_-]{16}|(?:Mr|Mrs|Ms|Miss|Herr|Frau|Monsieur|Madame|Mme|Señor|Señora|Sr|Sra|Господин|Госпожа)\.? \p{Lu}"
 
@@ -61,7 +64,8 @@ def canonical(e: Column, kind: Column) -> Column:
     digits = F.regexp_replace(e, r"\D", "")
     person = F.lower(F.regexp_replace(e, r"^\S+ ", ""))
     squeezed = F.upper(F.regexp_replace(e, " ", ""))
-    form = F.when(kind.isin("ssn", "phone", "card"), digits).when(kind.isin("man", "woman"), person).when(kind == "iban", squeezed).when(kind == "secret", e).otherwise(F.lower(e))
+    number = F.regexp_replace(e, r"(?!^\+)\D", "")
+    form = F.when(kind.isin("ssn", "card"), digits).when(kind == "phone", number).when(kind.isin("man", "woman"), person).when(kind == "iban", squeezed).when(kind == "secret", e).otherwise(F.lower(e))
     return F.concat(kind, F.lit(":"), form)
 
 
@@ -101,9 +105,9 @@ def _luhn(digits: Column) -> Column:
     return F.aggregate(values, F.lit(0), lambda a, x: a + x) % 10
 
 
-def _filled(e: Column, digits: Column) -> Column:
-    """e with its digits replaced by digits, in order."""
-    return F.array_join(F.transform(_chars(e), lambda c, i: F.when(c.rlike(r"^\d$"), F.substr(digits, F.length(F.regexp_replace(F.substr(e, F.lit(1), i + 1), r"\D", "")), F.lit(1))).otherwise(c)), "")
+def _filled(e: Column, new: Column, separator: str = r"\D") -> Column:
+    """e with its characters but for separators replaced by those of new, in order."""
+    return F.array_join(F.transform(_chars(e), lambda c, i: F.when(c.rlike(separator), c).otherwise(F.substr(new, F.length(F.regexp_replace(F.substr(e, F.lit(1), i + 1), separator, "")), F.lit(1)))), "")
 
 
 def _digits(digits: Column, stream: Column, kept: Column) -> Column:
@@ -125,7 +129,7 @@ def surrogates(found: Column, attempt_of: Callable[[Column], Column], key: str)
 
 def _number(x: Column) -> Column:
     """The digits of a number's surrogate: a country code or issuer digit stays."""
-    code = F.when(x["e"].startswith("+"), F.length(F.regexp_extract(x["e"], r"^\+(\d{1,3})[ .(-]", 1))).otherwise(0)
+    code = F.length(F.regexp_extract(F.substr(x["form"], F.lit(len("phone:") + 1), F.length(x["form"])), COUNTRY, 1))
     return F.when(x["kind"].isin("phone", "card", "ssn"), _digits(x["plain"], x["s"], F.when(x["kind"] == "phone", code).when(x["kind"] == "card", 1).otherwise(0)))
 
 
@@ -150,7 +154,8 @@ def _surrogate(x: Column) -> Column:
     prefix = F.regexp_extract(e, r"^((?:sk|pk|ghp|gho|xoxb|xoxp|AKIA|AIza)?)", 1)
     rest = F.substr(e, F.length(prefix) + 1, F.length(e))
     secret = F.concat(prefix, F.when(e.rlike("^[0-9a-f]+$"), _by_class(rest, s, 0, True)).otherwise(_by_class(rest, s)))
-    iban = F.concat(F.substr(e, F.lit(1), F.lit(2)), _by_class(F.substr(e, F.lit(3), F.length(e)), s))
+    squeezed = F.regexp_replace(e, " ", "")
+    iban = _filled(e, F.concat(F.substr(e, F.lit(1), F.lit(2)), _by_class(F.substr(squeezed, F.lit(3), F.length(squeezed)), s)), " ")
     return (
         F.when(kind == "email", mail)
         .when(kind == "ip", address)
