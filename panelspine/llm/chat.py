@@ -38,13 +38,27 @@ def unescape_role(s: Column) -> Column:
     return unescape(F.regexp_replace(lone, r"\\(\\+)n", "$1n"))
 
 
+def _keyed(messages: DataFrame) -> DataFrame:
+    """messages with the tree as a key that is never null, so that joins keep the null tree."""
+    return messages.withColumn("tree", F.struct(F.col("tree").isNull().alias("none"), F.col("tree").alias("value")))
+
+
+def _plain(keyed: DataFrame) -> DataFrame:
+    return keyed.withColumn("tree", F.col("tree.value"))
+
+
 def paths(messages: DataFrame) -> DataFrame:
     """(tree, leaf, path) for every root-to-leaf path; path: array of nodes.
 
     messages: tree, node, parent, with one row per (tree, node). A message
     whose parent is null, absent or itself is a root. Messages in a cycle have
-    no root and belong to no path.
+    no root and belong to no path. Null is a tree like any other.
     """
+    return _plain(_paths(_keyed(messages)))
+
+
+def _paths(messages: DataFrame) -> DataFrame:
+    """paths for messages with a keyed tree."""
     own = messages.select("tree", "node", "parent")
     known = own.select("tree", F.col("node").alias("parent"))
     linked = own.join(known.withColumn("known", F.lit(True)), ["tree", "parent"], "left")
@@ -73,11 +87,12 @@ def conversations(messages: DataFrame, *, best: int | None = None) -> DataFrame:
     (null: 0). A path's score is the mean of its messages' scores; paths of a
     tree are ranked by score, then by leaf; best keeps that many per tree.
     loss_spans are the (start, length) in code points of the assistant texts in
-    formatted. Repeated (tree, node) rows count once, the least by content.
+    formatted. Repeated (tree, node) rows count once, the least by content. Rows
+    of a null tree form one tree.
     """
     rows = messages.select("tree", F.col("node").cast("long").alias("node"), F.col("parent").cast("long").alias("parent"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce("score", F.lit(0.0)).alias("score"))
-    rows = stored(rows.groupBy("tree", "node").agg(F.min(F.struct("parent", "role", "text", "score")).alias("m")).select("tree", "node", "m.*"), "messages")
-    walked = stored(paths(rows), "walked")
+    rows = stored(_keyed(rows).groupBy("tree", "node").agg(F.min(F.struct("parent", "role", "text", "score")).alias("m")).select("tree", "node", "m.*"), "messages")
+    walked = stored(_paths(rows), "walked")
     turns = walked.select("tree", "leaf", F.posexplode("path").alias("at", "node")).join(rows, ["tree", "node"])
     body = F.concat(F.lit(START), escape_role(F.col("role")), F.lit("\n"), escape(F.col("text")), F.lit(END + "\n"))
     turns = turns.select("tree", "leaf", "at", "score", body.alias("body"), (F.length(escape_role(F.col("role"))) + len(START) + 1).alias("before"), F.length(escape(F.col("text"))).alias("n"), (F.col("role") == "assistant").alias("loss"))
@@ -96,7 +111,7 @@ def conversations(messages: DataFrame, *, best: int | None = None) -> DataFrame:
     ranked = better.withColumn("rank", rank).drop("score")
     if best is not None:
         ranked = ranked.where(F.col("rank") <= best)
-    return out.join(ranked, ["tree", "leaf"])
+    return _plain(out.join(ranked, ["tree", "leaf"]))
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
@@ -120,7 +135,7 @@ def format_chats(turns: DataFrame) -> DataFrame:
 
     Each conversation is the reply tree whose messages answer the turn before.
     Rows of one turn are ordered by role and text and each count; a null turn
-    comes first. Empty input: no rows.
+    comes first. Rows of a null conv_id are one conversation. Empty input: no rows.
     """
     order = Window.partitionBy("tree").orderBy(F.col("turn").asc_nulls_first(), F.col("role").asc_nulls_first(), F.col("text").asc_nulls_first())
     rows = turns.select(F.col("conv_id").alias("tree"), "turn", "role", "text").withColumn("node", F.row_number().over(order).cast("long"))

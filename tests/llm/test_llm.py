@@ -163,6 +163,17 @@ def test_chat_round_trip(spark):
     assert "Python" not in chat.format_chats(df)._jdf.queryExecution().executedPlan().toString()
 
 
+def test_chat_without_id(spark):
+    """Rows of a null conversation are one conversation, as in the SQL."""
+    data = [(None, 0, "user", "hi"), (None, 1, "assistant", "yes"), (None, None, "user", "first"), (7, 0, "assistant", "x")]
+    df = spark.createDataFrame(data, "conv_id long, turn long, role string, text string")
+    got = {r["conv_id"]: r for r in chat.format_chats(df).collect()}
+    assert set(got) == {None, 7} and (got[None]["n_turns"], got[None]["loss_chars"], got[7]["n_turns"]) == (3, 3, 1)
+    assert got[None]["turns_sha256"] == hashlib.sha256(b"user\nfirst\nuser\nhi\nassistant\nyes\n").hexdigest()
+    tree = spark.createDataFrame([(None, 1, None), (None, 2, 1), (None, 3, 1), ("a", 1, None)], "tree string, node long, parent long")
+    assert sorted((r["tree"] or "", r["leaf"], r["path"]) for r in chat.paths(tree).collect()) == [("", 2, [1, 2]), ("", 3, [1, 3]), ("a", 1, [1])]
+
+
 # --- packing
 
 
