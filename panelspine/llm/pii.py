@@ -49,7 +49,7 @@ ATTEMPTS = 30
 #: The country code that a number after + begins with.
 COUNTRY = r"^\+(1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})"
 #: What every entity has a match of: cheap, so that most texts are read once only.
-HINT = r"[@0-9]|(?:sk|pk|ghp|gho|xoxb|xoxp)[-_][A-Za-z0-9_-]{16}|(?:Mr|Mrs|Ms|Miss|Herr|Frau|Monsieur|Madame|Mme|Señor|Señora|Sr|Sra|Господин|Госпожа)\.? \p{Lu}"
+HINT = r"[@0-9]|(?:sk|pk|ghp|gho|xoxb|xoxp)[-_][A-Za-z0-9_-]{16}|AKIA[A-Z0-9]{16}|AIza[A-Za-z0-9_-]{35}|(?:Mr|Mrs|Ms|Miss|Herr|Frau|Monsieur|Madame|Mme|Señor|Señora|Sr|Sra|Господин|Госпожа)\.? \p{Lu}"
 
 
 def kind_of(e: Column) -> Column:

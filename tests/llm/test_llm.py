@@ -135,6 +135,18 @@ def test_surrogates_of_all_formats_agree(spark):
         assert new["DE89370400440532013000"].startswith("DE") and new["DE89370400440532013000"] != "DE89370400440532013000"
 
 
+def test_hint_knows_entities_without_digits(spark):
+    """Of the types that need no digit or @, every form passes the hint and is replaced."""
+    keys = [f"{p}{c}{'Abcdefghijklmnop'}" for p in ("sk", "pk", "ghp", "gho", "xoxb", "xoxp") for c in "-_"] + ["AKIA" + "ABCDEFGHIJKLMNOP", "AIza" + "Abcdefg_hij-klmnopqrstuvwxyzABCDEFG"]
+    titles = "Mr Herr Monsieur Señor Sr Господин Mrs Ms Miss Frau Madame Mme Señora Sra Госпожа".split()
+    names = [f"{t}{dot} {'Иванов' if t[0] == 'Г' else 'Stone'}" for t in titles for dot in ("", ".")]
+    df = spark.createDataFrame([(i, f"see {e} here") for i, e in enumerate(keys + names)], "doc_id long, text string")
+    left = df.select("text", pii.entities(F.col("text")).alias("found")).collect()
+    assert [r["text"] for r in left if len(r["found"]) != 1] == []
+    kept = df.join(pii.replace_pii(df), ["doc_id", "text"]).collect()
+    assert [r["text"] for r in kept] == []
+
+
 # --- chats
 
 
