@@ -243,12 +243,59 @@ def test_decontamination_recall_and_precision(spark):
     for d, k in planted:  # exact verification: no false one
         text, item = decontam.words_of(docs[d][1]), decontam.words_of(items[k][1])
         ids = {w: i for i, w in enumerate({*text, *item})}
-        assert decontam.closest_window([ids[w] for w in item], [ids[w] for w in text])[0] == got[d, k] <= 0.2 * len(item)
+        assert decontam.closest_window(np.array([ids[w] for w in item]), np.array([ids[w] for w in text]))[0] == got[d, k] <= 0.2 * len(item)
     clean = decontam.keep_clean(dd, ii)
     assert clean.columns == dd.columns and {r["doc_id"] for r in clean.collect()} == {r[0] for r in docs if r[0] is not None} - {d for d, _ in got}
     assert decontam.contaminated(empty(dd), ii).count() == 0 and decontam.contaminated(dd, empty(ii)).count() == 0
 
 
+@pytest.mark.parametrize("n", [15, 40, 59, 100])
+def test_decontamination_recall_by_kind_and_place(n):
+    """Passages with the most edits of one kind, inside a text, at its end and as
+    the whole text; each text alone and among others."""
+    rng = np.random.default_rng(n)
+    items = [(i, [f"w{x}" for x in rng.integers(2000, size=n)]) for i in range(60)]
+    bench, e = decontam.Benchmark([(i, " ".join(w)) for i, w in items]), int(0.2 * n + 1e-9)
+    for kind in ("delete", "insert", "replace"):
+        for place in ("inside", "end", "alone"):
+            texts = []
+            for _, w in items:
+                w = list(w)
+                for j in sorted(rng.choice(n, e, replace=False).tolist(), reverse=True):
+                    w[j : j + (kind != "insert")] = [] if kind == "delete" else [f"z{rng.integers(10**9)}"]
+                around = [[f"c{x}" for x in rng.integers(500, size=30)] for _ in range(2)]
+                texts.append(" ".join({"inside": around[0] + w + around[1], "end": around[0] + w, "alone": w}[place]))
+            got = decontam.search(bench, texts)
+            assert sum(any(x[0] == i and x[1] <= e for x in g) for i, g in enumerate(got)) >= 0.95 * len(items), (kind, place)
+            assert got == [decontam.search(bench, [t])[0] for t in texts]
+
+
+def test_closest_window_matches_brute_force():
+    rng = np.random.default_rng(1)
+
+    def edits(a, b):
+        table = [[i + j if i * j == 0 else 0 for j in range(len(b) + 1)] for i in range(len(a) + 1)]
+        for i in range(1, len(a) + 1):
+            for j in range(1, len(b) + 1):
+                table[i][j] = min(table[i - 1][j] + 1, table[i][j - 1] + 1, table[i - 1][j - 1] + int(a[i - 1] != b[j - 1]))
+        return table[-1][-1]
+
+    for _ in range(60):
+        item, text = rng.integers(0, 4, rng.integers(1, 7)), rng.integers(0, 4, rng.integers(0, 12))
+        cost, start, end = decontam.closest_window(item, text)
+        assert cost == edits(item, text[start:end]) == min(edits(item, text[a:b]) for a in range(len(text) + 1) for b in range(a, len(text) + 1))
+
+
+def test_decontamination_in_blocks(spark, monkeypatch):
+    """Several blocks of the benchmark find what one finds."""
+    items = spark.createDataFrame([(i, " ".join(f"i{i}w{k}" for k in range(12))) for i in range(6)], "item_id long, text string")
+    docs = spark.createDataFrame([(i, f"so {' '.join(f'i{i}w{k}' for k in range(1, 12))} it is") for i in range(5)] + [(9, "clean")], "doc_id long, text string")
+    want = sorted(decontam.contaminated(docs, items).collect())
+    monkeypatch.setattr(decontam, "BLOCK_CHARS", 50)
+    assert len(want) == 5 and sorted(decontam.contaminated(docs, items).collect()) == want
+    assert [r["doc_id"] for r in decontam.keep_clean(docs, items).collect()] == [9]
+
+
 # --- language and toxicity
 
 
