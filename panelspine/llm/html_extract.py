@@ -1,23 +1,26 @@
 """Main text of HTML pages by boosted trees over DOM nodes.
 
-A page is parsed into nodes with their text runs. Every node is described by
-its tag, the tokens of its attributes, its depth, and the text, link and tag
-density of its subtree, its parent and its siblings. Gradient-boosted trees
-score each node; the scores are decoded from the root down: a subtree takes
-either one choice as a whole or its children's, whichever scores better, and a
-node under a dropped one is dropped.
+A page is parsed into nodes with their text runs, in time linear in its length.
+Every node is described by its depth and place, the text, link, tag and
+punctuation density of its subtree, its parent and its siblings, and by hashed
+tokens: tag and attribute words of the node, and those of all nodes above it.
+Gradient-boosted trees score each node; the scores are decoded from the root
+down: a subtree takes either one choice as a whole or its children's, whichever
+scores better, and a node under a dropped one is dropped.
 
 The trees learn from pages whose structure tells the answer (``teacher``): what
 stands in an article or main element outside its navigation, notices, adverts,
-forms and comments. The features leave out how the teacher decides where the
-page can be judged by its text, so the trees also score pages without such
-elements.
+forms and comments. No feature tells how the teacher decides, and each page is
+learned from three times: as it is, with article and main elements and the words
+that name them hidden, and with all sectioning tags and attribute words hidden.
+So the trees also judge pages that have no such elements, by what remains.
 """
 
 from __future__ import annotations
 
 import html as html_lib
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,28 +45,34 @@ BAD_WORDS = frozenset(
     "ad ads advert advertisement advertising banner sponsor sponsored promo promoted nav navbar navigation menu breadcrumb breadcrumbs sidebar aside footer header masthead cookie cookies consent notice gdpr popup modal overlay alert newsletter subscribe signup login share sharing social related recommended comment comments disqus reply replies respond form search widget widgets pagination pager toolbar tags rail copyright skip".split()
 )
 GOOD_WORDS = frozenset("article content main body post entry story text blog page hentry prose".split())
-TAGS = "html body div p article main section nav aside footer header form ul ol li a span b strong em i h1 h2 h3 h4 table tr td br blockquote pre figure button".split()
+#: Tags that name the role of a part of a page.
+SECTIONS = frozenset("article main nav aside footer header form section menu dialog fieldset figure button label input".split())
 
-MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+MARKUP = re.compile(r"<(?=[a-zA-Z/!?])")
+#: Possessive, so that no text makes it look twice at a character.
+TAG = re.compile(r"<(/?+)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+)*+)>")
+ATTRIBUTE = re.compile(r"([^\s=/>\"']++)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>]++)))?+")
 TOKEN = re.compile(r"[a-z]+")
+#: Hashed tokens of a node, and of the nodes above it.
+BUCKETS = 128
+NUMBERS = 26
 
 
 class Node:
-    __slots__ = ("tag", "words", "parent", "depth", "parts", "n_text", "n_link", "n_nodes", "n_p", "index", "end")
+    __slots__ = ("tag", "words", "parent", "depth", "parts", "n_own", "n_text", "n_link", "n_nodes", "n_p", "n_marks", "index", "end")
 
     def __init__(self, tag: str, words: frozenset, parent: Node | None):
         self.tag, self.words, self.parent = tag, words, parent
         self.depth = parent.depth + 1 if parent else 0
         self.parts: list = []  # strings and nodes in order
-        self.n_text = self.n_link = self.n_p = 0
+        self.n_own = self.n_text = self.n_link = self.n_p = self.n_marks = 0
         self.n_nodes = 1
         self.index = self.end = 0
 
 
 def _words(attributes: str) -> frozenset:
     if "=" not in attributes:
-        return frozenset()
+        return frozenset(["hidden"]) if "hidden" in attributes.lower().split() else frozenset()
     out = []
     for name, a, b, c in ATTRIBUTE.findall(attributes):
         name = name.lower()
@@ -74,35 +83,69 @@ def _words(attributes: str) -> frozenset:
     return frozenset(out)
 
 
+class _Open:
+    """The open elements, with the places of each tag and of scoping tags among them."""
+
+    def __init__(self, root: Node):
+        self.path, self.places, self.scopes = [root], {}, [0]
+
+    def push(self, node: Node) -> None:
+        self.places.setdefault(node.tag, []).append(len(self.path))
+        if node.tag in SCOPE:
+            self.scopes.append(len(self.path))
+        self.path.append(node)
+
+    def last(self, tags) -> int:
+        """The place of the innermost open element of these tags; 0 if none."""
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=0)
+
+    def cut(self, place: int) -> None:
+        """Closes that element and all in it."""
+        while len(self.path) > place:
+            node = self.path.pop()
+            self.places[node.tag].pop()
+            if node.tag in SCOPE:
+                self.scopes.pop()
+
+
 def parse(page: str) -> list[Node]:
     """All nodes in page order; the first is a root. Never fails: stray end
-    tags are passed over, open elements end with their parents."""
+    tags are passed over, open elements end with their parents, a tag or
+    comment without an end takes the rest of the page."""
     root = Node("#root", frozenset(), None)
-    nodes, now, at, n = [root], root, 0, len(page)
+    nodes, open_, at, n = [root], _Open(root), 0, len(page)
     while at < n:
         m = MARKUP.search(page, at)
         start = m.start() if m else n
         if start > at:
-            now.parts.append(html_lib.unescape(page[at:start]))
+            open_.path[-1].parts.append(html_lib.unescape(page[at:start]))
         if not m:
             break
-        at = m.end()
-        tag = (m.group(2) or "").lower()
-        if not tag:
+        m = TAG.match(page, start)
+        if not m:
+            if page.startswith("<!--", start):
+                at = page.find("-->", start + 4) + 3
+                at = n if at < start + 4 else at
+            else:
+                at = page.find(">", start) + 1 or n
             continue
+        at = m.end()
+        tag = m.group(2).lower()
         if m.group(1):
-            up = now
-            while up.parent and up.tag != tag:
-                up = up.parent
-            if up.parent and not (tag not in BLOCKS and any(x.tag in SCOPE for x in _between(now, up))):
-                now = up.parent
+            place = open_.last((tag,))
+            if place and (tag in BLOCKS or open_.scopes[-1] <= place):
+                open_.cut(place)
             continue
         if tag in CLOSES_P:
-            now = _close(now, {"p"}, SCOPE)
+            place = open_.last(("p",))
+            if place > open_.scopes[-1]:
+                open_.cut(place)
         if tag in CLOSED_BY:
-            now = _close(now, CLOSED_BY[tag], SCOPE if tag == "p" else frozenset("table ul ol dl".split()))
-        node = Node(tag, _words(m.group(3)), now)
-        now.parts.append(node)
+            place = open_.last(CLOSED_BY[tag])
+            if place > (open_.scopes[-1] if tag == "p" else open_.last(("table", "ul", "ol", "dl"))):
+                open_.cut(place)
+        node = Node(tag, _words(m.group(3)), open_.path[-1])
+        node.parent.parts.append(node)
         nodes.append(node)
         if tag in RAW:
             end = re.compile(f"</{tag}", re.I).search(page, at)
@@ -113,86 +156,103 @@ def parse(page: str) -> list[Node]:
             else:
                 at = n
         elif tag not in VOID and not m.group(3).endswith("/"):
-            now = node
+            open_.push(node)
     _measure(nodes)
     return nodes
 
 
-def _between(low: Node, high: Node) -> Iterator[Node]:
-    while low is not high:
-        yield low
-        low = low.parent
-
-
-def _close(now: Node, tags: set, stop: frozenset) -> Node:
-    up = now
-    while up.parent and up.tag not in tags and up.tag not in stop:
-        up = up.parent
-    return up.parent if up.parent and up.tag in tags else now
-
-
 def _measure(nodes: list[Node]) -> None:
     for i, x in enumerate(nodes):
         x.index = i
     for x in reversed(nodes):
-        own = sum(len(p.strip()) for p in x.parts if isinstance(p, str)) if x.tag not in HIDDEN else 0
-        x.n_text += own
+        if x.tag not in HIDDEN:
+            for p in x.parts:
+                if isinstance(p, str):
+                    x.n_own += len(p.strip())
+                    x.n_marks += p.count(".") + p.count(",")
+        x.n_text += x.n_own
         if x.tag == "a":
             x.n_link = x.n_text
         x.n_p += x.tag == "p"
         x.end = max([x.index + 1, *(p.end for p in x.parts if isinstance(p, Node))])
-        if x.parent and x.tag not in HIDDEN:
-            x.parent.n_text += x.n_text
-            x.parent.n_link += x.n_link
-            x.parent.n_nodes += x.n_nodes
-            x.parent.n_p += x.n_p
-
-
-def features(nodes: list[Node]) -> np.ndarray:
-    """One row per node."""
-    out = np.zeros((len(nodes), 22 + len(TAGS)), np.float32)
-    total = max(1, nodes[0].n_text)
-    place = {t: k for k, t in enumerate(TAGS)}
-    bad_above = np.zeros(len(nodes), np.float32)
-    good_above = np.zeros(len(nodes), np.float32)
-    for i, x in enumerate(nodes):
         p = x.parent
-        bad = x.tag in BAD_TAGS or bool(x.words & BAD_WORDS) or "hidden" in x.words
-        good = x.tag in ("article", "main") or bool(x.words & GOOD_WORDS)
-        if p:
-            bad_above[i], good_above[i] = bad_above[p.index], good_above[p.index]
-            siblings = [s for s in p.parts if isinstance(s, Node)]
-        else:
-            siblings = [x]
-        bad_above[i] += bad
-        good_above[i] += good
-        out[i, :22] = (
+        if p and x.tag not in HIDDEN:
+            p.n_text += x.n_text
+            p.n_link += x.n_link
+            p.n_nodes += x.n_nodes
+            p.n_p += x.n_p
+            p.n_marks += x.n_marks
+
+
+_BUCKET: dict[str, int] = {}
+
+
+def _bucket(token: str) -> int:
+    k = _BUCKET.get(token)
+    if k is None:
+        if len(_BUCKET) > 100_000:
+            _BUCKET.clear()
+        k = _BUCKET[token] = zlib.crc32(token.encode("utf-8", "surrogatepass")) % BUCKETS
+    return k
+
+
+def features(nodes: list[Node], hide: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers and tokens (as 0 and 1), one row per node. hide 1: article and main elements count as div and the
+    words of GOOD_WORDS are not seen; hide 2: all of SECTIONS count as div and
+    no attribute word is seen."""
+    n = len(nodes)
+    out, tokens = np.zeros((n, NUMBERS), np.float32), np.zeros((n, 2 * BUCKETS), np.uint8)
+    total, marks = max(1, nodes[0].n_text), max(1, nodes[0].n_marks)
+    around: dict[int, tuple] = {}  # by parent: number of children, their tags, longest text, places
+    for i, x in enumerate(nodes):
+        children = [p for p in x.parts if isinstance(p, Node)]
+        if children:
+            tags: dict[str, int] = {}
+            for c in children:
+                tags[c.tag] = tags.get(c.tag, 0) + 1
+            longest = max(c.n_text for c in children)
+            for k, c in enumerate(children):
+                around[c.index] = (len(children), tags[c.tag], longest, k, children[k - 1].n_text if k else 0, children[k + 1].n_text if k + 1 < len(children) else 0)
+        p = x.parent or x
+        count, same, longest, k, before, after = around.pop(i, (1, 1, x.n_text, 0, 0, 0))
+        out[i] = (
             x.depth,
+            x.n_own,
             x.n_text,
             x.n_text / total,
             x.n_link / max(1, x.n_text),
             x.n_text / x.n_nodes,
             x.n_nodes,
             x.n_p,
-            len(siblings),
-            sum(s.tag == x.tag for s in siblings) / max(1, len(siblings)),
-            max((s.n_text for s in siblings), default=0) / total,
-            x.n_text / max(1, p.n_text if p else x.n_text),
-            p.n_link / max(1, p.n_text) if p else 0,
-            p.n_p if p else 0,
-            bad,
-            good,
-            bad_above[i],
-            good_above[i],
-            x.index / len(nodes),
-            x.end / len(nodes),
-            len(x.words & BAD_WORDS),
-            len(x.words & GOOD_WORDS),
+            x.n_marks / max(1, x.n_text),
+            x.n_marks / marks,
+            count,
+            same / count,
+            longest / total,
+            x.n_text / max(1, longest),
+            k / count,
+            before,
+            after,
+            x.n_text / max(1, p.n_text),
+            p.n_text / total,
+            p.n_link / max(1, p.n_text),
+            p.n_p,
+            p.n_marks / max(1, p.n_text),
+            p.n_nodes,
+            i / n,
+            x.end / n,
             x.tag in HIDDEN,
         )
-        if x.tag in place:
-            out[i, 22 + place[x.tag]] = 1
-    return out
+        tag = "div" if x.tag in (SECTIONS if hide == 2 else ("article", "main") if hide else ()) else x.tag
+        words = () if hide == 2 else x.words - GOOD_WORDS if hide else x.words
+        row = tokens[i]
+        if x.parent:
+            above = tokens[p.index]
+            np.maximum(above[:BUCKETS], above[BUCKETS:], out=row[BUCKETS:])
+        row[_bucket("<" + tag)] = 1
+        for w in words:
+            row[_bucket(w)] = 1
+    return out, tokens
 
 
 def teacher(nodes: list[Node]) -> np.ndarray | None:
@@ -216,65 +276,72 @@ def teacher(nodes: list[Node]) -> np.ndarray | None:
 class Trees:
     """Logistic gradient boosting with histogram splits and leaf-wise Newton steps."""
 
-    def __init__(self, rounds: int = 40, depth: int = 4, rate: float = 0.3, bins: int = 32, least: float = 5.0, penalty: float = 1.0):
+    def __init__(self, rounds: int = 40, depth: int = 4, rate: float = 0.3, bins: int = 32, least: float = 0.25, penalty: float = 1.0):
         self.rounds, self.depth, self.rate, self.bins, self.least, self.penalty = rounds, depth, rate, bins, least, penalty
         self.base, self.trees = 0.0, []
 
     def fit(self, x: np.ndarray, y: np.ndarray) -> Trees:
         share = float(np.clip(y.mean() if len(y) else 0.5, 1e-3, 1 - 1e-3))
         self.base = float(np.log(share / (1 - share)))
-        self.edges = [np.unique(np.quantile(x[:, f], np.linspace(0, 1, self.bins + 1)[1:-1])) if len(x) else np.zeros(0) for f in range(x.shape[1])]
-        b = np.stack([np.searchsorted(e, x[:, f], "left") for f, e in enumerate(self.edges)], axis=1)
+        places = np.linspace(0, 1, self.bins + 1)[1:-1]
+        varied = [f for f in range(x.shape[1]) if len(x) and x[:, f].min() < x[:, f].max()]
+        edges = [np.unique(np.quantile(x[:, f], places)) if x[:, f].max() > 1 or len(np.unique(x[:, f])) > 2 else np.zeros(1) for f in varied]
+        self.columns = [(f, e, np.searchsorted(e, x[:, f], "left").astype(np.uint8)) for f, e in zip(varied, edges, strict=True)]
         z = np.full(len(y), self.base)
         for _ in range(self.rounds if 0 < y.sum() < len(y) else 0):
             p = 1 / (1 + np.exp(-z))
             tree: list = []
-            z += self._grow(tree, b, p - y, p * (1 - p), np.arange(len(y)), self.depth, np.zeros(len(y)))
+            z += self._grow(tree, p - y, p * (1 - p), np.arange(len(y)), self.depth, np.zeros(len(y)))
             self.trees.append(tuple(np.array(c) for c in zip(*tree, strict=True)))
+        del self.columns
         return self
 
-    def _grow(self, tree: list, b: np.ndarray, g: np.ndarray, h: np.ndarray, rows: np.ndarray, depth: int, step: np.ndarray) -> np.ndarray:
+    def _grow(self, tree: list, g: np.ndarray, h: np.ndarray, rows: np.ndarray, depth: int, step: np.ndarray) -> np.ndarray:
         at = len(tree)
         tree.append(None)
-        G, H = g[rows].sum(), h[rows].sum()
-        best = (1e-6, -1, 0)
+        own_g, own_h = g[rows], h[rows]
+        G, H = own_g.sum(), own_h.sum()
+        best = (1e-6, None, 0)
         if depth:
-            for f, e in enumerate(self.edges):
-                if not len(e):
-                    continue
-                gl = np.cumsum(np.bincount(b[rows, f], g[rows], len(e) + 1))[:-1]
-                hl = np.cumsum(np.bincount(b[rows, f], h[rows], len(e) + 1))[:-1]
+            for column in self.columns:
+                bins = column[2][rows]
+                gl = np.cumsum(np.bincount(bins, own_g, len(column[1]) + 1))[:-1]
+                hl = np.cumsum(np.bincount(bins, own_h, len(column[1]) + 1))[:-1]
                 gain = gl**2 / (hl + self.penalty) + (G - gl) ** 2 / (H - hl + self.penalty) - G**2 / (H + self.penalty)
-                gain[(hl < self.least * 0.05) | (H - hl < self.least * 0.05)] = 0
+                gain[(hl < self.least) | (H - hl < self.least)] = 0
                 k = int(gain.argmax())
                 if gain[k] > best[0]:
-                    best = (gain[k], f, k)
-        if best[1] < 0:
+                    best = (gain[k], column, k)
+        if best[1] is None:
             value = -self.rate * G / (H + self.penalty)
             step[rows] = value
             tree[at] = (-1, 0.0, 0, 0, value)
             return step
-        _, f, k = best
-        left = b[rows, f] <= k
+        _, (f, edges, column), k = best
+        left = column[rows] <= k
         a = len(tree)
-        self._grow(tree, b, g, h, rows[left], depth - 1, step)
+        self._grow(tree, g, h, rows[left], depth - 1, step)
         c = len(tree)
-        self._grow(tree, b, g, h, rows[~left], depth - 1, step)
-        tree[at] = (f, float(self.edges[f][k]), a, c, 0.0)
+        self._grow(tree, g, h, rows[~left], depth - 1, step)
+        tree[at] = (f, float(edges[k]), a, c, 0.0)
         return step
 
-    def log_odds(self, x: np.ndarray) -> np.ndarray:
-        z = np.full(len(x), self.base)
-        for feature, edge, left, right, value in self.trees:
-            at = np.zeros(len(x), np.int64)
-            for _ in range(self.depth):
-                f = feature[at]
-                inner = f >= 0
-                if not inner.any():
-                    break
-                go = x[np.arange(len(x)), np.maximum(f, 0)] <= edge[at]
-                at = np.where(inner, np.where(go, left[at], right[at]), at)
-            z += value[at]
+    def log_odds(self, numbers: np.ndarray, tokens: np.ndarray, rows: int = 50_000) -> np.ndarray:
+        """For every row; some are widened to numbers at a time, to bound memory."""
+        z = np.full(len(numbers), self.base)
+        for a in range(0, len(z), rows):
+            x = np.concatenate([numbers[a : a + rows], tokens[a : a + rows].astype(np.float32)], axis=1)
+            each = np.arange(len(x))
+            for feature, edge, left, right, value in self.trees:
+                at = np.zeros(len(x), np.int64)
+                for _ in range(self.depth):
+                    f = feature[at]
+                    inner = f >= 0
+                    if not inner.any():
+                        break
+                    go = x[each, np.maximum(f, 0)] <= edge[at]
+                    at = np.where(inner, np.where(go, left[at], right[at]), at)
+                z[a : a + rows] += value[at]
         return z
 
 
@@ -344,47 +411,86 @@ def extract(pages: list[str], trees: Trees) -> list[str]:
     parsed = [parse(p) for p in pages]
     if not parsed:
         return []
-    odds = np.split(trees.log_odds(np.concatenate([features(x) for x in parsed])), np.cumsum([len(x) for x in parsed])[:-1])
+    numbers, tokens = zip(*(features(x) for x in parsed), strict=True)
+    odds = np.split(trees.log_odds(np.concatenate(numbers), np.concatenate(tokens)), np.cumsum([len(x) for x in parsed])[:-1])
     return [text_of(x, choose(x, z), z) for x, z in zip(parsed, odds, strict=True)]
 
 
-def train(pages: list[str], most_nodes: int = 60_000) -> Trees:
-    """Trees from pages that teacher understands; from none, trees that keep by the base rate of a built-in page."""
-    xs, ys, n = [], [], 0
-    for page in [*pages, EXAMPLE]:
-        nodes = parse(page)
-        y = teacher(nodes)
-        if y is not None and n + len(nodes) <= most_nodes:
-            xs.append(features(nodes))
-            ys.append(y)
-            n += len(nodes)
-    return Trees().fit(np.concatenate(xs), np.concatenate(ys))
-
-
-#: So that the trees know more kinds of page parts than a sample may hold.
-EXAMPLE = (
-    "<html><head><title>t</title></head><body><header class='masthead'><h1>Site</h1><form><input><button>Go</button></form></header>"
-    "<nav class='menu'><ul><li><a href='/a'>One</a></li><li><a href='/b'>Two</a></li></ul></nav><div class='cookie-notice'><p>We use cookies here.</p></div>"
-    + "<main><article class='post'><h1>Head line</h1>"
-    + "<p>A paragraph of text that says something at length, with <a href='/x'>a link</a> and <b>bold</b> words.</p>" * 12
-    + "<ul><li>First point of a list</li><li>Second point of a list</li></ul><div class='ad'>Buy this now</div><aside class='related'><a href='/y'>Read more</a></aside></article>"
-    + "<section class='comments' id='comments'><div class='comment'><p>A reader says this.</p></div></section></main>"
-    + "<aside class='sidebar'><div class='widget'><p>Side text</p></div></aside><footer>Copyright <a href='/z'>terms</a></footer></body></html>"
-)
+def lessons(page: str, nodes_of_page: int) -> tuple[np.ndarray, np.ndarray] | None:
+    """Features and labels of at most nodes_of_page nodes of a page, drawn at
+    random by the page's checksum, in all three ways of hiding; None if the
+    teacher does not understand the page."""
+    nodes = parse(page)
+    y = teacher(nodes)
+    if y is None:
+        return None
+    rng = np.random.default_rng(zlib.crc32(page.encode("utf-8", "surrogatepass")))
+    some = np.sort(rng.choice(len(nodes), min(len(nodes), nodes_of_page), replace=False))
+    return np.concatenate([np.concatenate([c[some] for c in features(nodes, hide)], axis=1) for hide in (0, 1, 2)]), np.tile(y[some], 3)
+
+
+def examples(number: int = 40, seed: int = 11) -> list[str]:
+    """Pages of our own making, by a rule, with kinds of parts that a sample may lack."""
+    rng = np.random.default_rng(seed)
+    word = lambda: "".join(rng.choice(list("aeioulnrst"), int(rng.integers(2, 9))))
+
+    def words(least: int, most: int) -> str:
+        return " ".join(word() for _ in range(int(rng.integers(least, most))))
+
+    def text(least: int, most: int) -> str:
+        return " ".join(words(4, 14).capitalize() + "," + " " + words(2, 9) + "." for _ in range(int(rng.integers(least, most))))
+
+    def links(n: int) -> str:
+        return "<ul>" + "".join(f"<li><a href='/{word()}'>{words(1, 4)}</a></li>" for _ in range(n)) + "</ul>"
+
+    out = []
+    for _ in range(number):
+        paragraphs = "".join(f"<p>{text(1, 6)} <a href='/x'>{word()}</a> <b>{words(1, 3)}</b></p>" for _ in range(int(rng.integers(2, 9))))
+        inner = [paragraphs, f"<h2>{words(2, 6)}</h2><p>{text(1, 4)}</p>", f"<ul><li>{words(3, 9)}</li><li>{words(3, 9)}</li></ul>", f"<blockquote><p>{text(1, 3)}</p></blockquote>", f"<table><tr><th>{word()}</th><td>{words(1, 4)}</td></tr></table>"]
+        noise = [f"<div class='ad banner'>{text(1, 2)}</div>", f"<aside class='related'>{links(3)}</aside>", f"<div class='share social'><a href='/s'>{word()}</a></div>", f"<form class='newsletter signup'><label>{words(2, 6)}</label><input><button>{word()}</button></form>"]
+        body = inner[0] + "".join(x for x in inner[1:] if rng.random() < 0.4)
+        body = "".join(x for x in noise[:2] if rng.random() < 0.3) + f"<h1>{words(3, 9)}</h1>" + body + "".join(x for x in noise if rng.random() < 0.3)
+        tag = ["article", "main", "article"][int(rng.integers(3))]
+        main = f"<{tag} class='{['post', 'content', 'story entry'][int(rng.integers(3))]}'>{body}</{tag}>"
+        before = [f"<header class='masthead'><p>{words(1, 5)}</p></header>", f"<nav class='menu'>{links(5)}</nav>", f"<div class='cookie notice consent'><p>{text(1, 3)}</p><button>{word()}</button></div>", f"<div class='breadcrumb'><a href='/'>{word()}</a> / <a href='/b'>{word()}</a></div>", f"<div class='ad'>{text(1, 3)}</div>", f"<form class='search'><input><button>{word()}</button></form>"]
+        after = [f"<section class='comments' id='comments'><h2>{words(1, 3)}</h2>" + "".join(f"<div class='comment'><p>{text(1, 3)}</p></div>" for _ in range(int(rng.integers(1, 5)))) + "</section>", f"<aside class='sidebar'><div class='widget'><h3>{words(1, 3)}</h3>{links(4)}</div><p>{text(1, 2)}</p></aside>", f"<div class='pagination'>{links(2)}</div>", f"<div class='sponsored promo'><p>{text(1, 2)}</p></div>", f"<footer><p>&copy; {words(2, 6)} <a href='/t'>{word()}</a></p></footer>"]
+        out.append("<html><head><title>t</title><script>x</script></head><body>" + "".join(x for x in before if rng.random() < 0.6) + main + "".join(x for x in after if rng.random() < 0.6) + "</body></html>")
+    return out
+
+
+def fit(taught: list[tuple[np.ndarray, np.ndarray]]) -> Trees:
+    """Trees from the lessons of pages and those of examples."""
+    taught = [*taught, *(lessons(p, 30) for p in examples())]
+    return Trees().fit(np.concatenate([x for x, _ in taught]), np.concatenate([y for _, y in taught]))
+
 
+def train(pages: list[str], nodes_of_page: int = 30) -> Trees:
+    return fit([x for x in (lessons(p, nodes_of_page) for p in pages) if x is not None])
 
-def extract_main(pages: DataFrame, *, sample_pages: int = 300) -> DataFrame:
+
+def extract_main(pages: DataFrame, *, sample_pages: int = 300, nodes_of_page: int = 30) -> DataFrame:
     """page_id, url, text, n_chars for every row of pages.
 
-    The trees learn from at most sample_pages pages (a documented bound), those
-    of least id hash. A null or empty page has an empty text; repeated rows are
-    each returned. Other columns are not read.
+    The trees learn from at most nodes_of_page nodes of each of at most
+    sample_pages pages (documented bounds), those of least id hash; of rows of
+    one id the least html counts. Their features are made where the rows are, so
+    the driver gets numbers only. A null or empty page has an empty text;
+    repeated rows are each returned; pages of any length are read whole; no
+    rows: no rows. Other columns are not read.
     """
     spark = pages.sparkSession
-    ids = pages.where("html is not null").select("page_id").orderBy(F.xxhash64("page_id"), "page_id").limit(sample_pages).distinct()
-    chosen = pages.join(F.broadcast(ids), "page_id", "left_semi").select("html").limit(2 * sample_pages).collect()
-    model = spark.sparkContext.broadcast(train(sorted(r["html"] or "" for r in chosen)))
-    rows = pages.select("page_id", "url", F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
+    named = pages.where("html is not null").select("page_id", F.col("html").cast("string").alias("html"))
+    ids = named.select(F.col("page_id").alias("chosen")).distinct().orderBy(F.xxhash64("chosen"), "chosen").limit(sample_pages)
+    chosen = named.join(F.broadcast(ids), F.col("page_id").eqNullSafe(F.col("chosen")), "left_semi").groupBy("page_id").agg(F.min("html").alias("html"))
+
+    def teach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            got = [(x, y) for x, y in (lessons(p, nodes_of_page) or (None, None) for p in batch.column(1).to_pylist()) if x is not None]
+            yield pa.RecordBatch.from_arrays([pa.array([x.astype("<f4").tobytes() for x, _ in got], pa.binary()), pa.array([y.astype(np.int8).tobytes() for _, y in got], pa.binary())], ["x", "y"])
+
+    rows = sorted((bytes(r["x"]), bytes(r["y"])) for r in chosen.mapInArrow(teach, "x binary, y binary").collect())
+    model = spark.sparkContext.broadcast(fit([(np.frombuffer(x, "<f4").reshape(-1, NUMBERS + 2 * BUCKETS), np.frombuffer(y, np.int8)) for x, y in rows]))
+    whole = pages.select("page_id", "url", F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -394,4 +500,4 @@ def extract_main(pages: DataFrame, *, sample_pages: int = 300) -> DataFrame:
                 part = batch.slice(a, b - a)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    return rows.mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return whole.mapInArrow(run, "page_id long, url string, text string, n_chars long")

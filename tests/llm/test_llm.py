@@ -462,6 +462,62 @@ def test_extraction(spark):
     assert html_extract.extract_main(empty(df)).count() == 0
 
 
+def test_extraction_without_telling_elements():
+    """Held-out pages give the same text when article and all sectioning elements are plain divs without attributes."""
+    pages = html_extract.examples(220, seed=3)
+    trees = html_extract.train(pages[:200])
+    want = []
+    for page in pages[200:]:
+        nodes = html_extract.parse(page)
+        y = html_extract.teacher(nodes)
+        keep = y.astype(bool)
+        for i in np.nonzero(y)[0]:
+            up = nodes[i].parent
+            while up:
+                keep[up.index] = True
+                up = up.parent
+        want.append(html_extract.text_of(nodes, keep, np.where(y > 0, 1.0, -1.0)))
+    hidden = [re.sub(r"<(/?)(?:article|main)\b[^>]*>", r"<\1div>", p) for p in pages[200:]]
+    assert np.mean([a == b for a, b in zip(html_extract.extract(pages[200:], trees), want, strict=True)]) >= 0.8
+    got = html_extract.extract(hidden, trees)
+    words = [(set(a.split()), set(b.split())) for a, b in zip(got, want, strict=True)]
+    assert np.mean([len(a & b) / max(1, len(a | b)) for a, b in words]) >= 0.9
+    body = [" ".join(["A sentence stands here, and it goes on.", "Another follows, as it must."] * (2 + k % 3)) for k in range(6)]
+    page = "<html><body><div><ul><li><a href='/a'>Menu one</a></li><li><a href='/b'>Menu two</a></li></ul></div><div>" + "".join(f"<p>{x}</p>" for x in body) + "</div><div><a href='/c'>terms</a> &copy; us</div></body></html>"
+    assert html_extract.extract([page], trees) == ["\n".join(body)]
+
+
+@pytest.mark.parametrize("piece", ["<a ", '<a "', '<a b="', "<a b='", "</x>", "<div>", "<b><div></b>", "<!--", '<a =">', "<", "<p>x</p>", "<li>", "<script>"])
+def test_long_pages_take_linear_time(piece):
+    """60,000 repetitions of what could make a scanner or a count of siblings quadratic."""
+    import time
+
+    began = time.perf_counter()
+    nodes = html_extract.parse("<div>" + piece * 60_000)
+    html_extract.features(nodes)
+    assert time.perf_counter() - began < 20
+
+
+def test_trees_match_brute_force():
+    """One split on one column is the one of largest gain; scores follow the training rows."""
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(300, 3)).astype(np.float32)
+    y = (x[:, 1] > 0.3).astype(np.int8)
+    trees = html_extract.Trees(rounds=1, depth=1).fit(x, y)
+    p = y.mean()
+    edges = np.unique(np.quantile(x[:, 1], np.linspace(0, 1, 33)[1:-1]))
+
+    def gain(e):
+        left = x[:, 1] <= e
+        score = lambda rows: (p - y[rows]).sum() ** 2 / (p * (1 - p) * rows.sum() + 1)
+        return score(left) + score(~left)
+
+    assert trees.trees[0][0][0] == 1 and trees.trees[0][1][0] == max(edges, key=gain)
+    more = html_extract.Trees().fit(x, y)
+    z = more.log_odds(x[:, :2], x[:, 2:])
+    assert ((z > 0) == y).mean() > 0.98 and (more.log_odds(x[:, :2], x[:, 2:], rows=7) == z).all()
+
+
 def test_no_kept_node_under_a_dropped_one():
     nodes = html_extract.parse(PAGE)
     rng = np.random.default_rng(0)
