@@ -15,12 +15,15 @@ _OWN_ROOTS: dict[str, str] = {}
 def shared_root(spark: SparkSession) -> str:
     """Folder that the driver and all executors share (spark.checkpoint.dir).
 
-    A folder of its own is made only where the setting is absent, which is the
-    case in single-machine tests.
+    A folder of its own is made only where the setting is absent and the master
+    is local, which is the case in single-machine tests; on a cluster without
+    the setting this fails, as executors do not share their disks.
     """
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if root:
         return root.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN_ROOTS:
         _OWN_ROOTS[app] = "file://" + tempfile.mkdtemp(prefix="panelspine-")
@@ -43,6 +46,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """name, with underscores after it while df has such a column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def fetch(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

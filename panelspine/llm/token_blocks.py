@@ -25,6 +25,7 @@ task that runs twice leaves the same file.
 
 from __future__ import annotations
 
+import json
 import re
 import struct
 import uuid
@@ -36,7 +37,7 @@ import pyarrow as pa
 import pyarrow.fs as pafs
 import regex
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import fresh_path, shuffle_partitions, stored
@@ -249,15 +250,27 @@ PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 OWN_BYTES = [*range(33, 127), *range(161, 173), *range(174, 256)]
 
 
+#: The steps before the model for which chunks can be looked up.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+PRE_TOKENIZER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": PIECES}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+
+
 class WordTokenizer:
     """The ids of a text, by the tokenizers library, one distinct word at a time.
 
     Ids of a text are those of its white-space-separated chunks one after the
     other, as this kind of vocabulary drops white space and never joins across
     it, so chunks and their pieces are looked up in bounded caches first. That
-    is exact for texts in Latin and Cyrillic letters without special tokens,
-    separators that only Python counts as space, or combining marks; any other
-    text is encoded as a whole.
+    is exact for texts in Latin and Cyrillic letters without control characters,
+    special tokens, separators that only Python counts as space, or combining
+    marks; any other text, and every text where the file names other steps than
+    NORMALIZER and PRE_TOKENIZER, is encoded as a whole.
     """
 
     LIMIT = 300_000
@@ -266,11 +279,14 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as file:
+            steps = json.load(file)
+        self.known = steps["normalizer"] == NORMALIZER and steps["pre_tokenizer"] == PRE_TOKENIZER and steps["post_processor"] is None and all(t["content"].startswith("<|") for t in steps["added_tokens"])
         self.model = self.whole.model
         spare = iter(range(256, 512))
         self.table = {b: (b if b in OWN_BYTES else next(spare)) for b in range(256)}
         self.find = regex.compile(PIECES).findall
-        self.odd = re.compile("<\\||[^\x00-\x1b\x20-įı-ɏЀ-҂Ҋ-ԯ‐-‧‰-⁞€]").search
+        self.odd = re.compile("<\\||[^\t-\r -~\xa0-įı-ɏЀ-҂Ҋ-ԯ‐-‧‰-⁞€]").search
         self.pieces: dict[str, bytes] = {}
         outer = self
 
@@ -297,11 +313,15 @@ class WordTokenizer:
         return ids
 
     def __call__(self, text: str) -> bytes:
-        if self.odd(text):
+        if not self.known or self.odd(text):
             return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         return b"".join(map(self.chunks.__getitem__, text.lower().split()))
 
 
+    def count(self, text: str) -> int:
+        return len(self(text)) // 4
+
+
 _TOKENIZERS: dict[str, WordTokenizer] = {}
 
 
@@ -316,8 +336,19 @@ def word_tokenizer(path: str) -> WordTokenizer:
 # the operator
 
 
+def arrow_uri(path: str) -> str:
+    """A path with a Hadoop scheme as pyarrow names it."""
+    return re.sub(r"^s3[an]://", "s3://", re.sub(r"^file:/+", "file:///", path))
+
+
 def _open(path: str):
-    return pafs.FileSystem.from_uri(path)
+    return pafs.FileSystem.from_uri(arrow_uri(path))
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with the scheme that Spark would give it."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(place).toString()
 
 
 def write_token_shards(docs: DataFrame, out: str, tokenizer: str, *, id_col: str = "doc_id", text_col: str = "text", end_id: int = 1, percentile: int = 90, shards: int | None = None) -> DataFrame:
@@ -328,12 +359,17 @@ def write_token_shards(docs: DataFrame, out: str, tokenizer: str, *, id_col: str
 
     The only shuffle is the range partitioning by id. A null text counts as
     empty and yields the end id alone; null ids come first; rows of equal id
-    follow each other by text; other columns are not read. No rows: no files.
+    follow each other by a hash of the text and may span shards, as may equal
+    rows, so that no id makes a shard large; texts of any length are encoded
+    whole; other columns are not read. No rows: no files. A path without a
+    scheme is on Spark's default file system.
     """
     spark = docs.sparkSession
+    out = qualified(spark, out)
     n = shards or max(shuffle_partitions(spark), -(-docs.count() // 65_536))
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    rows = rows.repartitionByRange(n, "doc").sortWithinPartitions("doc", "text")
+    rows = rows.withColumns({"hash": F.xxhash64("text"), "copy": F.monotonically_increasing_id()})
+    rows = rows.repartitionByRange(n, "doc", "hash", "copy").sortWithinPartitions("doc", "hash", "text").select("doc", "text")
     end = struct.pack("<I", end_id)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
