@@ -1,8 +1,8 @@
 """Conversations from reply trees, with DataFrame functions only.
 
 Messages form trees by parent. Every root-to-leaf path is one conversation.
-Paths grow by self-joins that double their length: after round k a message
-knows its last 2^k ancestors, so a chain of n turns takes log2(n) joins.
+Paths grow by self-joins that double their length: after round k a leaf has its
+2^k lowest messages, one row each, so a chain of n turns takes log2(n) joins.
 
 A path is written as turns ``<|im_start|>role\\ntext<|im_end|>\\n``. Inside roles
 and texts every ``<`` with k backslashes and ``|`` after it gets one backslash
@@ -52,32 +52,42 @@ def paths(messages: DataFrame) -> DataFrame:
 
     messages: tree, node, parent, with one row per (tree, node). A message
     whose parent is null, absent or itself is a root. Messages in a cycle have
-    no root and belong to no path. Null is a tree like any other.
+    no root and belong to no path. Null is a tree like any other. No rows: none.
     """
-    return _plain(_paths(_keyed(messages)))
+    rows = _paths(_keyed(messages)).groupBy("tree", "leaf").agg(F.sort_array(F.collect_list(F.struct("up", "node")), asc=False).alias("p"))
+    return _plain(rows.select("tree", "leaf", F.transform("p", lambda x: x["node"]).alias("path")))
 
 
 def _paths(messages: DataFrame) -> DataFrame:
-    """paths for messages with a keyed tree."""
+    """(tree, leaf, node, up), a row for each message of each path; up is the
+    number of steps from the leaf. The tree is keyed.
+
+    jumps[k] leads from a message to its 2^k-th ancestor, as far as there is
+    one; it is joined with itself until it is empty or only cycles are left.
+    Leaves then take their ancestors in as many joins, each of which doubles the
+    known part of every path, so no row holds more than one message.
+    """
     own = messages.select("tree", "node", "parent")
     known = own.select("tree", F.col("node").alias("parent"))
-    linked = own.join(known.withColumn("known", F.lit(True)), ["tree", "parent"], "left")
-    now = linked.select("tree", "node", F.when(F.col("known") & (F.col("parent") != F.col("node")), F.col("parent")).alias("up"), F.array("node").alias("path"))
-    inner = linked.where("known and parent != node").select("tree", F.col("parent").alias("node")).distinct()
-    left = None
-    while True:
-        now = stored(now, "paths")
-        unfinished = now.where("up is not null").count()
-        if unfinished == left:  # only cycles are left
+    jump = stored(own.where("parent != node").join(known, ["tree", "parent"]).select("tree", "node", F.col("parent").alias("to")), "jumps")
+    inner = jump.select("tree", F.col("to").alias("node")).distinct()
+    jumps, left = [], jump.count()
+    while left:
+        jumps.append(jump)
+        onward = jump.select("tree", F.col("node").alias("to"), F.col("to").alias("next"))
+        jump = stored(jump.join(onward, ["tree", "to"]).select("tree", "node", F.col("next").alias("to")), "jumps")
+        before, left = left, jump.count()
+        if left == before:  # only cycles are left
             break
-        left = unfinished
-        if not left:
-            break
-        above = now.select("tree", F.col("node").alias("up"), F.col("up").alias("higher"), F.col("path").alias("before"))
-        longer = now.where("up is not null").join(above, ["tree", "up"])
-        longer = longer.select("tree", "node", F.col("higher").alias("up"), F.concat("before", "path").alias("path"))
-        now = now.where("up is null").union(longer.select(*now.columns))
-    return now.where("up is null").join(inner, ["tree", "node"], "left_anti").select("tree", F.col("node").alias("leaf"), "path")
+    leaves = own.join(inner, ["tree", "node"], "left_anti")
+    if left:
+        leaves = leaves.join(jump.select("tree", "node"), ["tree", "node"], "left_anti")
+    now = leaves.select("tree", F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("up"))
+    for k, jump in enumerate(jumps):
+        now = stored(now, "walked")
+        higher = now.join(jump, ["tree", "node"]).select("tree", "leaf", F.col("to").alias("node"), (F.col("up") + (1 << k)).alias("up"))
+        now = now.union(higher)
+    return now
 
 
 def conversations(messages: DataFrame, *, best: int | None = None) -> DataFrame:
@@ -88,30 +98,27 @@ def conversations(messages: DataFrame, *, best: int | None = None) -> DataFrame:
     tree are ranked by score, then by leaf; best keeps that many per tree.
     loss_spans are the (start, length) in code points of the assistant texts in
     formatted. Repeated (tree, node) rows count once, the least by content. Rows
-    of a null tree form one tree.
+    of a null tree form one tree. Texts of any length are kept whole; other
+    columns are not read; no rows: none.
     """
     rows = messages.select("tree", F.col("node").cast("long").alias("node"), F.col("parent").cast("long").alias("parent"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce("score", F.lit(0.0)).alias("score"))
     rows = stored(_keyed(rows).groupBy("tree", "node").agg(F.min(F.struct("parent", "role", "text", "score")).alias("m")).select("tree", "node", "m.*"), "messages")
     walked = stored(_paths(rows), "walked")
-    turns = walked.select("tree", "leaf", F.posexplode("path").alias("at", "node")).join(rows, ["tree", "node"])
-    body = F.concat(F.lit(START), escape_role(F.col("role")), F.lit("\n"), escape(F.col("text")), F.lit(END + "\n"))
-    turns = turns.select("tree", "leaf", "at", "score", body.alias("body"), (F.length(escape_role(F.col("role"))) + len(START) + 1).alias("before"), F.length(escape(F.col("text"))).alias("n"), (F.col("role") == "assistant").alias("loss"))
-    built = turns.groupBy("tree", "leaf").agg(F.sort_array(F.collect_list(F.struct("at", "body", "before", "n", "loss"))).alias("t"), F.avg("score").alias("score"))
-    ends = F.aggregate(
-        "t",
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,n:int>>").alias("spans")),
-        lambda a, x: F.struct(
-            (a["at"] + F.length(x["body"])).alias("at"),
-            F.when(x["loss"], F.concat(a["spans"], F.array(F.struct((a["at"] + x["before"]).cast("int").alias("start"), x["n"].cast("int").alias("n"))))).otherwise(a["spans"]).alias("spans"),
-        ),
-    )
-    out = built.select("tree", "leaf", "score", F.array_join(F.transform("t", lambda x: x["body"]), "").alias("formatted"), ends["spans"].alias("loss_spans"))
-    better = out.select("tree", "leaf", "score")
+    scored = walked.join(rows.select("tree", "node", "score"), ["tree", "node"]).groupBy("tree", "leaf").agg(F.avg("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("tree").orderBy(F.col("score").desc(), "leaf"))
-    ranked = better.withColumn("rank", rank).drop("score")
+    ranked = scored.withColumn("rank", rank)
     if best is not None:
         ranked = ranked.where(F.col("rank") <= best)
-    return _plain(out.join(ranked, ["tree", "leaf"]))
+        walked = walked.join(ranked.select("tree", "leaf"), ["tree", "leaf"])
+    turns = walked.join(rows.drop("score"), ["tree", "node"])
+    role, text = escape_role(F.col("role")), escape(F.col("text"))
+    turns = turns.select("tree", "leaf", "up", F.concat(F.lit(START), role, F.lit("\n"), text, F.lit(END + "\n")).alias("body"), (F.length(role) + len(START) + 1).alias("before"), F.length(text).alias("n"), (F.col("role") == "assistant").alias("loss"))
+    earlier = Window.partitionBy("tree", "leaf").orderBy(F.col("up").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    turns = turns.withColumn("at", F.coalesce(F.sum(F.length("body")).over(earlier), F.lit(0)))
+    built = turns.groupBy("tree", "leaf").agg(F.sort_array(F.collect_list(F.struct("at", "body", "before", "n", "loss"))).alias("t"))
+    spans = F.transform(F.filter("t", lambda x: x["loss"]), lambda x: F.struct((x["at"] + x["before"]).cast("int").alias("start"), x["n"].cast("int").alias("n")))
+    out = built.select("tree", "leaf", F.array_join(F.transform("t", lambda x: x["body"]), "").alias("formatted"), spans.alias("loss_spans"))
+    return _plain(out.join(ranked, ["tree", "leaf"]).select("tree", "leaf", "rank", "score", "formatted", "loss_spans"))
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
