@@ -6,13 +6,17 @@ stay, a card number keeps its issuer digit and whether its Luhn sum holds, an
 address part stays in 0..255, a titled name keeps the gender of its title and
 its script. The surrogate is a function of key, type and canonical form (lower
 case, without spaces, or digits alone, after a + where a phone has one), so
-mentions of one entity agree in every document and in every format.
+mentions of one entity agree in every document and in every format. Given and
+family name of a person are forms of their own, so "Mr John Smith" and "Mr
+Smith" get the same family name, as do a man and a woman of one family whose
+name has a gender ending; a full name that a text has with a title is replaced
+there without it too.
 
 Distinct entities could get one surrogate, or a surrogate could be another
 entity of the corpus. All distinct canonical forms are checked for both; those
-that collide draw again, with a higher attempt number, until none collides.
-Only these few are looked up; every other surrogate is computed in place, so no
-text is shuffled.
+that collide draw again, with a higher attempt number, until none collides;
+later attempts draw longer surrogates, so there is always room. Only these few
+are looked up; every other surrogate is computed in place, so no text is shuffled.
 """
 
 from __future__ import annotations
@@ -22,7 +26,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import free_name, stored
 
 #: What an entity looks like, by type, the first that matches.
 PATTERNS = {
@@ -43,9 +47,15 @@ NAMES = {
     ("man", "cyrillic"): "Антон Борис Виктор Глеб Денис Иван Кирилл Лев Максим Николай Олег Павел Роман Сергей Фёдор Юрий",
     ("woman", "cyrillic"): "Анна Вера Галина Дарья Елена Ирина Ксения Лидия Мария Нина Ольга Полина Раиса София Тамара Юлия",
 }
+#: Letters of scripts with case; other scripts by ranges of code points.
 LETTERS = {"latin": "abcdefghijklmnopqrstuvwxyz", "cyrillic": "абвгдежзиклмнопрстуфхцчшщыэюя", "greek": "αβγδεζηθικλμνξοπρστυφχψω"}
+RANGES = {"Han": (0x4E00, 0x8E00, 64), "Hiragana": (0x3042, 0x3094, 1), "Katakana": (0x30A2, 0x30F4, 1), "Hangul": (0xAC00, 0xD700, 56), "Arabic": (0x0627, 0x063B, 1), "Hebrew": (0x05D0, 0x05EB, 1), "Devanagari": (0x0915, 0x093A, 1), "Thai": (0x0E01, 0x0E2F, 1)}
+#: Consonants and vowels of made-up names, and family name endings with gender.
+SYLLABLES = {"latin": ("bdfgklmnprstvz", "aeiou"), "cyrillic": ("бвгдзклмнпрстф", "аеиоу"), "greek": ("βγδζθκλμνπρστφ", "αεηιο")}
+ENDINGS = r"(ов|ев|ёв|ин|ын)$"
 ENTITY = "|".join(f"(?:{p})" for p in PATTERNS.values())
-ATTEMPTS = 30
+#: More than ever needed, as attempts after WIDER draw longer surrogates.
+ATTEMPTS, WIDER = 60, 6
 #: The country code that a number after + begins with.
 COUNTRY = r"^\+(1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})"
 #: What every entity has a match of: cheap, so that most texts are read once only.
@@ -60,13 +70,21 @@ def kind_of(e: Column) -> Column:
 
 
 def canonical(e: Column, kind: Column) -> Column:
-    """What mentions of one entity have in common; the type comes first."""
+    """What mentions of one entity have in common; the type comes first. Of a
+    person it is the family name, without a woman's ending."""
     digits = F.regexp_replace(e, r"\D", "")
-    person = F.lower(F.regexp_replace(e, r"^\S+ ", ""))
+    family = F.lower(F.regexp_extract(e, r"(\S+)$", 1))
+    family = F.when(kind == "woman", F.regexp_replace(F.regexp_replace(family, r"(ов|ев|ёв|ин|ын)а$", "$1"), "ская$", "ский")).otherwise(family)
     squeezed = F.upper(F.regexp_replace(e, " ", ""))
     number = F.regexp_replace(e, r"(?!^\+)\D", "")
-    form = F.when(kind.isin("ssn", "card"), digits).when(kind == "phone", number).when(kind.isin("man", "woman"), person).when(kind == "iban", squeezed).when(kind == "secret", e).otherwise(F.lower(e))
-    return F.concat(kind, F.lit(":"), form)
+    form = F.when(kind.isin("ssn", "card"), digits).when(kind == "phone", number).when(kind == "iban", squeezed).when(kind == "secret", e).otherwise(F.lower(e))
+    return F.when(kind.isin("man", "woman"), F.concat(F.lit("family:"), family)).otherwise(F.concat(kind, F.lit(":"), form))
+
+
+def given_form(e: Column, kind: Column) -> Column:
+    """The form of a person's given name, which has a gender; null without one."""
+    words = F.split(e, " ")
+    return F.when(kind.isin("man", "woman") & (F.size(words) > 2), F.concat(kind, F.lit(":"), F.lower(words[1])))
 
 
 def _stream(key: str, form: Column, attempt: Column) -> Column:
@@ -83,11 +101,16 @@ def _pick(alphabet: str, b: Column) -> Column:
 
 
 def _same_class(c: Column, b: Column, hexadecimal: bool = False) -> Column:
-    """A character of c's class: digit, letter of its script and case, or c."""
+    """A character of c's class: digit, letter of its script and case, or c. A
+    letter of a script that is not listed becomes a Latin one."""
     latin = LETTERS["latin"][:6] if hexadecimal else LETTERS["latin"]
+    out = F.when(c.between("a", "z"), _pick(latin, b)).when(c.between("A", "Z"), _pick(latin.upper(), b)).when(c.between("0", "9"), _pick("0123456789", b))
+    for script, (first, last, step) in RANGES.items():
+        letters = "".join(map(chr, range(first, last, step)))
+        out = out.when(c.rlike(rf"^[\p{{Is{script}}}&&\p{{L}}]$"), _pick(letters, b))
     letter = F.when(c.rlike(r"\p{IsCyrillic}"), _pick(LETTERS["cyrillic"], b)).when(c.rlike(r"\p{IsGreek}"), _pick(LETTERS["greek"], b)).otherwise(_pick(latin, b))
     letter = F.when(c.rlike(r"\p{Lu}"), F.upper(letter)).otherwise(letter)
-    return F.when(c.rlike(r"^\p{Nd}$"), _pick("0123456789", b)).when(c.rlike(r"^\p{L}$"), letter).otherwise(c)
+    return F.when(c < "\x7f", F.coalesce(out, c)).otherwise(F.coalesce(out, F.when(c.rlike(r"^\p{Nd}$"), _pick("0123456789", b)).when(c.rlike(r"^\p{L}$"), letter).otherwise(c)))
 
 
 def _chars(s: Column) -> Column:
@@ -106,14 +129,20 @@ def _luhn(digits: Column) -> Column:
 
 
 def _filled(e: Column, new: Column, separator: str = r"\D") -> Column:
-    """e with its characters but for separators replaced by those of new, in order."""
-    return F.array_join(F.transform(_chars(e), lambda c, i: F.when(c.rlike(separator), c).otherwise(F.substr(new, F.length(F.regexp_replace(F.substr(e, F.lit(1), i + 1), separator, "")), F.lit(1)))), "")
+    """e with its characters but for separators replaced by those of new, in
+    order; what new has more follows."""
+    more = F.substr(new, F.length(F.regexp_replace(e, separator, "")) + 1, F.length(new))
+    return F.concat(F.array_join(F.transform(_chars(e), lambda c, i: F.when(c.rlike(separator), c).otherwise(F.substr(new, F.length(F.regexp_replace(F.substr(e, F.lit(1), i + 1), separator, "")), F.lit(1)))), ""), more)
 
 
 def _digits(digits: Column, stream: Column, kept: Column) -> Column:
     return F.array_join(F.transform(_chars(digits), lambda c, i: F.when(i < kept, c).otherwise(_pick("0123456789", _byte(stream, i)))), "")
 
 
+def _with(x: Column, names: tuple[str, ...], **more: Column) -> Column:
+    return F.struct(*[x[c].alias(c) for c in names], *[v.alias(k) for k, v in more.items()])
+
+
 def surrogates(found: Column, attempt_of: Callable[[Column], Column], key: str) -> Column:
     """For each mention in the array found: struct(e, kind, form, new).
 
@@ -121,16 +150,50 @@ def surrogates(found: Column, attempt_of: Callable[[Column], Column], key: str)
     than once, so that no expression is repeated inside another.
     """
     v = F.transform(found, lambda e: F.struct(e.alias("e"), kind_of(e).alias("kind")))
-    v = F.transform(v, lambda x: F.struct(x["e"].alias("e"), x["kind"].alias("kind"), canonical(x["e"], x["kind"]).alias("form")))
-    v = F.transform(v, lambda x: F.struct(x["e"].alias("e"), x["kind"].alias("kind"), x["form"].alias("form"), _stream(key, x["form"], attempt_of(x["form"])).alias("s"), F.regexp_replace(x["e"], r"\D", "").alias("plain")))
-    v = F.transform(v, lambda x: F.struct(*[x[c].alias(c) for c in ("e", "kind", "form", "s", "plain")], _number(x).alias("number")))
-    return F.transform(v, lambda x: F.struct(x["e"].alias("e"), x["kind"].alias("kind"), x["form"].alias("form"), _surrogate(x).alias("new")))
+    v = F.transform(v, lambda x: _with(x, ("e", "kind"), form=canonical(x["e"], x["kind"]), given=given_form(x["e"], x["kind"])))
+    v = F.transform(v, lambda x: _with(x, ("e", "kind", "form", "given"), a=attempt_of(x["form"]), b=attempt_of(x["given"]), plain=F.regexp_replace(x["e"], r"\D", "")))
+    v = F.transform(v, lambda x: _with(x, ("e", "kind", "form", "a", "b", "plain"), s=_stream(key, x["form"], x["a"]), t=F.when(x["given"].isNotNull(), _stream(key, x["given"], x["b"]))))
+    v = F.transform(v, lambda x: _with(x, ("e", "kind", "form", "a", "b", "s", "t", "plain"), number=_number(x)))
+    return F.transform(v, lambda x: _with(x, ("e", "kind", "form"), new=_surrogate(x)))
+
+
+def _longer(x: Column) -> Column:
+    """How many characters a surrogate has more than its entity, at late attempts."""
+    return F.greatest(x["a"] - WIDER, F.lit(0))
+
+
+def _made_up(stream: Column, script: Column, syllables: Column, shift: int) -> Column:
+    """A pronounceable word of so many syllables."""
+    out = F.lit("")
+    for name, (consonants, vowels) in SYLLABLES.items():
+        syllable = lambda i: F.concat(_pick(consonants, _byte(stream, 2 * i + shift)), _pick(vowels, _byte(stream, 2 * i + shift + 1)))  # noqa: E731, B023
+        out = F.when(script == name, F.array_join(F.transform(F.sequence(F.lit(0), syllables - 1), syllable), "")).otherwise(out)
+    return out
+
+
+def _person(x: Column) -> Column:
+    """Title, given name if there is one, and family name. Given names come from
+    NAMES at the first attempt and are made up at later ones."""
+    words = F.split(x["e"], " ")
+    script_of = lambda w: F.when(w.rlike(r"\p{IsCyrillic}"), "cyrillic").when(w.rlike(r"\p{IsGreek}"), "greek").otherwise("latin")
+    man, script = x["kind"] == "man", script_of(words[1])
+    listed = [F.when(man.eqNullSafe(g == "man") & (script == kind), F.element_at(F.array(*map(F.lit, names.split())), _byte(x["t"], F.lit(100)) % len(names.split()) + 1)) for (g, kind), names in NAMES.items()]
+    last = F.when(script == "cyrillic", F.when(man, "н").otherwise("а")).when(script == "greek", F.when(man, "ς").otherwise("α")).otherwise(F.when(man, "n").otherwise("a"))
+    made = F.initcap(F.concat(_made_up(x["t"], script, F.lit(1) + x["b"], 0), last))
+    given = F.when(x["b"] == 0, F.coalesce(*listed, made)).otherwise(made)
+    own = F.substr(x["form"], F.lit(len("family:") + 1), F.length(x["form"]))
+    ending = F.when(own.rlike("ский$"), "ский").otherwise(F.regexp_extract(own, ENDINGS, 1))
+    changed = F.when(man | (ending == ""), ending).when(ending == "ский", "ская").otherwise(F.concat(ending, F.lit("а")))
+    close = F.when(ending != "", "").when(script_of(F.element_at(words, -1)) == "cyrillic", "к").when(script_of(F.element_at(words, -1)) == "greek", "ς").otherwise("n")
+    stem = _made_up(x["s"], script_of(F.element_at(words, -1)), F.lit(3) + x["a"], 32)
+    return F.concat_ws(" ", words[0], F.when(F.size(words) > 2, given), F.initcap(F.concat(stem, close, changed)))
 
 
 def _number(x: Column) -> Column:
     """The digits of a number's surrogate: a country code or issuer digit stays."""
     code = F.length(F.regexp_extract(F.substr(x["form"], F.lit(len("phone:") + 1), F.length(x["form"])), COUNTRY, 1))
-    return F.when(x["kind"].isin("phone", "card", "ssn"), _digits(x["plain"], x["s"], F.when(x["kind"] == "phone", code).when(x["kind"] == "card", 1).otherwise(0)))
+    plain = F.concat(x["plain"], F.repeat(F.lit("0"), _longer(x)))
+    return F.when(x["kind"].isin("phone", "card", "ssn"), _digits(plain, x["s"], F.when(x["kind"] == "phone", code).when(x["kind"] == "card", 1).otherwise(0)))
 
 
 def _surrogate(x: Column) -> Column:
@@ -138,19 +201,14 @@ def _surrogate(x: Column) -> Column:
     body = F.substr(number, F.lit(1), F.length(number) - 1)
     check = (10 - _luhn(F.concat(body, F.lit("0")))) % 10
     card = F.concat(body, ((check + F.when(_luhn(x["plain"]) == 0, 0).otherwise(1 + _byte(s, F.lit(120)) % 9)) % 10).cast("string"))
+    name = F.substr(e, F.lit(1), F.instr(e, "@") - 1)
     mail = F.concat(
-        _by_class(F.substr(e, F.lit(1), F.instr(e, "@") - 1), s),
+        _by_class(F.concat(name, F.repeat(F.lit("a"), _longer(x))), s),
         F.lit("@"),
         _by_class(F.regexp_extract(e, r"@(.*)\.[^.]+$", 1), s, 64),
         F.regexp_extract(e, r"(\.[^.]+)$", 1),
     )
     address = F.array_join(F.transform(F.split(e, r"\."), lambda c, i: (_byte(s, i) % 254 + 1).cast("string")), ".")
-    words = F.split(e, " ")
-    man, cyrillic = kind == "man", F.element_at(words, 2).rlike(r"\p{IsCyrillic}")
-    lists = [(g, script, NAMES[g, script].split()) for g in ("man", "woman") for script in ("latin", "cyrillic")]
-    given = F.coalesce(*[F.when(man.eqNullSafe(g == "man") & cyrillic.eqNullSafe(script == "cyrillic"), F.element_at(F.array(*map(F.lit, names)), _byte(s, F.lit(100)) % len(names) + 1)) for g, script, names in lists])
-    family = F.initcap(_by_class(F.lower(F.element_at(words, -1)), s, 32))
-    person = F.concat_ws(" ", F.element_at(words, 1), F.when(F.size(words) > 2, given), family)
     prefix = F.regexp_extract(e, r"^((?:sk|pk|ghp|gho|xoxb|xoxp|AKIA|AIza)?)", 1)
     rest = F.substr(e, F.length(prefix) + 1, F.length(e))
     secret = F.concat(prefix, F.when(e.rlike("^[0-9a-f]+$"), _by_class(rest, s, 0, True)).otherwise(_by_class(rest, s)))
@@ -163,7 +221,7 @@ def _surrogate(x: Column) -> Column:
         .when(kind.isin("phone", "ssn"), _filled(e, number))
         .when(kind == "secret", secret)
         .when(kind == "iban", iban)
-        .otherwise(person)
+        .otherwise(_person(x))
     )
 
 
@@ -178,45 +236,53 @@ def attempts(docs: DataFrame, text_col: str, key: str) -> DataFrame:
 
     All distinct forms of the corpus take part. In each round the forms that
     share a surrogate, but for the least of them, and those whose surrogate is
-    a form of the corpus, draw again.
+    a form of the corpus, draw again. Fails if ATTEMPTS rounds do not suffice.
     """
     found = docs.select(F.explode(entities(F.col(text_col).cast("string"))).alias("e"))
     found = stored(found.distinct().withColumn("kind", kind_of(F.col("e"))), "mentions")
-    forms = found.select("e", "kind", canonical(F.col("e"), F.col("kind")).alias("form"))
-    forms = stored(forms.groupBy("form").agg(F.min("e").alias("e"), F.first("kind").alias("kind")), "entities")
+    e, kind = F.col("e"), F.col("kind")
+    forms = found.select("e", "kind", F.explode(F.array(F.struct(canonical(e, kind).alias("form"), F.lit(False).alias("given")), F.struct(given_form(e, kind).alias("form"), F.lit(True).alias("given")))).alias("f"))
+    forms = forms.where("f.form is not null").groupBy("f.form").agg(F.min(F.struct("e", "kind", "f.given")).alias("m"))
+    forms = stored(forms.select("form", "m.*"), "entities")
     drawn = forms.withColumn("attempt", F.lit(0))
     for _ in range(ATTEMPTS):
         drawn = stored(drawn.withColumn("new", surrogates(F.array("e"), lambda form: F.col("attempt"), key)[0]["new"]), "surrogates")
-        now = drawn.withColumn("new_form", canonical(F.col("new"), F.col("kind")))
+        now = drawn.withColumn("new_form", F.when(F.col("given"), given_form(F.col("new"), F.col("kind"))).otherwise(canonical(F.col("new"), F.col("kind"))))
         least = now.groupBy("new_form").agg(F.min("form").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
         shared = now.join(least, "new_form").where("form != first").select("form")
         taken = now.join(forms.select(F.col("form").alias("new_form")), "new_form", "left_semi").select("form")
         again = stored(shared.union(taken).distinct(), "collisions")
         if again.isEmpty():
-            break
+            return drawn.where("attempt > 0").select("form", "attempt")
         drawn = drawn.drop("new").join(again.withColumn("more", F.lit(1)), "form", "left").withColumn("attempt", F.col("attempt") + F.coalesce("more", F.lit(0))).drop("more")
-    return drawn.where("attempt > 0").select("form", "attempt")
+    raise RuntimeError(f"surrogates still collide after {ATTEMPTS} attempts")
 
 
-def replace_pii(docs: DataFrame, *, text_col: str = "text", key: str = "surrogate-key", lookup_rows: int = 2000) -> DataFrame:
-    """docs with entities replaced in text_col, and column n_entities.
+def replace_pii(docs: DataFrame, *, text_col: str = "text", key: str = "surrogate-key", lookup_rows: int = 2000, count_col: str | None = "n_entities") -> DataFrame:
+    """docs with entities replaced in text_col, and their number in count_col.
 
     A null text stays null with 0 entities; texts without entities stay as
-    they are; rows are independent, so repeated rows give repeated results.
-    Collided forms up to lookup_rows are looked up in a literal map; more are
-    joined to the mentions of the documents that have one.
+    they are; texts of any length are read whole; rows are independent, so
+    repeated rows give repeated results; no rows: no rows. All columns of docs
+    stay: where one has the name count_col, the number is in count_col with
+    underscores after it, and without count_col it is left out. Collided forms
+    up to lookup_rows are looked up in a literal map; more are joined to the
+    mentions of the documents that have one.
     """
     redrawn = stored(attempts(docs, text_col, key), "redrawn")
-    text = F.col(text_col).cast("string")
-    out = docs.withColumn("__found", entities(text))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    found, changed, hash_, map_ = (free_name(docs, c) for c in ("pii_found", "pii_changed", "pii_hash", "pii_map"))
+    text = F.col(f"`{text_col}`").cast("string")
+    out = docs.withColumn(found, entities(text))
     n = redrawn.limit(lookup_rows + 1).count()
     if n > lookup_rows:
         # A document with collided forms gets its own small map; the join is on forms, the result on texts.
-        mentions = docs.select(F.xxhash64(text).alias("__h"), F.explode(entities(text)).alias("e")).distinct()
-        mentions = mentions.withColumn("form", canonical(F.col("e"), kind_of(F.col("e")))).select("__h", "form").distinct().join(redrawn, "form")
-        maps = mentions.groupBy("__h").agg(F.map_from_entries(F.collect_list(F.struct("form", "attempt"))).alias("__map"))
-        out = out.withColumn("__h", F.xxhash64(text)).join(maps, "__h", "left").drop("__h")
-        known = F.col("__map")
+        mentions = docs.select(F.xxhash64(text).alias("h"), F.explode(entities(text)).alias("e")).distinct()
+        kind = kind_of(F.col("e"))
+        mentions = mentions.select("h", F.explode(F.array(canonical(F.col("e"), kind), given_form(F.col("e"), kind))).alias("form")).distinct().join(redrawn, "form")
+        maps = mentions.groupBy("h").agg(F.map_from_entries(F.collect_list(F.struct("form", "attempt"))).alias(map_)).withColumnRenamed("h", hash_)
+        out = out.withColumn(hash_, F.xxhash64(text)).join(maps, hash_, "left")
+        known = F.col(map_)
     elif n:
         flat = [F.lit(x) for r in redrawn.collect() for x in (r["form"], r["attempt"])]
         known = F.create_map(*flat)
@@ -224,9 +290,12 @@ def replace_pii(docs: DataFrame, *, text_col: str = "text", key: str = "surrogat
         known = None
 
     attempt_of = (lambda form: F.lit(0)) if known is None else (lambda form: F.coalesce(F.try_element_at(known, form), F.lit(0)))
-    changed = F.transform(surrogates(F.col("__found"), attempt_of, key), lambda x: x["new"])
-    parts = F.split(text, ENTITY, -1)
-    joined = F.array_join(F.flatten(F.zip_with(parts, F.concat(F.col("__changed"), F.array(F.lit(""))), lambda a, b: F.array(a, b))), "")
-    out = out.withColumn("n_entities", F.size("__found").cast("long")).withColumn("__changed", F.when(F.size("__found") > 0, changed))
-    out = out.withColumn(text_col, F.when(F.col("n_entities") > 0, joined).otherwise(text))
-    return out.select(*docs.columns, "n_entities")
+    some = F.size(found) > 0
+    out = out.withColumn(changed, F.when(some, surrogates(F.col(found), attempt_of, key)))
+    news = F.concat(F.transform(changed, lambda x: x["new"]), F.array(F.lit("")))
+    joined = F.array_join(F.flatten(F.zip_with(F.split(text, ENTITY, -1), news, lambda a, b: F.array(a, b))), "")
+    people = F.array_distinct(F.transform(F.filter(changed, lambda x: x["kind"].isin("man", "woman") & (F.size(F.split(x["e"], " ")) > 2)), lambda x: F.struct(F.regexp_replace(x["e"], r"^\S+ ", "").alias("e"), F.regexp_replace(x["new"], r"^\S+ ", "").alias("new"))))
+    untitled = F.aggregate(people, joined, lambda t, x: F.regexp_replace(t, F.concat(F.lit(r"(?<!\p{L})"), x["e"], F.lit(r"(?!\p{L})")), x["new"]))
+    number = [F.size(found).cast("long").alias(free_name(docs, count_col))] if count_col else []
+    new = F.when(some, untitled).otherwise(text).alias(text_col)
+    return out.select(*[new if c == text_col else columns[i] for i, c in enumerate(docs.columns)], *number)

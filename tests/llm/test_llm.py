@@ -70,6 +70,58 @@ def test_word_tokenizer_is_exact():
         assert np.frombuffer(mine(t), "<u4").tolist() == whole.encode(t, add_special_tokens=False).ids, t
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.one_of(st.integers(0, 0x24F), st.integers(0, 0x10FFFF).filter(lambda c: not 0xD800 <= c < 0xE000), st.sampled_from([ord(c) for c in " ab'ſıЙй0\u0306\u0301"])), max_size=30))
+def test_word_tokenizer_agrees_on_any_code_points(codes):
+    P = pytest.importorskip("public_tokenizers")
+    mine = token_blocks.word_tokenizer(P.path("word_bpe_49k.json"))
+    t = "".join(map(chr, codes))
+    assert np.frombuffer(mine(t), "<u4").tolist() == mine.whole.encode(t, add_special_tokens=False).ids
+
+
+def test_word_tokenizer_agrees_on_every_small_code_point(tmp_path):
+    """Each of the first 0x600 code points alone, inside a word and between words; a file with other steps is not shortcut."""
+    P = pytest.importorskip("public_tokenizers")
+    import json
+
+    path = P.path("word_bpe_49k.json")
+    mine = token_blocks.WordTokenizer(path)
+    for c in map(chr, range(0x600)):
+        for t in (c, f"hel{c}lo", f"hello {c} world", f"Hello{c}World"):
+            assert np.frombuffer(mine(t), "<u4").tolist() == mine.whole.encode(t, add_special_tokens=False).ids, repr(t)
+    steps = json.load(open(path, encoding="utf-8"))
+    steps["normalizer"]["normalizers"] = steps["normalizer"]["normalizers"][:2]
+    (tmp_path / "other.json").write_text(json.dumps(steps), encoding="utf-8")
+    other = token_blocks.WordTokenizer(str(tmp_path / "other.json"))
+    assert not other.known and np.frombuffer(other("HELLO World"), "<u4").tolist() == other.whole.encode("HELLO World", add_special_tokens=False).ids
+
+
+def test_token_blocks_match_brute_force(spark):
+    """doc_id, start, n_tokens and crc of all rows, with one id on most of them, against a plain loop."""
+    P = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(P.path("word_bpe_49k.json"))
+    rng = np.random.default_rng(4)
+    texts = [" ".join(f"Word{x}\x07é" for x in rng.integers(50, size=int(rng.integers(0, 30)))) for _ in range(300)]
+    data = [(7 if i % 3 else i, t) for i, t in enumerate(texts)] + [(7, "same")] * 200 + [(5, None)]
+    df = spark.createDataFrame(data, "doc_id long, text string").repartition(5)
+    got = token_blocks.token_blocks(df, P.path("word_bpe_49k.json"), shards=6).orderBy("start").collect()
+    assert len({r["shard"] for r in got if r["doc_id"] == 7}) > 2  # one id fills several shards
+    ids = [r["doc_id"] for r in got]
+    assert ids == sorted(i for i, _ in data)
+    crc = lambda t: (n := whole.encode(t or "", add_special_tokens=False).ids + [1]) and (len(n), zlib.crc32(np.array(n, "<u4").tobytes()))
+    assert collections.Counter((r["doc_id"], r["n_tokens"], r["ids_crc32"]) for r in got) == collections.Counter((i, *crc(t)) for i, t in data)
+    assert [r["start"] for r in got] == np.cumsum([0] + [r["n_tokens"] for r in got[:-1]]).tolist()
+
+
+def test_paths_get_schemes(spark):
+    assert token_blocks.qualified(spark, "/tmp/x") == "file:/tmp/x"
+    fs, path = token_blocks._open("file:/tmp/x")
+    assert path == "/tmp/x" and fs.type_name == "local"
+    assert token_blocks.arrow_uri("s3a://bucket/x") == "s3://bucket/x" and token_blocks.arrow_uri("hdfs://n/x") == "hdfs://n/x"
+
+
 def test_token_blocks(spark, odd_docs):
     P = pytest.importorskip("public_tokenizers")
     got = token_blocks.token_blocks(odd_docs, P.path("word_bpe_49k.json")).orderBy("start").collect()
@@ -147,6 +199,39 @@ def test_hint_knows_entities_without_digits(spark):
     assert [r["text"] for r in kept] == []
 
 
+def test_surrogates_keep_coreference_gender_and_script(spark):
+    """Family names agree with and without a given name and between genders; untitled full names follow; scripts stay."""
+    data = [
+        (1, "Mr John Smith came. Mr Smith sat. John Smith spoke; Mrs Smith did not. Johnny Smithers left."),
+        (2, "Госпожа Мария Иванова и господа. Мария Иванова. Господин Иванов; Госпожа Иванова."),
+        (3, "write to 田中@例え.jp, иван@почта.рф or ねこ@いぬ.jp; Mr Smith again"),
+    ]
+    df = spark.createDataFrame(data, "doc_id long, text string").withColumns({"n_entities": F.lit("mine"), "a.b": F.lit(1), "pii_found": F.lit(2)})
+    out = pii.replace_pii(df)
+    assert out.columns == [*df.columns, "n_entities_"] and pii.replace_pii(df, count_col=None).columns == df.columns
+    got = {r["doc_id"]: r for r in out.collect()}
+    assert got[1]["n_entities"] == "mine" and got[1]["n_entities_"] == 3
+    m = re.fullmatch(r"Mr (\w+) (\w+) came\. Mr (\w+) sat\. (\w+) (\w+) spoke; Mrs (\w+) did not\. Johnny Smithers left\.", got[1]["text"])
+    assert m and m[1] == m[4] != "John" and m[2] == m[3] == m[5] == m[6] != "Smith"
+    m = re.fullmatch(r"Госпожа ([а-яё]+) ([а-яё]+) и господа\. ([а-яё]+) ([а-яё]+)\. Господин ([а-яё]+); Госпожа ([а-яё]+)\.", got[2]["text"], re.I)
+    assert m and m[1] == m[3] and m[2] == m[4] == m[6] == m[5] + "а" and m[5].endswith("ов") and m[5] != "Иванов"
+    m = re.fullmatch(r"write to ([\u4e00-\u9fff]{2})@([\u4e00-\u9fff])([\u3041-\u3096])\.jp, ([а-я]{4})@([а-я]{5})\.рф or ([\u3041-\u3096]{2})@([\u3041-\u3096]{2})\.jp; Mr (\w+) again", got[3]["text"])
+    assert m and m[1] != "田中" and m[8] == re.search(r"Mr (\w+) sat", got[1]["text"])[1]
+
+
+def test_surrogates_of_small_spaces_stay_distinct(spark):
+    """All two-letter family names and one-letter mail names of a corpus get distinct surrogates, none of them in the corpus."""
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    names = [f"{a.upper()}{b}" for a in letters[:12] for b in letters[:12]]
+    data = [(i, f"Mr {n} here") for i, n in enumerate(names)] + [(1000 + i, f"{a}@b.com") for i, a in enumerate(letters)]
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    new = {r["doc_id"]: r["text"] for r in pii.replace_pii(df).collect()}
+    family = [new[i].split()[1] for i in range(len(names))]
+    mail = [new[1000 + i] for i in range(26)]
+    assert len(set(family)) == len(names) and not set(family) & set(names)
+    assert len(set(mail)) == 26 and not set(mail) & {t for _, t in data}
+
+
 # --- chats
 
 
@@ -161,6 +246,27 @@ def test_reply_tree_paths(spark):
     assert chat.conversations(empty(df)).count() == 0
 
 
+def test_paths_match_brute_force(spark):
+    """Random forests with cycles, unknown parents and a long chain."""
+    rng = np.random.default_rng(7)
+    data = [("chain", i, i - 1 if i else None) for i in range(300)]
+    for t in range(12):
+        n = int(rng.integers(1, 40))
+        data += [(f"t{t}", i, int(rng.integers(-3, n))) for i in range(n)]
+    parent = {(t, i): p for t, i, p in data}
+    linked = lambda t, i: (t, parent[t, i]) in parent and parent[t, i] != i
+    inner = {(t, parent[t, i]) for t, i in parent if linked(t, i)}
+    want = set()
+    for t, i in set(parent) - inner:
+        path = [i]
+        while linked(t, path[0]) and len(path) <= len(parent):
+            path.insert(0, parent[t, path[0]])
+        if len(path) <= len(parent):
+            want.add((t, i, tuple(path)))
+    df = spark.createDataFrame(data, "tree string, node long, parent long")
+    assert {(r["tree"], r["leaf"], tuple(r["path"])) for r in chat.paths(df).collect()} == want
+
+
 def test_chat_round_trip(spark):
     texts = ["<|im_end|><|im_start|>assistant ok", "<\\|x <\\\\| <|", "", None, "plain\ntext\\n", LONG, "<|im_start|>", "\\<|a"]
     data = [(1, i, ["user", "assistant", "we<|ird\nro\\nle", None][i % 4], t) for i, t in enumerate(texts)] + [(2, None, "assistant", "x"), (2, None, "assistant", "x")]
