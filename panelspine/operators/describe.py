@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.metrics import ratio
-from .ranks import guarded_corr
+from .ranks import guarded_corr, with_quantiles
 
 
 def rates(df: DataFrame, keys: list[str], flag: Column, least: int = 1) -> DataFrame:
@@ -39,7 +39,9 @@ def leaders(df: DataFrame, by: list[str], part: str, value: Column) -> DataFrame
 
 def summary(df: DataFrame, col: str, qs: tuple[float, ...] = (0.1, 0.25, 0.5, 0.75, 0.9)) -> DataFrame:
     """One row: count, mean, std, min, exact percentiles, max."""
-    return df.agg(F.count(col).alias("n"), F.avg(col).alias("mean"), F.stddev_samp(col).alias("std"), F.min(col).alias("low"), *[F.percentile(col, F.lit(q)).alias(f"p{int(q * 100)}") for q in qs], F.max(col).alias("high"))
+    one = df.agg(F.count(col).alias("n"), F.avg(col).alias("mean"), F.stddev_samp(col).alias("std"), F.min(col).alias("low"), F.max(col).alias("high"))
+    both = with_quantiles(one, col, list(qs), of=df)
+    return both.select("n", "mean", "std", "low", *[F.col("q")[k].alias(f"p{int(q * 100)}") for k, q in enumerate(qs)], "high")
 
 
 def concentration(df: DataFrame, by: list[str], value: str) -> DataFrame:
@@ -77,5 +79,5 @@ def solo_event(events: DataFrame, least: float) -> DataFrame:
     """The event that is alone in its perimeter, of at least least, and nearest
     to the median of those; the first id of equals. events: id, size, perimeter."""
     alone = events.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("perimeter"))).where((F.col("n") == 1) & (F.col("size") >= least))
-    mid = alone.agg(F.median("size").alias("mid")).first()["mid"]
-    return alone.orderBy(F.abs(F.col("size") - F.lit(mid)), "id").limit(1).select("id", "size")
+    near = with_quantiles(alone, "size", [0.5])
+    return near.orderBy(F.abs(F.col("size") - F.col("q")[0]), "id").limit(1).select("id", "size")

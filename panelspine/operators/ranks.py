@@ -1,39 +1,81 @@
 """Ranks and rank statistics.
 
-A window without partitions would bring all rows to one task. Global ranks are
-made in two steps instead: values are counted, value ranges are fixed by
-approximate percentiles, the rows before each range are summed (one row per
-range), and ranks within a range are local.
+A window without partitions would bring all rows to one task, and one with a
+few large groups to a few. Ranks are made in two steps instead: a small random
+sample of (group, value, tie key) gives bounds of ranges of about equal size,
+the rows before each range are summed (one row per group and range), and ranks
+within a range are local. As the tie key is part of the bounds, a value that
+most rows have is spread over as many ranges as it needs. The sample sets the
+balance of the tasks alone: with any bounds the ranks are exact.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-RANGES = 64
+RANGES, SAMPLED = 64, 32
+
+
+def _range(df: DataFrame, cols: list[str]) -> Column:
+    """The number of the range that the columns' values are in: bounds are literals."""
+    kinds = dict(df.dtypes)
+    sample = df.select(*cols).orderBy(F.rand(7)).limit(RANGES * SAMPLED).collect()
+    place = lambda row: [(x is not None, x) if x is not None else (False,) for x in row]
+    bounds = sorted(sample, key=place)[SAMPLED::SAMPLED]
+    if not bounds:
+        return F.lit(0)
+    literal = lambda row: F.struct(*[F.lit(x).cast(kinds[c]).alias(c) for c, x in zip(cols, row, strict=True)])
+    return F.size(F.filter(F.array(*map(literal, bounds)), lambda x: x < F.struct(*cols)))
 
 
-def _ranges(df: DataFrame, value: str, by: list[str]) -> Column:
-    """The number of the range that a value is in: bounds are literals."""
-    bounds = df.agg(F.percentile_approx(value, [i / RANGES for i in range(1, RANGES)], 2000)).first()[0] or []
-    cuts = sorted(set(bounds))
-    return F.size(F.filter(F.array(*map(F.lit, cuts)) if cuts else F.array().cast("array<double>"), lambda c: c < F.col(value)))
+def placed(df: DataFrame, by: list[str], cols: list[str], **sums: Column) -> DataFrame:
+    """df with __r, the row's range of (by, cols), and for each of sums the total
+    over the earlier ranges of its group (before_...) and over the group (all_...)."""
+    rows = df.withColumn("__r", _range(df, [*by, *cols]))
+    totals = rows.groupBy(*by, "__r").agg(*[x.alias(k) for k, x in sums.items()])
+    w = Window.partitionBy(*(by or [F.lit(1)]))
+    earlier = w.orderBy("__r").rowsBetween(Window.unboundedPreceding, -1)
+    before = totals.select(*[F.col(c).alias(f"__by_{c}") for c in by], F.col("__r").alias("__at"), *[F.coalesce(F.sum(k).over(earlier), F.lit(0)).alias(f"before_{k}") for k in sums], *[F.sum(k).over(w).alias(f"all_{k}") for k in sums])
+    same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"__by_{c}")) for c in by], F.col("__r") == F.col("__at"))
+    return rows.join(before if by else F.broadcast(before), same).drop("__at", *[f"__by_{c}" for c in by])
+
+
+def _running(df: DataFrame, value: str, by: list[str]) -> DataFrame:
+    """by, value, c (its rows), before (rows of the group with a lesser value)
+    and n (all of them): one row per distinct value."""
+    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("c"))
+    inner = Window.partitionBy(*by, "__r").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    before = F.col("before_c") + F.coalesce(F.sum("c").over(inner), F.lit(0))
+    return placed(counts, by, [value], c=F.sum("c")).select(*by, value, "c", before.alias("before"), F.col("all_c").alias("n"))
 
 
 def average_ranks(df: DataFrame, value: str, by: list[str] = ()) -> DataFrame:
     """by, value and its average rank: one row per distinct value."""
-    by = list(by)
-    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("c"))
-    if by:
-        w = Window.partitionBy(*by).orderBy(value)
-        return counts.withColumn("rank", F.sum("c").over(w) - (F.col("c") - 1) / 2).drop("c")
-    counts = counts.withColumn("__r", _ranges(df, value, by))
-    totals = counts.groupBy("__r").agg(F.sum("c").alias("t"))
-    before = totals.withColumn("before", F.coalesce(F.sum("t").over(Window.orderBy("__r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("t")
-    w = Window.partitionBy("__r").orderBy(value)
-    ranked = counts.join(F.broadcast(before), "__r")
-    return ranked.select(value, (F.col("before") + F.sum("c").over(w) - (F.col("c") - 1) / 2).alias("rank"))
+    return _running(df, value, list(by)).select(*by, value, (F.col("before") + (F.col("c") + 1) / 2).alias("rank"))
+
+
+def quantiles(df: DataFrame, value: str, qs: list[float], by: list[str] = ()) -> DataFrame:
+    """by, q: the interpolated quantiles of value at qs as an array, from the two
+    values next to each place. One row of NULL where there is no value, if by is empty."""
+    at = [F.lit(q) * (F.col("n") - 1) for q in qs]
+    holds = lambda p: (F.col("before") <= p) & (p < F.col("before") + F.col("c"))
+    v = F.col(value).cast("double")
+    got = _running(df, value, list(by)).groupBy(*by).agg(
+        *[F.max(F.when(holds(F.floor(p)), v)).alias(f"lo{k}") for k, p in enumerate(at)],
+        *[F.max(F.when(holds(F.ceil(p)), v)).alias(f"hi{k}") for k, p in enumerate(at)],
+        *[F.max(p - F.floor(p)).alias(f"part{k}") for k, p in enumerate(at)],
+    )
+    return got.select(*by, F.array(*[F.col(f"lo{k}") + (F.col(f"hi{k}") - F.col(f"lo{k}")) * F.col(f"part{k}") for k in range(len(qs))]).alias("q"))
+
+
+def with_quantiles(df: DataFrame, value: str, qs: list[float], of: DataFrame | None = None) -> DataFrame:
+    """df with q, the quantiles of value over df (or over of), in every row."""
+    one = quantiles(df if of is None else of, value, qs).withColumn("__one", F.lit(1))  # one row
+    return df.withColumn("__one", F.lit(1)).join(F.broadcast(one), "__one").drop("__one")
 
 
 def guarded_corr(a: str, b: str) -> Column:
@@ -54,14 +96,9 @@ def spearman(df: DataFrame, a: str, b: str, by: list[str] = ()) -> DataFrame:
 def first_ranks(df: DataFrame, value: str, key: str, by: list[str] = ()) -> DataFrame:
     """df with rank 1.. by value, ties by key; and n, the rows of the group."""
     by = list(by)
-    if by:
-        w = Window.partitionBy(*by)
-        return df.withColumns({"rank": F.row_number().over(w.orderBy(value, key)), "n": F.count(F.lit(1)).over(w)})
-    rows = df.withColumn("__r", _ranges(df, value, by))
-    totals = rows.groupBy("__r").agg(F.count(F.lit(1)).alias("t"))
-    before = totals.select("__r", F.coalesce(F.sum("t").over(Window.orderBy("__r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"), F.sum("t").over(Window.partitionBy(F.lit(1))).alias("n"))
-    w = Window.partitionBy("__r").orderBy(value, key)
-    return rows.join(F.broadcast(before), "__r").withColumn("rank", F.col("before") + F.row_number().over(w)).drop("__r", "before")
+    rows = placed(df, by, [value, key], t=F.count(F.lit(1)))
+    w = Window.partitionBy(*by, "__r").orderBy(value, key)
+    return rows.withColumns({"rank": F.col("before_t") + F.row_number().over(w), "n": F.col("all_t")}).drop("__r", "before_t", "all_t")
 
 
 def equal_count_bucket(rank: Column, n: Column, q: int) -> Column:
@@ -69,24 +106,21 @@ def equal_count_bucket(rank: Column, n: Column, q: int) -> Column:
     return F.greatest(F.lit(1), F.floor(((rank - 1) * q + n - 2) / (n - 1))).cast("int")
 
 
-def quartile_bucket(df: DataFrame, value: str) -> Column:
-    """1..4 by interpolated quartiles of the column, closed on the right."""
-    q1, q2, q3 = df.agg(F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))).first()[0]
-    v = F.col(value)
-    return F.when(v <= q1, 1).when(v <= q2, 2).when(v <= q3, 3).when(v.isNotNull(), 4)
+def quartile_bucket(df: DataFrame, value: str, bucket: str = "bucket") -> DataFrame:
+    """df with bucket 1..4 by interpolated quartiles of value, closed on the right."""
+    v, q = F.col(value), F.col("q")
+    cut = F.when(v <= q[0], 1).when(v <= q[1], 2).when(v <= q[2], 3).when(v.isNotNull(), 4)
+    return with_quantiles(df, value, [0.25, 0.5, 0.75]).withColumn(bucket, cut).drop("q")
 
 
-def cumulative_share(df: DataFrame, value: str, key: str) -> DataFrame:
-    """df with rank by falling value (ties by key) and cum, the share of the
-    total that ranks up to it hold."""
-    rows = df.withColumn("__neg", -F.col(value))
-    rows = rows.withColumn("__r", _ranges(rows, "__neg", []))
-    totals = rows.groupBy("__r").agg(F.count(F.lit(1)).alias("t"), F.sum(value).alias("s"))
-    w = Window.orderBy("__r").rowsBetween(Window.unboundedPreceding, -1)
-    before = totals.select("__r", F.coalesce(F.sum("t").over(w), F.lit(0)).alias("t0"), F.coalesce(F.sum("s").over(w), F.lit(0.0)).alias("s0"), F.sum("s").over(Window.partitionBy(F.lit(1))).alias("all"))
+def cumulative_share(df: DataFrame, value: str, key: str, order: str | None = None) -> DataFrame:
+    """df with rank by falling order (by default value; ties by key), cum, the
+    share of the total of value that ranks up to it hold, and n, the rows."""
+    rows = placed(df.withColumn("__neg", -F.col(order or value)), [], ["__neg", key], t=F.count(F.lit(1)), s=F.sum(value))
     inner = Window.partitionBy("__r").orderBy("__neg", key)
-    out = rows.join(F.broadcast(before), "__r").withColumns({"rank": F.col("t0") + F.row_number().over(inner), "cum": F.try_divide(F.col("s0") + F.sum(value).over(inner.rowsBetween(Window.unboundedPreceding, 0)), F.col("all"))})
-    return out.drop("__neg", "__r", "t0", "s0", "all")
+    held = F.col("before_s") + F.sum(value).over(inner.rowsBetween(Window.unboundedPreceding, 0))
+    out = rows.withColumns({"rank": F.col("before_t") + F.row_number().over(inner), "cum": F.try_divide(held, F.col("all_s")), "n": F.col("all_t")})
+    return out.drop("__neg", "__r", "before_t", "before_s", "all_t", "all_s")
 
 
 def permuted(df: DataFrame, col: str, key: str, seed: int) -> DataFrame:

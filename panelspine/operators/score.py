@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.metrics import weighted_mean
+from .ranks import placed
 
 
 def score_masked(df: DataFrame, metric: Column, weight: Column, test: Column, by: list[str] = (), **extra: Column) -> DataFrame:
@@ -56,12 +57,11 @@ def weighted_quantiles(df: DataFrame, by: list[str], value: str, weight: str, qs
     """by, q, value: interpolated at (cumulative weight - half weight) / total,
     clamped at the ends. Ties of value are one point with their summed weight."""
     points = df.where(f"{value} is not null and {weight} > 0").groupBy(*by, F.col(value).alias("v")).agg(F.sum(weight).alias("w"))
-    w = Window.partitionBy(*by).orderBy("v")
-    points = points.withColumn("at", (F.sum("w").over(w.rowsBetween(Window.unboundedPreceding, 0)) - F.col("w") / 2) / F.sum("w").over(Window.partitionBy(*by)))
-    points = points.withColumns({"at0": F.lag("at").over(w), "v0": F.lag("v").over(w), "last": F.lead("v").over(w).isNull()})
+    points = placed(points, by, ["v"], w=F.sum("w"))
+    inner = Window.partitionBy(*by, "__r").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    points = points.select(*by, ((F.col("before_w") + F.sum("w").over(inner) - F.col("w") / 2) / F.col("all_w")).alias("at"), "v")
     rows = points.select("*", F.explode(F.array(*map(F.lit, qs))).alias("q"))
-    inside = rows.where("at0 < q and q <= at").withColumn("value", F.col("v0") + (F.col("v") - F.col("v0")) * (F.col("q") - F.col("at0")) / (F.col("at") - F.col("at0")))
-    low = rows.where("at0 is null and q <= at").withColumn("value", F.col("v"))
-    high = rows.where("last and q > at").withColumn("value", F.col("v"))
-    out = [*by, "q", "value"]
-    return inside.select(*out).union(low.select(*out)).union(high.select(*out))
+    point = F.struct("at", "v")
+    near = rows.groupBy(*by, "q").agg(F.max(F.when(F.col("at") < F.col("q"), point)).alias("lo"), F.min(F.when(F.col("at") >= F.col("q"), point)).alias("hi"))
+    part = (F.col("q") - F.col("lo.at")) / (F.col("hi.at") - F.col("lo.at"))
+    return near.select(*by, "q", F.when(F.col("lo").isNull(), F.col("hi.v")).when(F.col("hi").isNull(), F.col("lo.v")).otherwise(F.col("lo.v") + (F.col("hi.v") - F.col("lo.v")) * part).alias("value"))

@@ -94,7 +94,7 @@ query("a32_leader_by_count", lambda t: lead(t, n_rows()), _lead_sql("count(*)"),
 query("a32_leader_by_size", lambda t: lead(t, F.sum("size")), _lead_sql("sum(size)"), "share")
 query("a33_leader_disagreement", lambda t: lead(t, n_rows()).select("place", F.col("leader").alias("a")).join(lead(t, F.sum("size")).select("place", F.col("leader").alias("b")), "place").agg(n_rows().alias("places"), F.count_if(F.col("a") != F.col("b")).alias("differ")),
     f"SELECT count(*) AS places, count(*) FILTER (a.leader <> b.leader) AS differ FROM ({_lead_sql('count(*)')}) a JOIN ({_lead_sql('sum(size)')}) b USING (place)")
-query("a34_above_threshold", lambda t: t.records.agg(*[(F.sum(F.when(F.col("size") >= t.records.agg(F.percentile("size", F.lit(0.99))).first()[0], F.col("size"))) / F.sum("size")).alias("share")]), "SELECT sum(size) FILTER (size >= (SELECT quantile_cont(size, 0.99) FROM records)) / sum(size) AS share FROM records", "share")
+query("a34_above_threshold", lambda t: K.with_quantiles(t.records.select("size"), "size", [0.99]).agg((F.sum(F.when(F.col("size") >= F.col("q")[0], F.col("size"))) / F.sum("size")).alias("share")), "SELECT sum(size) FILTER (size >= (SELECT quantile_cont(size, 0.99) FROM records)) / sum(size) AS share FROM records", "share")
 query("a35_concentration", lambda t: D.concentration(t.acres, ["place", "season_idx"], "size_total").groupBy((F.col("season_idx") % 4).alias("ord")).agg(F.avg("hhi").alias("hhi"), F.avg("top").alias("top")), "SELECT season_idx % 4 AS ord, avg(hhi) AS hhi, avg(top) AS top FROM (SELECT place, season_idx, sum(size_total * size_total) / nullif(sum(size_total) ** 2, 0) AS hhi, max(size_total) / nullif(sum(size_total), 0) AS top FROM acres GROUP BY ALL) GROUP BY ALL", "hhi top")
 query("a36_summary", lambda t: D.summary(t.records, "size"), "SELECT count(size) AS n, avg(size) AS mean, stddev_samp(size) AS std, min(size) AS low, " + ", ".join(f"quantile_cont(size, {q}) AS p{int(q * 100)}" for q in (0.1, 0.25, 0.5, 0.75, 0.9)) + ", max(size) AS high FROM records", "mean std low p10 p25 p50 p75 p90 high")
 query("a37_category_by_year", lambda t: D.shares(C.collapse_tail(t.records.where(~flag()), "category", 2), ["season_year"], "category", F.sum("size")),
@@ -268,9 +268,18 @@ def confidence(t):
 
 query("m15_confidence_signal", lambda t: K.spearman(confidence(t), "sd", "err"), rho_sql(_CONF, "sd", "err"), "rho")
 query("m15_confidence_within_season", lambda t: K.spearman(confidence(t), "sd", "err", ["season"]).where("n >= 20"), f"SELECT * FROM ({rho_sql(_CONF, 'sd', 'err', 'season')}) WHERE n >= 20", "rho")
-query("m16_confidence_buckets", lambda t: confidence(t).withColumn("bucket", K.quartile_bucket(confidence(t), "sd")).groupBy("bucket").agg(n_rows().alias("n"), F.avg("err").alias("mean"), X.weighted_mean(F.col("err"), F.col("total")).alias("weighted"), F.percentile("err", F.lit(0.1)).alias("p10"), F.max("err").alias("worst")), f"SELECT CASE WHEN sd <= a[1] THEN 1 WHEN sd <= a[2] THEN 2 WHEN sd <= a[3] THEN 3 ELSE 4 END AS bucket, count(*) AS n, avg(err) AS mean, sum(err * total) / sum(total) AS weighted, quantile_cont(err, 0.1) AS p10, max(err) AS worst FROM ({_CONF}), (SELECT quantile_cont(sd, [0.25, 0.5, 0.75]) AS a FROM ({_CONF})) GROUP BY ALL", "mean weighted p10 worst")
+
+
+def _confidence_buckets(t):
+    rows = K.quartile_bucket(confidence(t).select("sd", "err", "total"), "sd")
+    sums = rows.groupBy("bucket").agg(n_rows().alias("n"), F.avg("err").alias("mean"), X.weighted_mean(F.col("err"), F.col("total")).alias("weighted"), F.max("err").alias("worst"))
+    return sums.join(K.quantiles(rows, "err", [0.1], ["bucket"]).select("bucket", F.col("q")[0].alias("p10")), "bucket")
+
+
+query("m16_confidence_buckets", _confidence_buckets, f"SELECT CASE WHEN sd <= a[1] THEN 1 WHEN sd <= a[2] THEN 2 WHEN sd <= a[3] THEN 3 ELSE 4 END AS bucket, count(*) AS n, avg(err) AS mean, sum(err * total) / sum(total) AS weighted, quantile_cont(err, 0.1) AS p10, max(err) AS worst FROM ({_CONF}), (SELECT quantile_cont(sd, [0.25, 0.5, 0.75]) AS a FROM ({_CONF})) GROUP BY ALL", "mean weighted p10 worst")
 _CAL = f"SELECT p, log_total AS y, {BUCKET.format(q=20)} AS stratum FROM (SELECT persist_total AS p, log_total, row_number() OVER (ORDER BY persist_total, cell::VARCHAR || ':' || season_idx::VARCHAR) AS r, count(*) OVER () AS n FROM ({HEX}) WHERE persist_total IS NOT NULL AND season_idx >= 16)"
-query("m17_calibration", lambda t: K.first_ranks(hex_panel(t).where("persist_total is not null and season_idx >= 16").select(F.concat_ws(":", "cell", "season_idx").alias("key"), F.col("persist_total").alias("p"), F.col("log_total").alias("y")), "p", "key").withColumn("stratum", K.equal_count_bucket(F.col("rank"), F.col("n"), 20)).groupBy("stratum").agg(n_rows().alias("n"), F.avg("p").alias("predicted"), F.avg("y").alias("actual"), F.avg((F.col("y") <= -4).cast("double")).alias("zeros")))
+query("m17_calibration", lambda t: K.first_ranks(hex_panel(t).where("persist_total is not null and season_idx >= 16").select(F.concat_ws(":", "cell", "season_idx").alias("key"), F.col("persist_total").alias("p"), F.col("log_total").alias("y")), "p", "key").withColumn("stratum", K.equal_count_bucket(F.col("rank"), F.col("n"), 20)).groupBy("stratum").agg(n_rows().alias("n"), F.avg("p").alias("predicted"), F.avg("y").alias("actual"), F.avg((F.col("y") <= -4).cast("double")).alias("zeros")),
+    f"SELECT stratum, count(*) AS n, avg(p) AS predicted, avg(y) AS actual, avg((y <= -4)::INT) AS zeros FROM ({_CAL}) GROUP BY ALL", "predicted actual zeros")
 query("m21_uniform_and_persistence", lambda t: start_forecast(t).where("p is not null and season_idx >= 16").agg(F.avg(F.abs(F.col("p") - F.col("y"))).alias("persistence"), F.avg(F.abs(F.lit(t.starts.where("season_idx < 16").agg(F.avg("starts_total")).first()[0]) - F.col("y"))).alias("uniform")), f"SELECT avg(abs(p - y)) AS persistence, avg(abs((SELECT avg(starts_total) FROM starts WHERE season_idx < 16) - y)) AS uniform FROM (SELECT season_idx, starts_total AS y, avg(starts_total) {CELLS.format(k=3)} AS p FROM starts) WHERE p IS NOT NULL AND season_idx >= 16", "persistence uniform")
 query("m24_predictor_agreement", lambda t: R.global_prior(tier1_forecast(t), ["human", "natural", "unknown"], F.col("season_year") < CFG.test_start).where("season_year >= 1999 and p_human is not null").agg(F.avg(X.tvd([F.col(f"p_{c}") for c in ("human", "natural", "unknown")], [F.col(f"prior_{c}") for c in ("human", "natural", "unknown")])).alias("distance")), f"SELECT avg(0.5 * (abs(ph - gh) + abs(pn - gn) + abs(pu - gu))) AS distance FROM ({_P7}), ({_PRIOR}) WHERE season_year >= 1999 AND ph IS NOT NULL", "distance")
 query("m15_confidence_shuffles", lambda t: K.shuffled_scores(confidence(t).withColumn("key", F.concat_ws(":", "place", "season_idx")), "sd", "err", "key", 200))

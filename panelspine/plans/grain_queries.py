@@ -11,6 +11,7 @@ from ..operators import clean as C
 from ..operators import grain as G
 from ..operators import joins as J
 from ..operators import score as R
+from ..operators.ranks import with_quantiles
 from .bindings import CFG, CLASS
 from .registry import query
 
@@ -201,7 +202,7 @@ query("t02_largest", lambda t: t.records.orderBy(F.col("size").desc(), "id").lim
 query("t03_argmax_row", lambda t: t.records.groupBy("place").agg(F.max_by("id", F.struct("size", -F.col("id"))).alias("id")), "SELECT place, arg_max(id, (size, -id)) AS id FROM records GROUP BY ALL")
 query(
     "t07_nearest_median",
-    lambda t: t.records.where("place = 'NATION_3'").select("id", F.abs(F.col("size") - t.records.where("place = 'NATION_3'").agg(F.median("size")).first()[0]).alias("d")).orderBy("d", "id").limit(1),
+    lambda t: with_quantiles(t.records.where("place = 'NATION_3'").select("id", "size"), "size", [0.5]).select("id", F.abs(F.col("size") - F.col("q")[0]).alias("d")).orderBy("d", "id").limit(1),
     "SELECT id, abs(size - (SELECT median(size) FROM records WHERE place = 'NATION_3')) AS d FROM records WHERE place = 'NATION_3' ORDER BY d, id LIMIT 1",
     "d",
 )

@@ -96,7 +96,7 @@ query(
 )
 query(
     "w09_value_quartiles",
-    lambda t: t.tier1.select("place", "season_idx", K.quartile_bucket(t.tier1, "human").alias("quartile")),
+    lambda t: K.quartile_bucket(t.tier1.select("place", "season_idx", "human"), "human", "quartile").drop("human"),
     "SELECT place, season_idx, (CASE WHEN human <= a[1] THEN 1 WHEN human <= a[2] THEN 2 WHEN human <= a[3] THEN 3 ELSE 4 END)::INT AS quartile FROM tier1, (SELECT quantile_cont(human, [0.25, 0.5, 0.75]) AS a FROM tier1)",
 )
 query(
@@ -216,14 +216,18 @@ query("m12_marginal_signal", lambda t: K.spearman(t.tier1.where(_test() & (F.col
 query("m14_shuffled_null", lambda t: K.spearman(K.permuted(start_forecast(t).where("p is not null and season_idx >= 16").withColumn("key", F.concat_ws(":", "cell", "season_idx")), "p", "key", 11), "y", "p_permuted"))
 query("a54_cross_place_correlation", lambda t: t.tier1.groupBy("place").agg(F.avg("unknown").alias("u"), F.avg("natural").alias("v")).agg(K.guarded_corr("u", "v").alias("pearson")), 'SELECT corr(u, v) AS pearson FROM (SELECT place, avg(unknown) AS u, avg("natural") AS v FROM tier1 GROUP BY ALL)', "pearson")
 query("a54_cross_place_rank_correlation", lambda t: K.spearman(t.tier1.groupBy("place").agg(F.avg("unknown").alias("u"), F.avg("natural").alias("v")), "u", "v"), rho_sql('SELECT place, avg(unknown) AS u, avg("natural") AS v FROM tier1 GROUP BY ALL', "u", "v"), "rho")
-query("a34_concentration", lambda t: K.cumulative_share(t.records.select("id", "size"), "size", "id").agg(*[F.max(F.when(F.col("rank") <= F.greatest(F.lit(1), F.lit(int(t.records.count() * p))), F.col("cum"))).alias(f"top{int(p * 100)}") for p in (0.01, 0.05, 0.1)]),
+query("a34_concentration", lambda t: K.cumulative_share(t.records.select("id", "size"), "size", "id").agg(*[F.max(F.when(F.col("rank") <= F.greatest(F.lit(1), F.floor(F.col("n") * p)), F.col("cum"))).alias(f"top{int(p * 100)}") for p in (0.01, 0.05, 0.1)]),
     "SELECT " + ", ".join(f"sum(size) FILTER (r <= greatest(1, floor(n * {p}))) / sum(size) AS top{int(p * 100)}" for p in (0.01, 0.05, 0.1)) + " FROM (SELECT size, row_number() OVER (ORDER BY size DESC, id) AS r, count(*) OVER () AS n FROM records)", "top1 top5 top10")
 
 
 def deciles(t, surface="cond_total"):
     rows = hex_panel(t).where(f"size_total > 0 and {surface} is not null and season_idx >= 16").select(F.concat_ws(":", "cell", "season_idx").alias("key"), "size_total", "log_total", F.col(surface).alias("p"))
     ranked = K.first_ranks(rows, "size_total", "key").withColumn("decile", K.equal_count_bucket(F.col("rank"), F.col("n"), 10))
-    return ranked.groupBy("decile").agg(F.count(F.lit(1)).alias("cells"), F.median("size_total").alias("mid_size"), F.pow(F.lit(10.0), F.median(F.abs(F.col("p") - F.col("log_total")))).alias("times_off"), F.median(F.col("p") - F.col("log_total")).alias("direction"))
+    ranked = ranked.select("decile", "size_total", (F.col("p") - F.col("log_total")).alias("d"), F.abs(F.col("p") - F.col("log_total")).alias("off"))
+    out = ranked.groupBy("decile").agg(F.count(F.lit(1)).alias("cells"))
+    for value, name, shown in (("size_total", "mid_size", F.col("q")[0]), ("off", "times_off", F.pow(F.lit(10.0), F.col("q")[0])), ("d", "direction", F.col("q")[0])):
+        out = out.join(K.quantiles(ranked, value, [0.5], ["decile"]).select("decile", shown.alias(name)), "decile")
+    return out
 
 
 query("a58_error_by_decile", deciles, f"SELECT {BUCKET.format(q=10)} AS decile, count(*) AS cells, median(size_total) AS mid_size, pow(10, median(abs(p - log_total))) AS times_off, median(p - log_total) AS direction FROM (SELECT size_total, log_total, cond_total AS p, row_number() OVER (ORDER BY size_total, cell::VARCHAR || ':' || season_idx::VARCHAR) AS r, count(*) OVER () AS n FROM ({HEX}) WHERE size_total > 0 AND cond_total IS NOT NULL AND season_idx >= 16) GROUP BY 1", "mid_size times_off direction")
@@ -241,9 +245,7 @@ query("t05_siting_ranking", lambda t: siting(t).orderBy(F.col("pred").desc(), "c
 
 def capture(t):
     """For each target, the smallest prefix of the ranking that reaches it."""
-    w = Window.orderBy(F.col("pred").desc(), "cell")  # the cells of one place
-    all_ = Window.partitionBy(F.lit(1))
-    s = siting(t).withColumns({"rank": F.row_number().over(w), "cells": F.count(F.lit(1)).over(all_), "cum": F.try_divide(F.sum("actual").over(w.rowsBetween(Window.unboundedPreceding, 0)), F.sum("actual").over(all_))})
+    s = K.cumulative_share(siting(t), "actual", "cell", "pred").withColumnRenamed("n", "cells")
     s = s.select("*", F.explode(F.array(F.lit(0.3), F.lit(0.6), F.lit(0.9))).alias("target")).where("cum >= target - 1e-12")
     out = s.groupBy("target").agg(F.min("rank").alias("n_cells"), F.first("cells").alias("cells"), F.min("cum").alias("captured"))
     return out.withColumns({"ground": F.col("n_cells") / F.col("cells")}).withColumn("lift", F.col("captured") / F.col("ground"))

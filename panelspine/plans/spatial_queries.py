@@ -12,6 +12,7 @@ from ..operators import joins as J
 from ..operators import learn as L
 from ..operators import spatial as P
 from ..operators import trailing as T
+from ..operators.ranks import with_quantiles
 from ..sources import artifacts as A
 from .bindings import CFG
 from .describe_queries import _CONF, _H7, confidence, human_forecast
@@ -132,7 +133,7 @@ def _csv(t):
 query("s09_csv_round_trip", _csv, "SELECT place, season, count(*) AS n FROM records GROUP BY ALL")
 query(
     "m16_steady_but_wrong",
-    lambda t: confidence(t).where(F.col("sd") <= confidence(t).agg(F.percentile("sd", F.lit(0.25))).first()[0]).where("err > 0.2").select("place", "season_idx", "sd", "err"),
+    lambda t: with_quantiles(confidence(t).select("place", "season_idx", "sd", "err"), "sd", [0.25]).where("sd <= q[0] and err > 0.2").drop("q"),
     f"SELECT place, season_idx, sd, err FROM ({_CONF.replace('SELECT season,', 'SELECT place, season_idx,')}) WHERE sd <= (SELECT quantile_cont(sd, 0.25) FROM ({_CONF})) AND err > 0.2",
     "sd err",
 )
@@ -146,9 +147,8 @@ query(
 
 def _steadiness(t):
     h = human_forecast(t).where("season_year >= 1999 and sd is not null")
-    lo, hi = h.agg(F.percentile("sd", F.array(F.lit(0.25), F.lit(0.75)))).first()[0]
-    band = F.when(F.col("sd") <= lo, "steady").when(F.col("sd") >= hi, "volatile").otherwise("middle")
-    return h.groupBy(band.alias("band")).agg(F.count(F.lit(1)).alias("n"), X.weighted_mean(F.abs(F.col("p0") - F.col("h0")), F.col("human_size")).alias("weighted"))
+    band = F.when(F.col("sd") <= F.col("q")[0], "steady").when(F.col("sd") >= F.col("q")[1], "volatile").otherwise("middle")
+    return with_quantiles(h, "sd", [0.25, 0.75]).groupBy(band.alias("band")).agg(F.count(F.lit(1)).alias("n"), X.weighted_mean(F.abs(F.col("p0") - F.col("h0")), F.col("human_size")).alias("weighted"))
 
 
 # learned rungs
