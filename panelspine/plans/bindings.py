@@ -53,6 +53,15 @@ class Tables:
         """Records with gaps in their series."""
         return self.records.where("agency = 'F' and state = 'BUILDING'")
 
+    @cached_property
+    def kept(self) -> DataFrame:
+        """Records after the exclusion of a state and an agency."""
+        return self.records.where("NOT (state = 'MACHINERY' OR agency = 'P')")
+
+    @cached_property
+    def kept_grain(self) -> DataFrame:
+        return cell_category(self.kept, CFG)
+
     @cached_property
     def grain(self) -> DataFrame:
         return cell_category(self.records, CFG)
@@ -132,6 +141,15 @@ def _dense(prefix: str, value: str) -> str:
     return _DENSE.format(cols=f"{named}, {' + '.join(cols)} AS {prefix}total", sums=sums)
 
 
+_TIER1 = """
+    SELECT place, season, season_idx, season_year, human / total AS human, natural_ / total AS "natural", miss / total AS unknown, total, log10(total) AS log_total,
+      n, log10(total / n) AS log_mean_size
+    FROM (SELECT place, season, season_idx, season_year, sum(CASE WHEN """ + CLASS + """ = 'Human' THEN size ELSE 0 END) AS human,
+        sum(CASE WHEN """ + CLASS + """ = 'Natural' THEN size ELSE 0 END) AS natural_, max(missing_size) AS miss, sum(size) + max(missing_size) AS total,
+        (sum(n) + max(missing_n))::BIGINT AS n
+      FROM {grain} WHERE season_idx NOT IN (0, 26) GROUP BY ALL) WHERE total > 0"""
+
+
 #: In order of dependence.
 VIEWS = {
     "raw": """
@@ -142,15 +160,12 @@ VIEWS = {
     SELECT *, (['DJF', 'MAM', 'JJA', 'SON'])[(month(date) % 12) // 3 + 1] AS season, (year(date) + (month(date) = 12)::INT)::INT AS season_year,
       ((year(date) + (month(date) = 12)::INT - 1995) * 4 + (month(date) % 12) // 3)::INT AS season_idx FROM raw""",
     "sparse": "SELECT * FROM records WHERE agency = 'F' AND state = 'BUILDING'",
+    "kept": "SELECT * FROM records WHERE NOT (state = 'MACHINERY' OR agency = 'P')",
     "grain": _GRAIN.format(r="records"),
+    "kept_grain": _GRAIN.format(r="kept"),
     "sparse_grain": _GRAIN.format(r="sparse"),
-    "tier1": f"""
-    SELECT place, season, season_idx, season_year, human / total AS human, natural_ / total AS "natural", miss / total AS unknown, total, log10(total) AS log_total,
-      n, log10(total / n) AS log_mean_size
-    FROM (SELECT place, season, season_idx, season_year, sum(CASE WHEN {CLASS} = 'Human' THEN size ELSE 0 END) AS human,
-        sum(CASE WHEN {CLASS} = 'Natural' THEN size ELSE 0 END) AS natural_, max(missing_size) AS miss, sum(size) + max(missing_size) AS total,
-        (sum(n) + max(missing_n))::BIGINT AS n
-      FROM grain WHERE season_idx NOT IN (0, 26) GROUP BY ALL) WHERE total > 0""",
+    "tier1": _TIER1.format(grain="grain"),
+    "kept_tier1": _TIER1.format(grain="kept_grain"),
     "human": """
     SELECT place, season, season_idx, season_year, a / s AS h0, b / s AS h1, c / s AS h2, s AS human_size
     FROM (SELECT place, season, season_idx, season_year, sum(size) FILTER (category = '2-HIGH') AS a, sum(size) FILTER (category = '3-MEDIUM') AS b,

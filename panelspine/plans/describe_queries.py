@@ -14,6 +14,8 @@ from ..operators import grain as G
 from ..operators import ranks as K
 from ..operators import score as R
 from ..operators import trailing as T
+from ..operators.grain import composition
+from ..operators.roster import roster, roster_sql
 from .bindings import CFG, CLASS
 from .grain_queries import MISS
 from .panel_queries import BUCKET, CELLS, HEX, LAST, hex_panel, rho_sql, start_forecast, tier1_forecast
@@ -213,23 +215,16 @@ query("a63_fingerprint", lambda t: V.fingerprint(t.records))
 
 
 def contract(t):
-    return V.checks(
-        [
-            ("grain_key", V.key_violations(t.grain, ["place", "season_idx", "category"])),
-            ("share_bounds", V.bound_violations(t.grain, "share", 0, 1)),
-            ("shares_sum", G.share_violations(t.grain)),
-            ("missing_bounds", V.bound_violations(t.grain, "missing_frac", 0, 1)),
-            ("constant_in_cell", G.varying_cells(t.grain, ["missing_size"])),
-            ("parts_sum", t.starts.where("starts_natural + starts_human + starts_unknown <> starts_total")),
-            ("dense_rows", t.starts.groupBy("cell").count().where(f"count <> {CFG.last_idx + 1}")),
-            ("season_of_index", t.records.where("season_year <> 1995 + floor(season_idx / 4)")),
-            ("partial_gone", t.tier1.where(F.col("season_idx").isin(*CFG.partial_seasons))),
-            ("composition_sum", t.tier1.where("abs(human + natural + unknown - 1) > 1e-9")),
-        ]
-    )
-
-
-query("a65_validation_roster", contract, "SELECT unnest(['grain_key', 'share_bounds', 'shares_sum', 'missing_bounds', 'constant_in_cell', 'parts_sum', 'dense_rows', 'season_of_index', 'partial_gone', 'composition_sum']) AS name, 0::BIGINT AS violations")
+    """All records, so the two checks of the exclusion find what P1 would drop."""
+    return roster(t.records, t.grain, t.tier1, t.starts, CFG)
+
+
+query("a65_validation_roster", contract, roster_sql(CFG))
+query(
+    "a65_roster_after_exclusion",
+    lambda t: roster(t.kept, t.kept_grain, composition(t.kept_grain, CFG, with_counts=True), t.starts, CFG),
+    roster_sql(CFG, "kept", "kept_grain", "kept_tier1"),
+)
 query("a64_structure", lambda t: t.starts.agg(n_rows().alias("rows"), F.countDistinct("cell", "season_idx").alias("keys"), F.min("season_idx").alias("lo"), F.max("season_idx").alias("hi")), "SELECT count(*) AS rows, count(DISTINCT (cell, season_idx)) AS keys, min(season_idx) AS lo, max(season_idx) AS hi FROM starts")
 
 # predictors and their comparison
@@ -248,7 +243,15 @@ _PRIOR = 'SELECT avg(human) AS gh, avg("natural") AS gn, avg(unknown) AS gu FROM
 _THREE = f"""SELECT predictor, tvd, total FROM (SELECT total, 0.5 * (abs(ph - human) + abs(pn - "natural") + abs(pu - unknown)) AS history, 0.5 * (abs(gh - human) + abs(gn - "natural") + abs(gu - unknown)) AS prior,
   0.5 * (abs(1 / 3 - human) + abs(1 / 3 - "natural") + abs(1 / 3 - unknown)) AS even FROM ({_P7}), ({_PRIOR}) WHERE season_year >= 1999 AND ph IS NOT NULL) UNPIVOT (tvd FOR predictor IN (history, prior, even))"""
 query("m05_three_predictors", lambda t: three_predictors(t).groupBy("predictor").agg(n_rows().alias("n"), F.avg("tvd").alias("plain"), X.weighted_mean(F.col("tvd"), F.col("total")).alias("weighted")), f"SELECT predictor, count(*) AS n, avg(tvd) AS plain, sum(tvd * total) / sum(total) AS weighted FROM ({_THREE}) GROUP BY ALL", "plain weighted")
-query("m05_error_quantiles", lambda t: R.weighted_quantiles(three_predictors(t), ["predictor"], "tvd", "total", [0.25, 0.5, 0.75]))
+_POINTS = f"SELECT predictor, v, (sum(w) OVER (PARTITION BY predictor ORDER BY v) - w / 2) / sum(w) OVER (PARTITION BY predictor) AS pos FROM (SELECT predictor, round(tvd, 12) AS v, sum(total) AS w FROM ({_THREE}) GROUP BY ALL)"
+query(
+    "m05_error_quantiles",
+    lambda t: R.weighted_quantiles(three_predictors(t).withColumn("tvd", F.round("tvd", 12)), ["predictor"], "tvd", "total", [0.25, 0.5, 0.75]),
+    f"""SELECT predictor, q, CASE WHEN lo IS NULL THEN hi.v WHEN hi IS NULL THEN lo.v ELSE lo.v + (hi.v - lo.v) * (q - lo.pos) / (hi.pos - lo.pos) END AS value
+    FROM (SELECT predictor, q, max({{'pos': pos, 'v': v}}) FILTER (pos < q) AS lo, min({{'pos': pos, 'v': v}}) FILTER (pos >= q) AS hi
+      FROM ({_POINTS}), (SELECT unnest([0.25, 0.5, 0.75])::DOUBLE AS q) GROUP BY ALL)""",
+    "value",
+)
 _H7 = "SELECT *, " + ", ".join(f"avg(h{i}) {LAST.format(k=7)} AS p{i}" for i in range(3)) + f", stddev_samp(h0) {LAST.format(k=7)} AS sd FROM human"
 
 
