@@ -34,7 +34,9 @@ def op3_reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack_documents(fetch(spark, sf_dir, "documents"))
+    import public_tokenizers
+
+    return pack_documents(fetch(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
