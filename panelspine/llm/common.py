@@ -71,6 +71,23 @@ def is_held_out(doc_id):
     return fold_of(doc_id) == 2
 
 
+def bounded_texts(rows: DataFrame, label: str, most_chars: int) -> list[tuple]:
+    """Sorted (label, text) of few rows (doc_id, label, text), taken by ascending
+    id hash until most_chars characters are reached: lengths are looked at
+    before any text comes to the driver."""
+    sizes = rows.select("doc_id", label, F.length("text").alias("n")).orderBy(F.xxhash64("doc_id"), "doc_id", label).collect()
+    keep, size = [], 0
+    for r in sizes:
+        if size + r["n"] <= most_chars:
+            keep.append((r["doc_id"], r[label]))
+            size += r["n"]
+    if len(keep) < len(sizes):
+        kinds = dict(rows.dtypes)
+        wanted = rows.sparkSession.createDataFrame(keep, f"chosen {kinds['doc_id']}, of {kinds[label]}")
+        rows = rows.join(F.broadcast(wanted), F.col("doc_id").eqNullSafe(F.col("chosen")) & (F.col(label) == F.col("of")), "left_semi")
+    return sorted((r[label], r["text"]) for r in rows.select(label, "text").collect())
+
+
 def text_slices(texts: list[str], max_chars: int = 1_500_000) -> Iterator[tuple[int, int]]:
     """Ranges of consecutive rows with about max_chars characters at most; a
     longer text has a range of its own. Bounds memory, drops nothing."""

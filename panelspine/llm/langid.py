@@ -16,13 +16,14 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import is_held_out, text_slices
+from .common import bounded_texts, is_held_out, stored, text_slices
 from .words import GOLDEN, coded, mix
 
 WORD = re.compile(r"[^\W\d_]+")
@@ -102,17 +103,34 @@ def spans(pieces: Pieces, chars: np.ndarray) -> Iterator[tuple[int, int, np.ndar
 
 
 def forward(pieces: Pieces, prob: np.ndarray, chars: np.ndarray) -> np.ndarray:
-    """log of the words' probabilities, (words, languages). prob: (pieces + 1, languages), the last row 0."""
+    """log of the words' probabilities, (words, languages). prob: (pieces + 1,
+    languages), the last row 0. Sums are scaled at each place by their largest
+    language, and the scale is kept as a logarithm, so that long words that no
+    piece covers still tell languages apart."""
     n, m = chars.shape
     alpha = np.zeros((n + 1, m, prob.shape[1]))
     alpha[0] = 1.0
+    scale = np.zeros((n + 1, m))  # the true sum is alpha * exp(scale)
+    at = 1
     for start, end, ids in spans(pieces, chars):
+        if end > at:
+            _rescale(alpha, scale, at)
+            at = end
+            scale[end] = scale[end - 1]
         known = np.nonzero(ids < len(pieces.pieces))[0]
         if len(known):
-            alpha[end, known] += alpha[start, known] * prob[ids[known]]
+            alpha[end, known] += alpha[start, known] * prob[ids[known]] * np.exp(scale[start, known] - scale[end, known])[:, None]
         if start == end - 1:
-            alpha[end] += alpha[start] * UNKNOWN
-    return np.log(np.maximum(alpha[n], 1e-300))
+            alpha[end] += alpha[start] * UNKNOWN * np.exp(scale[start] - scale[end])[:, None]
+    if n:
+        _rescale(alpha, scale, n)
+    return np.log(np.maximum(alpha[n], 1e-300)) + scale[n][:, None]
+
+
+def _rescale(alpha: np.ndarray, scale: np.ndarray, at: int) -> None:
+    top = np.maximum(alpha[at].max(axis=1, initial=0.0), 1e-300)
+    alpha[at] /= top[:, None]
+    scale[at] += np.log(top)
 
 
 class Model:
@@ -193,28 +211,36 @@ def vocabulary_of(path: str) -> list[str]:
     return sorted({p for p in pieces if WORD.fullmatch(p.removeprefix(START)) or p == START})
 
 
-def training_rows(docs: DataFrame, per_language: int, lang_col: str = "lang") -> list[tuple[str, str]]:
-    """At most per_language labelled documents of each language outside the
-    held-out fold, those of least id hash; their ids are chosen first, so only
-    the chosen texts move."""
-    named = docs.where(F.col(lang_col).isNotNull() & F.col("text").isNotNull() & ~is_held_out(F.col("doc_id")))
-    order = Window.partitionBy("lang").orderBy("h", "doc_id")
-    ids = named.select(F.col(lang_col).alias("lang"), F.xxhash64("doc_id").alias("h"), "doc_id")
-    ids = ids.withColumn("r", F.row_number().over(order)).where(F.col("r") <= per_language).select("doc_id").distinct()
-    rows = named.join(F.broadcast(ids), "doc_id", "left_semi").select(F.col(lang_col).alias("lang"), "text")
-    return sorted((r["lang"], r["text"]) for r in rows.collect())
-
-
-def identify(docs: DataFrame, vocabulary: str, *, per_language: int = 400) -> DataFrame:
+def training_rows(docs: DataFrame, per_language: int, most_languages: int, most_chars: int, lang_col: str = "lang") -> list[tuple[str, str]]:
+    """At most per_language documents of each of the most_languages most frequent
+    languages outside the held-out fold, those of least id hash, and of their
+    texts at most most_chars characters in all. Ids are chosen first, by a
+    bounded heap for each language, so only the chosen texts move; of rows of
+    one id and language the least text counts."""
+    lang = F.col(lang_col).cast("string")
+    named = docs.where(F.col(lang_col).isNotNull() & F.col("text").isNotNull() & ~is_held_out(F.col("doc_id"))).select("doc_id", lang.alias("lang"), F.col("text").cast("string").alias("text"))
+    top = named.groupBy("lang").count().orderBy(F.col("count").desc(), "lang").limit(most_languages).collect()
+    ids = [named.where(F.col("lang") == r["lang"]).select("lang", F.col("doc_id").alias("chosen")).distinct().orderBy(F.xxhash64("chosen"), "chosen").limit(per_language) for r in top]
+    if not ids:
+        return []
+    wanted = reduce(DataFrame.union, ids).withColumnRenamed("lang", "of")
+    rows = named.join(F.broadcast(wanted), F.col("doc_id").eqNullSafe(F.col("chosen")) & (F.col("lang") == F.col("of")), "left_semi")
+    return bounded_texts(stored(rows.groupBy("doc_id", "lang").agg(F.min("text").alias("text")), "learned"), "lang", most_chars)
+
+
+def identify(docs: DataFrame, vocabulary: str, *, per_language: int = 400, most_languages: int = 200, most_chars: int = 40_000_000) -> DataFrame:
     """doc_id, held_out, lang_pred, score for every row of docs (doc_id, text, lang).
 
-    Learns from the texts and languages of at most per_language rows of each
-    language (a documented bound: the model is small) whose id is not in the
-    held-out fold, and from nothing else. A null text or one without letters is
-    'und' with score 0, as is every text if no row has a language.
+    Learns from the texts and languages of at most per_language documents of each
+    of at most most_languages languages, and most_chars characters of them
+    (documented bounds: the model is small), whose id is not in the held-out
+    fold, and from nothing else. A null text or one without letters is 'und'
+    with score 0, as is every text if no row has a language. Texts of any length
+    are read whole; repeated rows are each returned; no rows: no rows; other
+    columns are not read.
     """
     spark = docs.sparkSession
-    model = spark.sparkContext.broadcast(fit(training_rows(docs, per_language), vocabulary_of(vocabulary)))
+    model = spark.sparkContext.broadcast(fit(training_rows(docs, per_language, most_languages, most_chars), vocabulary_of(vocabulary)))
     rows = docs.select("doc_id", is_held_out(F.col("doc_id")).alias("held_out"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, text_slices
+from .common import free_name, stored, text_slices
 from .words import coded
 
 SYMBOLS = "#*$%&|<>"
@@ -141,14 +141,18 @@ def quality_verdicts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     return out.select("doc_id", *COUNTS, base_failed().alias("base_failed"), (~base_failed() & F.col("host_failed").isNull()).alias("kept"))
 
 
-def keep_good(docs: DataFrame, *, text_col: str = "text", host_col: str = "source", most: float = 0.5) -> DataFrame:
+def keep_good(docs: DataFrame, *, text_col: str = "text", host_col: str = "source", most: float = 0.5, most_hosts: int = 1_000_000) -> DataFrame:
     """The rows of docs that quality_verdicts keeps, with all their columns.
 
-    The counts are made twice, once for the hosts and once to pass rows on, so
-    that no text is shuffled or stored.
+    A null or empty text has no words and goes; a null host gives no host
+    verdict; repeated rows each count and are each kept or dropped; texts of any
+    length are counted whole; no rows: no rows. The counts are made twice, once
+    for the hosts and once to pass rows on, so that no text is stored. Failed
+    hosts up to most_hosts reach the tasks as a set; more are joined to the rows,
+    salted, so that a host with a third of all rows is spread.
     """
     host = docs.select(F.col(host_col).alias("host"), F.col(text_col).alias("text"))
-    bad = failed_hosts(host_rates(_with_counts(host, ["host"], "text"), "host"), most)
+    bad = stored(failed_hosts(host_rates(_with_counts(host, ["host"], "text"), "host"), most), "failed-hosts")
     names = docs.columns
 
     def passing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,4 +164,9 @@ def keep_good(docs: DataFrame, *, text_col: str = "text", host_col: str = "sourc
                 good = (got["n_words"] >= 10) & (100 * got["n_repeat_words"] <= 20 * got["n_words"])
                 yield batch.slice(a, b - a).filter(pa.array(good))
 
-    return docs.mapInArrow(passing, docs.schema).join(bad.withColumnRenamed("host", host_col), host_col, "left_anti").select(*names)
+    kept = docs.mapInArrow(passing, docs.schema)
+    if bad.limit(most_hosts + 1).count() <= most_hosts:
+        return kept.join(F.broadcast(bad.withColumnRenamed("host", host_col)), host_col, "left_anti").select(*names)
+    part, salt = free_name(docs, "part"), 64
+    salted = bad.withColumnRenamed("host", host_col).withColumn(part, F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
+    return kept.withColumn(part, F.pmod(F.xxhash64(text_col), F.lit(salt)).cast("int")).join(salted, [host_col, part], "left_anti").select(*names)

@@ -14,10 +14,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import is_held_out, text_slices
+from .common import bounded_texts, is_held_out, stored, text_slices
 from .langid import matrix_of
 from .words import GOLDEN, coded, mix
 
@@ -127,13 +127,16 @@ def fit(rows: list[tuple[int, str]], *, table_rows: int = 1 << 18, dimensions: i
     return Model(table, out, bias, float(share))
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, per_label: int) -> list[tuple[int, str]]:
-    """At most per_label labelled documents of either label outside the held-out fold, by least id hash."""
-    named = labels.where(F.col("toxic").isin(0, 1) & ~is_held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    order = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = named.withColumn("r", F.row_number().over(order)).where(F.col("r") <= per_label).drop("r")
-    rows = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(ids), "doc_id")
-    return sorted((r["toxic"], r["text"]) for r in rows.select("toxic", "text").collect())
+def training_rows(docs: DataFrame, labels: DataFrame, per_label: int, most_chars: int) -> list[tuple[int, str]]:
+    """At most per_label labelled documents of either label outside the held-out
+    fold, by least id hash, and of their texts at most most_chars characters in
+    all. An id with both labels counts as 1; of rows of one id the least text
+    counts. Texts are taken by ascending hash until the characters are reached."""
+    named = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & ~is_held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    ids = [named.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_label) for y in (0, 1)]  # the least of every task, then of those
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).where("text is not null").join(F.broadcast(ids[0].union(ids[1])), "doc_id")
+    rows = stored(rows.groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("text").alias("text")), "labelled")
+    return bounded_texts(rows, "toxic", most_chars)
 
 
 def _odds(share: float) -> float:
@@ -146,15 +149,17 @@ def label_share(labels: DataFrame) -> float | None:
     return row if row and row < 1 else None
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, *, per_label: int = 1500, threshold: float = 0.3) -> DataFrame:
+def score_toxicity(docs: DataFrame, labels: DataFrame, *, per_label: int = 1500, most_chars: int = 40_000_000, threshold: float = 0.3) -> DataFrame:
     """doc_id, held_out, score, predicted for every row of docs.
 
-    Learns from at most per_label labelled rows of either label (a documented
-    bound) outside the held-out fold. A null or wordless text gets the score of
-    the bias alone; without labels every score is the least share, 0.001.
+    Learns from at most per_label labelled documents of either label and
+    most_chars characters of them (documented bounds) outside the held-out fold.
+    A null or wordless text gets the score of the bias alone; without labels
+    every score is the least share, 0.001. Texts of any length are scored whole;
+    repeated rows are each returned; no rows: no rows; other columns are not read.
     """
     spark = docs.sparkSession
-    fitted = fit(training_rows(docs, labels, per_label))
+    fitted = fit(training_rows(docs, labels, per_label, most_chars))
     share = label_share(labels)
     if share is not None and fitted.share is not None:
         fitted.bias[1] += _odds(share) - _odds(fitted.share)  # from the sample's share of label 1 to that of all labels
