@@ -17,23 +17,38 @@ from panelspine.llm.quality import keep_good
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the rules by themselves and by their host. Null and
+    empty texts go; a null source has no host verdict; repeated rows each stay
+    or go; no rows: no rows."""
     return keep_good(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate group, the least by id and text hash;
+    null ids come first; texts without words are one group; of repeated rows one
+    stays; no rows: no rows."""
     return keep_one(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a passage of benchmark. Null and empty texts stay, as do
+    all without items; repeated rows each stay or go; no rows: no rows."""
     return keep_clean(docs, fetch(spark, sf_dir, "benchmark"))
 
 
 def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, personal data replaced. Null texts stay null; repeated rows
+    give repeated results; no rows: no rows."""
     return replace_pii(docs, count_col=None)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pack_documents(docs)
+    """Where each document's token ids go: bin_id, bin_offset, doc_id, piece,
+    n_tokens. Null texts count as empty and take the token that ends a text;
+    repeated rows are each packed; no rows: no rows."""
+    import public_tokenizers
+
+    return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
 STAGES = [
