@@ -123,26 +123,37 @@ def cumulative_share(df: DataFrame, value: str, key: str, order: str | None = No
     return out.drop("__neg", "__r", "before_t", "before_s", "all_t", "all_s")
 
 
-def permuted(df: DataFrame, col: str, key: str, seed: int) -> DataFrame:
-    """df with col's values dealt anew over rows, by a keyed order: the same for
-    the same key and seed. Rows are matched by global rank."""
-    own = first_ranks(df.withColumn("__o", F.xxhash64(F.lit(seed), key).cast("double")), "__o", key).drop("__o", "n")
-    other = first_ranks(df.select(F.col(key).alias("__k"), F.col(col).alias("__v")).withColumn("__o", F.xxhash64(F.lit(seed + 1), "__k").cast("double")), "__o", "__k").select("rank", F.col("__v").alias(f"{col}_permuted"))
-    return own.join(other, "rank").drop("rank")
+#: Primes below 2**31, none of which divides a lesser number of rows.
+PRIMES = (2147483647, 2147483629, 2147483587, 2147483579, 2147483563, 2147483549, 2147483543, 2147483497, 2147483489, 2147483477)
+
+
+def affine(rank: Column, n: Column, seed: Column) -> Column:
+    """Another rank 1..n for each rank: a permutation for each seed. As n is no
+    multiple of the prime, rank times prime plus shift takes each remainder once."""
+    prime = F.element_at(F.array(*[F.lit(p).cast("long") for p in PRIMES]), (seed % len(PRIMES) + 1).cast("int"))
+    return F.pmod(rank * prime + seed * 7919, n) + 1
+
+
+def permuted(df: DataFrame, cols: list[str], key: str, seed: int) -> DataFrame:
+    """df with the values of cols dealt anew over rows, together, as *_permuted:
+    the same for the same keys and seed. Rows are ranked by key once."""
+    ranked = first_ranks(df.withColumn("__zero", F.lit(0)), "__zero", key).drop("__zero")
+    other = ranked.select(affine(F.col("rank"), F.col("n"), F.lit(seed)).alias("rank"), *[F.col(c).alias(f"{c}_permuted") for c in cols])
+    return ranked.join(other, "rank").drop("rank", "n")
 
 
 def shuffled_scores(df: DataFrame, a: str, b: str, key: str, times: int) -> DataFrame:
     """One row: the rank correlation of a and b, mean and deviation over times
-    keyed permutations of b, and how many deviations the real one is above.
+    permutations of b, and how many deviations the real one is above.
 
-    For scored cells of one panel: rows times permutations are made.
+    For scored cells of one panel: rows times permutations are made, but sorted once.
     """
     rows = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(F.col(key).alias("k"), F.col(a).alias("a"), F.col(b).alias("b"))
     ranked = rows.join(average_ranks(rows, "a").withColumnRenamed("rank", "ra"), "a").join(average_ranks(rows, "b").withColumnRenamed("rank", "rb"), "b").select("k", "ra", "rb")
-    seeded = ranked.withColumn("seed", F.explode(F.sequence(F.lit(1), F.lit(times))))
-    w = Window.partitionBy("seed")
-    own = seeded.withColumn("at", F.row_number().over(w.orderBy("k"))).select("seed", "at", "ra")
-    other = seeded.withColumn("at", F.row_number().over(w.orderBy(F.xxhash64("seed", "k"), "k"))).select("seed", "at", "rb")
+    placed_ = first_ranks(ranked.withColumn("zero", F.lit(0)), "zero", "k")
+    seeded = placed_.withColumn("seed", F.explode(F.sequence(F.lit(1), F.lit(times))))
+    own = seeded.select("seed", F.col("rank").alias("at"), "ra")
+    other = seeded.select("seed", affine(F.col("rank"), F.col("n"), F.col("seed")).alias("at"), "rb")
     null = own.join(other, ["seed", "at"]).groupBy("seed").agg(guarded_corr("ra", "rb").alias("rho"))
     null = null.agg(F.avg("rho").alias("null_mean"), F.stddev_samp("rho").alias("null_std"))
     real = ranked.agg(F.count(F.lit(1)).alias("n"), guarded_corr("ra", "rb").alias("rho"))

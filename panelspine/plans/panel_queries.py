@@ -213,7 +213,21 @@ query("m23_magnitude_scores", lambda t: K.spearman(hex_panel(t).where("size_tota
 query("m23_occurrence_scores", lambda t: K.spearman(hex_panel(t).where("season_idx >= 16").withColumn("any", (F.col("size_total") > 0).cast("int")), "any", "persist_total", ["ord"]), rho_sql(f"SELECT ord, (size_total > 0)::INT AS y, persist_total AS p FROM ({HEX}) WHERE season_idx >= 16", "y", "p", "ord"), "rho")
 query("m12_marginal_signal", lambda t: K.spearman(t.tier1.where(_test() & (F.col("season") == "JJA")).select("human", F.explode(F.array(*[F.struct(F.lit(c).alias("covariate"), F.col(c).cast("double").alias("v")) for c in ("log_total", "n", "log_mean_size")])).alias("r")).select("human", "r.*"), "human", "v", ["covariate"]),
     rho_sql("UNPIVOT (SELECT human, log_total, n::DOUBLE AS n, log_mean_size FROM tier1 WHERE season_year >= 1999 AND season = 'JJA') ON log_total, n, log_mean_size INTO NAME covariate VALUE v", "human", "v", "covariate"), "rho")
-query("m14_shuffled_null", lambda t: K.spearman(K.permuted(start_forecast(t).where("p is not null and season_idx >= 16").withColumn("key", F.concat_ws(":", "cell", "season_idx")), "p", "key", 11), "y", "p_permuted"))
+
+
+def affine_sql(seed: str) -> str:
+    """The rank that K.affine gives to rank r of n, for a seed in SQL."""
+    return f"((r::HUGEINT * {list(K.PRIMES)}[{seed} % {len(K.PRIMES)} + 1] + {seed} * 7919) % n + 1)::BIGINT"
+
+
+STARTED = f"SELECT cell::VARCHAR || ':' || season_idx::VARCHAR AS key, season_idx, starts_total AS y, avg(starts_total) {CELLS.format(k=3)} AS p FROM starts"
+_RANKED = f"SELECT y, p, row_number() OVER (ORDER BY key) AS r, count(*) OVER () AS n FROM ({STARTED}) WHERE p IS NOT NULL AND season_idx >= 16"
+query(
+    "m14_shuffled_null",
+    lambda t: K.spearman(K.permuted(start_forecast(t).where("p is not null and season_idx >= 16").withColumn("key", F.concat_ws(":", "cell", "season_idx")), ["p"], "key", 11), "y", "p_permuted"),
+    rho_sql(f"SELECT a.y, b.p FROM ({_RANKED}) a JOIN (SELECT p, {affine_sql('11')} AS at FROM ({_RANKED})) b ON a.r = b.at", "y", "p"),
+    "rho",
+)
 query("a54_cross_place_correlation", lambda t: t.tier1.groupBy("place").agg(F.avg("unknown").alias("u"), F.avg("natural").alias("v")).agg(K.guarded_corr("u", "v").alias("pearson")), 'SELECT corr(u, v) AS pearson FROM (SELECT place, avg(unknown) AS u, avg("natural") AS v FROM tier1 GROUP BY ALL)', "pearson")
 query("a54_cross_place_rank_correlation", lambda t: K.spearman(t.tier1.groupBy("place").agg(F.avg("unknown").alias("u"), F.avg("natural").alias("v")), "u", "v"), rho_sql('SELECT place, avg(unknown) AS u, avg("natural") AS v FROM tier1 GROUP BY ALL', "u", "v"), "rho")
 query("a34_concentration", lambda t: K.cumulative_share(t.records.select("id", "size"), "size", "id").agg(*[F.max(F.when(F.col("rank") <= F.greatest(F.lit(1), F.floor(F.col("n") * p)), F.col("cum"))).alias(f"top{int(p * 100)}") for p in (0.01, 0.05, 0.1)]),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import hexgrid as H
@@ -167,24 +168,64 @@ def _simplex(t, make):
 
 
 query("m08_simplex_boosted", lambda t: _simplex(t, lambda s: L.boosted(s, "total")))
-query("m09_simplex_ridge", lambda t: reduce(lambda a, b: a.unionByName(b), [_simplex(t, lambda s, a=a: L.ridge(s, a, "total")).withColumn("alpha", F.lit(a)) for a in (0.001, 0.1, 10.0)]))
+
+
+def _alphas(t):
+    """The sweep of penalties on the weighted sum of squared errors."""
+    rows = L.standardized(features(t), FEATURES, F.col("season_year") < CFG.test_start)
+    scale = L.ridge_penalty(rows.where(F.col("season_year") < CFG.test_start), TIER, "total")
+
+    def one(alpha):
+        got = L.simplex_predict(rows, FEATURES, TIER, F.col("season_year") < CFG.test_start, lambda s: L.ridge(s, alpha * scale[s], "total"))
+        return got.where(F.col("season_year") >= CFG.test_start).agg(F.count(F.lit(1)).alias("n"), F.avg(X.tvd([F.col(f"pred_{c}") for c in TIER], [F.col(c) for c in TIER])).alias("tvd")).withColumn("alpha", F.lit(alpha))
+
+    return reduce(lambda a, b: a.unionByName(b), [one(a) for a in (0.1, 1.0, 10.0, 100.0, 1000.0)])
+
+
+query("m09_simplex_ridge", _alphas)
 
 
 def _panel(t):
+    """Summer cells from the seventh season on, by which time the histories are filled."""
     p = hex_panel(t).where("ord = 2 and season_idx >= 6").withColumns({"key": F.concat_ws(":", "cell", "season_idx"), "log_area": X.log10_floored(F.col("area"))})
     return p.withColumn("last", T.exact_step("log_total", ["cell"], 4))
 
 
-def _ladder(t, train_year=CFG.test_start, shuffle=False):
-    p = _panel(t)
-    if shuffle:
-        p = L.shuffled_covariates(p.where("last is not null and persist_total is not null"), ["log_area", "last"], "key", 3)
-    rungs = {"history": ["persist_total"], "history_and_cell": ["persist_total", "log_area", "last"]}
-    parts = L.rank_ladder(p, "log_total", "persist_total", rungs, F.col("season_year") < train_year, "key", lambda y: L.boosted(y, rounds=5))
-    return reduce(lambda a, b: a.unionByName(b), [d.withColumn("rung", F.lit(n)) for n, d in parts])
+RUNGS = {"area": ["log_area"], "last": ["last"], "area_and_last": ["log_area", "last"], "all": ["log_area", "last", "persist_natural", "persist_human"]}
+
+
+def _ladder(t, train_year=CFG.test_start, rungs=RUNGS):
+    return L.rank_ladder(_panel(t), "log_total", "persist_total", rungs, F.col("season_year") < train_year, lambda y: L.boosted(y, rounds=5))
+
+
+def _poisson(t):
+    """Starts by season and area: log area with its coefficient fixed at 1, and as a feature."""
+    rows = t.starts.where("area > 0").withColumns({"y": F.col("starts_total").cast("double"), "ord": (F.col("season_idx") % 4).cast("double"), "log_area": F.ln("area")})
+    both = [("offset", L.poisson_rate(rows, "y", ["ord"], "log_area")), ("feature", L.poisson_rate(rows, "y", ["ord", "log_area"]))]
+    return reduce(lambda a, b: a.unionByName(b), [d.agg(F.count(F.lit(1)).alias("n"), F.avg(X.poisson_deviance(F.col("y"), F.col("pred"))).alias("deviance")).withColumn("variant", F.lit(v)) for v, d in both])
 
 
 query("m10_rank_ladder", _ladder)
-query("m19_shuffled_covariates", lambda t: _ladder(t, shuffle=True))
-query("m20_poisson_offset", lambda t: L.poisson_offset(t.starts.where("area > 0").withColumns({"y": F.col("starts_total").cast("double"), "ord": (F.col("season_idx") % 4).cast("double"), "log_area": F.ln("area")}), "y", ["ord"], "log_area").agg(F.count(F.lit(1)).alias("n"), F.avg(X.poisson_deviance(F.col("y"), F.col("pred"))).alias("deviance")))
-query("m26_split_years", lambda t: reduce(lambda a, b: a.unionByName(b), [_ladder(t, y).withColumn("split_year", F.lit(y)) for y in (1999, 2000)]))
+query("m19_shuffled_covariates", lambda t: L.shuffle_control(_panel(t), "log_total", "persist_total", ["log_area", "last"], F.col("season_year") < CFG.test_start, "key", lambda y: L.ridge(y, 1e-6)))
+query("m20_poisson_offset", _poisson)
+query("m26_split_years", lambda t: reduce(lambda a, b: a.unionByName(b), [_ladder(t, y, {"area_and_last": RUNGS["area_and_last"]}).withColumn("split_year", F.lit(y)) for y in (1999, 2000)]))
+
+
+def boxes_table(t):
+    """Each nation's box around its suppliers' points, as a polygon table read from Parquet."""
+    s = t.supplier_grid.select("place", F.expr(LON.format(k="cell * 36")).cast("double").alias("x"), F.expr(LAT.format(k="cell * 36")).cast("double").alias("y"))
+    b = s.groupBy("place").agg(F.min("x").alias("a"), F.max("x").alias("b"), F.min("y").alias("c"), F.max("y").alias("d")).where("a < b and c < d")
+    corner = lambda x, y: F.struct(F.col(x).alias("x"), F.col(y).alias("y"))
+    rows = b.select(F.xxhash64("place").alias("poly"), F.col("place").alias("named"), F.lit(None).cast("string").alias("parent"), F.array(corner("a", "c"), corner("b", "c"), corner("b", "d"), corner("a", "d")).alias("ring"))
+    path = A.scratch_path(t.spark, "polygons")
+    rows.write.parquet(path)
+    return A.read_polygons(t.spark, path, place="named")
+
+
+query(
+    "s10_polygon_table",
+    lambda t: P.join_layer(points(t).select("id", "x", "y"), boxes_table(t).withColumn("poly", F.dense_rank().over(Window.orderBy("place"))), 10.0).groupBy("place").agg(F.count(F.lit(1)).alias("n")),
+    f"""SELECT place, count(*) AS n FROM (SELECT p.id, min(b.place) AS place FROM ({_PTS}) p LEFT JOIN
+    (SELECT place, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM (SELECT place, {LON.format(k='(cell * 36)')} AS x, {LAT.format(k='(cell * 36)')} AS y FROM supplier_grid) GROUP BY place) b
+    ON x > x0 AND x < x1 AND y > y0 AND y < y1 GROUP BY p.id) GROUP BY ALL""",
+)

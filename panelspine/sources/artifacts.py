@@ -19,9 +19,12 @@ _OWN_SCRATCH: dict[str, str] = {}
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the folder that driver and executors share
-    (spark.checkpoint.dir); a local one only where that is not set."""
+    (spark.checkpoint.dir); a local one only where that is not set and the
+    master is local, as executors of a cluster do not share their disks."""
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         app = spark.sparkContext.applicationId
         root = _OWN_SCRATCH.setdefault(app, "file://" + tempfile.mkdtemp(prefix="panelspine-"))
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -100,6 +103,13 @@ POLYGONS = T.StructType(
 )
 
 
+def read_polygons(spark: SparkSession, path: str, *, poly: str = "poly", place: str = "place", parent: str = "parent", ring: str = "ring") -> DataFrame:
+    """The edges of a polygon table in Parquet: its columns renamed, rings as
+    arrays of (x, y). Other columns are not read; rows without a ring are left out."""
+    rows = spark.read.parquet(path).where(F.size(ring) > 2)
+    return edges_of(rows.select(F.col(poly).alias("poly"), F.col(place).alias("place"), F.col(parent).alias("parent"), F.col(ring).alias("ring")))
+
+
 def polygon_layer(spark: SparkSession, rows: list[tuple]) -> DataFrame:
     """A small layer from literal (poly, place, parent, [(x, y), ...]) rows."""
     return edges_of(spark.createDataFrame(rows, POLYGONS))

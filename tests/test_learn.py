@@ -17,19 +17,89 @@ from panelspine.sources import artifacts
 CFG = PanelConfig(base_year=1992, partial_seasons=(), last_idx=6, test_start=1994, sentinel="Missing", natural="Natural", human=("Arson",))
 
 
+def shares_frame(spark):
+    """Rows whose shares follow one feature closely and whose weights differ."""
+    rng = np.random.default_rng(12)
+    rows = []
+    for i in range(150):
+        u, v = rng.uniform(0, 1), rng.uniform(-2, 2)
+        a, b = 0.2 + 0.5 * u, 0.1 + 0.1 * rng.uniform()
+        rows.append((u, v, a, b, 1 - a - b, 1.0 + 9 * (i % 2)))
+    return spark.createDataFrame(rows, "u double, v double, a double, b double, c double, w double")
+
+
 def test_simplex_predictions_are_compositions(spark):
-    rng = np.random.default_rng(0)
-    x = rng.normal(size=(200, 4))
-    z = np.exp(x[:, :3])
-    y = z / z.sum(axis=1, keepdims=True)
-    df = spark.createDataFrame(pd.DataFrame(np.hstack([x, y, rng.random((200, 1))]), columns=["x0", "x1", "x2", "x3", "a", "b", "c", "w"]))
-    got = learn.simplex_predict(df, ["x0", "x1", "x2", "x3"], ["a", "b", "c"], F.lit(True), lambda s: learn.ridge(s, 0.01, "w")).toPandas()
+    df = shares_frame(spark)
+    got = learn.simplex_predict(df, ["u", "v"], ["a", "b", "c"], F.lit(True), lambda s: learn.ridge(s, 0.01, "w")).toPandas()
     p = got[["pred_a", "pred_b", "pred_c"]].to_numpy()
     assert (p >= 0).all() and np.allclose(p.sum(axis=1), 1)
-    flat = learn.simplex_predict(df, ["x0", "x1", "x2", "x3"], ["a", "b", "c"], F.lit(True), lambda s: learn.ridge(s, 0.01)).toPandas()
+    assert np.abs(p - got[["a", "b", "c"]].to_numpy()).mean() < 0.1
+    flat = learn.simplex_predict(df, ["u", "v"], ["a", "b", "c"], F.lit(True), lambda s: learn.ridge(s, 0.01)).toPandas()
     assert not np.allclose(p, flat[["pred_a", "pred_b", "pred_c"]].to_numpy())
 
 
+def test_rows_without_any_share_fail(spark):
+    df = shares_frame(spark).withColumns({s: -F.col(s) for s in "abc"})
+    with pytest.raises(Exception, match="all predicted shares"):
+        learn.simplex_predict(df, ["u"], ["a", "b"], F.lit(True), lambda s: learn.ridge(s, 0.01)).collect()
+
+
+def test_ridge_matches_the_normal_equations(spark):
+    """Coefficients of standardized features for a weight on the squared ones, with row weights."""
+    df = shares_frame(spark)
+    ready = learn.standardized(df, ["u", "v"], F.lit(True))
+    pdf, alpha = ready.toPandas(), 7.0
+    x, y, w = pdf[["u", "v"]].to_numpy(), pdf["a"].to_numpy(), pdf["w"].to_numpy()
+    assert np.allclose(x.mean(axis=0), 0) and np.allclose(x.std(axis=0), 1)
+    xm, ym = np.average(x, axis=0, weights=w), np.average(y, weights=w)
+    want = np.linalg.solve((x - xm).T @ ((x - xm) * w[:, None]) + alpha * np.eye(2), (x - xm).T @ (w * (y - ym)))
+    got = learn.ridge("a", alpha * learn.ridge_penalty(ready, ["a"], "w")["a"], "w").fit(learn.assembled(ready, ["u", "v"]))
+    assert np.allclose(got.coefficients.toArray(), want, atol=1e-6)
+
+
+def test_ladder_and_shuffle_control(spark):
+    """A covariate that tells the target beats the floor and its own shuffles; one that does not, does not."""
+    rng = np.random.default_rng(3)
+    rows = []
+    for i in range(400):
+        f, x, z = rng.normal(size=3)
+        rows.append((f"k{i:04d}", i % 4, float(f), float(x), float(z), float(0.3 * f + 2 * x + 0.1 * rng.normal())))
+    df = spark.createDataFrame(rows, "key string, year int, floor double, x double, z double, y double")
+    make = lambda s: learn.ridge(s, 1e-6)
+    got = {r["rung"]: r for r in learn.rank_ladder(df, "y", "floor", {"x": ["x"], "z": ["z"]}, F.col("year") < 3, make).collect()}
+    assert set(got) == {"floor", "x", "z"} and got["floor"]["delta"] == 0 and {r["n_test"] for r in got.values()} == {100}
+    assert got["x"]["delta"] > 0.5 > abs(got["z"]["delta"]) + 0.3
+    one = learn.shuffle_control(df, "y", "floor", ["x"], F.col("year") < 3, "key", make, times=4).first()
+    assert one["n_test"] == 100 and one["delta"] > 0.5 and one["null_max"] < 0.3 and one["separation"] > 5
+
+
+def test_permutations_take_each_row_once(spark):
+    df = spark.range(1, 1001).select(F.format_string("k%05d", "id").alias("key"), F.col("id").alias("v"))
+    got = ranks.permuted(df, ["v"], "key", 4).collect()
+    assert sorted(r["v_permuted"] for r in got) == list(range(1, 1001))
+    assert sum(r["v"] == r["v_permuted"] for r in got) < 20 and abs(np.corrcoef([r["v"] for r in got], [r["v_permuted"] for r in got])[0, 1]) < 0.2
+
+
+def test_ranks_of_hot_values_and_groups(spark):
+    """With most rows on one value in one group: ranks, quantiles and shares against pandas."""
+    rng = np.random.default_rng(5)
+    pdf = pd.DataFrame({"g": np.where(rng.random(3000) < 0.7, "big", rng.choice(list("xyz"), 3000)), "v": np.where(rng.random(3000) < 0.6, -4.0, rng.normal(size=3000).round(2)), "k": np.arange(3000)})
+    pdf.loc[rng.choice(3000, 40, replace=False), "g"] = None
+    df = spark.createDataFrame(pdf)
+    got = ranks.first_ranks(df, "v", "k", ["g"]).toPandas().sort_values("k")
+    want = pdf.sort_values(["v", "k"]).groupby("g", dropna=False).cumcount().sort_index() + 1
+    assert (got["rank"].to_numpy() == want.to_numpy()).all()
+    ranges = df.select(ranks._range(df, ["g", "v", "k"]).alias("r")).groupBy("r").count().toPandas()["count"]
+    assert ranges.max() < 3000 / 10  # no range holds the hot value alone
+    q = {r["g"]: r["q"] for r in ranks.quantiles(df, "v", [0.1, 0.5, 0.9], ["g"]).collect()}
+    for g, part in pdf.groupby("g"):
+        assert np.allclose(q[g], np.quantile(part["v"], [0.1, 0.5, 0.9]))
+    assert ranks.quantiles(df.where("false"), "v", [0.5]).first()["q"] == [None]
+    cum = ranks.cumulative_share(df.withColumn("v", F.col("v") + 5), "v", "k").toPandas().sort_values("rank")
+    s = (pdf.assign(v=pdf["v"] + 5).sort_values(["v", "k"], ascending=[False, True])["v"]).to_numpy()
+    assert np.allclose(cum["cum"], s.cumsum() / s.sum())
+
+
 def test_two_parents_and_double_matches_fail(spark):
     ring = [(0.0, 0.0), (1.0, 0.0), (1.0, 1.0), (0.0, 1.0)]
     one, two = artifacts.polygon_layer(spark, [(1, "W", "P", ring)]), artifacts.polygon_layer(spark, [(1, "W", "Q", ring)])
