@@ -118,6 +118,7 @@ def test_one_to_one_join_fails_on_repeats(spark):
 
 
 def test_dense_panel(spark):
+    # Inputs with known results, FIXTURES.md part B, "ignitions".
     ev = spark.createDataFrame([("a", 5, "Natural"), ("a", 6, "Arson"), ("b", 6, "Natural")], "cell string, season_idx int, category string")
     grid = spark.createDataFrame([("a", "P", 20.0), ("b", "P", 10.0)], "cell string, place string, area double")
     p = grain.dense_panel(ev, grid, CFG, F.lit(1), "starts_").where("season_idx >= 5").withColumn("log_area", log_positive(F.col("area")))
@@ -127,6 +128,7 @@ def test_dense_panel(spark):
 
 
 def test_conditional_mean_and_anomaly(spark):
+    # Inputs with known results, FIXTURES.md part B, "burn-conditional, anomaly".
     df = spark.createDataFrame([("a", i, v, 1991 + i) for i, v in enumerate([0.0, 100.0, 0.0, 1000.0])], "cell string, season_idx int, acres double, season_year int")
     got = df.withColumn("log", F.when(F.col("acres") > 0, F.log10("acres"))).withColumn("p", trailing.trailing_mean("log", ["cell"], 3)).orderBy("season_idx").collect()
     assert [r["p"] for r in got] == [None, None, 2.0, 2.0]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -19,6 +20,7 @@ def rows(df, *cols):
 
 
 def test_trailing_skips_gaps_and_itself(spark):
+    # Inputs with known results, FIXTURES.md part B, "two_series".
     data = [("A", 2, 1.0), ("A", 10, 2.0), ("A", 14, 3.0), ("B", 2, 10.0), ("B", 6, 20.0), ("B", 10, 30.0)]
     df = spark.createDataFrame(data, "s string, season_idx int, v double")
     got = df.withColumn("p", trailing.trailing_mean("v", ["s"], 3)).withColumn("t4", trailing.exact_step("v", ["s"]))
@@ -28,6 +30,7 @@ def test_trailing_skips_gaps_and_itself(spark):
 
 
 def test_exclusion(spark):
+    # Inputs with known results, FIXTURES.md part B, "exclusion".
     df = spark.createDataFrame([(1, "PR", None), (2, "HI", None), (3, "CA", "IA"), (4, "PR", "IA"), (5, "AK", None), (6, "TX", "X"), (7, "OR", None)], "id int, state string, agency string").withColumn("size", F.lit(1.0))
     assert rows(clean.exclude(df, ["PR", "HI"], "IA"), "id") == [(5,), (6,), (7,)]
     a = clean.exclusion_account(df, ["PR", "HI"], "IA").first()
@@ -35,6 +38,7 @@ def test_exclusion(spark):
 
 
 def test_december_and_boundaries(spark):
+    # Inputs with known results, FIXTURES.md part B, "December rule, boundary winters".
     df = spark.createDataFrame([("2005-12-15",), ("2006-01-15",), ("2006-02-28",), ("1992-01-01",), ("2020-12-31",)], "d string").withColumn("d", F.to_date("d"))
     got = {str(r["d"]): r for r in spine.with_spine(df, "d", 1992).collect()}
     assert {(got[d]["season"], got[d]["season_year"], got[d]["season_idx"]) for d in ("2005-12-15", "2006-01-15", "2006-02-28")} == {("DJF", 2006, 56)}
@@ -42,6 +46,7 @@ def test_december_and_boundaries(spark):
 
 
 def test_mixed_dates(spark):
+    # Inputs with known results, FIXTURES.md part B, "mixed dates".
     df = spark.createDataFrame([("2000-02-29",), ("3/15/2001",), ("2001-06-01 00:00:00",)], "d string")
     assert sorted(str(r[0]) for r in spine.require_dates(df, "d").collect()) == ["2000-02-29", "2001-03-15", "2001-06-01"]
     with pytest.raises(ValueError, match="1 values"):
@@ -49,6 +54,7 @@ def test_mixed_dates(spark):
 
 
 def geo(spark):
+    # Inputs with known results, FIXTURES.md part B, "geo_fires".
     data = [("R1", "Natural", 100.0), ("R1", "Arson", 40.0), ("R1", "Missing", 25.0), ("R2", "Arson", 30.0), ("R3", "Missing", 500.0)]
     return spark.createDataFrame(data, "place string, category string, size double").select("*", F.lit("JJA").alias("season"), F.lit(10).alias("season_idx"), F.lit(1994).alias("season_year"))
 
@@ -67,6 +73,7 @@ def test_grain(spark):
 
 
 def test_composition(spark):
+    # Inputs with known results, FIXTURES.md part B, "tiny_rsc".
     data = [("R1", "JJA", 10, 1994, "Natural", 100.0), ("R1", "JJA", 10, 1994, "Arson", 40.0), ("R1", "JJA", 10, 1994, "Other", 10.0), ("R1", "JJA", 10, 1994, "Missing", 50.0), ("R2", "JJA", 10, 1994, "Arson", 30.0), ("R1", "DJF", 0, 1992, "Arson", 5.0)]
     df = spark.createDataFrame(data, "place string, season string, season_idx int, season_year int, category string, size double")
     g = grain.cell_category(df, CFG)
@@ -76,6 +83,7 @@ def test_composition(spark):
 
 
 def test_scores(spark):
+    # Inputs with known results, FIXTURES.md part B, "scoring vectors".
     df = spark.createDataFrame([(1.0, 0.0, 1.0, 0.0, 1.0, True), (1.0, 0.0, 0.0, 1.0, 3.0, True), (None, None, 1.0, 0.0, 9.0, True), (1.0, 0.0, 0.0, 1.0, 1.0, False)], "p0 double, p1 double, a0 double, a1 double, w double, test boolean")
     p, a = [F.col("p0"), F.col("p1")], [F.col("a0"), F.col("a1")]
     r = score.score_masked(df, metrics.tvd(p, a), F.col("w"), F.col("test"), hit=metrics.top1_hit(p, a)).first()
@@ -87,6 +95,7 @@ def test_scores(spark):
 
 
 def test_one_burn(spark):
+    # Inputs with known results, FIXTURES.md part B, "one burn".
     grid = spark.createDataFrame([("a",), ("b",)], "cell string")
     spine_ = grain.dense_spine(grid, 0, 5)
     burn = spark.createDataFrame([("a", 2, 0.5)], "cell string, season_idx int, x double")
@@ -98,6 +107,7 @@ def test_one_burn(spark):
 
 
 def test_preseason(spark):
+    # Inputs with known results, FIXTURES.md part B, "pre-season, partial window".
     one = spark.range(1).select(*[F.transform(spine.preseason_months(F.lit(o), F.lit(2015), n), lambda d: d.cast("string")).alias(f"m{o}_{n}") for o, n in ((2, 3), (0, 3), (2, 1))]).first()
     assert one["m2_3"] == ["2015-03-01", "2015-04-01", "2015-05-01"]
     assert one["m0_3"] == ["2014-09-01", "2014-10-01", "2014-11-01"]
@@ -108,6 +118,7 @@ def test_preseason(spark):
 
 
 def test_polygons(spark):
+    # Inputs with known results, FIXTURES.md part B, "toy layers".
     def box(x0, x1, y0, y1):
         return [(x0, y0), (x1, y0), (x1, y1), (x0, y1)]
 
@@ -117,6 +128,28 @@ def test_polygons(spark):
     assert got == {1: "West", 2: "East", 3: None, 4: None, 5: None}
 
 
+def test_points_in_many_polygons_match_brute_force(spark):
+    """Triangles that overlap and cross tiles, and points on a lattice that some edges touch."""
+    rng = np.random.default_rng(6)
+    shapes = [(k, [tuple(map(float, p)) for p in rng.integers(-20, 20, (3, 2))]) for k in range(25)]
+    dots = [(i, float(x) / 2, float(y) / 2) for i, (x, y) in enumerate(rng.integers(-50, 50, (300, 2)))]
+
+    def holds(ring, x, y):
+        odd = False
+        for (x1, y1), (x2, y2) in zip(ring, ring[1:] + ring[:1], strict=True):
+            cross = (x2 - x1) * (y - y1) - (y2 - y1) * (x - x1)
+            if cross == 0 and min(x1, x2) <= x <= max(x1, x2) and min(y1, y2) <= y <= max(y1, y2):
+                return False
+            if (y1 > y) != (y2 > y) and (cross > 0) == (y2 > y1):
+                odd = not odd
+        return odd
+
+    layer = artifacts.polygon_layer(spark, [(k, f"p{k}", None, ring) for k, ring in shapes])
+    pts = spark.createDataFrame(dots, "id int, x double, y double")
+    got = {(r["id"], r["poly"]) for r in spatial.points_in_polygons(pts, layer, 7.0).collect()}
+    assert got == {(i, k) for i, x, y in dots for k, ring in shapes if holds(ring, x, y)}
+
+
 def test_apportionment_conserves(spark):
     ev = spark.createDataFrame([(1, 10.0, "p", 7), (2, 30.0, "p", 8), (3, 5.0, None, 9)], "event int, size double, perimeter string, point_cell long")
     ov = spark.createDataFrame([("p", 1, 1.0), ("p", 2, 3.0)], "perimeter string, cell long, overlap double")
