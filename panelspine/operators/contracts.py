@@ -20,7 +20,10 @@ def fingerprint(df: DataFrame) -> DataFrame:
     its sum (numbers) or number of distinct values."""
     aggs = [F.count(F.lit(1)).alias("rows"), F.lit(len(df.columns)).alias("columns"), F.sum(F.xxhash64(*df.columns).cast("decimal(38,0)")).alias("content")]
     for name, kind in df.dtypes:
-        aggs.append(F.sum(name).alias(f"sum_{name}") if kind in ("double", "float", "int", "bigint") else F.countDistinct(name).alias(f"distinct_{name}"))
+        if kind in ("double", "float"):  # decimals add up the same in any order
+            aggs.append(F.sum(F.col(name).cast("decimal(38,6)")).cast("double").alias(f"sum_{name}"))
+        else:
+            aggs.append(F.sum(name).alias(f"sum_{name}") if kind in ("int", "bigint") else F.countDistinct(name).alias(f"distinct_{name}"))
     return df.agg(*aggs)
 
 

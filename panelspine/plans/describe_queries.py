@@ -18,7 +18,7 @@ from ..operators.grain import composition
 from ..operators.roster import roster, roster_sql
 from .bindings import CFG, CLASS
 from .grain_queries import MISS
-from .panel_queries import BUCKET, CELLS, HEX, LAST, hex_panel, rho_sql, start_forecast, tier1_forecast
+from .panel_queries import BUCKET, CELLS, HEX, LAST, affine_sql, hex_panel, rho_sql, start_forecast, tier1_forecast
 from .registry import query
 
 
@@ -212,6 +212,14 @@ query("a75_matched_rate", lambda t: t.raw.join(t.overlap.select(F.col("event").a
 query("a76_covariate_coverage", lambda t: D.completeness(_preseason(t).select("v1")), f"SELECT 'v1' AS \"column\", avg((v1 IS NOT NULL)::INT) AS known FROM ({_PRE})", "known")
 query("a77_place_season_by_year", lambda t: t.spark.range(1995, 2002).select(F.col("id").cast("int").alias("season_year")).join(t.tier1.where("place = 'NATION_3' and season = 'JJA'").select("season_year", "human", "natural", "unknown"), "season_year", "left").fillna(0.0, ["human", "natural", "unknown"]), "SELECT y.season_year, coalesce(human, 0) AS human, coalesce(\"natural\", 0) AS \"natural\", coalesce(unknown, 0) AS unknown FROM (SELECT unnest(range(1995, 2002))::INT AS season_year) y LEFT JOIN (SELECT * FROM tier1 WHERE place = 'NATION_3' AND season = 'JJA') USING (season_year)", "human natural unknown")
 query("a63_fingerprint", lambda t: V.fingerprint(t.records))
+_SUMMED = ("id", "size", "cell", "area", "season_year", "season_idx")
+_COUNTED = ("date", "category", "place", "parent", "state", "agency", "season")
+query(
+    "a63_fingerprint_counts",
+    lambda t: V.fingerprint(t.records).drop("content"),
+    f"SELECT count(*) AS rows, {len(_SUMMED + _COUNTED)} AS columns, " + ", ".join([*(f"sum({c}::DECIMAL(38, 6))::DOUBLE AS sum_{c}" for c in _SUMMED), *(f"count(DISTINCT {c}) AS distinct_{c}" for c in _COUNTED)]) + " FROM records",
+    " ".join(f"sum_{c}" for c in _SUMMED),
+)
 
 
 def contract(t):
@@ -285,4 +293,16 @@ query("m17_calibration", lambda t: K.first_ranks(hex_panel(t).where("persist_tot
     f"SELECT stratum, count(*) AS n, avg(p) AS predicted, avg(y) AS actual, avg((y <= -4)::INT) AS zeros FROM ({_CAL}) GROUP BY ALL", "predicted actual zeros")
 query("m21_uniform_and_persistence", lambda t: start_forecast(t).where("p is not null and season_idx >= 16").agg(F.avg(F.abs(F.col("p") - F.col("y"))).alias("persistence"), F.avg(F.abs(F.lit(t.starts.where("season_idx < 16").agg(F.avg("starts_total")).first()[0]) - F.col("y"))).alias("uniform")), f"SELECT avg(abs(p - y)) AS persistence, avg(abs((SELECT avg(starts_total) FROM starts WHERE season_idx < 16) - y)) AS uniform FROM (SELECT season_idx, starts_total AS y, avg(starts_total) {CELLS.format(k=3)} AS p FROM starts) WHERE p IS NOT NULL AND season_idx >= 16", "persistence uniform")
 query("m24_predictor_agreement", lambda t: R.global_prior(tier1_forecast(t), ["human", "natural", "unknown"], F.col("season_year") < CFG.test_start).where("season_year >= 1999 and p_human is not null").agg(F.avg(X.tvd([F.col(f"p_{c}") for c in ("human", "natural", "unknown")], [F.col(f"prior_{c}") for c in ("human", "natural", "unknown")])).alias("distance")), f"SELECT avg(0.5 * (abs(ph - gh) + abs(pn - gn) + abs(pu - gu))) AS distance FROM ({_P7}), ({_PRIOR}) WHERE season_year >= 1999 AND ph IS NOT NULL", "distance")
-query("m15_confidence_shuffles", lambda t: K.shuffled_scores(confidence(t).withColumn("key", F.concat_ws(":", "place", "season_idx")), "sd", "err", "key", 200))
+_KEYED = _CONF.replace("SELECT season,", "SELECT place || ':' || season_idx::VARCHAR AS key,")
+_MID = lambda c: f"rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2.0"
+_DEALT = f"SELECT {_MID('sd')} AS ra, {_MID('err')} AS rb, row_number() OVER (ORDER BY key) AS r, count(*) OVER () AS n FROM ({_KEYED})"
+_SEEDS = "(SELECT unnest(range(1, 201)) AS seed)"
+query(
+    "m15_confidence_shuffles",
+    lambda t: K.shuffled_scores(confidence(t).withColumn("key", F.concat_ws(":", "place", "season_idx")), "sd", "err", "key", 200),
+    f"""SELECT n, rho, null_mean, null_std, (rho - null_mean) / null_std AS deviations
+    FROM (SELECT count(*) AS n, corr(ra, rb) AS rho FROM ({_DEALT})), (SELECT avg(c) AS null_mean, stddev_samp(c) AS null_std FROM (
+      SELECT corr(a.ra, b.rb) AS c FROM (SELECT ra, r, seed FROM ({_DEALT}), {_SEEDS}) a
+      JOIN (SELECT rb, seed, {affine_sql('seed')} AS at_ FROM ({_DEALT}), {_SEEDS}) b ON a.seed = b.seed AND a.r = b.at_ GROUP BY a.seed))""",
+    "rho null_mean null_std deviations",
+)
