@@ -56,9 +56,12 @@ def duplicate_keys(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
 
 
-def audit(df: DataFrame, col: str, series: list[str], k: int, idx: str = "season_idx") -> DataFrame:
-    """keys, mean: trailing_mean worked out by a self-join on earlier rows."""
-    a = df.select(*series, F.col(idx).alias("at"))
+def audit(df: DataFrame, col: str, series: list[str], k: int, sample: int | None = None, idx: str = "season_idx") -> DataFrame:
+    """keys, mean: trailing_mean worked out by a join of sampled rows with all
+    earlier ones. The sample is that of least key hash (None: all rows of a small
+    table); rows without an earlier one are left out."""
+    chosen = df if sample is None else df.orderBy(F.md5(F.concat_ws(":", *series, idx)), *series, idx).limit(sample)
+    a = chosen.select(*series, F.col(idx).alias("at"))
     b = df.select(*series, F.col(idx).alias("earlier"), F.col(col).alias("v"))
     both = a.join(b, series).where("earlier < at")
     rank = F.row_number().over(Window.partitionBy(*series, "at").orderBy(F.col("earlier").desc()))
