@@ -53,22 +53,41 @@ query(
     "plain weighted",
 )
 SPARSE = "place season_idx category share"
-query("w01_trailing_mean_k7", lambda t: tier1_forecast(t).select("place", "season_idx", *[f"p_{c}" for c in TIER]), f"SELECT place, season_idx, p_human, p_natural, p_unknown FROM ({_pred_sql(7)})", "p_human p_natural p_unknown")
+query(
+    "w01_trailing_mean_k7",
+    lambda t: tier1_forecast(t).select("place", "season_idx", *[f"p_{c}" for c in TIER]),
+    f"SELECT place, season_idx, p_human, p_natural, p_unknown FROM ({_pred_sql(7)})",
+    "p_human p_natural p_unknown",
+)
 query(
     "w01_trailing_mean_sparse",
     lambda t: t.sparse_grain.where("category = '2-HIGH'").select("place", "season_idx", T.trailing_mean("share", SERIES, 3).alias("p")),
     f"SELECT place, season_idx, avg(share) {LAST.format(k=3)} AS p FROM sparse_grain WHERE category = '2-HIGH'",
     "p",
 )
-query("w02_expanding_mean", lambda t: t.tier1.select("place", "season_idx", T.trailing_mean("human", SERIES, None).alias("p")), f"SELECT place, season_idx, avg(human) {LAST.format(k='UNBOUNDED')} AS p FROM tier1", "p")
-query("w03_trailing_std", lambda t: t.tier1.select("place", "season_idx", T.trailing_std("human", SERIES, 7).alias("s")), f"SELECT place, season_idx, stddev_samp(human) {LAST.format(k=7)} AS s FROM tier1", "s")
+query(
+    "w02_expanding_mean",
+    lambda t: t.tier1.select("place", "season_idx", T.trailing_mean("human", SERIES, None).alias("p")),
+    f"SELECT place, season_idx, avg(human) {LAST.format(k='UNBOUNDED')} AS p FROM tier1",
+    "p",
+)
+query(
+    "w03_trailing_std",
+    lambda t: t.tier1.select("place", "season_idx", T.trailing_std("human", SERIES, 7).alias("s")),
+    f"SELECT place, season_idx, stddev_samp(human) {LAST.format(k=7)} AS s FROM tier1",
+    "s",
+)
 query(
     "w04_exact_step",
     lambda t: t.sparse_grain.where("category = '2-HIGH'").select("place", "season_idx", T.exact_step("share", SERIES).alias("p")),
     "SELECT place, season_idx, CASE WHEN season_idx - lag(season_idx) OVER w = 4 THEN lag(share) OVER w END AS p FROM sparse_grain WHERE category = '2-HIGH' WINDOW w AS (PARTITION BY place, season ORDER BY season_idx)",
     "p",
 )
-query("w05_history_depth", lambda t: t.sparse_grain.where("category = '2-HIGH'").select("place", "season_idx", T.depth(SERIES).alias("d")), "SELECT place, season_idx, (row_number() OVER (PARTITION BY place, season ORDER BY season_idx) - 1)::INT AS d FROM sparse_grain WHERE category = '2-HIGH'")
+query(
+    "w05_history_depth",
+    lambda t: t.sparse_grain.where("category = '2-HIGH'").select("place", "season_idx", T.depth(SERIES).alias("d")),
+    "SELECT place, season_idx, (row_number() OVER (PARTITION BY place, season ORDER BY season_idx) - 1)::INT AS d FROM sparse_grain WHERE category = '2-HIGH'",
+)
 
 
 def burned(t):
@@ -105,9 +124,22 @@ query(
     "SELECT cell, row_number() OVER w AS rank, sum(size) OVER w / sum(size) OVER () AS cum FROM (SELECT cell, sum(size) AS size FROM records GROUP BY ALL) WINDOW w AS (ORDER BY size DESC, cell ROWS UNBOUNDED PRECEDING)",
     "cum",
 )
-query("w11_largest_per_key", lambda t: t.overlap.groupBy("event").agg(F.max_by("cell", F.struct("overlap", -F.col("cell"))).alias("cell")), "SELECT event, arg_max(cell, (overlap, -cell)) AS cell FROM overlap GROUP BY ALL")
-query("w12_centred", lambda t: t.tier1.select("place", "season_idx", (F.col("human") - F.avg("human").over(Window.partitionBy("place"))).alias("centred")), "SELECT place, season_idx, human - avg(human) OVER (PARTITION BY place) AS centred FROM tier1", "centred")
-query("w13_duplicate_keys", lambda t: T.duplicate_keys(t.tier1, ["place", "season_idx"]).agg(F.count(F.lit(1)).alias("violations")), "SELECT count(*) AS violations FROM (SELECT 1 FROM tier1 GROUP BY place, season_idx HAVING count(*) > 1)")
+query(
+    "w11_largest_per_key",
+    lambda t: t.overlap.groupBy("event").agg(F.max_by("cell", F.struct("overlap", -F.col("cell"))).alias("cell")),
+    "SELECT event, arg_max(cell, (overlap, -cell)) AS cell FROM overlap GROUP BY ALL",
+)
+query(
+    "w12_centred",
+    lambda t: t.tier1.select("place", "season_idx", (F.col("human") - F.avg("human").over(Window.partitionBy("place"))).alias("centred")),
+    "SELECT place, season_idx, human - avg(human) OVER (PARTITION BY place) AS centred FROM tier1",
+    "centred",
+)
+query(
+    "w13_duplicate_keys",
+    lambda t: T.duplicate_keys(t.tier1, ["place", "season_idx"]).agg(F.count(F.lit(1)).alias("violations")),
+    "SELECT count(*) AS violations FROM (SELECT 1 FROM tier1 GROUP BY place, season_idx HAVING count(*) > 1)",
+)
 _SERIES = ["cell", "ord"]
 
 
@@ -126,16 +158,50 @@ HEX = (
     + ", ".join(f"{_LOG.format(c=c)} AS log_{c}" for c in ("natural", "human", "total"))
     + " FROM acres) WINDOW w AS (PARTITION BY cell, ord ORDER BY season_idx ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING)"
 )
-query("w14_burn_conditional", lambda t: hex_panel(t).select("cell", "season_idx", "cond_natural", "cond_total"), f"SELECT cell, season_idx, cond_natural, cond_total FROM ({HEX})", "cond_natural cond_total")
-query("w15_log_persistence", lambda t: hex_panel(t).select("cell", "season_idx", "persist_human", "persist_total"), f"SELECT cell, season_idx, persist_human, persist_total FROM ({HEX})", "persist_human persist_total")
+query(
+    "w14_burn_conditional",
+    lambda t: hex_panel(t).select("cell", "season_idx", "cond_natural", "cond_total"),
+    f"SELECT cell, season_idx, cond_natural, cond_total FROM ({HEX})",
+    "cond_natural cond_total",
+)
+query(
+    "w15_log_persistence",
+    lambda t: hex_panel(t).select("cell", "season_idx", "persist_human", "persist_total"),
+    f"SELECT cell, season_idx, persist_human, persist_total FROM ({HEX})",
+    "persist_human persist_total",
+)
 
 # dense panels
-query("a14_cell_season_burn", lambda t: t.overlap.join(t.records.select(F.col("id").alias("event"), "season_idx"), "event").join(t.supplier_grid.select("cell", "area"), "cell", "left").groupBy("cell", "season_idx").agg(F.sum("overlap").alias("acres"), F.countDistinct("event").alias("events"), F.max("area").alias("area")).withColumn("frac", F.when(F.col("area") > 0, F.least(F.col("acres") / F.col("area"), F.lit(1.0)))),
-    "SELECT cell, season_idx, sum(overlap) AS acres, count(DISTINCT event) AS events, max(area) AS area, CASE WHEN max(area) > 0 THEN least(sum(overlap) / max(area), 1.0) END AS frac FROM overlap o JOIN (SELECT id, season_idx FROM records) r ON id = event LEFT JOIN (SELECT cell, area FROM supplier_grid) g USING (cell) GROUP BY ALL", "acres frac")
-query("a15_start_panel", lambda t: t.starts.withColumn("log_area", X.log_positive(F.col("area"))), "SELECT *, CASE WHEN area > 0 THEN ln(area) END AS log_area FROM starts", "log_area")
-query("a16_size_panel", lambda t: t.acres.select("cell", "season_idx", "size_natural", "size_human", "size_unknown", "size_total"), "SELECT cell, season_idx, size_natural, size_human, size_unknown, size_total FROM acres", "size_natural size_human size_unknown size_total")
-query("a25_train_anomaly", lambda t: t.tier1.select("place", "season_idx", (F.col("log_total") - T.train_mean("log_total", ["place"], ~_test())).alias("anomaly")), "SELECT place, season_idx, log_total - avg(log_total) FILTER (season_year < 1999) OVER (PARTITION BY place) AS anomaly FROM tier1", "anomaly")
-query("j18_aligned_predictions", lambda t: t.tier1.select(*CELL, "human").join(tier1_forecast(t).select("place", "season", "season_idx", "p_human"), ["place", "season", "season_idx"]).select("place", "season_idx", "human", "p_human"), f"SELECT place, season_idx, human, p_human FROM ({_pred_sql(7)})", "human p_human")
+query(
+    "a14_cell_season_burn",
+    lambda t: t.overlap.join(t.records.select(F.col("id").alias("event"), "season_idx"), "event").join(t.supplier_grid.select("cell", "area"), "cell", "left").groupBy("cell", "season_idx").agg(F.sum("overlap").alias("acres"), F.countDistinct("event").alias("events"), F.max("area").alias("area")).withColumn("frac", F.when(F.col("area") > 0, F.least(F.col("acres") / F.col("area"), F.lit(1.0)))),
+    "SELECT cell, season_idx, sum(overlap) AS acres, count(DISTINCT event) AS events, max(area) AS area, CASE WHEN max(area) > 0 THEN least(sum(overlap) / max(area), 1.0) END AS frac FROM overlap o JOIN (SELECT id, season_idx FROM records) r ON id = event LEFT JOIN (SELECT cell, area FROM supplier_grid) g USING (cell) GROUP BY ALL",
+    "acres frac",
+)
+query(
+    "a15_start_panel",
+    lambda t: t.starts.withColumn("log_area", X.log_positive(F.col("area"))),
+    "SELECT *, CASE WHEN area > 0 THEN ln(area) END AS log_area FROM starts",
+    "log_area",
+)
+query(
+    "a16_size_panel",
+    lambda t: t.acres.select("cell", "season_idx", "size_natural", "size_human", "size_unknown", "size_total"),
+    "SELECT cell, season_idx, size_natural, size_human, size_unknown, size_total FROM acres",
+    "size_natural size_human size_unknown size_total",
+)
+query(
+    "a25_train_anomaly",
+    lambda t: t.tier1.select("place", "season_idx", (F.col("log_total") - T.train_mean("log_total", ["place"], ~_test())).alias("anomaly")),
+    "SELECT place, season_idx, log_total - avg(log_total) FILTER (season_year < 1999) OVER (PARTITION BY place) AS anomaly FROM tier1",
+    "anomaly",
+)
+query(
+    "j18_aligned_predictions",
+    lambda t: t.tier1.select(*CELL, "human").join(tier1_forecast(t).select("place", "season", "season_idx", "p_human"), ["place", "season", "season_idx"]).select("place", "season_idx", "human", "p_human"),
+    f"SELECT place, season_idx, human, p_human FROM ({_pred_sql(7)})",
+    "human p_human",
+)
 query(
     "j19_leakage_audit",
     lambda t: T.audit(t.tier1, "human", SERIES, 7, 300),
@@ -145,14 +211,31 @@ query(
 )
 
 # measures
-query("x01_tvd", lambda t: tier1_forecast(t).select("place", "season_idx", X.tvd(_p(), _a()).alias("tvd")), f"SELECT place, season_idx, {TVD} AS tvd FROM ({_pred_sql(7)})", "tvd")
-query("x02_level_errors", lambda t: t.tier1.select("season_year", X.absolute_error(T.trailing_mean("log_total", SERIES, 6), F.col("log_total")).alias("e")).where(_test() & F.col("e").isNotNull()).agg(F.count(F.lit(1)).alias("n"), F.avg("e").alias("mae"), F.sqrt(F.avg(F.col("e") * F.col("e"))).alias("rmse"), F.pow(F.lit(10.0), F.avg("e")).alias("times_off")),
-    f"SELECT count(*) AS n, avg(e) AS mae, sqrt(avg(e * e)) AS rmse, pow(10, avg(e)) AS times_off FROM (SELECT season_year, abs(avg(log_total) {LAST.format(k=6)} - log_total) AS e FROM tier1) WHERE season_year >= 1999 AND e IS NOT NULL", "mae rmse times_off")
+query(
+    "x01_tvd",
+    lambda t: tier1_forecast(t).select("place", "season_idx", X.tvd(_p(), _a()).alias("tvd")),
+    f"SELECT place, season_idx, {TVD} AS tvd FROM ({_pred_sql(7)})",
+    "tvd",
+)
+query(
+    "x02_level_errors",
+    lambda t: t.tier1.select("season_year", X.absolute_error(T.trailing_mean("log_total", SERIES, 6), F.col("log_total")).alias("e")).where(_test() & F.col("e").isNotNull()).agg(F.count(F.lit(1)).alias("n"), F.avg("e").alias("mae"), F.sqrt(F.avg(F.col("e") * F.col("e"))).alias("rmse"), F.pow(F.lit(10.0), F.avg("e")).alias("times_off")),
+    f"SELECT count(*) AS n, avg(e) AS mae, sqrt(avg(e * e)) AS rmse, pow(10, avg(e)) AS times_off FROM (SELECT season_year, abs(avg(log_total) {LAST.format(k=6)} - log_total) AS e FROM tier1) WHERE season_year >= 1999 AND e IS NOT NULL",
+    "mae rmse times_off",
+)
 _ARG = "CASE WHEN {h} >= {n} AND {h} >= {u} THEN 1 WHEN {n} >= {u} THEN 2 ELSE 3 END"
 _HIT = f"({_ARG.format(h='p_human', n='p_natural', u='p_unknown')} = {_ARG.format(h='human', n=chr(34) + 'natural' + chr(34), u='unknown')})::INT::DOUBLE"
-query("x03_top1_hit", lambda t: tier1_forecast(t).select("place", "season_idx", X.top1_hit(_p(), _a()).alias("hit")), f"SELECT place, season_idx, CASE WHEN p_human IS NOT NULL THEN {_HIT} END AS hit FROM ({_pred_sql(7)})")
-query("x04_score_masked", lambda t: R.score_masked(tier1_forecast(t), X.tvd(_p(), _a()), F.col("total"), _test(), hit=X.top1_hit(_p(), _a())),
-    f"SELECT {SCORE}, avg(hit) AS hit FROM (SELECT {TVD} AS m, total AS w, {_HIT} AS hit FROM ({_pred_sql(7)}) WHERE season_year >= 1999) WHERE m IS NOT NULL", "plain weighted hit")
+query(
+    "x03_top1_hit",
+    lambda t: tier1_forecast(t).select("place", "season_idx", X.top1_hit(_p(), _a()).alias("hit")),
+    f"SELECT place, season_idx, CASE WHEN p_human IS NOT NULL THEN {_HIT} END AS hit FROM ({_pred_sql(7)})",
+)
+query(
+    "x04_score_masked",
+    lambda t: R.score_masked(tier1_forecast(t), X.tvd(_p(), _a()), F.col("total"), _test(), hit=X.top1_hit(_p(), _a())),
+    f"SELECT {SCORE}, avg(hit) AS hit FROM (SELECT {TVD} AS m, total AS w, {_HIT} AS hit FROM ({_pred_sql(7)}) WHERE season_year >= 1999) WHERE m IS NOT NULL",
+    "plain weighted hit",
+)
 
 
 def _sweep(t):
@@ -161,13 +244,26 @@ def _sweep(t):
 
 SWEEP = " UNION ALL ".join(f"SELECT '{name}' AS label, {SCORE} FROM (SELECT {TVD} AS m, total AS w FROM ({_pred_sql(k)}) WHERE season_year >= 1999) WHERE m IS NOT NULL" for name, k in (("k=1", 1), ("k=2", 2), ("k=3", 3), ("k=4", 4), ("expanding", "UNBOUNDED")))
 query("m02_window_sweep", _sweep, SWEEP, "plain weighted")
-query("m02_best_window", lambda t: _sweep(t).agg(F.min_by("label", F.struct("weighted", "label")).alias("best")), f"SELECT arg_min(label, (weighted, label)) AS best FROM ({SWEEP})")
-query("x05_ladder", lambda t: R.ladder(_sweep(t).withColumnRenamed("label", "rung"), "k=1", "weighted"), f"SELECT label AS rung, n_cells, plain, weighted, weighted - (SELECT weighted FROM ({SWEEP}) WHERE label = 'k=1') AS delta FROM ({SWEEP})", "plain weighted delta")
-query("x06_weighted_quantiles", lambda t: R.weighted_quantiles(t.tier1, ["season"], "human", "total", [0.1, 0.5, 0.9]),
+query(
+    "m02_best_window",
+    lambda t: _sweep(t).agg(F.min_by("label", F.struct("weighted", "label")).alias("best")),
+    f"SELECT arg_min(label, (weighted, label)) AS best FROM ({SWEEP})",
+)
+query(
+    "x05_ladder",
+    lambda t: R.ladder(_sweep(t).withColumnRenamed("label", "rung"), "k=1", "weighted"),
+    f"SELECT label AS rung, n_cells, plain, weighted, weighted - (SELECT weighted FROM ({SWEEP}) WHERE label = 'k=1') AS delta FROM ({SWEEP})",
+    "plain weighted delta",
+)
+query(
+    "x06_weighted_quantiles",
+    lambda t: R.weighted_quantiles(t.tier1, ["season"], "human", "total", [0.1, 0.5, 0.9]),
     """SELECT season, q, CASE WHEN lo IS NULL THEN v0 WHEN hi IS NULL THEN v1 ELSE v_lo + (v_hi - v_lo) * (q - lo) / (hi - lo) END AS value FROM (
       SELECT season, q, max(pos) FILTER (pos < q) AS lo, min(pos) FILTER (pos >= q) AS hi, arg_max(v, pos) FILTER (pos < q) AS v_lo, arg_min(v, pos) FILTER (pos >= q) AS v_hi, arg_min(v, pos) AS v0, arg_max(v, pos) AS v1
       FROM (SELECT season, v, (sum(w) OVER (PARTITION BY season ORDER BY v ROWS UNBOUNDED PRECEDING) - w / 2) / sum(w) OVER (PARTITION BY season) AS pos
-        FROM (SELECT season, human AS v, sum(total) AS w FROM tier1 GROUP BY ALL)) , (SELECT unnest([0.1, 0.5, 0.9])::DOUBLE AS q) GROUP BY ALL)""", "q value")
+        FROM (SELECT season, human AS v, sum(total) AS w FROM tier1 GROUP BY ALL)) , (SELECT unnest([0.1, 0.5, 0.9])::DOUBLE AS q) GROUP BY ALL)""",
+    "q value",
+)
 _ST = "SELECT cell, season_idx, starts_total AS y, avg(starts_total) " + CELLS.format(k=3) + " AS p FROM starts"
 
 
@@ -176,10 +272,29 @@ def start_forecast(t):
     return s.withColumn("p", T.trailing_mean("starts_total", _SERIES, 3)).withColumnRenamed("starts_total", "y")
 
 
-query("x07_poisson_deviance", lambda t: start_forecast(t).agg(F.avg(X.poisson_deviance(F.col("y").cast("double"), F.col("p"))).alias("deviance")), f"SELECT avg(2 * (CASE WHEN y > 0 THEN y * ln(y / greatest(p, 1e-6)) ELSE 0 END - (y - greatest(p, 1e-6)))) AS deviance FROM ({_ST}) WHERE p IS NOT NULL", "deviance")
-query("x08_mae", lambda t: start_forecast(t).agg(F.avg(X.absolute_error(F.col("p"), F.col("y"))).alias("mae")), f"SELECT avg(abs(p - y)) AS mae FROM ({_ST})", "mae")
-query("x09_overlap", lambda t: tier1_forecast(t).select("place", "season_idx", X.overlap(_p(), _a()).alias("overlap")), f'SELECT place, season_idx, CASE WHEN p_human IS NOT NULL THEN least(p_human, human) + least(p_natural, "natural") + least(p_unknown, unknown) END AS overlap FROM ({_pred_sql(7)})', "overlap")
-query("x10_verdicts", lambda t: R.ladder(_sweep(t).withColumnRenamed("label", "rung"), "k=1", "weighted").select("rung", X.verdict(F.col("delta")).alias("verdict")), f"SELECT label AS rung, CASE WHEN d < -0.005 THEN 'better' WHEN d > 0.005 THEN 'worse' ELSE 'level' END AS verdict FROM (SELECT label, weighted - (SELECT weighted FROM ({SWEEP}) WHERE label = 'k=1') AS d FROM ({SWEEP}))")
+query(
+    "x07_poisson_deviance",
+    lambda t: start_forecast(t).agg(F.avg(X.poisson_deviance(F.col("y").cast("double"), F.col("p"))).alias("deviance")),
+    f"SELECT avg(2 * (CASE WHEN y > 0 THEN y * ln(y / greatest(p, 1e-6)) ELSE 0 END - (y - greatest(p, 1e-6)))) AS deviance FROM ({_ST}) WHERE p IS NOT NULL",
+    "deviance",
+)
+query(
+    "x08_mae",
+    lambda t: start_forecast(t).agg(F.avg(X.absolute_error(F.col("p"), F.col("y"))).alias("mae")),
+    f"SELECT avg(abs(p - y)) AS mae FROM ({_ST})",
+    "mae",
+)
+query(
+    "x09_overlap",
+    lambda t: tier1_forecast(t).select("place", "season_idx", X.overlap(_p(), _a()).alias("overlap")),
+    f'SELECT place, season_idx, CASE WHEN p_human IS NOT NULL THEN least(p_human, human) + least(p_natural, "natural") + least(p_unknown, unknown) END AS overlap FROM ({_pred_sql(7)})',
+    "overlap",
+)
+query(
+    "x10_verdicts",
+    lambda t: R.ladder(_sweep(t).withColumnRenamed("label", "rung"), "k=1", "weighted").select("rung", X.verdict(F.col("delta")).alias("verdict")),
+    f"SELECT label AS rung, CASE WHEN d < -0.005 THEN 'better' WHEN d > 0.005 THEN 'worse' ELSE 'level' END AS verdict FROM (SELECT label, weighted - (SELECT weighted FROM ({SWEEP}) WHERE label = 'k=1') AS d FROM ({SWEEP}))",
+)
 
 # rank statistics
 AVG_RANK = "rank() OVER ({p} ORDER BY {c}) + (count(*) OVER ({p} {sep} {c}) - 1) / 2.0"
@@ -195,7 +310,12 @@ def rho_sql(source: str, a: str, b: str, by: str = "") -> str:
 
 query("m11_spearman", lambda t: K.spearman(start_forecast(t), "y", "p"), rho_sql(_ST, "y", "p"), "rho")
 query("m11_spearman_by_season", lambda t: K.spearman(start_forecast(t), "y", "p", ["season_idx"]), rho_sql(_ST, "y", "p", "season_idx"), "rho")
-query("m22_baseline_scores", lambda t: _branches(hex_panel(t)).transform(lambda d: K.spearman(d.where("season_idx >= 16"), "y", "p", ["branch"])), rho_sql(" UNION ALL ".join(f"SELECT '{c}' AS branch, season_idx, log_{c} AS y, persist_{c} AS p FROM ({HEX})" for c in ("natural", "human", "total")), "y", "p", "branch").replace("FROM (SELECT 'natural'", "FROM (SELECT 'natural'").replace("FROM acres)", "FROM acres)").replace(f"FROM ({HEX})", f"FROM ({HEX}) WHERE season_idx >= 16"), "rho")
+query(
+    "m22_baseline_scores",
+    lambda t: _branches(hex_panel(t)).transform(lambda d: K.spearman(d.where("season_idx >= 16"), "y", "p", ["branch"])),
+    rho_sql(" UNION ALL ".join(f"SELECT '{c}' AS branch, season_idx, log_{c} AS y, persist_{c} AS p FROM ({HEX})" for c in ("natural", "human", "total")), "y", "p", "branch").replace("FROM (SELECT 'natural'", "FROM (SELECT 'natural'").replace("FROM acres)", "FROM acres)").replace(f"FROM ({HEX})", f"FROM ({HEX}) WHERE season_idx >= 16"),
+    "rho",
+)
 
 
 def _branches(p):
@@ -212,13 +332,36 @@ def _predictability(t):
 
 
 query("m18_season_predictability", _predictability, f"SELECT * FROM ({PREDICT}) WHERE n >= 50", "rho")
-query("m25_predictability_spread", lambda t: _predictability(t).groupBy("branch", "ord").agg(F.median("rho").alias("mid"), F.min("rho").alias("low"), F.max("rho").alias("high")), f"SELECT branch, ord, median(rho) AS mid, min(rho) AS low, max(rho) AS high FROM ({PREDICT}) WHERE n >= 50 GROUP BY ALL", "mid low high")
-query("m13_hurdle_frames", lambda t: hex_panel(t).where("ord = 2").agg(F.count(F.lit(1)).alias("occurrence"), F.count_if((F.col("size_total") > 0) & F.col("cond_total").isNotNull()).alias("magnitude")), f"SELECT count(*) AS occurrence, count(*) FILTER (size_total > 0 AND cond_total IS NOT NULL) AS magnitude FROM ({HEX}) WHERE ord = 2")
+query(
+    "m25_predictability_spread",
+    lambda t: _predictability(t).groupBy("branch", "ord").agg(F.median("rho").alias("mid"), F.min("rho").alias("low"), F.max("rho").alias("high")),
+    f"SELECT branch, ord, median(rho) AS mid, min(rho) AS low, max(rho) AS high FROM ({PREDICT}) WHERE n >= 50 GROUP BY ALL",
+    "mid low high",
+)
+query(
+    "m13_hurdle_frames",
+    lambda t: hex_panel(t).where("ord = 2").agg(F.count(F.lit(1)).alias("occurrence"), F.count_if((F.col("size_total") > 0) & F.col("cond_total").isNotNull()).alias("magnitude")),
+    f"SELECT count(*) AS occurrence, count(*) FILTER (size_total > 0 AND cond_total IS NOT NULL) AS magnitude FROM ({HEX}) WHERE ord = 2",
+)
 _MAG = f"SELECT ord, log_total AS y, cond_total AS p FROM ({HEX}) WHERE size_total > 0 AND cond_total IS NOT NULL AND season_idx >= 16"
-query("m23_magnitude_scores", lambda t: K.spearman(hex_panel(t).where("size_total > 0 and cond_total is not null and season_idx >= 16"), "log_total", "cond_total", ["ord"]), rho_sql(_MAG, "y", "p", "ord"), "rho")
-query("m23_occurrence_scores", lambda t: K.spearman(hex_panel(t).where("season_idx >= 16").withColumn("any", (F.col("size_total") > 0).cast("int")), "any", "persist_total", ["ord"]), rho_sql(f"SELECT ord, (size_total > 0)::INT AS y, persist_total AS p FROM ({HEX}) WHERE season_idx >= 16", "y", "p", "ord"), "rho")
-query("m12_marginal_signal", lambda t: K.spearman(t.tier1.where(_test() & (F.col("season") == "JJA")).select("human", F.explode(F.array(*[F.struct(F.lit(c).alias("covariate"), F.col(c).cast("double").alias("v")) for c in ("log_total", "n", "log_mean_size")])).alias("r")).select("human", "r.*"), "human", "v", ["covariate"]),
-    rho_sql("UNPIVOT (SELECT human, log_total, n::DOUBLE AS n, log_mean_size FROM tier1 WHERE season_year >= 1999 AND season = 'JJA') ON log_total, n, log_mean_size INTO NAME covariate VALUE v", "human", "v", "covariate"), "rho")
+query(
+    "m23_magnitude_scores",
+    lambda t: K.spearman(hex_panel(t).where("size_total > 0 and cond_total is not null and season_idx >= 16"), "log_total", "cond_total", ["ord"]),
+    rho_sql(_MAG, "y", "p", "ord"),
+    "rho",
+)
+query(
+    "m23_occurrence_scores",
+    lambda t: K.spearman(hex_panel(t).where("season_idx >= 16").withColumn("any", (F.col("size_total") > 0).cast("int")), "any", "persist_total", ["ord"]),
+    rho_sql(f"SELECT ord, (size_total > 0)::INT AS y, persist_total AS p FROM ({HEX}) WHERE season_idx >= 16", "y", "p", "ord"),
+    "rho",
+)
+query(
+    "m12_marginal_signal",
+    lambda t: K.spearman(t.tier1.where(_test() & (F.col("season") == "JJA")).select("human", F.explode(F.array(*[F.struct(F.lit(c).alias("covariate"), F.col(c).cast("double").alias("v")) for c in ("log_total", "n", "log_mean_size")])).alias("r")).select("human", "r.*"), "human", "v", ["covariate"]),
+    rho_sql("UNPIVOT (SELECT human, log_total, n::DOUBLE AS n, log_mean_size FROM tier1 WHERE season_year >= 1999 AND season = 'JJA') ON log_total, n, log_mean_size INTO NAME covariate VALUE v", "human", "v", "covariate"),
+    "rho",
+)
 
 
 def affine_sql(seed: str) -> str:
@@ -234,10 +377,24 @@ query(
     rho_sql(f"SELECT a.y, b.p FROM ({_RANKED}) a JOIN (SELECT p, {affine_sql('11')} AS at FROM ({_RANKED})) b ON a.r = b.at", "y", "p"),
     "rho",
 )
-query("a54_cross_place_correlation", lambda t: t.tier1.groupBy("place").agg(F.avg("unknown").alias("u"), F.avg("natural").alias("v")).agg(K.guarded_corr("u", "v").alias("pearson")), 'SELECT corr(u, v) AS pearson FROM (SELECT place, avg(unknown) AS u, avg("natural") AS v FROM tier1 GROUP BY ALL)', "pearson")
-query("a54_cross_place_rank_correlation", lambda t: K.spearman(t.tier1.groupBy("place").agg(F.avg("unknown").alias("u"), F.avg("natural").alias("v")), "u", "v"), rho_sql('SELECT place, avg(unknown) AS u, avg("natural") AS v FROM tier1 GROUP BY ALL', "u", "v"), "rho")
-query("a34_concentration", lambda t: K.cumulative_share(t.records.select("id", "size"), "size", "id").agg(*[F.max(F.when(F.col("rank") <= F.greatest(F.lit(1), F.floor(F.col("n") * p)), F.col("cum"))).alias(f"top{int(p * 100)}") for p in (0.01, 0.05, 0.1)]),
-    "SELECT " + ", ".join(f"sum(size) FILTER (r <= greatest(1, floor(n * {p}))) / sum(size) AS top{int(p * 100)}" for p in (0.01, 0.05, 0.1)) + " FROM (SELECT size, row_number() OVER (ORDER BY size DESC, id) AS r, count(*) OVER () AS n FROM records)", "top1 top5 top10")
+query(
+    "a54_cross_place_correlation",
+    lambda t: t.tier1.groupBy("place").agg(F.avg("unknown").alias("u"), F.avg("natural").alias("v")).agg(K.guarded_corr("u", "v").alias("pearson")),
+    'SELECT corr(u, v) AS pearson FROM (SELECT place, avg(unknown) AS u, avg("natural") AS v FROM tier1 GROUP BY ALL)',
+    "pearson",
+)
+query(
+    "a54_cross_place_rank_correlation",
+    lambda t: K.spearman(t.tier1.groupBy("place").agg(F.avg("unknown").alias("u"), F.avg("natural").alias("v")), "u", "v"),
+    rho_sql('SELECT place, avg(unknown) AS u, avg("natural") AS v FROM tier1 GROUP BY ALL', "u", "v"),
+    "rho",
+)
+query(
+    "a34_concentration",
+    lambda t: K.cumulative_share(t.records.select("id", "size"), "size", "id").agg(*[F.max(F.when(F.col("rank") <= F.greatest(F.lit(1), F.floor(F.col("n") * p)), F.col("cum"))).alias(f"top{int(p * 100)}") for p in (0.01, 0.05, 0.1)]),
+    "SELECT " + ", ".join(f"sum(size) FILTER (r <= greatest(1, floor(n * {p}))) / sum(size) AS top{int(p * 100)}" for p in (0.01, 0.05, 0.1)) + " FROM (SELECT size, row_number() OVER (ORDER BY size DESC, id) AS r, count(*) OVER () AS n FROM records)",
+    "top1 top5 top10",
+)
 
 
 def deciles(t, surface="cond_total"):
@@ -250,9 +407,18 @@ def deciles(t, surface="cond_total"):
     return out
 
 
-query("a58_error_by_decile", deciles, f"SELECT {BUCKET.format(q=10)} AS decile, count(*) AS cells, median(size_total) AS mid_size, pow(10, median(abs(p - log_total))) AS times_off, median(p - log_total) AS direction FROM (SELECT size_total, log_total, cond_total AS p, row_number() OVER (ORDER BY size_total, cell::VARCHAR || ':' || season_idx::VARCHAR) AS r, count(*) OVER () AS n FROM ({HEX}) WHERE size_total > 0 AND cond_total IS NOT NULL AND season_idx >= 16) GROUP BY 1", "mid_size times_off direction")
-query("a72_two_baselines", lambda t: hex_panel(t).where("size_total > 0 and cond_total is not null and season_idx >= 16").agg(F.count(F.lit(1)).alias("n"), F.pow(F.lit(10.0), F.median(F.abs(F.col("persist_total") - F.col("log_total")))).alias("off_log"), F.pow(F.lit(10.0), F.median(F.abs(F.col("cond_total") - F.col("log_total")))).alias("off_cond"), F.avg((F.col("persist_total") <= -4).cast("double")).alias("at_floor")),
-    f"SELECT count(*) AS n, pow(10, median(abs(persist_total - log_total))) AS off_log, pow(10, median(abs(cond_total - log_total))) AS off_cond, avg((persist_total <= -4)::INT) AS at_floor FROM ({HEX}) WHERE size_total > 0 AND cond_total IS NOT NULL AND season_idx >= 16", "off_log off_cond at_floor")
+query(
+    "a58_error_by_decile",
+    deciles,
+    f"SELECT {BUCKET.format(q=10)} AS decile, count(*) AS cells, median(size_total) AS mid_size, pow(10, median(abs(p - log_total))) AS times_off, median(p - log_total) AS direction FROM (SELECT size_total, log_total, cond_total AS p, row_number() OVER (ORDER BY size_total, cell::VARCHAR || ':' || season_idx::VARCHAR) AS r, count(*) OVER () AS n FROM ({HEX}) WHERE size_total > 0 AND cond_total IS NOT NULL AND season_idx >= 16) GROUP BY 1",
+    "mid_size times_off direction",
+)
+query(
+    "a72_two_baselines",
+    lambda t: hex_panel(t).where("size_total > 0 and cond_total is not null and season_idx >= 16").agg(F.count(F.lit(1)).alias("n"), F.pow(F.lit(10.0), F.median(F.abs(F.col("persist_total") - F.col("log_total")))).alias("off_log"), F.pow(F.lit(10.0), F.median(F.abs(F.col("cond_total") - F.col("log_total")))).alias("off_cond"), F.avg((F.col("persist_total") <= -4).cast("double")).alias("at_floor")),
+    f"SELECT count(*) AS n, pow(10, median(abs(persist_total - log_total))) AS off_log, pow(10, median(abs(cond_total - log_total))) AS off_cond, avg((persist_total <= -4)::INT) AS at_floor FROM ({HEX}) WHERE size_total > 0 AND cond_total IS NOT NULL AND season_idx >= 16",
+    "off_log off_cond at_floor",
+)
 _SITE = f"SELECT cell, size_total, persist_natural + persist_human AS pred, size_total AS actual FROM ({HEX}) WHERE place = 'NATION_3' AND season_year = 2000 AND ord = 2"
 
 
@@ -260,7 +426,12 @@ def siting(t, place="NATION_3", year=2000, ord_=2):
     return hex_panel(t).where((F.col("place") == place) & (F.col("season_year") == year) & (F.col("ord") == ord_)).select("cell", (F.col("persist_natural") + F.col("persist_human")).alias("pred"), F.col("size_total").alias("actual"))
 
 
-query("t05_siting_ranking", lambda t: siting(t).orderBy(F.col("pred").desc(), "cell").select("cell", "pred"), f"SELECT cell, pred FROM ({_SITE}) ORDER BY pred DESC, cell", "pred")
+query(
+    "t05_siting_ranking",
+    lambda t: siting(t).orderBy(F.col("pred").desc(), "cell").select("cell", "pred"),
+    f"SELECT cell, pred FROM ({_SITE}) ORDER BY pred DESC, cell",
+    "pred",
+)
 
 
 def capture(t):
@@ -271,4 +442,9 @@ def capture(t):
     return out.withColumns({"ground": F.col("n_cells") / F.col("cells")}).withColumn("lift", F.col("captured") / F.col("ground"))
 
 
-query("t06_capture_bands", capture, f"SELECT target, min(rank) AS n_cells, any_value(cells) AS cells, min(cum) AS captured, min(rank) / any_value(cells) AS ground, min(cum) / (min(rank) / any_value(cells)) AS lift FROM (SELECT row_number() OVER w AS rank, count(*) OVER () AS cells, sum(actual) OVER w / sum(actual) OVER () AS cum FROM ({_SITE}) WINDOW w AS (ORDER BY pred DESC, cell ROWS UNBOUNDED PRECEDING)), (SELECT unnest([0.3, 0.6, 0.9])::DOUBLE AS target) WHERE cum >= target - 1e-12 GROUP BY ALL", "target captured ground lift")
+query(
+    "t06_capture_bands",
+    capture,
+    f"SELECT target, min(rank) AS n_cells, any_value(cells) AS cells, min(cum) AS captured, min(rank) / any_value(cells) AS ground, min(cum) / (min(rank) / any_value(cells)) AS lift FROM (SELECT row_number() OVER w AS rank, count(*) OVER () AS cells, sum(actual) OVER w / sum(actual) OVER () AS cum FROM ({_SITE}) WINDOW w AS (ORDER BY pred DESC, cell ROWS UNBOUNDED PRECEDING)), (SELECT unnest([0.3, 0.6, 0.9])::DOUBLE AS target) WHERE cum >= target - 1e-12 GROUP BY ALL",
+    "target captured ground lift",
+)

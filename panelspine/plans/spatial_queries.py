@@ -38,10 +38,21 @@ def layer(t, boxes=BOXES):
 _PTS = f"SELECT id, size, agency, {LON.format(k='id')} AS x, {LAT.format(k='id')} AS y FROM raw"
 _BOX = "(VALUES " + ", ".join(str(b) for b in BOXES) + ") b(poly, place, parent, x0, x1, y0, y1)"
 _IN = f"SELECT p.id, min(poly) AS poly FROM ({_PTS}) p JOIN {_BOX} ON x > x0 AND x < x1 AND y > y0 AND y < y1 GROUP BY ALL"
-query("p06_box_prefilter", lambda t: points(t).where("x between -150 and 40 and y between -60 and 60").agg(F.count(F.lit(1)).alias("n")), f"SELECT count(*) AS n FROM ({_PTS}) WHERE x BETWEEN -150 AND 40 AND y BETWEEN -60 AND 60")
-query("j10_point_in_polygon", lambda t: P.points_in_polygons(points(t), layer(t), 10.0).groupBy("id").agg(F.min("poly").alias("poly")), f"SELECT id, poly::BIGINT AS poly FROM ({_IN})")
-query("j11_routed_layers", lambda t: P.join_routed(points(t), [("agency = 'F'", layer(t, BOXES[:2])), ("agency <> 'F'", layer(t, BOXES[2:]))], 10.0).groupBy("place", "parent").agg(F.count(F.lit(1)).alias("n")),
-    f"SELECT place, parent, count(*) AS n FROM (SELECT p.id, arg_min(b.place, b.poly) AS place, arg_min(b.parent, b.poly) AS parent FROM ({_PTS}) p LEFT JOIN {_BOX} ON x > x0 AND x < x1 AND y > y0 AND y < y1 AND (agency = 'F') = (poly < 3) GROUP BY p.id) GROUP BY ALL")
+query(
+    "p06_box_prefilter",
+    lambda t: points(t).where("x between -150 and 40 and y between -60 and 60").agg(F.count(F.lit(1)).alias("n")),
+    f"SELECT count(*) AS n FROM ({_PTS}) WHERE x BETWEEN -150 AND 40 AND y BETWEEN -60 AND 60",
+)
+query(
+    "j10_point_in_polygon",
+    lambda t: P.points_in_polygons(points(t), layer(t), 10.0).groupBy("id").agg(F.min("poly").alias("poly")),
+    f"SELECT id, poly::BIGINT AS poly FROM ({_IN})",
+)
+query(
+    "j11_routed_layers",
+    lambda t: P.join_routed(points(t), [("agency = 'F'", layer(t, BOXES[:2])), ("agency <> 'F'", layer(t, BOXES[2:]))], 10.0).groupBy("place", "parent").agg(F.count(F.lit(1)).alias("n")),
+    f"SELECT place, parent, count(*) AS n FROM (SELECT p.id, arg_min(b.place, b.poly) AS place, arg_min(b.parent, b.poly) AS parent FROM ({_PTS}) p LEFT JOIN {_BOX} ON x > x0 AND x < x1 AND y > y0 AND y < y1 AND (agency = 'F') = (poly < 3) GROUP BY p.id) GROUP BY ALL",
+)
 _R = "6371.0088"
 _HEX = f"""SELECT id, ((CASE WHEN dq > dr AND dq > ds THEN -rr - rs ELSE rq END)::BIGINT + 1048576) * 2097152 + (CASE WHEN NOT (dq > dr AND dq > ds) AND dr > ds THEN -rq - rs ELSE rr END)::BIGINT + 1048576 AS cell
   FROM (SELECT id, round(q) AS rq, round(r) AS rr, round(-q - r) AS rs, abs(round(q) - q) AS dq, abs(round(r) - r) AS dr, abs(round(-q - r) - (-q - r)) AS ds
@@ -56,8 +67,11 @@ def _round_trip(t):
 
 
 query("q12_centre_round_trip", _round_trip, "SELECT count(*) - count(*) AS violations FROM raw")
-query("j12_point_to_known_cell", lambda t: J.restrict(points(t).withColumn("cell", H.cell_of(F.col("y"), F.col("x"), SIDE)), points(t).where("agency = 'F'").select(H.cell_of(F.col("y"), F.col("x"), SIDE).alias("cell")).distinct(), "cell").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("cell").alias("cells")),
-    f"SELECT count(*) AS n, count(DISTINCT cell) AS cells FROM ({_HEX}) WHERE cell IN (SELECT h.cell FROM ({_HEX}) h JOIN raw USING (id) WHERE agency = 'F')")
+query(
+    "j12_point_to_known_cell",
+    lambda t: J.restrict(points(t).withColumn("cell", H.cell_of(F.col("y"), F.col("x"), SIDE)), points(t).where("agency = 'F'").select(H.cell_of(F.col("y"), F.col("x"), SIDE).alias("cell")).distinct(), "cell").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("cell").alias("cells")),
+    f"SELECT count(*) AS n, count(DISTINCT cell) AS cells FROM ({_HEX}) WHERE cell IN (SELECT h.cell FROM ({_HEX}) h JOIN raw USING (id) WHERE agency = 'F')",
+)
 _LAT = "(SELECT poly, place, floor(px / 25)::BIGINT * 1000 + floor(py / 25)::BIGINT AS cell, count(*) * 4.0 AS area FROM " + _BOX + ", (SELECT unnest(range(-90, 90)) * 2 + 1 AS px), (SELECT unnest(range(-50, 50)) * 2 + 1 AS py) WHERE px > x0 AND px < x1 AND py > y0 AND py < y1 GROUP BY ALL)"
 
 
@@ -66,8 +80,17 @@ def lattice(t):
 
 
 query("j13_polygon_cell_overlap", lattice, f"SELECT poly::BIGINT AS poly, cell, area FROM {_LAT}", "area")
-query("j14_cells_to_places", lambda t: P.assign_cells(lattice(t).join(layer(t).select("poly", "place").distinct(), "poly")), f"SELECT cell, place, area FROM (SELECT cell, place, area, row_number() OVER (PARTITION BY cell ORDER BY area DESC, place) AS r FROM {_LAT}) WHERE r = 1", "area")
-query("j15_grid_centres", lambda t: P.points_in_polygons(t.supplier_grid.select(F.col("cell").alias("id"), F.expr(LON.format(k="cell * 36")).cast("double").alias("x"), F.expr(LAT.format(k="cell * 36")).cast("double").alias("y")), layer(t), 10.0).groupBy("id").agg(F.min("poly").alias("poly")), f"SELECT id, min(poly)::BIGINT AS poly FROM (SELECT cell AS id, {LON.format(k='(cell * 36)')} AS x, {LAT.format(k='(cell * 36)')} AS y FROM supplier_grid) JOIN {_BOX} ON x > x0 AND x < x1 AND y > y0 AND y < y1 GROUP BY ALL")
+query(
+    "j14_cells_to_places",
+    lambda t: P.assign_cells(lattice(t).join(layer(t).select("poly", "place").distinct(), "poly")),
+    f"SELECT cell, place, area FROM (SELECT cell, place, area, row_number() OVER (PARTITION BY cell ORDER BY area DESC, place) AS r FROM {_LAT}) WHERE r = 1",
+    "area",
+)
+query(
+    "j15_grid_centres",
+    lambda t: P.points_in_polygons(t.supplier_grid.select(F.col("cell").alias("id"), F.expr(LON.format(k="cell * 36")).cast("double").alias("x"), F.expr(LAT.format(k="cell * 36")).cast("double").alias("y")), layer(t), 10.0).groupBy("id").agg(F.min("poly").alias("poly")),
+    f"SELECT id, min(poly)::BIGINT AS poly FROM (SELECT cell AS id, {LON.format(k='(cell * 36)')} AS x, {LAT.format(k='(cell * 36)')} AS y FROM supplier_grid) JOIN {_BOX} ON x > x0 AND x < x1 AND y > y0 AND y < y1 GROUP BY ALL",
+)
 
 
 def events(t):
@@ -90,15 +113,48 @@ def shares(t):
     return P.apportion(events(t), perimeters(t))
 
 
-query("j16_complex_pooling", lambda t: shares(t).where("source = 'perimeter'").groupBy("cell").agg(F.sum("share").alias("share"), F.countDistinct("event").alias("events")), f"SELECT cell, sum(share) AS share, count(DISTINCT event) AS events FROM ({_APP}) WHERE source = 'perimeter' GROUP BY ALL", "share")
-query("j17_hybrid_routing", lambda t: shares(t).groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.sum("share").alias("share")), f"SELECT source, count(*) AS n, sum(share) AS share FROM ({_APP}) GROUP BY ALL", "share")
-query("a18_conservation", lambda t: P.conservation(events(t), shares(t)).select("events", "violations", "losing"), f"SELECT count(*) AS events, count(*) FILTER (abs(g / size - 1) > 1e-6) AS violations, count(*) FILTER (g / size < 0.999) AS losing FROM (SELECT event, size, sum(share) AS g FROM ({_EV}) JOIN ({_APP}) USING (event) GROUP BY ALL)")
-query("a19_pool_and_member_share", lambda t: events(t).join(perimeters(t).select("perimeter").distinct(), "perimeter", "left_semi").groupBy("perimeter").agg(F.sum("size").alias("pool"), F.max("size").alias("m")).select("perimeter", "pool", (F.col("m") / F.col("pool")).alias("largest")), f"SELECT perimeter, sum(size) AS pool, max(size) / sum(size) AS largest FROM ({_EV}) WHERE perimeter IN (SELECT perimeter FROM ({_OV})) GROUP BY ALL", "pool largest")
-query("a62_naive_and_apportioned", lambda t: t.supplier_grid.select("cell").join(shares(t).groupBy("cell").agg(F.sum("share").alias("apportioned")), "cell", "left").join(events(t).groupBy(F.col("point_cell").alias("cell")).agg(F.sum("size").alias("naive")), "cell", "left").fillna(0.0), f"SELECT cell, coalesce(a, 0) AS apportioned, coalesce(n, 0) AS naive FROM supplier_grid LEFT JOIN (SELECT cell, sum(share) AS a FROM ({_APP}) GROUP BY ALL) USING (cell) LEFT JOIN (SELECT point_cell AS cell, sum(size) AS n FROM ({_EV}) GROUP BY ALL) USING (cell)", "apportioned naive")
+query(
+    "j16_complex_pooling",
+    lambda t: shares(t).where("source = 'perimeter'").groupBy("cell").agg(F.sum("share").alias("share"), F.countDistinct("event").alias("events")),
+    f"SELECT cell, sum(share) AS share, count(DISTINCT event) AS events FROM ({_APP}) WHERE source = 'perimeter' GROUP BY ALL",
+    "share",
+)
+query(
+    "j17_hybrid_routing",
+    lambda t: shares(t).groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.sum("share").alias("share")),
+    f"SELECT source, count(*) AS n, sum(share) AS share FROM ({_APP}) GROUP BY ALL",
+    "share",
+)
+query(
+    "a18_conservation",
+    lambda t: P.conservation(events(t), shares(t)).select("events", "violations", "losing"),
+    f"SELECT count(*) AS events, count(*) FILTER (abs(g / size - 1) > 1e-6) AS violations, count(*) FILTER (g / size < 0.999) AS losing FROM (SELECT event, size, sum(share) AS g FROM ({_EV}) JOIN ({_APP}) USING (event) GROUP BY ALL)",
+)
+query(
+    "a19_pool_and_member_share",
+    lambda t: events(t).join(perimeters(t).select("perimeter").distinct(), "perimeter", "left_semi").groupBy("perimeter").agg(F.sum("size").alias("pool"), F.max("size").alias("m")).select("perimeter", "pool", (F.col("m") / F.col("pool")).alias("largest")),
+    f"SELECT perimeter, sum(size) AS pool, max(size) / sum(size) AS largest FROM ({_EV}) WHERE perimeter IN (SELECT perimeter FROM ({_OV})) GROUP BY ALL",
+    "pool largest",
+)
+query(
+    "a62_naive_and_apportioned",
+    lambda t: t.supplier_grid.select("cell").join(shares(t).groupBy("cell").agg(F.sum("share").alias("apportioned")), "cell", "left").join(events(t).groupBy(F.col("point_cell").alias("cell")).agg(F.sum("size").alias("naive")), "cell", "left").fillna(0.0),
+    f"SELECT cell, coalesce(a, 0) AS apportioned, coalesce(n, 0) AS naive FROM supplier_grid LEFT JOIN (SELECT cell, sum(share) AS a FROM ({_APP}) GROUP BY ALL) USING (cell) LEFT JOIN (SELECT point_cell AS cell, sum(size) AS n FROM ({_EV}) GROUP BY ALL) USING (cell)",
+    "apportioned naive",
+)
 
 # backfill
-query("s07_planned_minus_done", lambda t: A.unfinished(t.records.select("place", "season_year").distinct(), t.records.where("agency = 'F' and state = 'BUILDING' and size > 300000"), ["place", "season_year"]), "SELECT DISTINCT place, season_year FROM records EXCEPT SELECT place, season_year FROM records WHERE agency = 'F' AND state = 'BUILDING' AND size > 300000")
-query("s05_written_artifact", lambda t: A.write_checked(t.tier1.select("place", "season_idx", "human"), A.scratch_path(t.spark, "tier1"), ["place", "season_idx"]), "SELECT place, season_idx, human FROM tier1", "human")
+query(
+    "s07_planned_minus_done",
+    lambda t: A.unfinished(t.records.select("place", "season_year").distinct(), t.records.where("agency = 'F' and state = 'BUILDING' and size > 300000"), ["place", "season_year"]),
+    "SELECT DISTINCT place, season_year FROM records EXCEPT SELECT place, season_year FROM records WHERE agency = 'F' AND state = 'BUILDING' AND size > 300000",
+)
+query(
+    "s05_written_artifact",
+    lambda t: A.write_checked(t.tier1.select("place", "season_idx", "human"), A.scratch_path(t.spark, "tier1"), ["place", "season_idx"]),
+    "SELECT place, season_idx, human FROM tier1",
+    "human",
+)
 
 
 def _cached(t):
@@ -206,9 +262,15 @@ def _poisson(t):
 
 
 query("m10_rank_ladder", _ladder)
-query("m19_shuffled_covariates", lambda t: L.shuffle_control(_panel(t), "log_total", "persist_total", ["log_area", "last"], F.col("season_year") < CFG.test_start, "key", lambda y: L.ridge(y, 1e-6)))
+query(
+    "m19_shuffled_covariates",
+    lambda t: L.shuffle_control(_panel(t), "log_total", "persist_total", ["log_area", "last"], F.col("season_year") < CFG.test_start, "key", lambda y: L.ridge(y, 1e-6)),
+)
 query("m20_poisson_offset", _poisson)
-query("m26_split_years", lambda t: reduce(lambda a, b: a.unionByName(b), [_ladder(t, y, {"area_and_last": RUNGS["area_and_last"]}).withColumn("split_year", F.lit(y)) for y in (1999, 2000)]))
+query(
+    "m26_split_years",
+    lambda t: reduce(lambda a, b: a.unionByName(b), [_ladder(t, y, {"area_and_last": RUNGS["area_and_last"]}).withColumn("split_year", F.lit(y)) for y in (1999, 2000)]),
+)
 
 
 def boxes_table(t):
