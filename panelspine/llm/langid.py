@@ -16,11 +16,10 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import bounded_texts, is_held_out, stored, text_slices
@@ -214,18 +213,21 @@ def vocabulary_of(path: str) -> list[str]:
 def training_rows(docs: DataFrame, per_language: int, most_languages: int, most_chars: int, lang_col: str = "lang") -> list[tuple[str, str]]:
     """At most per_language documents of each of the most_languages most frequent
     languages outside the held-out fold, those of least id hash, and of their
-    texts at most most_chars characters in all. Ids are chosen first, by a
-    bounded heap for each language, so only the chosen texts move; of rows of
-    one id and language the least text counts."""
+    texts at most most_chars characters in all. Ids are chosen first, without
+    reading texts: the least of each part of a language, then of the language,
+    so no task ranks more than a bounded number of them. Of rows of one id and
+    language the least text counts; a null text counts among the chosen ones."""
     lang = F.col(lang_col).cast("string")
-    named = docs.where(F.col(lang_col).isNotNull() & F.col("text").isNotNull() & ~is_held_out(F.col("doc_id"))).select("doc_id", lang.alias("lang"), F.col("text").cast("string").alias("text"))
-    top = named.groupBy("lang").count().orderBy(F.col("count").desc(), "lang").limit(most_languages).collect()
-    ids = [named.where(F.col("lang") == r["lang"]).select("lang", F.col("doc_id").alias("chosen")).distinct().orderBy(F.xxhash64("chosen"), "chosen").limit(per_language) for r in top]
-    if not ids:
-        return []
-    wanted = reduce(DataFrame.union, ids).withColumnRenamed("lang", "of")
-    rows = named.join(F.broadcast(wanted), F.col("doc_id").eqNullSafe(F.col("chosen")) & (F.col("lang") == F.col("of")), "left_semi")
-    return bounded_texts(stored(rows.groupBy("doc_id", "lang").agg(F.min("text").alias("text")), "learned"), "lang", most_chars)
+    named = docs.where(F.col(lang_col).isNotNull() & ~is_held_out(F.col("doc_id"))).withColumn("of", lang)
+    top = named.groupBy("of").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "of").limit(most_languages).drop("n")
+    ids = named.select("of", F.col("doc_id").alias("chosen"), F.xxhash64("doc_id").alias("h")).distinct().join(F.broadcast(top), "of")
+    for part in ([F.pmod("h", F.lit(256))], []):
+        least = Window.partitionBy("of", *part).orderBy("h", "chosen")
+        ids = ids.withColumn("r", F.row_number().over(least)).where(F.col("r") <= per_language).drop("r")
+    wanted = ids.drop("h").withColumnRenamed("of", "language")
+    rows = named.where("text is not null").join(F.broadcast(wanted), F.col("doc_id").eqNullSafe(F.col("chosen")) & (F.col("of") == F.col("language")))
+    rows = rows.groupBy("doc_id", "language").agg(F.min(F.col("text").cast("string")).alias("text"))
+    return bounded_texts(stored(rows, "learned"), "language", most_chars)
 
 
 def identify(docs: DataFrame, vocabulary: str, *, per_language: int = 400, most_languages: int = 200, most_chars: int = 40_000_000) -> DataFrame:
