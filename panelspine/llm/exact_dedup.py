@@ -82,21 +82,3 @@ def exact_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     ]
     return out[0].union(out[1])
 
-
-def keep_distinct(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that stay, with all their columns. Nulls and empty texts
-    as in exact_duplicates; of repeated rows one stays; no rows: no rows."""
-    kept = exact_duplicates(docs, id_col=id_col, text_col=text_col).where("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"))
-    kept = stored(kept, "exact-kept")
-    sha = F.sha2(normalised(F.col(text_col)).cast("binary"), 256)
-    chars = F.length(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
-    ids = docs.groupBy(F.col(id_col).alias("__id")).agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").select("__id")
-    out = docs.join(kept, F.col(id_col).eqNullSafe(F.col("__id")) & (sha == F.col("__sha")))
-    repeated = stored(ids, "exact-repeated-ids")
-    if repeated.isEmpty():
-        return out.select(*docs.columns)
-    twice = F.col(id_col).eqNullSafe(repeated["__id"])
-    once = out.drop("__id").join(repeated, twice, "left_anti")
-    again = out.drop("__id").withColumn("__less", -chars).join(repeated, twice, "left_semi")
-    first = Window.partitionBy(id_col, "__sha").orderBy("__less")
-    return once.select(*docs.columns).union(again.withColumn("__k", F.row_number().over(first)).where("__k = 1").select(*docs.columns))
