@@ -7,10 +7,11 @@ dynamic programming. One edit harms one pivot at most, so of two words one edit
 apart either one's pivots meet the other's prefix: of the two prefixes, the one
 that reaches further in the order holds all earlier bigrams of its word.
 
-The place of a shared bigram and the lengths are known up to the edit: with
-equal lengths the place is the same, with one more code point it is the same or
-one later. These limits are part of the join key, and pairs are verified in the
-join by a banded edit distance, so that it gives pairs of near words alone.
+An edit is on one side of a shared bigram, so the text on the other side is the
+same: it is at the same distance from the word's begin or its end. This limit
+of its place is part of the join key. Pairs are verified in the join, by the
+sets of their letters and then by a banded edit distance, so that it gives
+pairs of near words alone.
 """
 
 from __future__ import annotations
@@ -26,29 +27,31 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import stored, text_slices
-from .words import mix
+from .words import coded, mix
 
 Q, EDITS = 2, 1
 #: Bigrams are told apart by so many hash values: bounds the table of their frequencies.
 GRAMS = 1 << 16
-RUN = re.compile("[a-zÀ-ÿ]+")
-
-
-def spelled(doc_id: str, text: str, least: int) -> Counter:
-    """Words of a text of at least that many code points, with counts. Where 97
-    divides the crc32 of id, colon and word, one code point is left out."""
-    out: Counter = Counter()
-    start = zlib.crc32(f"{doc_id}:".encode())
-    for word, n in Counter(RUN.findall(text.encode().lower().decode())).items():  # bytes: A-Z alone are lower-cased
-        if len(word) < least:
-            continue
-        h = zlib.crc32(word.encode(), start)
-        if h % 97 == 0:
-            at = h % len(word)
-            word = word[:at] + word[at + 1 :]
-            if len(word) < least:
-                continue
-        out[word] += n
+#: Maximal runs of at least so many letters.
+RUN = "[a-zÀ-ÿ]{%d,}"
+
+
+def spelled(ids: list[str], texts: list[str], least: int) -> Counter:
+    """Words of at least that many code points, with counts over all texts. Where
+    97 divides the crc32 of id, colon and word, one code point is left out."""
+    run = re.compile(RUN % least)
+    codes, names, bounds = coded([run.findall(t.encode().lower().decode()) for t in texts])  # bytes: A-Z alone are lower-cased
+    pairs, n = np.unique(np.repeat(np.arange(len(texts)), np.diff(bounds)) * max(1, len(names)) + codes, return_counts=True)
+    doc, code = np.divmod(pairs, max(1, len(names)))
+    raw, starts, crc = [w.encode() for w in names], [zlib.crc32(f"{i}:".encode()) for i in ids], zlib.crc32
+    h = np.fromiter((crc(raw[c], starts[d]) for d, c in zip(doc.tolist(), code.tolist(), strict=True)), np.int64, len(pairs))
+    hit = h % 97 == 0
+    whole = np.bincount(code[~hit], n[~hit], minlength=len(names)).astype(np.int64)
+    out = Counter({names[c]: int(whole[c]) for c in np.flatnonzero(whole).tolist()})
+    for c, x, k in zip(code[hit].tolist(), h[hit].tolist(), n[hit].tolist(), strict=True):
+        word, at = names[c], x % len(names[c])
+        if len(word) > least:
+            out[word[:at] + word[at + 1 :]] += k
     return out
 
 
@@ -60,9 +63,7 @@ def vocabulary(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for a, b in text_slices(texts, 4_000_000):
-                out: Counter = Counter()
-                for doc_id, text in zip(ids[a:b], texts[a:b], strict=True):
-                    out.update(spelled(doc_id, text, least_chars))
+                out = spelled(ids[a:b], texts[a:b], least_chars)
                 yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.string()), pa.array(list(out.values()), pa.int64())], ["word", "n"])
 
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
@@ -131,36 +132,38 @@ def _frequencies(words: DataFrame) -> np.ndarray:
 
 
 def _indexed(words: DataFrame, frequency: np.ndarray) -> tuple[DataFrame, DataFrame]:
-    """(pivots, prefixes): word, n and the key (gram, place, chars). A pivot has
-    one row for each place and length that its bigram can have in a near word."""
+    """(pivots, prefixes): word, n, letters and key, a hash of a bigram, the text
+    on one side of it and the length of the other word. A pivot has one row for
+    each side and each length that a near word can have."""
     shared = words.sparkSession.sparkContext.broadcast(frequency)
-    #: Fixed values of one edit: how much longer the other word is, and how much later the bigram is in it.
-    moves = ((0, 0), (1, 0), (1, 1), (-1, 0), (-1, -1))
 
     def index(want_pivots: bool):
+        #: Fixed values of one edit: how much longer the other word can be.
+        longer = np.array([-1, 0, 1] if want_pivots else [0])
+
         def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             weights = shared.value
             for batch in batches:
                 names = batch.column(0).to_pylist()
                 for a, b in text_slices(names, 200_000):
                     codes, bounds = gram_codes(names[a:b])
-                    at, gram, place, chars = [], [], [], []
+                    at, gram, side, letters = [], [], [], []
                     for i, name in enumerate(names[a:b]):
                         own = codes[bounds[i] : bounds[i + 1]]
                         spots = prefix_of(own, weights)
-                        if want_pivots:
-                            spots = pivots_of(spots, weights[own[spots]])
-                        for s in spots:
-                            for longer, later in moves if want_pivots else moves[:1]:
-                                if s + later >= 0:
-                                    at.append(a + i)
-                                    gram.append(int(own[s]))
-                                    place.append(int(s) + later)
-                                    chars.append(len(name) + longer)
-                    take = pa.array(at, pa.int64())
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(gram, pa.int32()), pa.array(place, pa.int32()), pa.array(chars, pa.int32())], ["word", "n", "gram", "place", "chars"])
-
-        return words.select("word", "n").mapInArrow(rows, "word string, n long, gram int, place int, chars int")
+                        for s in pivots_of(spots, weights[own[spots]]) if want_pivots else spots.tolist():
+                            at += (a + i, a + i)
+                            gram += (own[s], own[s])
+                            side += (zlib.crc32(name[:s].encode()), zlib.crc32(name[s + Q :].encode(), 1) | 1 << 32)
+                        letters.append(sum({1 << (ord(x) & 63) for x in name}))
+                    chars = np.array([len(x) for x in names[a:b]], np.int64)[np.array(at, np.int64) - a]
+                    key = mix(mix(np.array(side, np.uint64)) + np.array(gram, np.uint64))
+                    key = mix(key[:, None] ^ (chars[:, None] + longer).astype(np.uint64)).reshape(-1)
+                    take = pa.array(np.repeat(np.array(at, np.int64), len(longer)))
+                    mask = np.array(letters, np.uint64)[np.array(at, np.int64) - a].repeat(len(longer))
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(mask.view(np.int64)), pa.array(key.view(np.int64))], ["word", "n", "letters", "key"])
+
+        return words.select("word", "n").mapInArrow(rows, "word string, n long, letters long, key long")
 
     return index(True), index(False)
 
@@ -169,9 +172,9 @@ def near_pairs(words: DataFrame) -> DataFrame:
     """a, na, b, nb: each pair of words one edit apart once, a < b. words: word, n."""
     pivots, prefixes = _indexed(words, _frequencies(words))
     x, y = pivots.alias("x"), prefixes.alias("y")
-    same = [F.col(f"x.{c}") == F.col(f"y.{c}") for c in ("gram", "place", "chars")]
+    few = F.bit_count(F.col("x.letters").bitwiseXOR(F.col("y.letters"))) <= 2 * EDITS  # letters that one word has alone
     near = F.levenshtein(F.col("x.word"), F.col("y.word"), EDITS) == EDITS
-    found = x.join(y, same[0] & same[1] & same[2] & (F.col("x.word") != F.col("y.word")) & near)
+    found = x.join(y, (F.col("x.key") == F.col("y.key")) & few & (F.col("x.word") != F.col("y.word")) & near)
     one, other = F.struct("x.word", "x.n"), F.struct("y.word", "y.n")
     return found.select(F.least(one, other).alias("l"), F.greatest(one, other).alias("g")).select(F.col("l.word").alias("a"), F.col("l.n").alias("na"), F.col("g.word").alias("b"), F.col("g.n").alias("nb")).distinct()
 
