@@ -1,9 +1,9 @@
 """Spelling variants: words one edit apart, found by pivotal grams.
 
-All bigrams have one order, rare ones first. A word's prefix is its bigrams up
-to the third in that order (EDITS * 2 + 1, with all repeats of the last one);
-its pivots are two disjoint bigrams of the prefix, the rarest pair, chosen by
-dynamic programming. One edit harms one pivot at most, so of two words one edit
+All bigrams have one order, rare ones first. A word's prefix is its first three
+bigrams in that order (Q * EDITS + 1) and some repeats of the last one; its
+pivots are two disjoint ones of the three, the rarest pair, chosen by dynamic
+programming. One edit harms one pivot at most, so of two words one edit
 apart either one's pivots meet the other's prefix: of the two prefixes, the one
 that reaches further in the order holds all earlier bigrams of its word.
 
@@ -86,14 +86,19 @@ def gram_codes(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return (codes % np.uint64(GRAMS)).astype(np.int64), bounds
 
 
-def prefix_of(codes: np.ndarray, frequency: np.ndarray) -> np.ndarray:
-    """Places of a word's bigrams up to the one at Q * EDITS + 1 in the order of
-    (frequency, code), repeats of the last one included, rarest first."""
+def prefix_of(codes: np.ndarray, frequency: np.ndarray) -> tuple[np.ndarray, int]:
+    """Places of a word's bigrams in the order of (frequency, code, place), and how
+    many of them, Q * EDITS + 1 if there are as many, pivots are chosen from.
+
+    Behind those follow repeats of the last one. Pivots are among the first
+    Q * EDITS + 1 equal ones of their word, and an edit makes at most Q more, so
+    a shared bigram is among the first 2 * Q * EDITS + 1 equal ones here."""
     order = np.lexsort((np.arange(len(codes)), codes, frequency[codes]))
-    k = min(Q * EDITS + 1, len(order))
-    while k < len(order) and codes[order[k]] == codes[order[k - 1]]:
-        k += 1
-    return order[:k]
+    few = min(Q * EDITS + 1, len(order))
+    if not few:
+        return order, 0
+    equal = codes[order] == codes[order[few - 1]]
+    return order[(np.arange(len(order)) < few) | (equal & (np.cumsum(equal) <= 2 * Q * EDITS + 1))], few
 
 
 def pivots_of(places: np.ndarray, weights: np.ndarray, count: int = EDITS + 1) -> list[int]:
@@ -150,8 +155,8 @@ def _indexed(words: DataFrame, frequency: np.ndarray) -> tuple[DataFrame, DataFr
                     at, gram, side, letters = [], [], [], []
                     for i, name in enumerate(names[a:b]):
                         own = codes[bounds[i] : bounds[i + 1]]
-                        spots = prefix_of(own, weights)
-                        for s in pivots_of(spots, weights[own[spots]]) if want_pivots else spots.tolist():
+                        spots, few = prefix_of(own, weights)
+                        for s in pivots_of(spots[:few], weights[own[spots[:few]]]) if want_pivots else spots.tolist():
                             at += (a + i, a + i)
                             gram += (own[s], own[s])
                             side += (zlib.crc32(name[:s].encode()), zlib.crc32(name[s + Q :].encode(), 1) | 1 << 32)
