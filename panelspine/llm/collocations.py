@@ -3,7 +3,7 @@
 A sample of the documents proposes frequent phrases. A full pass then counts
 them exactly, by their texts, together with the negative border: every phrase
 that occurs and is not proposed although all shorter ones in it are, counted by
-a 64-bit hash (never less than the true count). If a border phrase is frequent,
+a hash (never less than the true count). If a border phrase is frequent,
 an expansion pass counts, by their texts, all phrases that no infrequent phrase
 rules out and that were not counted before; after it nothing is left open. So
 the phrases found are exactly the frequent ones, whatever the sample.
@@ -30,6 +30,8 @@ LONGEST = 5
 BREAK, END = "\n", "\x0b"
 #: Bytes: A-Z to lower case, the characters that end a piece to BREAK, tab to space.
 BYTES = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?\x0b\x0c\r\t", b"abcdefghijklmnopqrstuvwxyz" + b"\n" * 9 + b" ")
+#: Border phrases are counted by the first 40 bits of their hash: more phrases of one count, fewer bytes to shuffle.
+COUNTED_BITS = np.uint64(0xFFFFFFFFFF000000)
 SCHEMA = "h long, lang string, phrase string, n long"
 
 
@@ -94,13 +96,13 @@ def _batch(h: np.ndarray, n: np.ndarray, lang=None, phrase=None) -> pa.RecordBat
 class Tally:
     """Counts of hashes, summed whenever many are held."""
 
-    def __init__(self, most: int = 3_000_000):
+    def __init__(self, most: int = 1_500_000):
         self.parts: list[tuple[np.ndarray, np.ndarray]] = []
         self.held, self.most = 0, most
 
     def add(self, h: np.ndarray) -> bool:
         """True if, even summed, more than most are held: time to take()."""
-        self.parts.append(np.unique(h, return_counts=True))
+        self.parts.append(np.unique(h & COUNTED_BITS, return_counts=True))
         self.held += len(self.parts[-1][0])
         if self.held > 2 * self.most:
             self._sum()
@@ -178,7 +180,7 @@ def _pass(rows: DataFrame, emit, first=None, second=None) -> DataFrame:
         tally = Tally()
         for batch in batches:
             texts, langs = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for a, b in text_slices(texts, 3_000_000):
+            for a, b in text_slices(texts, 1_500_000):
                 pieces = Pieces(texts[a:b], langs[a:b])
                 if emit is _proposed:
                     yield pieces.totals()
