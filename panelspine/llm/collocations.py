@@ -69,13 +69,14 @@ class Pieces:
         """Where k words are in one piece and both phrases of one word less are marked."""
         return (self.left >= k) & shorter & np.append(shorter[1:], False)[: len(shorter)]
 
-    def totals(self) -> pa.RecordBatch:
+    def totals(self) -> Iterator[tuple[tuple[int, str, str], int]]:
         """The number of words of each language, as counts of the empty phrase."""
         n = np.bincount(self.lang_of[self.ids], minlength=len(self.langs))
-        return _batch(np.zeros(len(n), np.uint64), n, self.langs, [""] * len(n))
+        return (((0, lang, ""), int(k)) for lang, k in zip(self.langs, n, strict=True))
 
-    def counted(self, k: int, at: np.ndarray, hash_k: np.ndarray) -> pa.RecordBatch:
-        """Exact counts of the phrases of k words that begin at the positions."""
+    def counted(self, k: int, at: np.ndarray, hash_k: np.ndarray) -> Iterator[tuple[tuple[int, str, str], int]]:
+        """(hash, language, phrase) and exact count of the phrases of k words that
+        begin at the positions."""
         group = self.ids[at]
         for j in range(1, k):
             group = pd.factorize(group * len(self.words) + self.ids[at + j])[0]
@@ -85,16 +86,33 @@ class Pieces:
         phrases = [self.words[self.ids[first + j]] for j in range(k)]
         text = [" ".join(x) for x in zip(*phrases, strict=True)]
         lang = self.langs[self.lang_of[self.ids[first]]]
-        return _batch(hash_k[first], np.bincount(group, minlength=len(first)), lang, text)
+        keys = zip(hash_k[first].view(np.int64).tolist(), lang, text, strict=True)
+        return zip(keys, np.bincount(group, minlength=len(first)).tolist(), strict=True)
 
 
-def _batch(h: np.ndarray, n: np.ndarray, lang=None, phrase=None) -> pa.RecordBatch:
-    none = pa.nulls(len(h), pa.string())
-    return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), none if lang is None else pa.array(lang, pa.string()), none if phrase is None else pa.array(phrase, pa.string()), pa.array(n.astype(np.int64))], ["h", "lang", "phrase", "n"])
+class Texts:
+    """Counts of phrases by their texts."""
+
+    def __init__(self, most: int = 300_000):
+        self.n: dict[tuple[int, str, str], int] = {}
+        self.most = most
+
+    def add(self, counts) -> bool:
+        """True if so many phrases are held that it is time to take()."""
+        n = self.n
+        for key, k in counts:
+            n[key] = n.get(key, 0) + k
+        return len(n) > self.most
+
+    def take(self) -> pa.RecordBatch:
+        h, lang, phrase = zip(*self.n, strict=True) if self.n else ((), (), ())
+        counts, self.n = list(self.n.values()), {}
+        return pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(lang, pa.string()), pa.array(phrase, pa.string()), pa.array(counts, pa.int64())], ["h", "lang", "phrase", "n"])
 
 
 class Tally:
-    """Counts of hashes, summed whenever many are held."""
+    """Counts of hashes, summed whenever many are held. They are given in
+    ascending order, in which neighbours shuffle in few bytes."""
 
     def __init__(self, most: int = 1_500_000):
         self.parts: list[tuple[np.ndarray, np.ndarray]] = []
@@ -118,7 +136,8 @@ class Tally:
             self._sum()
         h, n = self.parts[0] if self.parts else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
         self.parts, self.held = [], 0
-        return _batch(h, n)
+        none = pa.nulls(len(h), pa.string())
+        return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), none, none, pa.array(n)], ["h", "lang", "phrase", "n"])
 
 
 def _known(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
@@ -177,21 +196,22 @@ def _pass(rows: DataFrame, emit, first=None, second=None) -> DataFrame:
     pass that counts everything gives the totals of words too."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tally = Tally()
+        tally, exact = Tally(), Texts()
         for batch in batches:
             texts, langs = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for a, b in text_slices(texts, 1_500_000):
+            for a, b in text_slices(texts, 2_000_000):
                 pieces = Pieces(texts[a:b], langs[a:b])
                 if emit is _proposed:
-                    yield pieces.totals()
+                    exact.add(pieces.totals())
                 for k, at, h, by_text in emit(pieces, first, second):
-                    if by_text:
-                        yield pieces.counted(k, at, h)
-                    elif tally.add(h[at]):
-                        yield tally.take()
+                    held = exact if by_text else tally
+                    if held.add(pieces.counted(k, at, h) if by_text else h[at]):
+                        yield held.take()
         yield tally.take()
+        yield exact.take()
 
-    return rows.mapInArrow(run, SCHEMA).groupBy("h", "lang", "phrase").agg(F.sum("n").alias("n"))
+    # tasks have summed what they saw: rows go to the shuffle as they are
+    return rows.mapInArrow(run, SCHEMA).repartition("h").groupBy("h", "lang", "phrase").agg(F.sum("n").alias("n"))
 
 
 def _bits(found: DataFrame, least: int = 16, most: int = 30):
