@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from ..functions import hexgrid as H
 from ..functions import metrics as X
+from ..operators import cover as C
 from ..operators import joins as J
 from ..operators import learn as L
+from ..operators import overlap as O
 from ..operators import spatial as P
 from ..operators import trailing as T
 from ..operators.ranks import with_quantiles
@@ -72,18 +74,63 @@ query(
     lambda t: J.restrict(points(t).withColumn("cell", H.cell_of(F.col("y"), F.col("x"), SIDE)), points(t).where("agency = 'F'").select(H.cell_of(F.col("y"), F.col("x"), SIDE).alias("cell")).distinct(), "cell").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("cell").alias("cells")),
     f"SELECT count(*) AS n, count(DISTINCT cell) AS cells FROM ({_HEX}) WHERE cell IN (SELECT h.cell FROM ({_HEX}) h JOIN raw USING (id) WHERE agency = 'F')",
 )
-_LAT = "(SELECT poly, place, floor(px / 25)::BIGINT * 1000 + floor(py / 25)::BIGINT AS cell, count(*) * 4.0 AS area FROM " + _BOX + ", (SELECT unnest(range(-90, 90)) * 2 + 1 AS px), (SELECT unnest(range(-50, 50)) * 2 + 1 AS py) WHERE px > x0 AND px < x1 AND py > y0 AND py < y1 GROUP BY ALL)"
+_CELLS = f"""(SELECT poly, place, c * 1000 + r AS cell, (least(x1, c * 25 + 25) - greatest(x0, c * 25)) * (least(y1, r * 25 + 25) - greatest(y0, r * 25)) AS area
+  FROM {_BOX}, (SELECT unnest(range(-8, 8)) AS c), (SELECT unnest(range(-4, 4)) AS r) WHERE x0 < c * 25 + 25 AND x1 > c * 25 AND y0 < r * 25 + 25 AND y1 > r * 25)"""
 
 
-def lattice(t):
-    return P.overlap_by_lattice(layer(t), 2.0, lambda x, y: F.floor(x / 25) * 1000 + F.floor(y / 25), 10.0)
+def overlaps(t):
+    return O.cell_overlaps(layer(t), 25.0).select("poly", (F.col("col") * 1000 + F.col("row")).alias("cell"), "area")
 
 
-query("j13_polygon_cell_overlap", lattice, f"SELECT poly::BIGINT AS poly, cell, area FROM {_LAT}", "area")
+query("j13_polygon_cell_overlap", overlaps, f"SELECT poly::BIGINT AS poly, cell, area FROM {_CELLS}", "area")
 query(
     "j14_cells_to_places",
-    lambda t: P.assign_cells(lattice(t).join(layer(t).select("poly", "place").distinct(), "poly")),
-    f"SELECT cell, place, area FROM (SELECT cell, place, area, row_number() OVER (PARTITION BY cell ORDER BY area DESC, place) AS r FROM {_LAT}) WHERE r = 1",
+    lambda t: P.assign_cells(overlaps(t).join(layer(t).select("poly", "place").distinct(), "poly")),
+    f"SELECT cell, place, area FROM (SELECT cell, place, area, row_number() OVER (PARTITION BY cell ORDER BY area DESC, place) AS r FROM {_CELLS}) WHERE r = 1",
+    "area",
+)
+
+#: Stars with a square hole, one per cell: corners as multiples of the star's radius, the hole against the outline.
+_RING = [(1, 0), (1, 0.5), (1, 1), (0.5, 1), (0, 1), (-0.5, 1), (-1, 1), (-1, 0.5), (-1, 0), (-1, -0.5), (-1, -1), (-0.5, -1), (0, -1), (0.5, -1), (1, -1), (1, -0.5)]
+_STAR = [(a * 0.375, b * 0.375) if k % 2 else (float(a), float(b)) for k, (a, b) in enumerate(_RING)]
+_HOLE = [(0.125, 0.125), (0.125, -0.125), (-0.125, -0.125), (-0.125, 0.125)]
+_SIDES = [(*r[k], *r[(k + 1) % len(r)]) for r in (_STAR, _HOLE) for k in range(len(r))]
+_CX, _CY, _RAD = LON.format(k="(cell * 7)"), LAT.format(k="(cell * 7)"), "(1.0 + cell % 5)"
+
+
+def stars(t):
+    """The edges of one concave polygon with a hole per cell of the grid."""
+    side = F.explode(F.array(*[F.struct(*[F.lit(v).alias(c) for v, c in zip(e, "abcd", strict=True)]) for e in _SIDES])).alias("e")
+    rows = t.grid.select(F.col("cell").alias("poly"), F.expr(_CX).cast("double").alias("cx"), F.expr(_CY).cast("double").alias("cy"), F.expr(_RAD).cast("double").alias("r"), side)
+    at = lambda c, k: (F.col(c) + F.col("r") * F.col(f"e.{k}"))
+    return rows.select("poly", at("cx", "a").alias("x1"), at("cy", "b").alias("y1"), at("cx", "c").alias("x2"), at("cy", "d").alias("y2"))
+
+
+def _keep(t):
+    def keep(df, name):
+        path = A.scratch_path(t.spark, name)
+        df.write.parquet(path)
+        return t.spark.read.schema(df.schema).parquet(path)
+
+    return keep
+
+
+def _in_stars(t):
+    cover = C.build_cover(stars(t), 4.0, _keep(t), most=8, depth=4)
+    return C.meet_cover(points(t), cover, stars(t), 4.0, depth=4)
+
+
+_EDGES = "(VALUES " + ", ".join(f"({a}::DOUBLE, {b}::DOUBLE, {c}::DOUBLE, {d}::DOUBLE)" for a, b, c, d in _SIDES) + ") e(a, b, c, d)"
+_STARS = f"(SELECT cell AS poly, ({_CX})::DOUBLE AS cx, ({_CY})::DOUBLE AS cy, ({_RAD})::DOUBLE AS r FROM grid)"
+_INSTAR = f"""SELECT id, poly FROM (SELECT id, poly, x, y, cx + r * a AS x1, cy + r * b AS y1, cx + r * c AS x2, cy + r * d AS y2
+    FROM (SELECT id, x::DOUBLE AS x, y::DOUBLE AS y FROM ({_PTS})) JOIN {_STARS} ON x > cx - r AND x < cx + r AND y > cy - r AND y < cy + r, {_EDGES}) GROUP BY id, poly
+  HAVING count(*) FILTER ((y1 > y) <> (y2 > y) AND x < x1 + (y - y1) / (CASE WHEN y2 = y1 THEN 1 ELSE y2 - y1 END) * (x2 - x1)) % 2 = 1
+    AND NOT bool_or((x2 - x1) * (y - y1) = (y2 - y1) * (x - x1) AND x BETWEEN least(x1, x2) AND greatest(x1, x2) AND y BETWEEN least(y1, y2) AND greatest(y1, y2))"""
+query("j10_concave_by_cover", _in_stars, _INSTAR)
+query(
+    "j13_concave_overlap",
+    lambda t: O.cell_overlaps(stars(t), 0.75).groupBy("poly").agg(F.sum("area").alias("area")),
+    f"SELECT poly, abs(sum((cx + r * a) * (cy + r * d) - (cx + r * c) * (cy + r * b))) / 2 AS area FROM {_STARS}, {_EDGES} GROUP BY poly",
     "area",
 )
 query(
