@@ -1,12 +1,12 @@
 """Ranks and rank statistics.
 
 A window without partitions would bring all rows to one task, and one with a
-few large groups to a few. Ranks are made in two steps instead: a small random
-sample of (group, value, tie key) gives bounds of ranges of about equal size,
-the rows before each range are summed (one row per group and range), and ranks
-within a range are local. As the tie key is part of the bounds, a value that
-most rows have is spread over as many ranges as it needs. The sample sets the
-balance of the tasks alone: with any bounds the ranks are exact.
+few large groups to a few. Ranks come from an index instead: the rows, range
+partitioned once by (group, value, tie key) and stored with the number of their
+range. The rows before each range are a running sum over one row per group and
+range; ranks within a range are local. As the tie key is part of the ranges, a
+value that most rows have is spread over as many as it needs. What is ranked is
+stored first, so that the plan above it runs once.
 """
 
 from __future__ import annotations
@@ -17,25 +17,14 @@ from operator import and_
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-RANGES, SAMPLED = 64, 32
-
-
-def _range(df: DataFrame, cols: list[str]) -> Column:
-    """The number of the range that the columns' values are in: bounds are literals."""
-    kinds = dict(df.dtypes)
-    sample = df.select(*cols).orderBy(F.rand(7)).limit(RANGES * SAMPLED).collect()
-    place = lambda row: [(x is not None, x) if x is not None else (False,) for x in row]
-    bounds = sorted(sample, key=place)[SAMPLED::SAMPLED]
-    if not bounds:
-        return F.lit(0)
-    literal = lambda row: F.struct(*[F.lit(x).cast(kinds[c]).alias(c) for c, x in zip(cols, row, strict=True)])
-    return F.size(F.filter(F.array(*map(literal, bounds)), lambda x: x < F.struct(*cols)))
+from ..sources.artifacts import kept
 
 
 def placed(df: DataFrame, by: list[str], cols: list[str], **sums: Column) -> DataFrame:
-    """df with __r, the row's range of (by, cols), and for each of sums the total
-    over the earlier ranges of its group (before_...) and over the group (all_...)."""
-    rows = df.withColumn("__r", _range(df, [*by, *cols]))
+    """df, stored by range, with __r, the row's range of (by, cols), and for each
+    of sums the total over the earlier ranges of its group (before_...) and over
+    the group (all_...). df is read twice: give what is stored or aggregated."""
+    rows = kept(df.repartitionByRange(*by, *cols).withColumn("__r", F.spark_partition_id()), "rank-index")
     totals = rows.groupBy(*by, "__r").agg(*[x.alias(k) for k, x in sums.items()])
     w = Window.partitionBy(*(by or [F.lit(1)]))
     earlier = w.orderBy("__r").rowsBetween(Window.unboundedPreceding, -1)
@@ -44,18 +33,21 @@ def placed(df: DataFrame, by: list[str], cols: list[str], **sums: Column) -> Dat
     return rows.join(before if by else F.broadcast(before), same).drop("__at", *[f"__by_{c}" for c in by])
 
 
-def _running(df: DataFrame, value: str, by: list[str]) -> DataFrame:
-    """by, value, c (its rows), before (rows of the group with a lesser value)
-    and n (all of them): one row per distinct value."""
-    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("c"))
+def _running(counts: DataFrame, value: str, by: list[str]) -> DataFrame:
+    """by, value, c, before (rows of the group with a lesser value) and n (all of
+    them). counts: by, value and c, its rows; one row per distinct value."""
     inner = Window.partitionBy(*by, "__r").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     before = F.col("before_c") + F.coalesce(F.sum("c").over(inner), F.lit(0))
     return placed(counts, by, [value], c=F.sum("c")).select(*by, value, "c", before.alias("before"), F.col("all_c").alias("n"))
 
 
+def _counted(df: DataFrame, value: str, by: list[str]) -> DataFrame:
+    return df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("c"))
+
+
 def average_ranks(df: DataFrame, value: str, by: list[str] = ()) -> DataFrame:
     """by, value and its average rank: one row per distinct value."""
-    return _running(df, value, list(by)).select(*by, value, (F.col("before") + (F.col("c") + 1) / 2).alias("rank"))
+    return _running(_counted(df, value, list(by)), value, list(by)).select(*by, value, (F.col("before") + (F.col("c") + 1) / 2).alias("rank"))
 
 
 def quantiles(df: DataFrame, value: str, qs: list[float], by: list[str] = ()) -> DataFrame:
@@ -64,7 +56,7 @@ def quantiles(df: DataFrame, value: str, qs: list[float], by: list[str] = ()) ->
     at = [F.lit(q) * (F.col("n") - 1) for q in qs]
     holds = lambda p: (F.col("before") <= p) & (p < F.col("before") + F.col("c"))
     v = F.col(value).cast("double")
-    got = _running(df, value, list(by)).groupBy(*by).agg(
+    got = _running(_counted(df, value, list(by)), value, list(by)).groupBy(*by).agg(
         *[F.max(F.when(holds(F.floor(p)), v)).alias(f"lo{k}") for k, p in enumerate(at)],
         *[F.max(F.when(holds(F.ceil(p)), v)).alias(f"hi{k}") for k, p in enumerate(at)],
         *[F.max(p - F.floor(p)).alias(f"part{k}") for k, p in enumerate(at)],
@@ -83,20 +75,41 @@ def guarded_corr(a: str, b: str) -> Column:
     return F.when((F.stddev_pop(a) > 0) & (F.stddev_pop(b) > 0), F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b)))
 
 
+def _pair_ranks(df: DataFrame, a: str, b: str, by: list[str]) -> DataFrame:
+    """by, a, b, w, ra, rb, n: one row per distinct pair of known values, w rows
+    of df, with the values' average ranks less their mean, among n rows.
+
+    Pairs are counted and stored once; one index holds the values of both."""
+    pairs = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(*by, F.col(a).cast("double").alias("a"), F.col(b).cast("double").alias("b")).agg(F.count(F.lit(1)).alias("w"))
+    pairs = kept(pairs, "rank-pairs")
+    both = F.explode(F.array(F.struct(F.lit(0).alias("of"), F.col("a").alias("v")), F.struct(F.lit(1).alias("of"), F.col("b").alias("v")))).alias("x")
+    values = pairs.select(*by, both, "w").groupBy(*by, "x.of", "x.v").agg(F.sum("w").alias("c"))
+    index = _running(values, "v", [*by, "of"]).select(*by, "of", "v", (F.col("before") + (F.col("c") - F.col("n")) / 2).alias("r"), "n")
+    of = lambda k, name: index.where(F.col("of") == k).select(*[F.col(c).alias(f"__{c}") for c in by], F.col("v").alias(name), F.col("r").alias(f"r{name}"), *([F.col("n")] if k else []))
+    for k, name in enumerate("ab"):
+        one = of(k, name)
+        same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in by], pairs[name] == one[name])
+        pairs = pairs.join(one, same).drop(one[name], *[f"__{c}" for c in by])
+    return pairs
+
+
+def _rho(a: Column, b: Column, w: Column) -> Column:
+    """Correlation of centred ranks a and b with weights w; NULL where a side is constant."""
+    spread = F.sqrt(F.sum(w * a * a)) * F.sqrt(F.sum(w * b * b))
+    return F.when(spread > 0, F.try_divide(F.sum(w * a * b), spread))
+
+
 def spearman(df: DataFrame, a: str, b: str, by: list[str] = ()) -> DataFrame:
-    """by, n, rho over rows where both columns are known."""
+    """by, n, rho over rows where both columns are known (compared as doubles)."""
     by = list(by)
-    rows = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(*by, F.col(a).alias("a"), F.col(b).alias("b"))
-    ra = average_ranks(rows, "a", by).withColumnRenamed("rank", "ra")
-    rb = average_ranks(rows, "b", by).withColumnRenamed("rank", "rb")
-    both = rows.join(ra, [*by, "a"]).join(rb, [*by, "b"])
-    return both.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), guarded_corr("ra", "rb").alias("rho"))
+    got = _pair_ranks(df, a, b, by).groupBy(*by).agg(F.coalesce(F.sum("w"), F.lit(0)).alias("n"), _rho(F.col("ra"), F.col("rb"), F.col("w")).alias("rho"))
+    return got
 
 
 def first_ranks(df: DataFrame, value: str, key: str, by: list[str] = ()) -> DataFrame:
     """df with rank 1.. by value, ties by key; and n, the rows of the group."""
     by = list(by)
-    rows = placed(df, by, [value, key], t=F.count(F.lit(1)))
+    rows = placed(kept(df, "ranked"), by, [value, key], t=F.count(F.lit(1)))
     w = Window.partitionBy(*by, "__r").orderBy(value, key)
     return rows.withColumns({"rank": F.col("before_t") + F.row_number().over(w), "n": F.col("all_t")}).drop("__r", "before_t", "all_t")
 
@@ -116,7 +129,7 @@ def quartile_bucket(df: DataFrame, value: str, bucket: str = "bucket") -> DataFr
 def cumulative_share(df: DataFrame, value: str, key: str, order: str | None = None) -> DataFrame:
     """df with rank by falling order (by default value; ties by key), cum, the
     share of the total of value that ranks up to it hold, and n, the rows."""
-    rows = placed(df.withColumn("__neg", -F.col(order or value)), [], ["__neg", key], t=F.count(F.lit(1)), s=F.sum(value))
+    rows = placed(kept(df.withColumn("__neg", -F.col(order or value)), "ranked"), [], ["__neg", key], t=F.count(F.lit(1)), s=F.sum(value))
     inner = Window.partitionBy("__r").orderBy("__neg", key)
     held = F.col("before_s") + F.sum(value).over(inner.rowsBetween(Window.unboundedPreceding, 0))
     out = rows.withColumns({"rank": F.col("before_t") + F.row_number().over(inner), "cum": F.try_divide(held, F.col("all_s")), "n": F.col("all_t")})

@@ -30,6 +30,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """df written to a fresh path of the shared folder and read back: what
+    follows reads it as often as it likes without computing it again."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def write_checked(df: DataFrame, path: str, keys: list[str]) -> DataFrame:
     """Write df, read it back, and fail if keys are not unique or empty."""
     df.write.mode("overwrite").parquet(path)
