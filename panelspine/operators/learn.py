@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.metrics import total
-from .ranks import affine, first_ranks, spearman
+from .ranks import first_ranks, shuffled_rank, spearman
 
 
 def assembled(df: DataFrame, features: list[str]) -> DataFrame:
@@ -101,7 +101,7 @@ def shuffle_control(panel: DataFrame, target: str, floor: str, covariates: list[
     for seed in range(times + 1):
         dealt = ranked
         if seed:
-            other = ranked.select(affine(F.col("rank"), F.col("n"), F.lit(seed)).alias("rank"), *covariates)
+            other = ranked.select(shuffled_rank(F.col("rank"), F.col("n"), F.lit(seed)).alias("rank"), *covariates)
             dealt = ranked.drop(*covariates).join(other, "rank")
         deltas.append(score(_fitted_score(dealt, target, [floor, *covariates], make)) - base)
     n = ranked.where("not __train").count()

@@ -136,23 +136,53 @@ def cumulative_share(df: DataFrame, value: str, key: str, order: str | None = No
     return out.drop("__neg", "__r", "before_t", "before_s", "all_t", "all_s")
 
 
-#: Primes below 2**31, none of which divides a lesser number of rows.
-PRIMES = (2147483647, 2147483629, 2147483587, 2147483579, 2147483563, 2147483549, 2147483543, 2147483497, 2147483489, 2147483477)
+#: Fixed values of the permutation: its half-rounds, walks, and the multipliers and primes of its round function.
+ROUNDS, WALKS = 12, 64
+STEP_1, PRIME_1, STEP_2, PRIME_2, DROPPED = 1103515245, 2147483647, 1664525, 2147483629, 1024
 
 
-def affine(rank: Column, n: Column, seed: Column) -> Column:
-    """Another rank 1..n for each rank: a permutation for each seed. As n is no
-    multiple of the prime, rank times prime plus shift takes each remainder once."""
-    prime = F.element_at(F.array(*[F.lit(p).cast("long") for p in PRIMES]), (seed % len(PRIMES) + 1).cast("int"))
-    return F.pmod(rank * prime + seed * 7919, n) + 1
+def round_key(seed, i: int):
+    """The key of half-round i for a seed (a number or a column below a million); odd ones change the high half."""
+    return ((seed * 2654435 + i * 40503 + 97) * 48271 % 1073741789) * 2 + i % 2
 
 
-def permuted(df: DataFrame, cols: list[str], key: str, seed: int) -> DataFrame:
-    """df with the values of cols dealt anew over rows, together, as *_permuted:
-    the same for the same keys and seed. Rows are ranked by key once."""
-    ranked = first_ranks(df.withColumn("__zero", F.lit(0)), "__zero", key).drop("__zero")
-    other = ranked.select(affine(F.col("rank"), F.col("n"), F.lit(seed)).alias("rank"), *[F.col(c).alias(f"{c}_permuted") for c in cols])
-    return ranked.join(other, "rank").drop("rank", "n")
+def shuffled_rank(rank: Column, n: Column, seed: Column) -> Column:
+    """Another rank 1..n for each rank: a permutation that the seed chooses.
+
+    rank - 1 goes through a Feistel network over the least power of two that
+    holds n (4 at least), as often as it takes to come out below n. As the
+    network takes each number to another one, so does the walk."""
+    bits = F.greatest(F.lit(2), F.length(F.bin(n - 1)))
+    low_bits = F.floor(bits / 2).cast("int")
+    power = lambda k: F.call_function("shiftleft", F.lit(1).cast("long"), k)
+    keys = F.array(*[round_key(seed.cast("long"), i) for i in range(1, ROUNDS + 1)])
+    fixed = F.struct(low_bits.alias("bits"), power(low_bits).alias("low"), power(bits - low_bits).alias("high"), keys.alias("keys"), n.cast("long").alias("n"), (rank - 1).cast("long").alias("x"))
+
+    def mixed(v: Column, k: Column) -> Column:
+        return F.floor(((v * STEP_1 + k) % PRIME_1) * STEP_2 % PRIME_2 / DROPPED)
+
+    def walked(f: Column) -> Column:
+        def half_round(x: Column, k: Column) -> Column:
+            hi, lo = F.call_function("shiftright", x, f["bits"]), x % f["low"]
+            changed_hi = hi.bitwiseXOR(mixed(lo, k) % f["high"]) * f["low"] + lo
+            changed_lo = hi * f["low"] + lo.bitwiseXOR(mixed(hi, k) % f["low"])
+            return F.when(k % 2 == 1, changed_hi).otherwise(changed_lo)
+
+        network = lambda x: F.aggregate(f["keys"], x, half_round)
+        return F.aggregate(F.sequence(F.lit(1), F.lit(WALKS)), network(f["x"]), lambda x, _: F.when(x < f["n"], x).otherwise(network(x)))
+
+    to = F.get(F.transform(F.array(fixed), walked), F.lit(0))  # what is fixed for a row is worked out once
+    return F.when(to < n, to + 1).otherwise(F.raise_error(F.lit("a shuffled rank needs more walks")).cast("long"))
+
+
+def permuted(df: DataFrame, cols: list[str], key: str, seed: int, by: list[str] = ()) -> DataFrame:
+    """df with the values of cols dealt anew over the rows of each group, together,
+    as *_permuted: the same for the same keys and seed. Rows are ranked by key once."""
+    by = list(by)
+    ranked = kept(first_ranks(df.withColumn("__zero", F.lit(0)), "__zero", key, by).drop("__zero"), "permuted")
+    other = ranked.select(*[F.col(c).alias(f"__{c}") for c in by], shuffled_rank(F.col("rank"), F.col("n"), F.lit(seed)).alias("__to"), *[F.col(c).alias(f"{c}_permuted") for c in cols])
+    same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in by], F.col("rank") == F.col("__to"))
+    return ranked.join(other, same).drop("rank", "n", "__to", *[f"__{c}" for c in by])
 
 
 def shuffled_scores(df: DataFrame, a: str, b: str, key: str, times: int) -> DataFrame:
@@ -161,14 +191,34 @@ def shuffled_scores(df: DataFrame, a: str, b: str, key: str, times: int) -> Data
 
     For scored cells of one panel: rows times permutations are made, but sorted once.
     """
-    rows = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(F.col(key).alias("k"), F.col(a).alias("a"), F.col(b).alias("b"))
-    ranked = rows.join(average_ranks(rows, "a").withColumnRenamed("rank", "ra"), "a").join(average_ranks(rows, "b").withColumnRenamed("rank", "rb"), "b").select("k", "ra", "rb")
-    placed_ = first_ranks(ranked.withColumn("zero", F.lit(0)), "zero", "k")
-    seeded = placed_.withColumn("seed", F.explode(F.sequence(F.lit(1), F.lit(times))))
+    rows = kept(df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(F.col(key).alias("k"), F.col(a).cast("double").alias("a"), F.col(b).cast("double").alias("b")), "scored")
+    ranked = kept(first_ranks(rows.join(_pair_ranks(rows, "a", "b", []).select("a", "b", "ra", "rb"), ["a", "b"]).select("k", "ra", "rb", F.lit(0).alias("zero")), "zero", "k"), "scored-ranks")
+    seeded = ranked.withColumn("seed", F.explode(F.sequence(F.lit(1), F.lit(times))))
     own = seeded.select("seed", F.col("rank").alias("at"), "ra")
-    other = seeded.select("seed", affine(F.col("rank"), F.col("n"), F.col("seed")).alias("at"), "rb")
-    null = own.join(other, ["seed", "at"]).groupBy("seed").agg(guarded_corr("ra", "rb").alias("rho"))
+    other = seeded.select("seed", shuffled_rank(F.col("rank"), F.col("n"), F.col("seed")).alias("at"), "rb")
+    rho = _rho(F.col("ra"), F.col("rb"), F.lit(1)).alias("rho")
+    null = own.join(other, ["seed", "at"]).groupBy("seed").agg(rho)
     null = null.agg(F.avg("rho").alias("null_mean"), F.stddev_samp("rho").alias("null_std"))
-    real = ranked.agg(F.count(F.lit(1)).alias("n"), guarded_corr("ra", "rb").alias("rho"))
+    real = ranked.agg(F.count(F.lit(1)).alias("n"), rho)
     both = real.withColumn("__one", F.lit(1)).join(null.withColumn("__one", F.lit(1)), "__one").drop("__one")  # one row each
     return both.withColumn("deviations", F.try_divide(F.col("rho") - F.col("null_mean"), F.col("null_std")))
+
+
+def shuffled_twin(df: DataFrame, a: str, b: str, key: str, by: list[str] = (), seed: int = 11) -> DataFrame:
+    """by, n, rho and rho_shuffled: the rank correlation of a and b in each group,
+    and the same after b is dealt anew over the group's rows."""
+    by = list(by)
+    rows = permuted(df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(*by, key, a, b), [b], key, seed, by)
+    which = F.explode(F.array(F.struct(F.lit(True).alias("__real"), F.col(b).alias("__v")), F.struct(F.lit(False).alias("__real"), F.col(f"{b}_permuted").alias("__v")))).alias("x")
+    both = spearman(rows.select(*by, a, which).select(*by, a, "x.*"), a, "__v", [*by, "__real"])
+    return both.groupBy(*by).agg(F.max("n").alias("n"), F.max(F.when(F.col("__real"), F.col("rho"))).alias("rho"), F.max(F.when(~F.col("__real"), F.col("rho"))).alias("rho_shuffled"))
+
+
+def shuffled_calibration(df: DataFrame, pred: str, actual: str, key: str, strata: int = 20, seed: int = 11) -> DataFrame:
+    """variant (real or shuffled), stratum, n, predicted, actual and off (mean
+    absolute difference): rows in strata of equal count by the prediction, with
+    their own actual values and with values dealt anew over all rows."""
+    rows = permuted(df.where(F.col(pred).isNotNull() & F.col(actual).isNotNull()).select(key, F.col(pred).alias("p"), F.col(actual).alias("y")), ["y"], key, seed)
+    ranked = first_ranks(rows, "p", key).withColumn("stratum", equal_count_bucket(F.col("rank"), F.col("n"), strata))
+    which = F.explode(F.array(F.struct(F.lit("real").alias("variant"), F.col("y").alias("v")), F.struct(F.lit("shuffled").alias("variant"), F.col("y_permuted").alias("v")))).alias("x")
+    return ranked.select("stratum", "p", which).groupBy("x.variant", "stratum").agg(F.count(F.lit(1)).alias("n"), F.avg("p").alias("predicted"), F.avg("x.v").alias("actual"), F.avg(F.abs(F.col("p") - F.col("x.v"))).alias("off"))

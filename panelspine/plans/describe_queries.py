@@ -18,7 +18,7 @@ from ..operators.grain import composition
 from ..operators.roster import roster, roster_sql
 from .bindings import CFG, CLASS
 from .grain_queries import MISS
-from .panel_queries import BUCKET, CELLS, HEX, LAST, affine_sql, hex_panel, rho_sql, start_forecast, tier1_forecast
+from .panel_queries import BUCKET, CELLS, HEX, LAST, dealt_sql, hex_panel, rho_sql, start_forecast, tier1_forecast
 from .registry import query
 
 
@@ -604,6 +604,6 @@ query(
     f"""SELECT n, rho, null_mean, null_std, (rho - null_mean) / null_std AS deviations
     FROM (SELECT count(*) AS n, corr(ra, rb) AS rho FROM ({_DEALT})), (SELECT avg(c) AS null_mean, stddev_samp(c) AS null_std FROM (
       SELECT corr(a.ra, b.rb) AS c FROM (SELECT ra, r, seed FROM ({_DEALT}), {_SEEDS}) a
-      JOIN (SELECT rb, seed, {affine_sql('seed')} AS at_ FROM ({_DEALT}), {_SEEDS}) b ON a.seed = b.seed AND a.r = b.at_ GROUP BY a.seed))""",
+      JOIN {dealt_sql(f"SELECT rb, r, n, seed FROM ({_DEALT}), {_SEEDS}", 'seed')} b ON a.seed = b.seed AND a.r = b.dealt GROUP BY a.seed))""",
     "rho null_mean null_std deviations",
 )

@@ -364,9 +364,26 @@ query(
 )
 
 
-def affine_sql(seed: str) -> str:
-    """The rank that K.affine gives to rank r of n, for a seed in SQL."""
-    return f"((r::HUGEINT * {list(K.PRIMES)}[{seed} % {len(K.PRIMES)} + 1] + {seed} * 7919) % n + 1)::BIGINT"
+def _network_sql(x: str, seed: str) -> str:
+    """What K.shuffled_rank's network makes of x among n, with bits b of which l are low."""
+    keys = ", ".join(f"((({seed})::BIGINT * 2654435 + {i * 40503 + 97}) * 48271 % 1073741789) * 2 + {i % 2}" for i in range(1, K.ROUNDS + 1))
+    mixed = lambda v: f"((({v}) * {K.STEP_1} + k) % {K.PRIME_1} * {K.STEP_2} % {K.PRIME_2} // {K.DROPPED})"
+    hi, lo = f"xor(x // l, {mixed('x % l')} % h) * l + x % l", f"x // l * l + xor(x % l, {mixed('x // l')} % l)"
+    return f"list_reduce([({x})::BIGINT, {keys}], lambda x, k: CASE WHEN k % 2 = 1 THEN {hi} ELSE {lo} END)"
+
+
+def dealt_sql(source: str, seed: str) -> str:
+    """The rows of source (with r, a rank from 1, and n) and dealt, the rank that r is shuffled to."""
+    sized = f"SELECT *, (1::BIGINT << (b // 2)::INT) AS l, (1::BIGINT << (b - b // 2)::INT) AS h FROM (SELECT *, greatest(2, length(bin(n - 1))) AS b FROM ({source}))"
+    return f"""(WITH RECURSIVE walk AS (SELECT *, {_network_sql('r - 1', seed)} AS at_ FROM ({sized})
+      UNION ALL SELECT * REPLACE ({_network_sql('at_', seed)} AS at_) FROM walk WHERE at_ >= n) SELECT * EXCLUDE (at_, b, l, h), at_ + 1 AS dealt FROM walk WHERE at_ < n)"""
+
+
+def twin_sql(source: str, by: str) -> str:
+    """K.shuffled_twin of y and p of source (with key), by the columns by."""
+    ranked = f"SELECT *, row_number() OVER (PARTITION BY {by} ORDER BY key) AS r, count(*) OVER (PARTITION BY {by}) AS n FROM ({source}) WHERE y IS NOT NULL AND p IS NOT NULL"
+    dealt = f"SELECT a.* EXCLUDE (p, r, n), b.p FROM ({ranked}) a JOIN {dealt_sql(ranked, '11')} b ON a.r = b.dealt AND {' AND '.join(f'a.{c} = b.{c}' for c in by.split(', '))}"
+    return f"SELECT x.*, y.rho AS rho_shuffled FROM ({rho_sql(source, 'y', 'p', by)}) x JOIN ({rho_sql(dealt, 'y', 'p', by)}) y USING ({by})"
 
 
 STARTED = f"SELECT cell::VARCHAR || ':' || season_idx::VARCHAR AS key, season_idx, starts_total AS y, avg(starts_total) {CELLS.format(k=3)} AS p FROM starts"
@@ -374,9 +391,42 @@ _RANKED = f"SELECT y, p, row_number() OVER (ORDER BY key) AS r, count(*) OVER ()
 query(
     "m14_shuffled_null",
     lambda t: K.spearman(K.permuted(start_forecast(t).where("p is not null and season_idx >= 16").withColumn("key", F.concat_ws(":", "cell", "season_idx")), ["p"], "key", 11), "y", "p_permuted"),
-    rho_sql(f"SELECT a.y, b.p FROM ({_RANKED}) a JOIN (SELECT p, {affine_sql('11')} AS at FROM ({_RANKED})) b ON a.r = b.at", "y", "p"),
+    rho_sql(f"SELECT a.y, b.p FROM ({_RANKED}) a JOIN {dealt_sql(_RANKED, '11')} b ON a.r = b.dealt", "y", "p"),
     "rho",
 )
+_KEY = "cell::VARCHAR || ':' || season_idx::VARCHAR"
+
+
+def keyed(df):
+    return df.withColumn("key", F.concat_ws(":", "cell", "season_idx"))
+
+
+query(
+    "m18_predictability_twin",
+    lambda t: K.shuffled_twin(keyed(_branches(hex_panel(t)).where("season_idx between 16 and 25")).withColumn("p", F.round("p", 9)), "y", "p", "key", ["branch", "ord", "season_year"]).where("n >= 50"),
+    "SELECT * FROM (" + twin_sql(f"SELECT * REPLACE (round(p, 9) AS p), {_KEY} AS key FROM ({BRANCHES}) WHERE season_idx BETWEEN 16 AND 25", "branch, ord, season_year") + ") WHERE n >= 50",
+    "rho rho_shuffled",
+)
+query(
+    "m23_magnitude_twin",
+    lambda t: K.shuffled_twin(keyed(hex_panel(t)).where("size_total > 0 and cond_total is not null and season_idx >= 16"), "log_total", "cond_total", "key", ["ord"]),
+    twin_sql(f"SELECT {_KEY} AS key, * FROM (SELECT cell, season_idx, ord, log_total AS y, cond_total AS p FROM ({HEX}) WHERE size_total > 0 AND cond_total IS NOT NULL AND season_idx >= 16)", "ord"),
+    "rho rho_shuffled",
+)
+query(
+    "m23_occurrence_twin",
+    lambda t: K.shuffled_twin(keyed(hex_panel(t)).where("season_idx >= 16").withColumns({"any": (F.col("size_total") > 0).cast("int"), "p": F.round("persist_total", 9)}), "any", "p", "key", ["ord"]),
+    twin_sql(f"SELECT {_KEY} AS key, ord, (size_total > 0)::INT AS y, round(persist_total, 9) AS p FROM ({HEX}) WHERE season_idx >= 16", "ord"),
+    "rho rho_shuffled",
+)
+_ALL = f"SELECT {_KEY} AS key, persist_total AS p, log_total AS y, row_number() OVER (ORDER BY {_KEY}) AS r, count(*) OVER () AS n FROM ({HEX}) WHERE persist_total IS NOT NULL AND season_idx >= 16"
+_BOTH = f"""SELECT key, p, y, 'real' AS variant FROM ({_ALL}) UNION ALL SELECT a.key, a.p, b.y, 'shuffled' FROM ({_ALL}) a JOIN {dealt_sql(_ALL, '11')} b ON a.r = b.dealt"""
+query(
+    "m17_shuffled_calibration",
+    lambda t: K.shuffled_calibration(keyed(hex_panel(t)).where("season_idx >= 16"), "persist_total", "log_total", "key"),
+    f"SELECT variant, {BUCKET.format(q=20)} AS stratum, count(*) AS n, avg(p) AS predicted, avg(y) AS actual, avg(abs(p - y)) AS off FROM (SELECT *, row_number() OVER (PARTITION BY variant ORDER BY p, key) AS r, count(*) OVER (PARTITION BY variant) AS n FROM ({_BOTH})) GROUP BY 1, 2",
+    "predicted actual off",
+)
 query(
     "a54_cross_place_correlation",
     lambda t: t.tier1.groupBy("place").agg(F.avg("unknown").alias("u"), F.avg("natural").alias("v")).agg(K.guarded_corr("u", "v").alias("pearson")),

@@ -10,16 +10,18 @@ from pyspark.sql import functions as F
 from ..functions import hexgrid as H
 from ..functions import metrics as X
 from ..operators import cover as C
+from ..operators import gram as G
 from ..operators import joins as J
 from ..operators import learn as L
 from ..operators import overlap as O
+from ..operators import ranks as K
 from ..operators import spatial as P
 from ..operators import trailing as T
 from ..operators.ranks import with_quantiles
 from ..sources import artifacts as A
 from .bindings import CFG
 from .describe_queries import _CONF, _H7, confidence, human_forecast
-from .panel_queries import hex_panel
+from .panel_queries import HEX, hex_panel, rho_sql
 from .registry import query
 
 # coordinates are arithmetic on the key; polygons are literals in both engines
@@ -273,19 +275,71 @@ def _simplex(t, make):
 query("m08_simplex_boosted", lambda t: _simplex(t, lambda s: L.boosted(s, "total")))
 
 
-def _alphas(t):
-    """The sweep of penalties on the weighted sum of squared errors."""
-    rows = L.standardized(features(t), FEATURES, F.col("season_year") < CFG.test_start)
-    scale = L.ridge_penalty(rows.where(F.col("season_year") < CFG.test_start), TIER, "total")
+PENALTIES = [0.1, 1.0, 10.0, 100.0, 1000.0]
+
+
+def eliminated(p: int) -> tuple[str, str]:
+    """SQL steps that solve p equations of the columns a_i_j and b_i by
+    elimination, and the names of the results x_i."""
+    steps, names = "", [f"a{i}_{j}" for i in range(p) for j in range(p)] + [f"b{i}" for i in range(p)]
+    for k in range(p):
+        new = [f"a{i}_{j} - a{i}_{k} / a{k}_{k} * a{k}_{j} AS a{i}_{j}" for i in range(k + 1, p) for j in range(k, p)] + [f"b{i} - a{i}_{k} / a{k}_{k} * b{k} AS b{i}" for i in range(k + 1, p)]
+        steps += f", e{k + 1} AS (SELECT * REPLACE ({', '.join(new)}) FROM e{k})" if new else f", e{k + 1} AS (SELECT * FROM e{k})"
+    last = f"e{p}"
+    for k in reversed(range(p)):
+        known = "".join(f" - a{k}_{j} * x{j}" for j in range(k + 1, p))
+        steps += f", s{k} AS (SELECT *, (b{k}{known}) / a{k}_{k} AS x{k} FROM {last})"
+        last = f"s{k}"
+    return steps, last
+
+
+def ridge_sql(rows: str, features: list[str], label: str, weight: str, train: str, penalties: list[float]) -> str:
+    """penalty and the row's columns with pred, of the ridge on standardised
+    features of the training rows, for the other rows."""
+    p = len(features)
+    stats = ", ".join(f"avg({c}) AS m{i}, stddev_pop({c}) AS s{i}" for i, c in enumerate(features))
+    z = ", ".join(f"({c} - m{i}) / s{i} AS z{i}" for i, c in enumerate(features))
+    centred = ", ".join([f"z{i} - sum(w * z{i}) OVER () / sum(w) OVER () AS c{i}" for i in range(p)] + ["y - sum(w * y) OVER () / sum(w) OVER () AS cy"])
+    sums = ", ".join([f"sum(w * c{i} * c{j}){' + penalty' if i == j else ''} AS a{i}_{j}" for i in range(p) for j in range(p)] + [f"sum(w * c{i} * cy) AS b{i}" for i in range(p)])
+    steps, last = eliminated(p)
+    means = ", ".join([f"sum(w * z{i}) / sum(w) AS zm{i}" for i in range(p)] + ["sum(w * y) / sum(w) AS ym"])
+    pred = " + ".join(["ym", *[f"x{i} * (z{i} - zm{i})" for i in range(p)]])
+    return f"""(WITH r AS ({rows}), st AS (SELECT {stats} FROM r WHERE {train}), z AS (SELECT r.*, {label} AS y, ({weight})::DOUBLE AS w, {z} FROM r, st),
+      c AS (SELECT w, {centred} FROM z WHERE {train}), e0 AS (SELECT penalty, {sums} FROM c, (SELECT unnest({penalties})::DOUBLE AS penalty) GROUP BY penalty){steps},
+      zm AS (SELECT {means} FROM z WHERE {train}) SELECT penalty, z.* EXCLUDE (y, w, {", ".join(f"z{i}" for i in range(p))}), {pred} AS pred FROM z, {last}, zm WHERE NOT ({train}))"""
+
+
+_FEATURES = """SELECT * FROM (SELECT place, season, season_idx, season_year, human, "natural" AS nat, unknown, total, avg(human) OVER k AS f_human, avg("natural") OVER k AS f_natural, avg(unknown) OVER k AS f_unknown,
+  avg(log_total) OVER k AS f_level, (row_number() OVER (PARTITION BY place, season ORDER BY season_idx) - 1)::DOUBLE AS f_depth FROM tier1
+  WINDOW k AS (PARTITION BY place, season ORDER BY season_idx ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING)) WHERE f_human IS NOT NULL"""
+#: One share of history is what the two others leave of 1: the equations are solved without it.
+RIDGED = ["f_human", "f_natural", "f_level", "f_depth"]
+_ONE = {c: ridge_sql(_FEATURES, RIDGED, c, "total", f"season_year < {CFG.test_start}", PENALTIES) for c in ("human", "nat", "unknown")}
+_CUT = [f"greatest({x}.pred, 0)" for x in ("h", "n", "u")]
+query(
+    "m09_simplex_ridge",
+    lambda t: G.penalty_sweep(features(t), RIDGED, TIER, "total", F.col("season_year") < CFG.test_start, PENALTIES, X.tvd),
+    f"""SELECT penalty, count(m) AS n, avg(m) AS score FROM (SELECT h.penalty, 0.5 * (abs({_CUT[0]} / nullif(a, 0) - h.human) + abs({_CUT[1]} / nullif(a, 0) - h.nat) + abs({_CUT[2]} / nullif(a, 0) - h.unknown)) AS m
+      FROM {_ONE["human"]} h JOIN {_ONE["nat"]} n USING (penalty, place, season_idx) JOIN {_ONE["unknown"]} u USING (penalty, place, season_idx), LATERAL (SELECT {" + ".join(_CUT)} AS a)) GROUP BY penalty""",
+    "score",
+)
 
-    def one(alpha):
-        got = L.simplex_predict(rows, FEATURES, TIER, F.col("season_year") < CFG.test_start, lambda s: L.ridge(s, alpha * scale[s], "total"))
-        return got.where(F.col("season_year") >= CFG.test_start).agg(F.count(F.lit(1)).alias("n"), F.avg(X.tvd([F.col(f"pred_{c}") for c in TIER], [F.col(c) for c in TIER])).alias("tvd")).withColumn("alpha", F.lit(alpha))
 
-    return reduce(lambda a, b: a.unionByName(b), [one(a) for a in (0.1, 1.0, 10.0, 100.0, 1000.0)])
+def _gram_rows(t):
+    """The mean products that all ridge rungs are solved from, one row."""
+    cols = [*RIDGED, *TIER]
+    rows = features(t).where(F.col("season_year") < CFG.test_start)
+    return rows.agg(*G.gram_sums(RIDGED, TIER, "total")).select(F.col("__n").alias("n"), *[(F.col(f"p{i}_{j}") / F.col("__w")).alias(f"{a}_{b}") for i, a in enumerate(cols) for j, b in enumerate(cols) if i <= j])
 
 
-query("m09_simplex_ridge", _alphas)
+_GRAM_COLS = [*zip([*RIDGED, *TIER], [*RIDGED, "human", "nat", "unknown"], strict=True)]
+_GRAM_NAMES = [f"{a}_{b}" for i, (a, _) in enumerate(_GRAM_COLS) for b, _ in _GRAM_COLS[i:]]
+query(
+    "m09_gram_matrix",
+    _gram_rows,
+    "SELECT count(*) AS n, " + ", ".join(f"sum(total * {x} * {y}) / sum(total) AS {a}_{b}" for i, (a, x) in enumerate(_GRAM_COLS) for b, y in _GRAM_COLS[i:]) + f" FROM ({_FEATURES}) WHERE season_year < {CFG.test_start}",
+    " ".join(_GRAM_NAMES),
+)
 
 
 def _panel(t):
@@ -308,6 +362,27 @@ def _poisson(t):
     return reduce(lambda a, b: a.unionByName(b), [d.agg(F.count(F.lit(1)).alias("n"), F.avg(X.poisson_deviance(F.col("y"), F.col("pred"))).alias("deviance")).withColumn("variant", F.lit(v)) for v, d in both])
 
 
+def _ridge_ladder(t):
+    """The floor, and ridges on it and each rung's features, all from one Gram matrix."""
+    every = list(dict.fromkeys(f for fs in RUNGS.values() for f in fs))
+    rows = _panel(t).where(" and ".join(f"`{c}` is not null" for c in [*every, "persist_total", "log_total"]))
+    train = F.col("season_year") < CFG.test_start
+    gram = G.gram_of(rows.where(train), ["persist_total", *every], ["log_total"])
+    models = {name: G.ridge(gram, "log_total", 1.0, ["persist_total", *fs]) for name, fs in RUNGS.items()} | {"floor": G.Linear("log_total", 0.0, {"persist_total": 1.0})}
+    got = K.spearman(G.predictions(rows.where(~train), models, ["log_total"]).select(F.col("model").alias("rung"), "log_total", F.round("pred", 9).alias("pred")), "log_total", "pred", ["rung"])
+    base = got.where("rung = 'floor'").select(F.col("rho").alias("__floor"), F.lit(1).alias("__one"))  # one row
+    return got.withColumn("__one", F.lit(1)).join(base, "__one").select("rung", F.col("n").alias("n_test"), "rho", (F.col("rho") - F.col("__floor")).alias("delta"))
+
+
+_RUNG_ROWS = f"""SELECT cell, season_idx, season_year, log_total, persist_total, persist_natural, persist_human, area_ AS log_area, last_ AS last FROM (
+  SELECT *, CASE WHEN area > 0 THEN log10(area) ELSE -4 END AS area_, CASE WHEN lag(season_idx) OVER c = season_idx - 4 THEN lag(log_total) OVER c END AS last_ FROM ({HEX}) WHERE ord = 2 AND season_idx >= 6
+  WINDOW c AS (PARTITION BY cell ORDER BY season_idx)) WHERE area_ IS NOT NULL AND last_ IS NOT NULL AND persist_total IS NOT NULL AND persist_natural IS NOT NULL AND persist_human IS NOT NULL"""
+_RUNG_PRED = " UNION ALL ".join(
+    [f"SELECT 'floor' AS rung, log_total, persist_total AS pred FROM ({_RUNG_ROWS}) WHERE season_year >= {CFG.test_start}"]
+    + [f"SELECT '{name}', log_total, pred FROM {ridge_sql(_RUNG_ROWS, ['persist_total', *fs], 'log_total', '1', f'season_year < {CFG.test_start}', [1.0])}" for name, fs in RUNGS.items()]
+)
+_RUNG_RHO = rho_sql(f"SELECT rung, log_total AS y, round(pred, 9) AS p FROM ({_RUNG_PRED})", "y", "p", "rung")
+query("m10_ridge_ladder", _ridge_ladder, f"SELECT rung, n AS n_test, rho, rho - max(rho) FILTER (rung = 'floor') OVER () AS delta FROM ({_RUNG_RHO})", "rho delta")
 query("m10_rank_ladder", _ladder)
 query(
     "m19_shuffled_covariates",
