@@ -30,9 +30,11 @@ LONGEST = 5
 BREAK, END = "\n", "\x0b"
 #: Bytes: A-Z to lower case, the characters that end a piece to BREAK, tab to space.
 BYTES = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?\x0b\x0c\r\t", b"abcdefghijklmnopqrstuvwxyz" + b"\n" * 9 + b" ")
-#: Border phrases are counted by the first 40 bits of their hash: more phrases of one count, fewer bytes to shuffle.
-COUNTED_BITS = np.uint64(0xFFFFFFFFFF000000)
 SCHEMA = "h long, lang string, phrase string, n long"
+#: Rows to the shuffle: a phrase with its text, or a block of border phrases of one part of the hashes.
+SENT = "part long, h long, lang string, phrase string, n long, keys binary, counts binary"
+#: So many characters of the input count as one part of the hashes.
+PART_CHARS = 16_000_000
 
 
 class Pieces:
@@ -104,24 +106,26 @@ class Texts:
             n[key] = n.get(key, 0) + k
         return len(n) > self.most
 
-    def take(self) -> pa.RecordBatch:
-        h, lang, phrase = zip(*self.n, strict=True) if self.n else ((), (), ())
+    def take(self) -> tuple[list, list, list, list]:
+        """h, language, phrase and count of all phrases held."""
+        h, lang, phrase = map(list, zip(*self.n, strict=True)) if self.n else ([], [], [])
         counts, self.n = list(self.n.values()), {}
-        return pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(lang, pa.string()), pa.array(phrase, pa.string()), pa.array(counts, pa.int64())], ["h", "lang", "phrase", "n"])
+        return h, lang, phrase, counts
 
 
 class Tally:
-    """Counts of hashes, summed whenever many are held. They are given in
-    ascending order, in which neighbours shuffle in few bytes."""
+    """Counts of hashes, summed whenever many are held."""
 
     def __init__(self, most: int = 1_500_000):
         self.parts: list[tuple[np.ndarray, np.ndarray]] = []
         self.held, self.most = 0, most
 
-    def add(self, h: np.ndarray) -> bool:
+    def add(self, h: np.ndarray, n: np.ndarray | None = None) -> bool:
         """True if, even summed, more than most are held: time to take()."""
-        self.parts.append(np.unique(h & COUNTED_BITS, return_counts=True))
-        self.held += len(self.parts[-1][0])
+        if n is None:
+            h, n = np.unique(h, return_counts=True)
+        self.parts.append((h, n))
+        self.held += len(h)
         if self.held > 2 * self.most:
             self._sum()
         return self.held > self.most
@@ -131,13 +135,68 @@ class Tally:
         n = np.bincount(back, np.concatenate([p[1] for p in self.parts])).astype(np.int64)
         self.parts, self.held = [(h, n)], len(h)
 
-    def take(self) -> pa.RecordBatch:
+    def take(self) -> tuple[np.ndarray, np.ndarray]:
+        """Ascending hashes and their counts."""
         if self.parts:
             self._sum()
         h, n = self.parts[0] if self.parts else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
         self.parts, self.held = [], 0
+        return h, n
+
+
+def _blocks(tally: Tally, bits: int) -> pa.RecordBatch:
+    """What a tally holds, one row per part: the part is the first bits of the
+    hashes, keys are the next 32."""
+    h, n = tally.take()
+    part = (h >> np.uint64(64 - bits)).astype(np.int64)
+    keys = ((h >> np.uint64(32 - bits)) & np.uint64(0xFFFFFFFF)).astype("<u4")
+    first = np.flatnonzero(np.append(True, part[1:] != part[:-1])[: len(part)])
+    last = np.append(first[1:], len(part))[: len(first)]
+    counts = np.minimum(n, 0xFFFFFFFF).astype("<u4")
+    none = pa.nulls(len(first), pa.string())
+    blobs = [pa.array([x[i:j].tobytes() for i, j in zip(first, last, strict=True)], pa.binary()) for x in (keys, counts)]
+    return pa.RecordBatch.from_arrays([pa.array(part[first]), pa.nulls(len(first), pa.int64()), none, none, pa.nulls(len(first), pa.int64()), *blobs], SENT_NAMES)
+
+
+SENT_NAMES = [x.split()[0] for x in SENT.split(", ")]
+
+
+def _lines(exact: Texts, bits: int) -> pa.RecordBatch:
+    h, lang, phrase, n = exact.take()
+    part = (np.array(h, np.int64).view(np.uint64) >> np.uint64(64 - bits)).astype(np.int64)
+    none = pa.nulls(len(h), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(part), pa.array(h, pa.int64()), pa.array(lang, pa.string()), pa.array(phrase, pa.string()), pa.array(n, pa.int64()), none, none], SENT_NAMES)
+
+
+def _merged(bits: int, least: int):
+    """Sums rows of SENT, ordered by part, one part after the other; border
+    phrases are given from least on."""
+
+    def result(exact: Texts, tally: Tally, part: int) -> Iterator[pa.RecordBatch]:
+        h, lang, phrase, n = exact.take()
+        yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(lang, pa.string()), pa.array(phrase, pa.string()), pa.array(n, pa.int64())], ["h", "lang", "phrase", "n"])
+        keys, n = tally.take()
+        keys, n = keys[n >= least], n[n >= least]
+        h = (np.uint64(part) << np.uint64(64 - bits)) | (keys << np.uint64(32 - bits))
         none = pa.nulls(len(h), pa.string())
-        return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), none, none, pa.array(n)], ["h", "lang", "phrase", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), none, none, pa.array(n)], ["h", "lang", "phrase", "n"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, exact, tally = None, Texts(), Tally()
+        for batch in batches:
+            for part, h, lang, phrase, n, keys, counts in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if part != now:
+                    if now is not None:
+                        yield from result(exact, tally, now)
+                    now = part
+                if keys is None:
+                    exact.add([((h, lang, phrase), n)])
+                else:
+                    tally.add(np.frombuffer(keys, "<u4").astype(np.uint64), np.frombuffer(counts, "<u4").astype(np.int64))
+        if now is not None:
+            yield from result(exact, tally, now)
+
+    return run
 
 
 def _known(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
@@ -191,9 +250,12 @@ def _expanded(p: Pieces, first, second):
         yield k, np.flatnonzero(possible & ~old), h, True
 
 
-def _pass(rows: DataFrame, emit, first=None, second=None) -> DataFrame:
-    """h, lang, phrase and n over rows (text, lang): sums of what emit gives. The
-    pass that counts everything gives the totals of words too."""
+def _pass(rows: DataFrame, emit, bits: int, least: int, first=None, second=None) -> DataFrame:
+    """h, lang, phrase and n over rows (text, lang): sums of what emit gives, from
+    least on. The pass that counts everything gives the totals of words too.
+
+    Tasks sum what they see; 2 ** bits parts of the hashes are then summed one
+    after the other, so that the more parts there are the less memory it takes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tally, exact = Tally(), Texts()
@@ -204,14 +266,15 @@ def _pass(rows: DataFrame, emit, first=None, second=None) -> DataFrame:
                 if emit is _proposed:
                     exact.add(pieces.totals())
                 for k, at, h, by_text in emit(pieces, first, second):
-                    held = exact if by_text else tally
-                    if held.add(pieces.counted(k, at, h) if by_text else h[at]):
-                        yield held.take()
-        yield tally.take()
-        yield exact.take()
+                    if by_text and exact.add(pieces.counted(k, at, h)):
+                        yield _lines(exact, bits)
+                    elif not by_text and tally.add(h[at]):
+                        yield _blocks(tally, bits)
+        yield _blocks(tally, bits)
+        yield _lines(exact, bits)
 
-    # tasks have summed what they saw: rows go to the shuffle as they are
-    return rows.mapInArrow(run, SCHEMA).repartition("h").groupBy("h", "lang", "phrase").agg(F.sum("n").alias("n"))
+    sent = rows.mapInArrow(run, SENT).repartition("part").sortWithinPartitions("part")
+    return sent.mapInArrow(_merged(bits, least), SCHEMA).where((F.col("n") >= least) | (F.col("phrase") == ""))
 
 
 def _bits(found: DataFrame, least: int = 16, most: int = 30):
@@ -238,14 +301,16 @@ def frequent_phrases(docs: DataFrame, *, least: int = 100, lang_col: str = "lang
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(text.alias("text"), F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"))
     sample = stored(rows.where(F.rand(7) < 1 / one_in), "phrase-sample")
-    enough = F.col("n") >= max(2, least // (2 * one_in))
-    short = stored(_pass(sample, _short).where(enough), "sample-short")
-    long_ = stored(_pass(sample, _long, _bits(short)).where(enough), "sample-long")
+    chars = (sample.agg(F.sum(F.length("text"))).first()[0] or 0) * one_in
+    bits = max(4, min(24, math.ceil(math.log2(1 + chars / PART_CHARS))))
+    enough = max(2, least // (2 * one_in))
+    short = stored(_pass(sample, _short, bits, enough), "sample-short")
+    long_ = stored(_pass(sample, _long, bits, enough, _bits(short)), "sample-long")
     first = _bits(short.union(long_))
-    found = stored(_pass(rows, _proposed, first).where((F.col("n") >= least) | (F.col("phrase") == "")), "phrases")
+    found = stored(_pass(rows, _proposed, bits, least, first), "phrases")
     exact = found.where("phrase != ''")
     if not found.where("phrase is null").isEmpty():
-        more = _pass(rows, _expanded, first, _bits(found)).where(F.col("n") >= least)
+        more = _pass(rows, _expanded, bits, least, first, _bits(found))
         exact = exact.union(stored(more, "more-phrases"))
     return exact.select("lang", "phrase", F.col("n").alias("f")), found.where("phrase = ''").select("lang", "n")
 
