@@ -95,7 +95,7 @@ class Pieces:
 class Texts:
     """Counts of phrases by their texts."""
 
-    def __init__(self, most: int = 300_000):
+    def __init__(self, most: int = 1_000_000):
         self.n: dict[tuple[int, str, str], int] = {}
         self.most = most
 
@@ -116,7 +116,7 @@ class Texts:
 class Tally:
     """Counts of hashes, summed whenever many are held."""
 
-    def __init__(self, most: int = 1_500_000):
+    def __init__(self, most: int = 1_000_000):
         self.parts: list[tuple[np.ndarray, np.ndarray]] = []
         self.held, self.most = 0, most
 
@@ -261,7 +261,7 @@ def _pass(rows: DataFrame, emit, bits: int, least: int, first=None, second=None)
         tally, exact = Tally(), Texts()
         for batch in batches:
             texts, langs = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for a, b in text_slices(texts, 2_000_000):
+            for a, b in text_slices(texts, 1_000_000):
                 pieces = Pieces(texts[a:b], langs[a:b])
                 if emit is _proposed:
                     exact.add(pieces.totals())
