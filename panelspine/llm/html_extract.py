@@ -4,14 +4,18 @@ A page is parsed into nodes with their text runs, in time linear in its length.
 Every node is described by its depth and place, the text, link, tag and
 punctuation density of its subtree, its parent and its siblings, and by hashed
 tokens: tag and attribute words of the node, and those of all nodes above it.
-Gradient-boosted trees score each node; the scores are decoded from the root
-down: a subtree takes either one choice as a whole or its children's, whichever
-scores better, and a node under a dropped one is dropped.
+Gradient-boosted trees score each block, whose links, bold words and spans flow
+with it: a block takes all of its own running text or none. The scores are
+decoded from the root down: a subtree takes either one choice as a whole or its
+children's, whichever scores better, and a node under a dropped one is dropped.
+Where no block of a page wins, all that is no menu, notice, form or the like
+stays.
 
 The trees learn from pages whose structure tells the answer (``teacher``): what
 stands in an article or main element outside its navigation, notices, adverts,
-forms and comments. No feature tells how the teacher decides, and each page is
-learned from three times: as it is, with article and main elements and the words
+forms and comments. Pages of our own making add shapes that a sample may lack:
+text without any markup, short articles, captions, tables. No feature tells how
+the teacher decides, and each page is learned from three times: as it is, with article and main elements and the words
 that name them hidden, and with all sectioning tags and attribute words hidden.
 So the trees also judge pages that have no such elements, by what remains.
 """
@@ -47,6 +51,8 @@ BAD_WORDS = frozenset(
 GOOD_WORDS = frozenset("article content main body post entry story text blog page hentry prose".split())
 #: Tags that name the role of a part of a page.
 SECTIONS = frozenset("article main nav aside footer header form section menu dialog fieldset figure button label input".split())
+#: Elements with a choice of their own although they stand in a line.
+OWN_CHOICE = frozenset("button label input #root".split())
 
 MARKUP = re.compile(r"<(?=[a-zA-Z/!?])")
 #: Possessive, so that no text makes it look twice at a character.
@@ -59,7 +65,7 @@ NUMBERS = 26
 
 
 class Node:
-    __slots__ = ("tag", "words", "parent", "depth", "parts", "n_own", "n_text", "n_link", "n_nodes", "n_p", "n_marks", "index", "end")
+    __slots__ = ("tag", "words", "parent", "depth", "parts", "n_own", "unit", "n_flow", "n_text", "n_link", "n_nodes", "n_p", "n_marks", "index", "end")
 
     def __init__(self, tag: str, words: frozenset, parent: Node | None):
         self.tag, self.words, self.parent = tag, words, parent
@@ -67,7 +73,7 @@ class Node:
         self.parts: list = []  # strings and nodes in order
         self.n_own = self.n_text = self.n_link = self.n_p = self.n_marks = 0
         self.n_nodes = 1
-        self.index = self.end = 0
+        self.index = self.end = self.unit = self.n_flow = 0
 
 
 def _words(attributes: str) -> frozenset:
@@ -164,12 +170,15 @@ def parse(page: str) -> list[Node]:
 def _measure(nodes: list[Node]) -> None:
     for i, x in enumerate(nodes):
         x.index = i
+        alone = x.tag in BLOCKS or x.tag in HIDDEN or x.tag in OWN_CHOICE or "hidden" in x.words
+        x.unit = i if alone else x.parent.unit
     for x in reversed(nodes):
         if x.tag not in HIDDEN:
             for p in x.parts:
                 if isinstance(p, str):
                     x.n_own += len(p.strip())
                     x.n_marks += p.count(".") + p.count(",")
+        nodes[x.unit].n_flow += x.n_own
         x.n_text += x.n_own
         if x.tag == "a":
             x.n_link = x.n_text
@@ -217,7 +226,7 @@ def features(nodes: list[Node], hide: int = 0) -> tuple[np.ndarray, np.ndarray]:
         count, same, longest, k, before, after = around.pop(i, (1, 1, x.n_text, 0, 0, 0))
         out[i] = (
             x.depth,
-            x.n_own,
+            x.n_flow,
             x.n_text,
             x.n_text / total,
             x.n_link / max(1, x.n_text),
@@ -255,15 +264,28 @@ def features(nodes: list[Node], hide: int = 0) -> tuple[np.ndarray, np.ndarray]:
     return out, tokens
 
 
-def teacher(nodes: list[Node]) -> np.ndarray | None:
-    """1 for nodes of the main text, 0 for others; None if the page does not tell."""
+def barred(nodes: list[Node]) -> np.ndarray:
+    """Nodes in menus, notices, adverts, forms, comments and the like by their
+    tag or words; a header in an article or main element is a part of it."""
+    out = np.zeros(len(nodes), bool)
+    within = np.zeros(len(nodes), bool)
+    for i, x in enumerate(nodes):
+        p = x.parent
+        within[i] = x.tag in ("article", "main") or (p is not None and within[p.index])
+        bad = x.tag in BAD_TAGS and not (x.tag == "header" and within[i]) or x.words & BAD_WORDS and not x.words & GOOD_WORDS
+        out[i] = (p is not None and out[p.index]) or x.tag in HIDDEN or "hidden" in x.words or bool(bad)
+    return out
+
+
+def teacher(nodes: list[Node], whole: bool = False) -> np.ndarray | None:
+    """1 for nodes of the main text, 0 for others; None if the page does not
+    tell. whole: all that is not barred is main text."""
     inside = np.zeros(len(nodes), np.int8)
-    dropped = np.zeros(len(nodes), bool)
-    told = False
+    dropped = barred(nodes)
+    told = whole
     for i, x in enumerate(nodes):
         p = x.parent
-        dropped[i] = (p is not None and dropped[p.index]) or x.tag in HIDDEN or "hidden" in x.words or x.tag in BAD_TAGS or bool(x.words & BAD_WORDS and not x.words & GOOD_WORDS)
-        start = x.tag in ("article", "main") or "main" in x.words
+        start = whole or x.tag in ("article", "main") or "main" in x.words
         told |= start and not dropped[i]
         inside[i] = not dropped[i] and (start or (p is not None and inside[p.index]))
     return inside if told else None
@@ -349,17 +371,29 @@ class Trees:
 # decoding
 
 
+def by_block(nodes: list[Node], odds: np.ndarray) -> np.ndarray:
+    """Every node's odds are those of the block in whose text it flows; where
+    none with text is above zero, all that is not barred is kept."""
+    odds = np.asarray(odds, float)[[x.unit for x in nodes]]
+    worded = np.array([x.n_flow > 0 and x.tag not in HIDDEN for x in nodes])
+    if worded.any() and odds[worded].max() <= 0:
+        able = worded & ~barred(nodes)
+        if able.any():
+            odds = np.where(able, 1.0, -1.0)
+    return odds
+
+
 def choose(nodes: list[Node], odds: np.ndarray) -> np.ndarray:
-    """Which nodes are kept. A node's own text has weight by its length; from
-    the leaves up, a subtree's value is the better of dropping it whole and of
-    keeping its root with the best choice for each child; so no kept node has a
-    dropped ancestor."""
+    """Which nodes are kept. A node's own text has weight by its length, and one
+    without text of its own has no say; from the leaves up, a subtree's value is
+    the better of dropping it whole and of keeping its root with the best choice
+    for each child; so no kept node has a dropped ancestor."""
     value = np.zeros(len(nodes))
     for i in range(len(nodes) - 1, -1, -1):
         x = nodes[i]
         own = sum(len(p.strip()) for p in x.parts if isinstance(p, str))
         inner = sum(max(0.0, value[p.index]) for p in x.parts if isinstance(p, Node))
-        value[i] = -1e9 if x.tag in HIDDEN else odds[i] * (own + 1.0) + inner
+        value[i] = -1e9 if x.tag in HIDDEN else odds[i] * own + inner
     keep = np.zeros(len(nodes), bool)
     for i, x in enumerate(nodes):
         keep[i] = (x.parent is None or keep[x.parent.index]) and (value[i] > 0 or x.parent is None)
@@ -413,19 +447,21 @@ def extract(pages: list[str], trees: Trees) -> list[str]:
         return []
     numbers, tokens = zip(*(features(x) for x in parsed), strict=True)
     odds = np.split(trees.log_odds(np.concatenate(numbers), np.concatenate(tokens)), np.cumsum([len(x) for x in parsed])[:-1])
+    odds = [by_block(x, z) for x, z in zip(parsed, odds, strict=True)]
     return [text_of(x, choose(x, z), z) for x, z in zip(parsed, odds, strict=True)]
 
 
-def lessons(page: str, nodes_of_page: int) -> tuple[np.ndarray, np.ndarray] | None:
-    """Features and labels of at most nodes_of_page nodes of a page, drawn at
-    random by the page's checksum, in all three ways of hiding; None if the
-    teacher does not understand the page."""
+def lessons(page: str, nodes_of_page: int, whole: bool = False) -> tuple[np.ndarray, np.ndarray] | None:
+    """Features and labels of at most nodes_of_page blocks with text of a page,
+    drawn at random by the page's checksum, in all three ways of hiding; None if
+    the teacher does not understand the page."""
     nodes = parse(page)
-    y = teacher(nodes)
-    if y is None:
+    y = teacher(nodes, whole)
+    blocks = np.array([x.index for x in nodes if x.unit == x.index and x.n_flow and x.tag not in HIDDEN], np.int64)
+    if y is None or not len(blocks):
         return None
     rng = np.random.default_rng(zlib.crc32(page.encode("utf-8", "surrogatepass")))
-    some = np.sort(rng.choice(len(nodes), min(len(nodes), nodes_of_page), replace=False))
+    some = np.sort(rng.choice(blocks, min(len(blocks), nodes_of_page), replace=False))
     return np.concatenate([np.concatenate([c[some] for c in features(nodes, hide)], axis=1) for hide in (0, 1, 2)]), np.tile(y[some], 3)
 
 
@@ -458,9 +494,59 @@ def examples(number: int = 40, seed: int = 11) -> list[str]:
     return out
 
 
+def plain_examples(number: int = 160, seed: int = 12) -> list[str]:
+    """Pages of our own making that are main text but for menus, adverts, notices
+    and footers: without markup, without an article element, with text beside
+    elements, captions, tables, code, short or full of links."""
+    rng = np.random.default_rng(seed)
+    word = lambda: "".join(rng.choice(list("aeioulnrst"), int(rng.integers(2, 9))))
+    link = lambda: f"<a href='/{word()}'>{' '.join(word() for _ in range(int(rng.integers(1, 7))))}</a>"
+
+    def sentences(most: int, links: float = 0.0) -> str:
+        out = []
+        for _ in range(int(rng.integers(1, most + 1))):
+            words = [link() if rng.random() < links else word() for _ in range(int(rng.integers(3, 14)))]
+            out.append(" ".join(words).capitalize() + ".")
+        return " ".join(out)
+
+    kinds = [
+        lambda: f"<p>{sentences(4)}</p>",
+        lambda: f"<p>{sentences(4, 0.25)}</p>",
+        lambda: f"<p>{sentences(2, 0.6)}</p>",
+        lambda: f"{sentences(3)}<br><br>{sentences(3)}<br>",
+        lambda: f"{sentences(3, 0.2)} <b>{word()}</b> <span>{sentences(1)}</span>",
+        lambda: f"<h2>{word()} {word()}</h2>",
+        lambda: f"<figure><img src=x><figcaption>{sentences(2)}</figcaption></figure>",
+        lambda: f"<pre>{word()} = {word()}({word()})\n{word()}</pre>",
+        lambda: "<table>" + "".join(f"<tr><td>{word()}<td>{word()}" for _ in range(int(rng.integers(1, 5)))) + "</table>",
+        lambda: f"<ul><li>{sentences(1)}<li>{word()} {word()}<li>{sentences(1, 0.4)}</ul>",
+        lambda: f"<blockquote>{sentences(2)}</blockquote>",
+        lambda: f"<dl><dt>{word()}<dd>{sentences(1)}</dl>",
+        lambda: f"<div>{sentences(3)}</div><div>{sentences(2)}</div>",
+    ]
+    menu = lambda: f"<nav><ul>{''.join(f'<li>{link()}' for _ in range(int(rng.integers(2, 7))))}</ul></nav>"
+    bare_menu = lambda: f"<nav>{' '.join(link() for _ in range(int(rng.integers(1, 7))))}</nav>"
+    form = lambda: f"<form><label>{word()}</label><input><button>{word()}</button> {word()}</form>"
+    noise = [menu, bare_menu, form, lambda: f"<div class='ad'>{sentences(2)}</div>", lambda: f"<div class='cookie notice'><p>{sentences(2)}</p></div>", lambda: f"<div class='sidebar'><h3>{word()}</h3><ul><li>{link()}<li>{link()}</ul></div>"]
+    foot = [form, lambda: f"<footer>&copy; {int(rng.integers(1990, 2030))} {word()} {word()}</footer>", lambda: f"<footer>{sentences(1)}</footer>", lambda: f"<section class='comments'><div class='comment'>{sentences(2)}</div></section>", lambda: f"<footer><p>&copy; {word()} {link()}</p></footer>", lambda: f"<div class='comments'><p>{sentences(2)}</p><p>{sentences(2)}</p></div>", lambda: f"<div class='footer'>{link()} | {link()}</div>"]
+    out = []
+    for k in range(number):
+        some = [kinds[int(rng.integers(len(kinds)))]() for _ in range(int(rng.integers(1, 6)))]
+        some += [form()] if rng.random() < 0.2 else []
+        some += [f"<div class='ad'>{sentences(1)}</div>"] if rng.random() < 0.2 else []
+        if k % 4 == 0:
+            some = [[sentences(3), f"<p>{sentences(2)}</p>", f"<div>{sentences(2)}</div>", f"{sentences(2)}<br>{sentences(2)}"][k // 4 % 4]]
+        main = "".join(some)
+        wrap = ["{}", "<div>{}</div>", "<article>{}</article>", "<main>{}</main>", "<div class='story'>{}</div>", "<article><header><h1>Ae ou</h1></header>{}</article>"][int(rng.integers(6))].format(main)
+        if rng.random() < 0.6:
+            wrap = "".join(f() for f in noise if rng.random() < 0.4) + wrap + "".join(f() for f in foot if rng.random() < 0.5)
+        out.append(wrap if rng.random() < 0.4 else f"<html><head><title>t</title></head><body>{wrap}</body></html>")
+    return out
+
+
 def fit(taught: list[tuple[np.ndarray, np.ndarray]]) -> Trees:
     """Trees from the lessons of pages and those of examples."""
-    taught = [*taught, *(lessons(p, 30) for p in examples())]
+    taught = [*taught, *(lessons(p, 30) for p in examples()), *(lessons(p, 30, whole=True) for p in plain_examples())]
     return Trees().fit(np.concatenate([x for x, _ in taught]), np.concatenate([y for _, y in taught]))
 
 
@@ -471,7 +557,7 @@ def train(pages: list[str], nodes_of_page: int = 30) -> Trees:
 def extract_main(pages: DataFrame, *, sample_pages: int = 300, nodes_of_page: int = 30) -> DataFrame:
     """page_id, url, text, n_chars for every row of pages.
 
-    The trees learn from at most nodes_of_page nodes of each of at most
+    The trees learn from at most nodes_of_page blocks of each of at most
     sample_pages pages (documented bounds), those of least id hash; of rows of
     one id the least html counts. Their features are made where the rows are, so
     the driver gets numbers only. A null or empty page has an empty text;

@@ -682,6 +682,68 @@ def test_extraction_without_telling_elements():
     assert html_extract.extract([page], trees) == ["\n".join(body)]
 
 
+@pytest.fixture(scope="module")
+def page_trees():
+    return html_extract.train(html_extract.examples(60, seed=5))
+
+
+S = "The river ran past the old mill. Nobody had come to see it for years."
+SEE = "<p>See <a href=/x>this other page about it</a> and <a href=/y>that one</a>.</p>"
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        (f"<p>{S}</p>", S),
+        (S, S),
+        (f"<article>{S}<br><br>{S}</article>", f"{S}\n{S}"),
+        (f"<article><p>{S}</p>{SEE}<p>{S}</p></article>", f"{S}\nSee this other page about it and that one.\n{S}"),
+        (f"<body><nav><a href=/>Home</a> <a href=/n>News</a></nav><article><h1>Title</h1><p>{S}</p>{SEE}</article><footer>&copy; us</footer>", f"Title\n{S}\nSee this other page about it and that one."),
+        (f"<article><p>{S}</p><figure><img src=a><figcaption>The mill in 1920</figcaption></figure><p>{S}</p></article>", f"{S}\nThe mill in 1920\n{S}"),
+        ("<article><header><h1>Title</h1></header><p>Short text.</p><pre>code  here</pre><table><tr><td>x<td>y</table></article>", "Title\nShort text.\ncode here\nx\ny"),
+        (f"<body><nav><ul><li><a href=/a>One</a><li><a href=/b>Two</a></ul></nav>{S}<p>{S}</p><footer>&copy; 2020 us</footer>", f"{S}\n{S}"),
+        (f"<article><p>{S}</p><form><label>Mail</label><input><button>Go</button></form></article>", S),
+        ("<article><p>A <b>bold</b> and <em>fine</em> <span>thing</span> <code>x</code>.</p></article>", "A bold and fine thing x."),
+        ("<body><nav><a href=/a>One</a></nav>", ""),
+    ],
+)
+def test_blocks_are_whole(page_trees, page, text):
+    """Hand-written pages: a block keeps its links, bold words and captions, also without an article around it."""
+    assert html_extract.extract([page], page_trees) == [text]
+
+
+def test_extraction_by_construction(page_trees):
+    """Held-out pages put together here, with the text known as they are made: 0.95 are exact."""
+    rng = np.random.default_rng(17)
+    words = "stone water bridge letter winter garden market evening window silver morning harbour kitchen teacher weather".split()
+
+    def sentence():
+        return " ".join(rng.choice(words, int(rng.integers(4, 15)))).capitalize() + "."
+
+    def prose():
+        return " ".join(sentence() for _ in range(int(rng.integers(1, 5))))
+
+    def block():
+        a, b = prose(), " ".join(rng.choice(words, 3))
+        return [
+            (f"<p>{a}</p>", a),
+            (f"<p>{a} <a href='/{b}'>{b}</a> <i>{b}</i></p>", f"{a} {b} {b}"),
+            (f"<h2>{b}</h2><p>{a}</p>", f"{b}\n{a}"),
+            (f"<ul><li>{a}</li><li>{b}</li></ul>", f"{a}\n{b}"),
+            (f"<blockquote>{a}</blockquote>", a),
+        ][int(rng.integers(5))]
+
+    got, want = [], []
+    for _ in range(200):
+        blocks = [block() for _ in range(int(rng.integers(1, 8)))]
+        tag = ["article", "main", "div"][int(rng.integers(3))]
+        menu = "".join(f"<li><a href='/m'>{w}</a></li>" for w in rng.choice(words, 4))
+        page = f"<html><body><nav><ul>{menu}</ul></nav><{tag}>{''.join(h for h, _ in blocks)}</{tag}><div class='ad'>{sentence()}</div><footer><p>&copy; {words[0]}</p></footer></body></html>"
+        got.append(html_extract.extract([page], page_trees)[0])
+        want.append("\n".join(t for _, t in blocks))
+    assert np.mean([a == b for a, b in zip(got, want, strict=True)]) >= 0.95
+
+
 @pytest.mark.parametrize("piece", ["<a ", '<a "', '<a b="', "<a b='", "</x>", "<div>", "<b><div></b>", "<!--", '<a =">', "<", "<p>x</p>", "<li>", "<script>"])
 def test_long_pages_take_linear_time(piece):
     """60,000 repetitions of what could make a scanner or a count of siblings quadratic."""
