@@ -81,3 +81,18 @@ def solo_event(events: DataFrame, least: float) -> DataFrame:
     alone = events.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("perimeter"))).where((F.col("n") == 1) & (F.col("size") >= least))
     near = with_quantiles(alone, "size", [0.5])
     return near.orderBy(F.abs(F.col("size") - F.col("q")[0]), "id").limit(1).select("id", "size")
+
+
+def two_way(df: DataFrame, row: str, col: str, value: str) -> DataFrame:
+    """row, col, n, mean of each cell, and of the margins as 'all': one aggregate by grouping sets."""
+    name = lambda c: F.when(F.grouping(c) == 1, "all").otherwise(F.col(c).cast("string")).alias(f"__{c}")
+    got = df.cube(row, col).agg(name(row), name(col), F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean"))
+    return got.select(F.col(f"__{row}").alias(row), F.col(f"__{col}").alias(col), "n", "mean")
+
+
+def spreads(table: DataFrame, row: str, col: str) -> DataFrame:
+    """down, across: the largest mean over the smallest within a column, averaged
+    over columns, and within a row. Lines with a smallest mean of zero have no ratio."""
+    inner = table.where((F.col(row) != "all") & (F.col(col) != "all"))
+    one = lambda by, name: inner.groupBy(by).agg(ratio(F.max("mean"), F.min("mean")).alias("s")).agg(F.avg("s").alias(name), F.lit(1).alias("__one"))
+    return one(col, "down").join(one(row, "across"), "__one").drop("__one")

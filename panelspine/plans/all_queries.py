@@ -4,3 +4,5 @@ from . import grain_queries  # noqa: F401
 from . import panel_queries  # noqa: F401
 from . import describe_queries  # noqa: F401
 from . import spatial_queries  # noqa: F401
+from . import store_queries  # noqa: F401
+from . import strata_queries  # noqa: F401
