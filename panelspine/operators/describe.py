@@ -94,5 +94,6 @@ def spreads(table: DataFrame, row: str, col: str) -> DataFrame:
     """down, across: the largest mean over the smallest within a column, averaged
     over columns, and within a row. Lines with a smallest mean of zero have no ratio."""
     inner = table.where((F.col(row) != "all") & (F.col(col) != "all"))
-    one = lambda by, name: inner.groupBy(by).agg(ratio(F.max("mean"), F.min("mean")).alias("s")).agg(F.avg("s").alias(name), F.lit(1).alias("__one"))
-    return one(col, "down").join(one(row, "across"), "__one").drop("__one")
+    lines = F.explode(F.array(F.struct(F.lit("down").alias("way"), F.col(col).alias("line")), F.struct(F.lit("across").alias("way"), F.col(row).alias("line"))))
+    each = inner.select("mean", lines.alias("x")).groupBy("x.way", "x.line").agg(ratio(F.max("mean"), F.min("mean")).alias("s"))
+    return each.agg(*[F.avg(F.when(F.col("way") == way, F.col("s"))).alias(way) for way in ("down", "across")])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import metrics as X
@@ -12,7 +13,7 @@ from ..operators import ranks as K
 from ..operators import score as R
 from ..operators import trailing as T
 from .bindings import CFG, CLASS
-from .describe_queries import _DOM, _LAG, _P7, _PRIOR, _TRI, _VOL, _WEEK, _lead_sql, dominance, flag, kind, lagged, lead, n_rows, triage, volatility
+from .describe_queries import _DOM, _LAG, _P7, _PRIOR, _TRI, _VOL, _WEEK, _lead_sql, dominance, flag, kind, lagged, lead, n_rows, volatility
 from .grain_queries import MISS
 from .panel_queries import BUCKET, rho_sql, tier1_forecast
 from .registry import query
@@ -67,9 +68,9 @@ query(
 
 def _against_never(t):
     rows = lagged(t).where("season_idx >= 16 and season_idx % 4 = 2")
-    never = rows.where("since >= 26").agg(F.avg("y").alias("base"), F.lit(1).alias("__one"))  # one row
-    years = rows.where("since < 26").groupBy(F.floor((F.col("since") + 2) / 4).cast("int").alias("yrs")).agg(n_rows().alias("n"), F.avg("y").alias("mean")).where("n >= 20")
-    return years.withColumn("__one", F.lit(1)).join(F.broadcast(never), "__one").select("yrs", "n", "mean", X.ratio(F.col("mean"), F.col("base")).alias("vs_never"))
+    years = rows.groupBy(F.when(F.col("since") < 26, F.floor((F.col("since") + 2) / 4).cast("int")).alias("yrs")).agg(n_rows().alias("n"), F.avg("y").alias("mean"))
+    base = F.max(F.when(F.col("yrs").isNull(), F.col("mean"))).over(Window.partitionBy(F.lit(1)))  # a row per year
+    return years.withColumn("vs_never", X.ratio(F.col("mean"), base)).where("yrs is not null and n >= 20")
 
 
 # reports
@@ -102,15 +103,15 @@ query(
 def _peaks(t):
     """Each class's peak week, and how many weeks it lies after the natural one's."""
     peaks = D.week_curves(t.records, kind(), 6).groupBy("kind").agg(F.max_by("week", F.struct("per_year", -F.col("week"))).alias("peak"))
-    of = peaks.where("kind = 'Natural'").select(F.col("peak").alias("__of"), F.lit(1).alias("__one"))  # one row
-    return peaks.withColumn("__one", F.lit(1)).join(F.broadcast(of), "__one").select("kind", "peak", (F.col("peak") - F.col("__of")).alias("offset"))
+    of = F.max(F.when(F.col("kind") == "Natural", F.col("peak"))).over(Window.partitionBy(F.lit(1)))  # a row per class
+    return peaks.withColumn("offset", F.col("peak") - of)
 
 
 _PEAKS = f"SELECT kind, arg_max(week, (per_year, -week)) AS peak FROM ({_WEEK}) GROUP BY ALL"
 query("a46_peak_offset", _peaks, f"SELECT kind, peak, peak - (SELECT peak FROM ({_PEAKS}) WHERE kind = 'Natural') AS \"offset\" FROM ({_PEAKS})")
 query(
     "a55_triage_errors",
-    lambda t: triage(t).withColumn("__one", F.lit(1)).join(F.broadcast(t.tier1.where("season_year < 1999").agg(F.avg("unknown").alias("g"), F.lit(1).alias("__one"))), "__one").agg(F.avg(F.abs(F.col("p") - F.col("unknown"))).alias("mae"), F.avg(F.abs(F.col("g") - F.col("unknown"))).alias("mae_global"), n_rows().alias("n")),
+    lambda t: R.global_prior(t.tier1.withColumn("p", T.trailing_mean("unknown", ["place", "season"], 7)), ["unknown"], F.col("season_year") < CFG.test_start).where("season_year >= 1999 and p is not null").agg(F.avg(F.abs(F.col("p") - F.col("unknown"))).alias("mae"), F.avg(F.abs(F.col("prior_unknown") - F.col("unknown"))).alias("mae_global"), n_rows().alias("n")),
     f"SELECT avg(abs(p - unknown)) AS mae, avg(abs(g - unknown)) AS mae_global, count(*) AS n FROM ({_TRI}), (SELECT avg(unknown) AS g FROM tier1 WHERE season_year < 1999) WHERE season_year >= 1999 AND p IS NOT NULL",
     "mae mae_global",
 )
