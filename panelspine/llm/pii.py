@@ -3,14 +3,20 @@
 Every detected entity is replaced by a keyed pseudo-random one of its type that
 keeps its format: digits stay digits, letters keep case and script, separators
 stay, a card number keeps its issuer digit and whether its Luhn sum holds, an
-address part stays in 0..255, a titled name keeps the gender of its title and
-its script. The surrogate is a function of key, type and canonical form (lower
-case, without spaces, or digits alone, after a + where a phone has one), so
-mentions of one entity agree in every document and in every format. Given and
-family name of a person are forms of their own, so "Mr John Smith" and "Mr
-Smith" get the same family name, as do a man and a woman of one family whose
-name has a gender ending; a full name that a text has with a title is replaced
-there without it too.
+address part stays in 0..255, an IBAN keeps its country and whether its check
+digits hold, a titled name keeps the gender of its title, its script, white
+space, particles and hyphens. The surrogate is a function of key, type and
+canonical form (lower case, without spaces, or digits alone, after a + where a
+phone has one), so mentions of one entity agree in every document and in every
+format. Each given name and the family name of a person are forms of their own,
+so "Mr John Smith" and "Mr Smith" get the same family name, as do a man and a
+woman of one family whose name has a gender ending; a full name that a text has
+with a title is replaced there without it too.
+
+A name is what follows a title: up to five capitalised words, initials and
+particles, the last of them a word. It ends before a function word or a weekday
+(NOT_NAMES), so a sentence that follows without a stop is not part of it, and
+after two words where the title is in capitals, as then all words may be.
 
 Distinct entities could get one surrogate, or a surrogate could be another
 entity of the corpus. All distinct canonical forms are checked for both; those
@@ -21,25 +27,56 @@ are looked up; every other surrogate is computed in place, so no text is shuffle
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import free_name, stored
 
+#: Titles by gender; those of scholars and clergy have none.
+TITLES = {
+    "man": "Mr|MR|Herr|HERR|Monsieur|Señor|Sr|Господин",
+    "woman": "Mrs|MRS|Ms|MS|Miss|MISS|Frau|FRAU|Madame|Mme|Señora|Sra|Госпожа",
+    "person": "Dr|DR|Prof|PROF|Professor|Doctor|Rev|Доктор|Профессор",
+}
+ANY_TITLE = "|".join(TITLES.values())
+#: Capitalised words that end a name, as they begin a sentence or follow names.
+NOT_NAMES = (
+    "A About After Again All Also Although An And Any Are As At Because Before Both But By Can Did Do Does Each Even Every Few For From Had Has Have He Her Here His How However I If In Is It Its "
+    "Later Many More Most Moreover My Nevertheless No Not Now Of On Once One Only Or Other Our She Since So Some Still Such Than That The Their Then There These They This Those Though Through Thus To "
+    "Under Until Was We Were What When Where Which While Who Why Will With Yet You Your Jr Esq Inc Ltd "
+    "Monday Tuesday Wednesday Thursday Friday Saturday Sunday "
+    "Aber Auch Das Dann Der Die Ein Eine Er Es Ich Sie Und Wir Il Elle Ils Mais Et Les Nous Vous El Ella Pero Los Las Y Он Она Они Но И Это Мы Вы В На"
+).split()
+#: Particles of family names.
+PARTICLES = "de|du|des|da|di|del|della|der|den|dem|dos|das|la|le|van|von|vom|zu|zum|zur|ter|ten|af|av|bin|ibn|al|el|y"
+GAP = r"(?:[ \t\u00A0]+(?:\r?\n[ \t\u00A0]*)?|\r?\n[ \t\u00A0]*)"
+#: A word of a name, with inner capitals, apostrophes and hyphens.
+WORD = rf"(?!(?:{'|'.join(NOT_NAMES)}|{ANY_TITLE})(?!\p{{L}}))(?:[dlDLO]['’](?=\p{{Lu}}))?\p{{Lu}}\p{{L}}+(?:['’-]\p{{Lu}}\p{{L}}*)*"
+MORE = rf"(?:\p{{Lu}}{GAP})?(?:(?:(?:\p{{Lu}}\.)+|(?:{PARTICLES})(?!\p{{L}})|{WORD}){GAP}){{0,4}}"
+
+
+def titled(titles: str) -> str:
+    """Pattern of a name after one of titles, and maybe a scholar's title."""
+    loud = "|".join(t for t in titles.split("|") if t.isupper())
+    more = rf"(?:(?:{TITLES['person']})\.?{GAP})*"
+    return rf"(?<!\p{{L}})(?:(?:{loud})\.?{GAP}{more}(?:(?:(?:\p{{Lu}}\.)+|{WORD}){GAP})?{WORD}|(?:{titles})\.?{GAP}{more}{MORE}{WORD})"
+
+
 #: What an entity looks like, by type, the first that matches.
 PATTERNS = {
     "email": r"[\p{L}\p{N}._%+-]+@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)*\.\p{L}{2,}",
     "ip": r"(?<![\d.])(?:25[0-5]|2[0-4]\d|1?\d?\d)(?:\.(?:25[0-5]|2[0-4]\d|1?\d?\d)){3}(?![\d]|\.\d)",
+    "ip6": r"(?<![\p{L}\p{N}:.])(?=[A-Fa-f:]{0,39}\d)(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6})(?![\p{L}\p{N}:])",
     "iban": r"(?<![\p{L}\p{N}])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])",
-    "secret": r"(?<![\p{L}\p{N}])(?:(?:sk|pk|ghp|gho|xoxb|xoxp)[-_][A-Za-z0-9_-]{16,}|AKIA[A-Z0-9]{16}|AIza[A-Za-z0-9_-]{35}|(?=[a-z]*\d)(?=\d*[a-z])[0-9a-f]{32,})(?![\p{L}\p{N}])",
+    "pem": r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----[A-Za-z0-9+/=\s]++-----END (?:[A-Z]+ )*PRIVATE KEY-----",
+    "secret": r"(?<![\p{L}\p{N}])(?:(?:sk|pk|ghp|gho|xoxb|xoxp)[-_][A-Za-z0-9_-]{16,}|AKIA[A-Z0-9]{16}|AIza[A-Za-z0-9_-]{35}|eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}|(?=[a-z]*\d)(?=\d*[a-z])[0-9a-f]{32,})(?![\p{L}\p{N}])",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
-    "phone": r"(?<![\p{L}\d])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\)[ .-]?\d{3}[ .-]?\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?![\p{L}\d])",
-    "card": r"(?<![\p{L}\d])\d{4}(?:[ -]?\d{4}){2}[ -]?\d{1,7}(?![\p{L}\d])",
-    "man": r"(?<!\p{L})(?:Mr|Herr|Monsieur|Señor|Sr|Господин)\.? \p{Lu}\p{Ll}+(?: \p{Lu}\p{Ll}+)?",
-    "woman": r"(?<!\p{L})(?:Mrs|Ms|Miss|Frau|Madame|Mme|Señora|Sra|Госпожа)\.? \p{Lu}\p{Ll}+(?: \p{Lu}\p{Ll}+)?",
-}
+    "phone": r"(?<![\p{L}\d])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\)[ .-]?\d{3}[ .-]?\d{4}|\d{3}[.-]\d{3}[.-]\d{4}|(?<!\d )[2-9]\d{2} \d{3} \d{4}(?! \d))(?![\p{L}\d])",
+    "card": r"(?<![\p{L}\d])(?:3[47]\d{2}[ -]\d{6}[ -]\d{5}|\d{4}(?:[ -]?\d{4}){2}[ -]?\d{1,7})(?![\p{L}\d])",
+} | {kind: titled(titles) for kind, titles in TITLES.items()}
 #: Given names by gender and script; letters by script.
 NAMES = {
     ("man", "latin"): "Adam Albert Anton Bruno Carl David Emil Felix Georg Hugo Jacob Jonas Leo Lucas Martin Max Oscar Paul Peter Simon Theo Thomas Victor Walter",
@@ -54,37 +91,63 @@ RANGES = {"Han": (0x4E00, 0x8E00, 64), "Hiragana": (0x3042, 0x3094, 1), "Katakan
 SYLLABLES = {"latin": ("bdfgklmnprstvz", "aeiou"), "cyrillic": ("бвгдзклмнпрстф", "аеиоу"), "greek": ("βγδζθκλμνπρστφ", "αεηιο")}
 ENDINGS = r"(ов|ев|ёв|ин|ын)$"
 ENTITY = "|".join(f"(?:{p})" for p in PATTERNS.values())
+#: The Spark setting of the secret key.
+KEY_SETTING = "spark.panelspine.surrogateKey"
 #: More than ever needed, as attempts after WIDER draw longer surrogates.
 ATTEMPTS, WIDER = 60, 6
 #: The country code that a number after + begins with.
 COUNTRY = r"^\+(1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})"
 #: What every entity has a match of: cheap, so that most texts are read once only.
-HINT = r"[@0-9]|(?:sk|pk|ghp|gho|xoxb|xoxp)[-_][A-Za-z0-9_-]{16}|AKIA[A-Z0-9]{16}|AIza[A-Za-z0-9_-]{35}|(?:Mr|Mrs|Ms|Miss|Herr|Frau|Monsieur|Madame|Mme|Señor|Señora|Sr|Sra|Господин|Госпожа)\.? \p{Lu}"
+HINT = rf"[@0-9]|(?:sk|pk|ghp|gho|xoxb|xoxp)[-_][A-Za-z0-9_-]{{16}}|AKIA[A-Z0-9]{{16}}|AIza[A-Za-z0-9_-]{{35}}|eyJ[A-Za-z0-9_-]{{8}}|-----BEGIN |(?:{ANY_TITLE})\.?[ \t\u00A0\r\n]"
+PEOPLE = list(TITLES)
+#: A title that stands before each gender's names where only a name is at hand.
+TITLE_OF = {"man": "Mr", "woman": "Mrs", "person": "Dr"}
+#: The names between title and family name of a matched person.
+GIVEN = rf"(?<=[\s\u00A0])(?!(?:{ANY_TITLE})(?!\p{{L}}))(?:[dlDLO]['’](?=\p{{Lu}}))?\p{{Lu}}\p{{L}}[^\s\u00A0]*(?=[\s\u00A0])"
+BEFORE_NAME = rf"^(?:(?:{ANY_TITLE})\.?[\s\u00A0]+)+"
 
 
 def kind_of(e: Column) -> Column:
-    out = F.lit("woman")
+    """The type of an entity. 'number' is what looks like a card without
+    separators, has not sixteen digits and fails the Luhn sum: it stays."""
+    out = F.lit(PEOPLE[-1])
     for name, pattern in reversed(list(PATTERNS.items())[:-1]):
-        out = F.when(e.rlike(f"^(?:{pattern})$"), name).otherwise(out)
+        value = F.lit(name)
+        if name == "card":
+            value = F.when(e.rlike(r"^(?!\d{16}$)\d+$"), F.when(_luhn(e) == 0, name).otherwise("number")).otherwise(name)
+        out = F.when(e.rlike(f"^(?:{pattern})$"), value).otherwise(out)
     return out
 
 
 def canonical(e: Column, kind: Column) -> Column:
     """What mentions of one entity have in common; the type comes first. Of a
-    person it is the family name, without a woman's ending."""
+    person it is the family name, without a woman's ending. A number has none."""
     digits = F.regexp_replace(e, r"\D", "")
-    family = F.lower(F.regexp_extract(e, r"(\S+)$", 1))
+    family = F.lower(F.regexp_replace(F.regexp_extract(e, r"([^\s\u00A0]+)$", 1), "’", "'"))
     family = F.when(kind == "woman", F.regexp_replace(F.regexp_replace(family, r"(ов|ев|ёв|ин|ын)а$", "$1"), "ская$", "ский")).otherwise(family)
     squeezed = F.upper(F.regexp_replace(e, " ", ""))
     number = F.regexp_replace(e, r"(?!^\+)\D", "")
-    form = F.when(kind.isin("ssn", "card"), digits).when(kind == "phone", number).when(kind == "iban", squeezed).when(kind == "secret", e).otherwise(F.lower(e))
-    return F.when(kind.isin("man", "woman"), F.concat(F.lit("family:"), family)).otherwise(F.concat(kind, F.lit(":"), form))
+    form = F.when(kind.isin("ssn", "card"), digits).when(kind == "phone", number).when(kind == "iban", squeezed).when(kind.isin("secret", "pem"), e).otherwise(F.lower(e))
+    return F.when(kind == "number", None).when(kind.isin(PEOPLE), F.concat(F.lit("family:"), family)).otherwise(F.concat(kind, F.lit(":"), form))
+
+
+def given_form(word: Column, kind: Column) -> Column:
+    """The form of a given name, which has the gender of its title."""
+    return F.concat(kind, F.lit(":"), F.lower(F.regexp_replace(word, "’", "'")))
 
 
-def given_form(e: Column, kind: Column) -> Column:
-    """The form of a person's given name, which has a gender; null without one."""
-    words = F.split(e, " ")
-    return F.when(kind.isin("man", "woman") & (F.size(words) > 2), F.concat(kind, F.lit(":"), F.lower(words[1])))
+def given_names(e: Column, kind: Column) -> Column:
+    """The given names of a person, without initials; none of other types."""
+    return F.when(kind.isin(PEOPLE), F.regexp_extract_all(e, F.lit(GIVEN), F.lit(0))).otherwise(F.array().cast("array<string>"))
+
+
+def forms_of(e: Column, kind: Column) -> Column:
+    """All forms of a mention: struct(form, e), where e is a mention of that form
+    alone, and given, which says that the form is of a given name."""
+    title = F.create_map(*[F.lit(x) for pair in TITLE_OF.items() for x in pair])
+    own = F.array(F.struct(canonical(e, kind).alias("form"), e.alias("e"), F.lit(False).alias("given")))
+    more = F.transform(given_names(e, kind), lambda w: F.struct(given_form(w, kind).alias("form"), F.concat_ws(" ", F.try_element_at(title, kind), w, F.lit("Xx")).alias("e"), F.lit(True).alias("given")))
+    return F.concat(own, more)
 
 
 def _stream(key: str, form: Column, attempt: Column) -> Column:
@@ -147,16 +210,28 @@ def surrogates(found: Column, attempt_of: Callable[[Column], Column], key: str)
     """For each mention in the array found: struct(e, kind, form, new).
 
     Done in steps over the array, each binding what the next one uses more
-    than once, so that no expression is repeated inside another.
+    than once, so that no expression is repeated inside another. parts are the
+    words of a person's mention, each with the white space after it.
     """
     v = F.transform(found, lambda e: F.struct(e.alias("e"), kind_of(e).alias("kind")))
-    v = F.transform(v, lambda x: _with(x, ("e", "kind"), form=canonical(x["e"], x["kind"]), given=given_form(x["e"], x["kind"])))
-    v = F.transform(v, lambda x: _with(x, ("e", "kind", "form", "given"), a=attempt_of(x["form"]), b=attempt_of(x["given"]), plain=F.regexp_replace(x["e"], r"\D", "")))
-    v = F.transform(v, lambda x: _with(x, ("e", "kind", "form", "a", "b", "plain"), s=_stream(key, x["form"], x["a"]), t=F.when(x["given"].isNotNull(), _stream(key, x["given"], x["b"]))))
-    v = F.transform(v, lambda x: _with(x, ("e", "kind", "form", "a", "b", "s", "t", "plain"), number=_number(x)))
+    v = F.transform(v, lambda x: _with(x, ("e", "kind"), form=canonical(x["e"], x["kind"]), words=F.when(x["kind"].isin(PEOPLE), F.regexp_extract_all(x["e"], F.lit(r"[^\s\u00A0]+[\s\u00A0]*"), F.lit(0)))))
+    v = F.transform(v, lambda x: _with(x, ("e", "kind", "form"), a=attempt_of(x["form"]), parts=F.transform(x["words"], lambda w: _part(x, w))))
+    v = F.transform(v, lambda x: _with(x, ("e", "kind", "form", "a"), parts=F.transform(x["parts"], lambda p: _with(p, ("word", "gap", "form", "script"), a=attempt_of(p["form"])))))
+    v = F.transform(v, lambda x: _with(x, ("e", "kind", "form", "a"), s=_stream(key, x["form"], x["a"]), plain=F.regexp_replace(x["e"], r"\D", ""), parts=F.transform(x["parts"], lambda p: _with(p, ("word", "gap", "form", "script", "a"), s=_stream(key, p["form"], p["a"])))))
+    v = F.transform(v, lambda x: _with(x, ("e", "kind", "form", "a", "s", "plain", "parts"), number=_number(x), squeezed=F.when(x["kind"] == "iban", F.regexp_replace(x["e"], " ", ""))))
+    v = F.transform(v, lambda x: _with(x, ("e", "kind", "form", "a", "s", "plain", "parts", "number", "squeezed"), account=_by_class(F.substr(x["squeezed"], F.lit(5), F.length(x["squeezed"])), x["s"])))
     return F.transform(v, lambda x: _with(x, ("e", "kind", "form"), new=_surrogate(x)))
 
 
+def _part(x: Column, token: Column) -> Column:
+    """A word of a mention with its form: the family name's for the last word,
+    a given name's or an initial's before it, none for titles and particles."""
+    word, gap = F.regexp_extract(token, r"^([^\s\u00A0]+)", 1), F.regexp_extract(token, r"([\s\u00A0]*)$", 1)
+    form = F.when(gap == "", x["form"]).when(word.rlike(rf"^(?:{ANY_TITLE})\.?$"), None).when(word.rlike(r"^(?:(?:\p{Lu}\.)+|\p{Lu})$"), F.concat(F.lit("initial:"), word)).when(word.rlike(r"\p{Lu}"), given_form(word, x["kind"]))
+    script = F.when(word.rlike(r"\p{IsCyrillic}"), "cyrillic").when(word.rlike(r"\p{IsGreek}"), "greek").otherwise("latin")
+    return F.struct(word.alias("word"), gap.alias("gap"), form.alias("form"), script.alias("script"))
+
+
 def _longer(x: Column) -> Column:
     """How many characters a surrogate has more than its entity, at late attempts."""
     return F.greatest(x["a"] - WIDER, F.lit(0))
@@ -171,22 +246,52 @@ def _made_up(stream: Column, script: Column, syllables: Column, shift: int) -> C
     return out
 
 
-def _person(x: Column) -> Column:
-    """Title, given name if there is one, and family name. Given names come from
-    NAMES at the first attempt and are made up at later ones."""
-    words = F.split(x["e"], " ")
-    script_of = lambda w: F.when(w.rlike(r"\p{IsCyrillic}"), "cyrillic").when(w.rlike(r"\p{IsGreek}"), "greek").otherwise("latin")
-    man, script = x["kind"] == "man", script_of(words[1])
-    listed = [F.when(man.eqNullSafe(g == "man") & (script == kind), F.element_at(F.array(*map(F.lit, names.split())), _byte(x["t"], F.lit(100)) % len(names.split()) + 1)) for (g, kind), names in NAMES.items()]
-    last = F.when(script == "cyrillic", F.when(man, "н").otherwise("а")).when(script == "greek", F.when(man, "ς").otherwise("α")).otherwise(F.when(man, "n").otherwise("a"))
-    made = F.initcap(F.concat(_made_up(x["t"], script, F.lit(1) + x["b"], 0), last))
-    given = F.when(x["b"] == 0, F.coalesce(*listed, made)).otherwise(made)
-    own = F.substr(x["form"], F.lit(len("family:") + 1), F.length(x["form"]))
+def _given(p: Column, kind: Column) -> Column:
+    """A given name: of NAMES at the first attempt, made up at later ones."""
+    lists = [(kind == g, script, names) for (g, script), names in NAMES.items()]
+    lists += [(kind == "person", script, " ".join(names for (_, of), names in NAMES.items() if of == script)) for script in ("latin", "cyrillic")]
+    byte = _byte(p["s"], F.lit(100))
+    listed = [F.when(wanted & (p["script"] == script), F.element_at(F.split(F.lit(names), " "), byte % len(names.split()) + 1)) for wanted, script, names in lists]
+    man = kind != "woman"
+    last = F.when(p["script"] == "cyrillic", F.when(man, "н").otherwise("а")).when(p["script"] == "greek", F.when(man, "ς").otherwise("α")).otherwise(F.when(man, "n").otherwise("a"))
+    made = F.initcap(F.concat(_made_up(p["s"], p["script"], F.lit(1) + p["a"], 0), last))
+    return F.when(p["a"] == 0, F.coalesce(*listed, made)).otherwise(made)
+
+
+def _family(p: Column, kind: Column) -> Column:
+    """A made-up family name with the gender ending, prefix (O') and hyphen of its original."""
+    own = F.substr(p["form"], F.lit(len("family:") + 1), F.length(p["form"]))
     ending = F.when(own.rlike("ский$"), "ский").otherwise(F.regexp_extract(own, ENDINGS, 1))
-    changed = F.when(man | (ending == ""), ending).when(ending == "ский", "ская").otherwise(F.concat(ending, F.lit("а")))
-    close = F.when(ending != "", "").when(script_of(F.element_at(words, -1)) == "cyrillic", "к").when(script_of(F.element_at(words, -1)) == "greek", "ς").otherwise("n")
-    stem = _made_up(x["s"], script_of(F.element_at(words, -1)), F.lit(3) + x["a"], 32)
-    return F.concat_ws(" ", words[0], F.when(F.size(words) > 2, given), F.initcap(F.concat(stem, close, changed)))
+    changed = F.when((kind != "woman") | (ending == ""), ending).when(ending == "ский", "ская").otherwise(F.concat(ending, F.lit("а")))
+    close = F.when(p["script"] == "cyrillic", "к").when(p["script"] == "greek", "ς").otherwise("n")
+    stem = F.initcap(F.concat(_made_up(p["s"], p["script"], F.lit(3) + p["a"], 32), F.when(ending != "", "").otherwise(close), changed))
+    double = F.when(p["word"].contains("-"), F.concat(F.initcap(F.concat(_made_up(p["s"], p["script"], F.lit(2), 72), close)), F.lit("-"))).otherwise("")
+    return F.concat(F.regexp_extract(p["word"], r"^((?:[dlDLO]['’](?=\p{Lu}))?)", 1), double, stem)
+
+
+def _person(x: Column) -> Column:
+    """Titles, particles and white space as they are, names and initials replaced."""
+
+    def new(p: Column) -> Column:
+        name = F.when(p["gap"] == "", _family(p, x["kind"])).when(p["form"].startswith("initial:"), _by_class(p["word"], p["s"])).otherwise(_given(p, x["kind"]))
+        loud = F.length(p["word"]) == F.length(F.regexp_replace(p["word"], r"\p{Ll}", ""))
+        return F.concat(F.when(p["form"].isNull(), p["word"]).when(loud, F.upper(name)).otherwise(name), p["gap"])
+
+    return F.array_join(F.transform(x["parts"], new), "")
+
+
+def _remainder(s: Column) -> Column:
+    """The number of s, in which letters count from 10, modulo 97."""
+    step = lambda a, c: F.when(c <= "9", a * 10 + F.ascii(c) - 48).otherwise(a * 100 + F.ascii(c) - 55) % 97
+    return F.aggregate(_chars(s), F.lit(0), step)
+
+
+def _iban(x: Column) -> Column:
+    """The country stays, and the check digits hold where they did."""
+    country = F.substr(x["squeezed"], F.lit(1), F.lit(2))
+    holds = _remainder(F.concat(F.substr(x["squeezed"], F.lit(5), F.length(x["squeezed"])), F.substr(x["squeezed"], F.lit(1), F.lit(4)))) == 1
+    check = F.when(holds, F.lpad((98 - _remainder(F.concat(x["account"], country, F.lit("00")))).cast("string"), 2, "0")).otherwise(_by_class(F.substr(x["squeezed"], F.lit(3), F.lit(2)), x["s"], 100))
+    return _filled(x["e"], F.concat(country, check, x["account"]), " ")
 
 
 def _number(x: Column) -> Column:
@@ -209,18 +314,21 @@ def _surrogate(x: Column) -> Column:
         F.regexp_extract(e, r"(\.[^.]+)$", 1),
     )
     address = F.array_join(F.transform(F.split(e, r"\."), lambda c, i: (_byte(s, i) % 254 + 1).cast("string")), ".")
-    prefix = F.regexp_extract(e, r"^((?:sk|pk|ghp|gho|xoxb|xoxp|AKIA|AIza)?)", 1)
+    prefix = F.regexp_extract(e, r"^((?:sk|pk|ghp|gho|xoxb|xoxp|AKIA|AIza|eyJ)?)", 1)
     rest = F.substr(e, F.length(prefix) + 1, F.length(e))
     secret = F.concat(prefix, F.when(e.rlike("^[0-9a-f]+$"), _by_class(rest, s, 0, True)).otherwise(_by_class(rest, s)))
-    squeezed = F.regexp_replace(e, " ", "")
-    iban = _filled(e, F.concat(F.substr(e, F.lit(1), F.lit(2)), _by_class(F.substr(squeezed, F.lit(3), F.length(squeezed)), s)), " ")
+    frame = r"^(-----[A-Z ]+-----)([^-]+)(-----[A-Z ]+-----)$"
+    pem = F.concat(F.regexp_extract(e, frame, 1), _by_class(F.regexp_extract(e, frame, 2), s), F.regexp_extract(e, frame, 3))
     return (
-        F.when(kind == "email", mail)
+        F.when(kind == "number", e)
+        .when(kind == "email", mail)
+        .when(kind == "ip6", _by_class(e, s, 0, True))
+        .when(kind == "pem", pem)
         .when(kind == "ip", address)
         .when(kind == "card", _filled(e, card))
         .when(kind.isin("phone", "ssn"), _filled(e, number))
         .when(kind == "secret", secret)
-        .when(kind == "iban", iban)
+        .when(kind == "iban", _iban(x))
         .otherwise(_person(x))
     )
 
@@ -240,14 +348,14 @@ def attempts(docs: DataFrame, text_col: str, key: str) -> DataFrame:
     """
     found = docs.select(F.explode(entities(F.col(text_col).cast("string"))).alias("e"))
     found = stored(found.distinct().withColumn("kind", kind_of(F.col("e"))), "mentions")
-    e, kind = F.col("e"), F.col("kind")
-    forms = found.select("e", "kind", F.explode(F.array(F.struct(canonical(e, kind).alias("form"), F.lit(False).alias("given")), F.struct(given_form(e, kind).alias("form"), F.lit(True).alias("given")))).alias("f"))
-    forms = forms.where("f.form is not null").groupBy("f.form").agg(F.min(F.struct("e", "kind", "f.given")).alias("m"))
+    forms = found.select("kind", F.explode(forms_of(F.col("e"), F.col("kind"))).alias("f"))
+    forms = forms.where("f.form is not null").groupBy("f.form").agg(F.min(F.struct("f.e", "kind", "f.given")).alias("m"))
     forms = stored(forms.select("form", "m.*"), "entities")
     drawn = forms.withColumn("attempt", F.lit(0))
+    new = surrogates(F.array("e"), lambda form: F.col("attempt"), key)[0]["new"]
     for _ in range(ATTEMPTS):
-        drawn = stored(drawn.withColumn("new", surrogates(F.array("e"), lambda form: F.col("attempt"), key)[0]["new"]), "surrogates")
-        now = drawn.withColumn("new_form", F.when(F.col("given"), given_form(F.col("new"), F.col("kind"))).otherwise(canonical(F.col("new"), F.col("kind"))))
+        drawn = stored(drawn.withColumn("new", new), "surrogates")
+        now = drawn.withColumn("new_form", F.when(F.col("given"), given_form(F.get(given_names(F.col("new"), F.col("kind")), 0), F.col("kind"))).otherwise(canonical(F.col("new"), F.col("kind"))))
         least = now.groupBy("new_form").agg(F.min("form").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
         shared = now.join(least, "new_form").where("form != first").select("form")
         taken = now.join(forms.select(F.col("form").alias("new_form")), "new_form", "left_semi").select("form")
@@ -258,7 +366,16 @@ def attempts(docs: DataFrame, text_col: str, key: str) -> DataFrame:
     raise RuntimeError(f"surrogates still collide after {ATTEMPTS} attempts")
 
 
-def replace_pii(docs: DataFrame, *, text_col: str = "text", key: str = "surrogate-key", lookup_rows: int = 2000, count_col: str | None = "n_entities") -> DataFrame:
+def key_of(spark: SparkSession) -> str:
+    """The secret key of the session (KEY_SETTING); where it is unset, a published
+    one, with a warning, as anyone can then compute the surrogates again."""
+    key = spark.conf.get(KEY_SETTING, None)
+    if not key:
+        warnings.warn(f"{KEY_SETTING} is not set: surrogates are drawn with a published key", stacklevel=3)
+    return key or "surrogate-key"
+
+
+def replace_pii(docs: DataFrame, *, text_col: str = "text", key: str | None = None, lookup_rows: int = 2000, count_col: str | None = "n_entities") -> DataFrame:
     """docs with entities replaced in text_col, and their number in count_col.
 
     A null text stays null with 0 entities; texts without entities stay as
@@ -267,8 +384,9 @@ def replace_pii(docs: DataFrame, *, text_col: str = "text", key: str = "surrogat
     stay: where one has the name count_col, the number is in count_col with
     underscores after it, and without count_col it is left out. Collided forms
     up to lookup_rows are looked up in a literal map; more are joined to the
-    mentions of the documents that have one.
+    mentions of the documents that have one. Without a key the session's is taken.
     """
+    key = key_of(docs.sparkSession) if key is None else key
     redrawn = stored(attempts(docs, text_col, key), "redrawn")
     columns = [F.col(f"`{c}`") for c in docs.columns]
     found, changed, hash_, map_ = (free_name(docs, c) for c in ("pii_found", "pii_changed", "pii_hash", "pii_map"))
@@ -278,8 +396,7 @@ def replace_pii(docs: DataFrame, *, text_col: str = "text", key: str = "surrogat
     if n > lookup_rows:
         # A document with collided forms gets its own small map; the join is on forms, the result on texts.
         mentions = docs.select(F.xxhash64(text).alias("h"), F.explode(entities(text)).alias("e")).distinct()
-        kind = kind_of(F.col("e"))
-        mentions = mentions.select("h", F.explode(F.array(canonical(F.col("e"), kind), given_form(F.col("e"), kind))).alias("form")).distinct().join(redrawn, "form")
+        mentions = mentions.withColumn("kind", kind_of(F.col("e"))).select("h", F.explode(forms_of(F.col("e"), F.col("kind"))["form"]).alias("form")).distinct().join(redrawn, "form")
         maps = mentions.groupBy("h").agg(F.map_from_entries(F.collect_list(F.struct("form", "attempt"))).alias(map_)).withColumnRenamed("h", hash_)
         out = out.withColumn(hash_, F.xxhash64(text)).join(maps, hash_, "left")
         known = F.col(map_)
@@ -294,8 +411,11 @@ def replace_pii(docs: DataFrame, *, text_col: str = "text", key: str = "surrogat
     out = out.withColumn(changed, F.when(some, surrogates(F.col(found), attempt_of, key)))
     news = F.concat(F.transform(changed, lambda x: x["new"]), F.array(F.lit("")))
     joined = F.array_join(F.flatten(F.zip_with(F.split(text, ENTITY, -1), news, lambda a, b: F.array(a, b))), "")
-    people = F.array_distinct(F.transform(F.filter(changed, lambda x: x["kind"].isin("man", "woman") & (F.size(F.split(x["e"], " ")) > 2)), lambda x: F.struct(F.regexp_replace(x["e"], r"^\S+ ", "").alias("e"), F.regexp_replace(x["new"], r"^\S+ ", "").alias("new"))))
-    untitled = F.aggregate(people, joined, lambda t, x: F.regexp_replace(t, F.concat(F.lit(r"(?<!\p{L})"), x["e"], F.lit(r"(?!\p{L})")), x["new"]))
-    number = [F.size(found).cast("long").alias(free_name(docs, count_col))] if count_col else []
+    several = rf"{BEFORE_NAME}[^\s\u00A0]+[\s\u00A0]"
+    people = F.transform(F.filter(changed, lambda x: x["kind"].isin(PEOPLE) & x["e"].rlike(several)), lambda x: F.struct(F.regexp_replace(x["e"], BEFORE_NAME, "").alias("e"), F.regexp_replace(x["new"], BEFORE_NAME, "").alias("new")))
+    quoted = lambda e: F.concat(F.lit(r"(?<!\p{L})\Q"), F.regexp_replace(e, r"[\s\u00A0]+", r"\\E[\\s\\u00A0]+\\Q"), F.lit(r"\E(?!\p{L})"))
+    patterns = F.array_distinct(F.transform(people, lambda x: F.struct(quoted(x["e"]).alias("e"), F.regexp_replace(x["new"], r"[\s\u00A0]+", " ").alias("new"))))
+    untitled = F.aggregate(patterns, joined, lambda t, x: F.regexp_replace(t, x["e"], x["new"]))
+    number = [F.coalesce(F.size(F.filter(changed, lambda x: x["kind"] != "number")), F.lit(0)).cast("long").alias(free_name(docs, count_col))] if count_col else []
     new = F.when(some, untitled).otherwise(text).alias(text_col)
     return out.select(*[new if c == text_col else columns[i] for i, c in enumerate(docs.columns)], *number)

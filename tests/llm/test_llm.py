@@ -219,6 +219,55 @@ def test_surrogates_keep_coreference_gender_and_script(spark):
     assert m and m[1] != "田中" and m[8] == re.search(r"Mr (\w+) sat", got[1]["text"])[1]
 
 
+def test_surrogates_of_whole_names(spark):
+    """No part of a name stays; titles, particles, white space and what follows the name do."""
+    cases = {
+        "Mr McDonald called.": r"Mr (?!Mc)\w+ called\.",
+        "Mr Smith-Jones called.": r"Mr (?!Smith)[A-Z]\w+-(?!Jones)[A-Z]\w+ called\.",
+        "Mr John Paul Smith called.": r"Mr (?!John)\w+ (?!Paul)\w+ (?!Smith)\w+ called\.",
+        "Mrs Anna de Vries": r"Mrs (?!Anna)\w+ de (?!Vries)\w+",
+        "Mr Smith However left.": r"Mr (?!Smith)\w+ However left\.",
+        "Mr O'Brien and Mr d’Artagnan.": r"Mr O'(?!Brien)\w+ and Mr d’(?!Artagnan)\w+\.",
+        "MR JOHN SMITH": r"MR (?!JOHN)[A-Z]+ (?!SMITH)[A-Z]+",
+        "Mr J. Smith and Mr J Smith": r"Mr [A-Z]\. (?!Smith)(\w+) and Mr [A-Z] \1",
+        "Mr  John Smith": r"Mr  (?!John)\w+ (?!Smith)\w+",
+        "Mr\nJohn\nSmith.\n\nNext": r"Mr\n(?!John)\w+\n(?!Smith)\w+\.\n\nNext",
+        "Dr Jane Roe, Prof. Dr. Ludwig van Beethoven": r"Dr (?!Jane)\w+ (?!Roe)\w+, Prof\. Dr\. (?!Ludwig)\w+ van (?!Beethoven)\w+",
+        "Herr Dr. Weber und Frau Prof. Weber": r"Herr Dr\. (?!Weber)(\w+) und Frau Prof\. \1",
+        "Mr  Karl Benz came. Karl Benz left.": r"Mr  (?!Karl)(\w+) (?!Benz)(\w+) came\. \1 \2 left\.",
+        "Mr Smith's dog, Mr The, mr smith": r"Mr (?!Smith)\w+'s dog, Mr The, mr smith",
+    }
+    df = spark.createDataFrame(list(enumerate(cases)), "doc_id long, text string")
+    new = {r["doc_id"]: r["text"] for r in pii.replace_pii(df).collect()}
+    assert {t: new[i] for i, (t, p) in enumerate(cases.items()) if not re.fullmatch(p, new[i])} == {}
+
+
+def test_surrogates_of_more_numbers_and_secrets(spark):
+    """Spaced phones, 15-digit cards, IPv6, tokens and keys; bare numbers that fail Luhn, times and other code stay."""
+    iban = "GB82 WEST 1234 5698 7654 32"
+    cases = {
+        "call 555 123 4567 now": r"call (?!555 123 4567)\d{3} \d{3} \d{4} now",
+        "3782 822463 10005": r"3(?!782 822463 10005)\d{3} \d{6} \d{5}",
+        "at 2001:db8::1 or 2001:0db8:0:0:0:0:0:1": r"at (?!2001:db8::1 )\d{4}:[a-f]{2}\d::\d or \d{4}:\d[a-f]{2}\d:\d:\d:\d:\d:\d:\d",
+        "eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxMjM0NSJ9.dozjgNryP4J3jVmN": r"eyJ(?!hbGciOiJIUzI1NiJ9)[\w-]+\.(?!eyJ)[\w-]+\.(?!dozjgNryP4J3jVmN)[\w-]+",
+        "-----BEGIN RSA PRIVATE KEY-----\nMIIEabc1\n-----END RSA PRIVATE KEY-----": r"-----BEGIN RSA PRIVATE KEY-----\n(?!MIIEabc1)\w{8}\n-----END RSA PRIVATE KEY-----",
+        iban: r"GB(?!82)\d\d (?!WEST)[A-Z]{4} \d{4} \d{4} \d{4} \d\d",
+        "order 12345678901234": "order 12345678901234",
+        "12:30:45 std::vector 1 555 123 4567 8": "12:30:45 std::vector 1 555 123 4567 8",
+    }
+    df = spark.createDataFrame(list(enumerate(cases)), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in pii.replace_pii(df).collect()}
+    assert {t: got[i]["text"] for i, (t, p) in enumerate(cases.items()) if not re.fullmatch(p, got[i]["text"])} == {}
+    assert [got[i]["n_entities"] for i in range(8)] == [1, 1, 2, 1, 1, 1, 0, 0]
+    plain = got[5]["text"].replace(" ", "")
+    assert int("".join(str(int(c, 36)) for c in plain[4:] + plain[:4])) % 97 == 1
+    spark.conf.set(pii.KEY_SETTING, "another")
+    try:
+        assert pii.replace_pii(df).where("doc_id = 0").first()["text"] != got[0]["text"]
+    finally:
+        spark.conf.unset(pii.KEY_SETTING)
+
+
 def test_surrogates_of_small_spaces_stay_distinct(spark):
     """All two-letter family names and one-letter mail names of a corpus get distinct surrogates, none of them in the corpus."""
     letters = "abcdefghijklmnopqrstuvwxyz"
