@@ -6,3 +6,4 @@ from . import describe_queries  # noqa: F401
 from . import spatial_queries  # noqa: F401
 from . import store_queries  # noqa: F401
 from . import strata_queries  # noqa: F401
+from . import profile_queries  # noqa: F401

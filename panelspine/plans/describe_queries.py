@@ -344,8 +344,8 @@ query(
 )
 query(
     "a51_ratio_per_place",
-    lambda t: K.average_ranks(_ratio(t), "per").join(_ratio(t), "per").select("place", "per", (F.col("rank") / t.table("nation").count()).alias("pct")),
-    "SELECT place, per, (rank() OVER (ORDER BY per) + (count(*) OVER (PARTITION BY per) - 1) / 2.0) / 25 AS pct FROM (SELECT place, sum(size) / count(*) AS per FROM records GROUP BY place HAVING count(*) >= 30)",
+    lambda t: K.average_ranks(_ratio(t), "per").join(_ratio(t), "per").select("place", "per", (F.col("rank") / F.count(F.lit(1)).over(Window.partitionBy(F.lit(1)))).alias("pct")),  # a row per place
+    "SELECT place, per, (rank() OVER (ORDER BY per) + (count(*) OVER (PARTITION BY per) - 1) / 2.0) / count(*) OVER () AS pct FROM (SELECT place, sum(size) / count(*) AS per FROM records GROUP BY place HAVING count(*) >= 30)",
     "per pct",
 )
 

@@ -58,9 +58,16 @@ query(
     f"SELECT place, parent, count(*) AS n FROM (SELECT p.id, arg_min(b.place, b.poly) AS place, arg_min(b.parent, b.poly) AS parent FROM ({_PTS}) p LEFT JOIN {_BOX} ON x > x0 AND x < x1 AND y > y0 AND y < y1 AND (agency = 'F') = (poly < 3) GROUP BY p.id) GROUP BY ALL",
 )
 _R = "6371.0088"
-_HEX = f"""SELECT id, ((CASE WHEN dq > dr AND dq > ds THEN -rr - rs ELSE rq END)::BIGINT + 1048576) * 2097152 + (CASE WHEN NOT (dq > dr AND dq > ds) AND dr > ds THEN -rq - rs ELSE rr END)::BIGINT + 1048576 AS cell
+
+
+def hex_sql(points_sql: str) -> str:
+    """id and cell of points (id, x, y)."""
+    return f"""SELECT id, ((CASE WHEN dq > dr AND dq > ds THEN -rr - rs ELSE rq END)::BIGINT + 1048576) * 2097152 + (CASE WHEN NOT (dq > dr AND dq > ds) AND dr > ds THEN -rq - rs ELSE rr END)::BIGINT + 1048576 AS cell
   FROM (SELECT id, round(q) AS rq, round(r) AS rr, round(-q - r) AS rs, abs(round(q) - q) AS dq, abs(round(r) - r) AS dr, abs(round(-q - r) - (-q - r)) AS ds
-  FROM (SELECT id, (sqrt(3) / 3 * px - py / 3) / {SIDE} AS q, (2.0::DOUBLE / 3 * py) / {SIDE} AS r FROM (SELECT id, {_R} * radians(x::DOUBLE) * cos(radians(y::DOUBLE)) AS px, {_R} * radians(y::DOUBLE) AS py FROM ({_PTS}))))"""
+  FROM (SELECT id, (sqrt(3) / 3 * px - py / 3) / {SIDE} AS q, (2.0::DOUBLE / 3 * py) / {SIDE} AS r FROM (SELECT id, {_R} * radians(x::DOUBLE) * cos(radians(y::DOUBLE)) AS px, {_R} * radians(y::DOUBLE) AS py FROM ({points_sql}))))"""
+
+
+_HEX = hex_sql(_PTS)
 query("q12_cell_of_point", lambda t: points(t).select("id", H.cell_of(F.col("y"), F.col("x"), SIDE).alias("cell")), _HEX)
 
 
@@ -70,7 +77,10 @@ def _round_trip(t):
     return c.select("cell", lat.alias("lat"), lon.alias("lon")).where("abs(lat) < 75 and abs(lon) < 170").where(H.cell_of(F.col("lat"), F.col("lon"), SIDE) != F.col("cell")).agg(F.count(F.lit(1)).alias("violations"))
 
 
-query("q12_centre_round_trip", _round_trip, "SELECT count(*) - count(*) AS violations FROM raw")
+#: The inverse: axial coordinates from the id, projected km, degrees.
+_CENTRES = f"""SELECT cell AS id, degrees(px / ({_R} * cos(radians(y)))) AS x, y FROM (SELECT cell, px, degrees(py / {_R}) AS y FROM (
+  SELECT cell, {SIDE} * sqrt(3) * (q + r / 2.0::DOUBLE) AS px, {SIDE} * 1.5::DOUBLE * r AS py FROM (SELECT DISTINCT cell, cell // 2097152 - 1048576 AS q, cell % 2097152 - 1048576 AS r FROM ({_HEX}))))"""
+query("q12_centre_round_trip", _round_trip, f"SELECT count(*) AS violations FROM ({hex_sql(f'SELECT * FROM ({_CENTRES}) WHERE abs(y) < 75 AND abs(x) < 170')}) WHERE cell <> id")
 query(
     "j12_point_to_known_cell",
     lambda t: J.restrict(points(t).withColumn("cell", H.cell_of(F.col("y"), F.col("x"), SIDE)), points(t).where("agency = 'F'").select(H.cell_of(F.col("y"), F.col("x"), SIDE).alias("cell")).distinct(), "cell").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("cell").alias("cells")),
