@@ -8,7 +8,7 @@ from ..functions import metrics as X
 from ..operators import ranks as K
 from ..operators import trailing as T
 from .describe_queries import _P7, n_rows
-from .panel_queries import LAST, rho_sql, tier1_forecast
+from .panel_queries import HEX, LAST, PREDICT, _predictability, hex_panel, rho_sql, tier1_forecast
 from .registry import query
 from .strata_queries import _top
 
@@ -82,10 +82,10 @@ def all_class_confidence(t):
     rows = tier1_forecast(t).withColumns({f"sd_{c}": T.trailing_std(c, SERIES, 7) for c in CLASSES}).where("season_year >= 1999 and sd_human is not null")
     apart = X.tvd([F.col(f"p_{c}") for c in CLASSES], [F.col(c) for c in CLASSES])
     # rounded, as equal sums in another order would not tie
-    return rows.select("place", F.round(sum(F.col(f"sd_{c}") for c in CLASSES) / 3, 9).alias("dispersion"), F.round(apart, 9).alias("tvd"))
+    return rows.select("place", "season", "season_year", F.round(sum(F.col(f"sd_{c}") for c in CLASSES) / 3, 9).alias("dispersion"), F.round(apart, 9).alias("tvd"))
 
 
-_SDS = f"""SELECT place, round((sd_h + sd_n + sd_u) / 3, 9) AS dispersion, round((abs(ph - human) + abs(pn - "natural") + abs(pu - unknown)) / 2, 9) AS tvd FROM (
+_SDS = f"""SELECT place, season, season_year, round((sd_h + sd_n + sd_u) / 3, 9) AS dispersion, round((abs(ph - human) + abs(pn - "natural") + abs(pu - unknown)) / 2, 9) AS tvd FROM (
   SELECT *, stddev_samp(human) {_W7} AS sd_h, stddev_samp("natural") {_W7} AS sd_n, stddev_samp(unknown) {_W7} AS sd_u FROM ({_P7})) WHERE season_year >= 1999 AND sd_h IS NOT NULL"""
 query("m15_all_classes", lambda t: K.spearman(all_class_confidence(t), "dispersion", "tvd"), rho_sql(_SDS, "dispersion", "tvd"), "rho")
 query(
@@ -94,3 +94,49 @@ query(
     f"SELECT * FROM ({rho_sql(_SDS, 'dispersion', 'tvd', 'place')}) WHERE n >= 8",
     "rho",
 )
+query(
+    "m16_confidence_by_place_season",
+    lambda t: all_class_confidence(t).groupBy("place", "season").agg(n_rows().alias("n"), F.avg("dispersion").alias("dispersion"), F.avg(1 - F.col("tvd")).alias("accuracy")),
+    f"SELECT place, season, count(*) AS n, avg(dispersion) AS dispersion, avg(1 - tvd) AS accuracy FROM ({_SDS}) GROUP BY ALL",
+    "dispersion accuracy",
+)
+
+
+def steady_but_wrong(t, least: float = 0.7):
+    """Rows of the steadiest quarter whose forecast is nevertheless less accurate than least."""
+    rows = all_class_confidence(t)
+    cut = K.quantiles(rows, "dispersion", [0.25]).select(F.round(F.col("q")[0], 9).alias("cut"))
+    return rows.join(F.broadcast(cut), F.col("dispersion") <= F.col("cut")).where(F.round(1 - F.col("tvd"), 9) < least).select("place", "season", "season_year", "dispersion", (1 - F.col("tvd")).alias("accuracy"))
+
+
+query(
+    "m16_steady_but_wrong",
+    steady_but_wrong,
+    f"SELECT place, season, season_year, dispersion, 1 - tvd AS accuracy FROM ({_SDS}) WHERE dispersion <= (SELECT round(quantile_cont(dispersion, 0.25), 9) FROM ({_SDS})) AND round(1 - tvd, 9) < 0.7",
+    "dispersion accuracy",
+)
+query(
+    "a72_rank_scores",
+    lambda t: K.spearman(_burned(t), "persist_total", "log_total").withColumn("baseline", F.lit("plain")).unionByName(K.spearman(_burned(t), "cond_total", "log_total").withColumn("baseline", F.lit("conditional"))),
+    " UNION ALL ".join(f"SELECT *, '{name}' AS baseline FROM ({rho_sql(f'SELECT * FROM ({HEX}) WHERE size_total > 0 AND cond_total IS NOT NULL AND season_idx >= 16', column, 'log_total')})" for column, name in (("persist_total", "plain"), ("cond_total", "conditional"))),
+    "rho",
+)
+
+
+def _burned(t):
+    return hex_panel(t).where("size_total > 0 and cond_total is not null and season_idx >= 16")
+
+
+def branch_wins(t):
+    """Of the years in which both branches have a score, those in which each one's is higher."""
+    rho = lambda c: F.round(F.max(F.when(F.col("branch") == c, F.col("rho"))), 9)
+    years = _predictability(t).groupBy("ord", "season_year").agg(rho("natural").alias("natural"), rho("human").alias("human")).where("natural is not null and human is not null")
+    return years.groupBy("ord").agg(n_rows().alias("years"), F.count_if(F.col("natural") > F.col("human")).alias("natural_wins"), F.count_if(F.col("human") > F.col("natural")).alias("human_wins"))
+
+
+query(
+    "m25_branch_wins",
+    branch_wins,
+    f"""SELECT ord, count(*) AS years, count(*) FILTER (nat > hum) AS natural_wins, count(*) FILTER (hum > nat) AS human_wins FROM (
+      SELECT ord, season_year, round(max(rho) FILTER (branch = 'natural'), 9) AS nat, round(max(rho) FILTER (branch = 'human'), 9) AS hum FROM ({PREDICT}) WHERE n >= 50 GROUP BY ALL) WHERE nat IS NOT NULL AND hum IS NOT NULL GROUP BY ALL""",
+)
