@@ -313,7 +313,7 @@ query("m11_spearman_by_season", lambda t: K.spearman(start_forecast(t), "y", "p"
 query(
     "m22_baseline_scores",
     lambda t: _branches(hex_panel(t)).transform(lambda d: K.spearman(d.where("season_idx >= 16"), "y", "p", ["branch"])),
-    rho_sql(" UNION ALL ".join(f"SELECT '{c}' AS branch, season_idx, log_{c} AS y, persist_{c} AS p FROM ({HEX})" for c in ("natural", "human", "total")), "y", "p", "branch").replace("FROM (SELECT 'natural'", "FROM (SELECT 'natural'").replace("FROM acres)", "FROM acres)").replace(f"FROM ({HEX})", f"FROM ({HEX}) WHERE season_idx >= 16"),
+    rho_sql(" UNION ALL ".join(f"SELECT '{c}' AS branch, season_idx, log_{c} AS y, persist_{c} AS p FROM ({HEX}) WHERE season_idx >= 16" for c in ("natural", "human", "total")), "y", "p", "branch"),
     "rho",
 )
 
