@@ -54,15 +54,18 @@ NOT_NAMES = (
 PARTICLES = "de|du|des|da|di|del|della|der|den|dem|dos|das|la|le|van|von|vom|zu|zum|zur|ter|ten|af|av|bin|ibn|al|el|y"
 GAP = r"(?:[ \t\u00A0]+(?:\r?\n[ \t\u00A0]*)?|\r?\n[ \t\u00A0]*)"
 #: A word of a name, with inner capitals, apostrophes and hyphens.
-WORD = rf"(?!(?:{'|'.join(NOT_NAMES)}|{ANY_TITLE})(?!\p{{L}}))(?:[dlDLO]['’](?=\p{{Lu}}))?\p{{Lu}}\p{{L}}+(?:['’-]\p{{Lu}}\p{{L}}*)*"
-MORE = rf"(?:\p{{Lu}}{GAP})?(?:(?:(?:\p{{Lu}}\.)+|(?:{PARTICLES})(?!\p{{L}})|{WORD}){GAP}){{0,4}}"
+SPELLED = r"(?:[dlDLO]['’](?=\p{Lu}))?\p{Lu}\p{L}+(?:['’-]\p{Lu}\p{L}*)*"
+#: What stands right after a title is a name even if it looks like a function word (He, El).
+FIRST = rf"(?!(?:{ANY_TITLE})(?!\p{{L}})){SPELLED}"
+WORD = rf"(?!(?:{'|'.join(NOT_NAMES)}|{ANY_TITLE})(?!\p{{L}})){SPELLED}"
+MORE = rf"(?:(?:\p{{Lu}}|{FIRST}){GAP})?(?:(?:(?:\p{{Lu}}\.)+|(?:{PARTICLES})(?!\p{{L}})|{WORD}){GAP}){{0,4}}"
 
 
 def titled(titles: str) -> str:
     """Pattern of a name after one of titles, and maybe a scholar's title."""
     loud = "|".join(t for t in titles.split("|") if t.isupper())
     more = rf"(?:(?:{TITLES['person']})\.?{GAP})*"
-    return rf"(?<!\p{{L}})(?:(?:{loud})\.?{GAP}{more}(?:(?:(?:\p{{Lu}}\.)+|{WORD}){GAP})?{WORD}|(?:{titles})\.?{GAP}{more}{MORE}{WORD})"
+    return rf"(?<!\p{{L}})(?:(?:{loud})\.?{GAP}{more}(?:(?:(?:\p{{Lu}}\.)+|{WORD}){GAP})?{WORD}|(?:{titles})\.?{GAP}{more}(?:{MORE}{WORD}|{FIRST}))"
 
 
 #: What an entity looks like, by type, the first that matches.
