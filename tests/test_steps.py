@@ -22,3 +22,10 @@ def test_pooled_apportionment_is_the_sum_of_parts(spark):
     cells = spark.range(100_000).select(F.lit("p").alias("perimeter"), F.col("id").alias("cell"), F.lit(1.0).alias("overlap"))
     assert spatial.apportioned_by_source(many, cells).collect() == [("perimeter", 10**10, 100_000.0)]
     assert spatial.apportioned_by_cell(many, cells).where("events != 100000 or abs(share - 1) > 1e-6").count() == 0
+
+
+def test_coordinates_are_those_of_double_division(spark):
+    from panelspine.plans.spatial_queries import LON, double
+
+    got = [r["x"] for r in spark.range(3600).select(double(LON.format(k="id")).alias("x")).collect()]
+    assert got == [(k * 37 % 3600) / 10.0 - 180 for k in range(3600)]
