@@ -65,7 +65,10 @@ def quantiles(df: DataFrame, value: str, qs: list[float], by: list[str] = ()) ->
 
 
 def with_quantiles(df: DataFrame, value: str, qs: list[float], of: DataFrame | None = None) -> DataFrame:
-    """df with q, the quantiles of value over df (or over of), in every row."""
+    """df with q, the quantiles of value over df (or over of), in every row. df
+    is stored first: a value that is worked out anew may differ from the quantile
+    that it gave in its last digit."""
+    df = kept(df, "quantiled") if of is None else df
     one = quantiles(df if of is None else of, value, qs).withColumn("__one", F.lit(1))  # one row
     return df.withColumn("__one", F.lit(1)).join(F.broadcast(one), "__one").drop("__one")
 
