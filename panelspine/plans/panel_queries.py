@@ -120,7 +120,7 @@ query(
 )
 query(
     "w10_cumulative_share",
-    lambda t: K.cumulative_share(t.grid.join(t.records.groupBy("cell").agg(F.sum("size").alias("size")), "cell").select("cell", "size"), "size", "cell").select("cell", "rank", "cum"),
+    lambda t: K.cumulative_share(t.grid.join(t.records.groupBy("cell").agg(F.round(F.sum("size"), 6).alias("size")), "cell").select("cell", "size"), "size", "cell").select("cell", "rank", "cum"),  # rounded: sums that tie are equal, in whatever order they were added
     "SELECT cell, row_number() OVER w AS rank, sum(size) OVER w / sum(size) OVER () AS cum FROM (SELECT cell, sum(size) AS size FROM records GROUP BY ALL) WINDOW w AS (ORDER BY size DESC, cell ROWS UNBOUNDED PRECEDING)",
     "cum",
 )

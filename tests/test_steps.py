@@ -37,3 +37,20 @@ def test_quartile_of_a_value_that_is_worked_out_anew(spark):
     for _ in range(3):
         got = ranks.quartile_bucket(df, "v").select("id", "bucket").collect()
         assert [r["bucket"] for r in sorted(got)] == [1, 1, 1, 2, 2, 3, 3, 4, 4]
+
+
+def test_sums_that_tie_are_ranked_by_key(spark, tmp_path):
+    from panelspine.plans.registry import QUERIES
+
+    sizes = {1: [0.1, 0.2, 0.3], 2: [0.3, 0.2, 0.1], 3: [0.2, 0.3, 0.1], 4: [0.6]}
+    orders = [(10 * c + i, c, v, datetime(1996, 1, 1), "2-HIGH", "F") for c, vs in sizes.items() for i, v in enumerate(vs)]
+    tables = {
+        "orders": (orders, "o_orderkey long, o_custkey long, o_totalprice double, o_orderdate timestamp, o_orderpriority string, o_orderstatus string"),
+        "customer": ([(c, 0, 1.0, "BUILDING") for c in sizes], "c_custkey long, c_nationkey int, c_acctbal double, c_mktsegment string"),
+        "nation": ([(0, "N", 0)], "n_nationkey int, n_name string, n_regionkey int"),
+        "region": ([(0, "R")], "r_regionkey int, r_name string"),
+    }
+    for name, (rows, schema) in tables.items():
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/{name}.parquet")
+    got = QUERIES["w10_cumulative_share"](spark, str(tmp_path)).collect()
+    assert sorted((r["rank"], r["cell"]) for r in got) == [(1, 1), (2, 2), (3, 3), (4, 4)]
