@@ -54,3 +54,10 @@ def test_sums_that_tie_are_ranked_by_key(spark, tmp_path):
         spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/{name}.parquet")
     got = QUERIES["w10_cumulative_share"](spark, str(tmp_path)).collect()
     assert sorted((r["rank"], r["cell"]) for r in got) == [(1, 1), (2, 2), (3, 3), (4, 4)]
+
+
+def test_a_short_table_is_spread_before_it_is_multiplied(spark):
+    places = spark.range(1000).coalesce(1).withColumnRenamed("id", "cell")
+    assert grain.spread_rows(places, 27).rdd.getNumPartitions() == 1
+    assert grain.spread_rows(places, 27, 5000).rdd.getNumPartitions() == 6
+    assert grain.dense_spine(places, 0, 3).count() == 4000
