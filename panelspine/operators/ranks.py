@@ -14,6 +14,8 @@ from __future__ import annotations
 from functools import reduce
 from operator import and_
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -154,28 +156,42 @@ def shuffled_rank(rank: Column, n: Column, seed: Column) -> Column:
 
     rank - 1 goes through a Feistel network over the least power of two that
     holds n (4 at least), as often as it takes to come out below n. As the
-    network takes each number to another one, so does the walk."""
-    bits = F.greatest(F.lit(2), F.length(F.bin(n - 1)))
-    low_bits = F.floor(bits / 2).cast("int")
-    power = lambda k: F.call_function("shiftleft", F.lit(1).cast("long"), k)
-    keys = F.array(*[round_key(seed.cast("long"), i) for i in range(1, ROUNDS + 1)])
-    fixed = F.struct(low_bits.alias("bits"), power(low_bits).alias("low"), power(bits - low_bits).alias("high"), keys.alias("keys"), n.cast("long").alias("n"), (rank - 1).cast("long").alias("x"))
-
-    def mixed(v: Column, k: Column) -> Column:
-        return F.floor(((v * STEP_1 + k) % PRIME_1) * STEP_2 % PRIME_2 / DROPPED)
-
-    def walked(f: Column) -> Column:
-        def half_round(x: Column, k: Column) -> Column:
-            hi, lo = F.call_function("shiftright", x, f["bits"]), x % f["low"]
-            changed_hi = hi.bitwiseXOR(mixed(lo, k) % f["high"]) * f["low"] + lo
-            changed_lo = hi * f["low"] + lo.bitwiseXOR(mixed(hi, k) % f["low"])
-            return F.when(k % 2 == 1, changed_hi).otherwise(changed_lo)
-
-        network = lambda x: F.aggregate(f["keys"], x, half_round)
-        return F.aggregate(F.sequence(F.lit(1), F.lit(WALKS)), network(f["x"]), lambda x, _: F.when(x < f["n"], x).otherwise(network(x)))
-
-    to = F.get(F.transform(F.array(fixed), walked), F.lit(0))  # what is fixed for a row is worked out once
-    return F.when(to < n, to + 1).otherwise(F.raise_error(F.lit("a shuffled rank needs more walks")).cast("long"))
+    network takes each number to another one, so does the walk. Batches of ranks
+    go through it together."""
+    return F.pandas_udf(_walker(), "long")(rank.cast("long"), n.cast("long"), seed.cast("long"))
+
+
+def _walker():
+    """The walk of shuffled_rank over a batch; it holds all that it needs, so that
+    workers need not have this module."""
+    walks, rounds = WALKS, [(i, i * 40503 + 97) for i in range(1, ROUNDS + 1)]
+
+    def network(x, low_bits, low, high, seed):
+        mixed = lambda v, k: (v * STEP_1 + k) % PRIME_1 * STEP_2 % PRIME_2 // DROPPED
+        hi, lo = np.right_shift(x, low_bits), x % low
+        for i, add in rounds:
+            k = ((seed * 2654435 + add) * 48271 % 1073741789) * 2 + i % 2  # round_key
+            if i % 2:
+                hi = hi ^ mixed(lo, k) % high
+            else:
+                lo = lo ^ mixed(hi, k) % low
+        return hi * low + lo
+
+    def walked(rank: pd.Series, n: pd.Series, seed: pd.Series) -> pd.Series:
+        x, n, seed = rank.to_numpy() - 1, n.to_numpy(), seed.to_numpy()
+        sizes, which = np.unique(n, return_inverse=True)
+        bits = np.array([max(2, int(k - 1).bit_length()) for k in sizes], dtype=np.int64)[which]
+        low_bits = bits // 2
+        low, high = np.left_shift(1, low_bits), np.left_shift(1, bits - low_bits)
+        todo = np.arange(len(x))
+        for _ in range(walks + 1):
+            x[todo] = network(x[todo], low_bits[todo], low[todo], high[todo], seed[todo])
+            todo = todo[x[todo] >= n[todo]]
+            if not len(todo):
+                return pd.Series(x + 1)
+        raise ValueError("a shuffled rank needs more walks")
+
+    return walked
 
 
 def permuted(df: DataFrame, cols: list[str], key: str, seed: int, by: list[str] = ()) -> DataFrame:
@@ -211,10 +227,15 @@ def shuffled_twin(df: DataFrame, a: str, b: str, key: str, by: list[str] = (), s
     """by, n, rho and rho_shuffled: the rank correlation of a and b in each group,
     and the same after b is dealt anew over the group's rows."""
     by = list(by)
-    rows = permuted(df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(*by, key, a, b), [b], key, seed, by)
-    which = F.explode(F.array(F.struct(F.lit(True).alias("__real"), F.col(b).alias("__v")), F.struct(F.lit(False).alias("__real"), F.col(f"{b}_permuted").alias("__v")))).alias("x")
-    both = spearman(rows.select(*by, a, which).select(*by, a, "x.*"), a, "__v", [*by, "__real"])
-    return both.groupBy(*by).agg(F.max("n").alias("n"), F.max(F.when(F.col("__real"), F.col("rho"))).alias("rho"), F.max(F.when(~F.col("__real"), F.col("rho"))).alias("rho_shuffled"))
+    values = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(*by, F.col(key).alias("__key"), F.col(a).cast("double").alias("__a"), F.col(b).cast("double").alias("__b"))
+    rows = kept(values, "scored")
+    pairs = _pair_ranks(rows, "__a", "__b", by)
+    pairs = pairs.select(*[F.col(c).alias(f"__of_{c}") for c in by], "a", "b", "ra", "rb")
+    same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"__of_{c}")) for c in by], (F.col("__a") == F.col("a")) & (F.col("__b") == F.col("b")))
+    # what is dealt anew are ranks: those of a and b are the same before and after
+    dealt = permuted(rows.join(pairs, same).select(*by, "__key", "ra", "rb"), ["rb"], "__key", seed, by)
+    rho = lambda c: _rho(F.col("ra"), F.col(c), F.lit(1))
+    return dealt.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), rho("rb").alias("rho"), rho("rb_permuted").alias("rho_shuffled"))
 
 
 def shuffled_calibration(df: DataFrame, pred: str, actual: str, key: str, strata: int = 20, seed: int = 11) -> DataFrame:

@@ -61,3 +61,17 @@ def test_a_short_table_is_spread_before_it_is_multiplied(spark):
     assert grain.spread_rows(places, 27).rdd.getNumPartitions() == 1
     assert grain.spread_rows(places, 27, 5000).rdd.getNumPartitions() == 6
     assert grain.dense_spine(places, 0, 3).count() == 4000
+
+
+def test_permutation_is_worked_out_in_batches(spark):
+    rows = spark.range(1, 300_001).select(ranks.shuffled_rank(F.col("id"), F.lit(300_000), F.lit(5)).alias("to"))
+    assert rows.agg(F.countDistinct("to"), F.min("to"), F.max("to")).first() == (300_000, 1, 300_000)
+    assert "ArrowEvalPython" in rows._jdf.queryExecution().executedPlan().toString()
+
+
+def test_twin_keeps_marginal_ranks(spark):
+    rows = spark.range(400).select((F.col("id") % 2).alias("g"), F.col("id").alias("key"), (F.col("id") % 7).alias("a"), (F.col("id") % 11).alias("b"))
+    got = {r["g"]: r for r in ranks.shuffled_twin(rows, "a", "b", "key", ["g"]).collect()}
+    dealt = {r["g"]: r["rho"] for r in ranks.spearman(ranks.permuted(rows, ["b"], "key", 11, ["g"]), "a", "b_permuted", ["g"]).collect()}
+    real = {r["g"]: r["rho"] for r in ranks.spearman(rows, "a", "b", ["g"]).collect()}
+    assert all(got[g]["n"] == 200 and abs(got[g]["rho"] - real[g]) < 1e-12 and abs(got[g]["rho_shuffled"] - dealt[g]) < 1e-12 for g in (0, 1))
