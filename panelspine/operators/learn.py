@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.metrics import total
+from ..sources.artifacts import kept
 from .ranks import first_ranks, shuffled_rank, spearman
 
 
@@ -68,20 +69,29 @@ def _known(panel: DataFrame, cols: list[str], train: Column) -> DataFrame:
     return panel.where(" and ".join(f"`{c}` is not null" for c in cols)).withColumn("__train", train)
 
 
-def _fitted_score(rows: DataFrame, target: str, features: list[str], make: Callable[[str], Estimator]) -> DataFrame:
-    """n, rho of the test rows for a model of these features."""
+def _predicted(rows: DataFrame, target: str, features: list[str], make: Callable[[str], Estimator]) -> DataFrame:
+    """target and __pred of the test rows for a model of these features."""
     ready = assembled(rows, features)
-    return spearman(make(target).fit(ready.where("__train")).transform(ready.where("not __train")), target, f"pred_{target}")
+    return make(target).fit(ready.where("__train")).transform(ready.where("not __train")).select(target, F.col(f"pred_{target}").cast("double").alias("__pred"))
+
+
+def _scores(predictions: dict[str, DataFrame], target: str) -> DataFrame:
+    """rung, n, rho: the rank score of each of the named predictions, all ranked in one pass."""
+    rows = reduce(DataFrame.unionByName, [p.select(F.lit(name).alias("rung"), target, "__pred") for name, p in predictions.items()])
+    names = rows.sparkSession.createDataFrame([(name,) for name in predictions], "rung string")
+    got = spearman(rows, target, "__pred", ["rung"])
+    return names.join(got, "rung", "left").select("rung", F.coalesce("n", F.lit(0)).cast("long").alias("n"), "rho")
 
 
 def rank_ladder(panel: DataFrame, target: str, floor: str, rungs: dict[str, list[str]], train: Column, make: Callable[[str], Estimator]) -> DataFrame:
     """rung, n_test, rho (rank score on the test rows) and delta to the floor:
     the floor column itself, then each rung's features on top of it, all on the
     rows that know every feature."""
-    rows = _known(panel, sorted({f for fs in rungs.values() for f in fs} | {floor, target}), train)
-    parts = [spearman(rows.where("not __train"), target, floor).withColumn("rung", F.lit("floor"))]
-    parts += [_fitted_score(rows, target, [floor, *features], make).withColumn("rung", F.lit(name)) for name, features in rungs.items()]
-    out = reduce(DataFrame.unionByName, parts).withColumnRenamed("n", "n_test").withColumn("__one", F.lit(1))
+    used = sorted({f for fs in rungs.values() for f in fs} | {floor, target})
+    rows = kept(_known(panel, used, train).select(*used, "__train"), "ladder")  # read by every model
+    parts = {"floor": rows.where("not __train").select(target, F.col(floor).cast("double").alias("__pred"))}
+    parts |= {name: _predicted(rows, target, [floor, *features], make) for name, features in rungs.items()}
+    out = kept(_scores(parts, target), "ladder-scores").withColumnRenamed("n", "n_test").withColumn("__one", F.lit(1))
     base = out.where("rung = 'floor'").select("__one", F.col("rho").alias("__floor"))  # one row
     return out.join(base, "__one").select("rung", "n_test", "rho", (F.col("rho") - F.col("__floor")).alias("delta"))
 
@@ -94,18 +104,16 @@ def shuffle_control(panel: DataFrame, target: str, floor: str, covariates: list[
     The models are fitted here; rows are ranked by key once for all permutations.
     """
     rows = _known(panel, [*covariates, floor, target], train).select(key, target, floor, *covariates, "__train", F.lit(0).alias("__zero"))
-    ranked = first_ranks(rows, "__zero", key).persist()
-    score = lambda df: df.first()["rho"]
-    base = score(spearman(ranked.where("not __train"), target, floor))
-    deltas = []
+    ranked = kept(first_ranks(rows, "__zero", key).select("rank", "n", target, floor, *covariates, "__train"), "shuffled")
+    parts = {"floor": ranked.where("not __train").select(target, F.col(floor).cast("double").alias("__pred"))}
     for seed in range(times + 1):
         dealt = ranked
         if seed:
             other = ranked.select(shuffled_rank(F.col("rank"), F.col("n"), F.lit(seed)).alias("rank"), *covariates)
-            dealt = ranked.drop(*covariates).join(other, "rank")
-        deltas.append(score(_fitted_score(dealt, target, [floor, *covariates], make)) - base)
-    n = ranked.where("not __train").count()
-    ranked.unpersist()
+            dealt = kept(ranked.drop("n", *covariates).join(other, "rank"), f"shuffled-{seed}")
+        parts[str(seed)] = _predicted(dealt, target, [floor, *covariates], make)
+    got = {r["rung"]: r for r in _scores(parts, target).collect()}  # a row per permutation
+    n, deltas = got["floor"]["n"], [got[str(seed)]["rho"] - got["floor"]["rho"] for seed in range(times + 1)]
     null = np.array(deltas[1:])
     spread = float(null.std())
     row = (n, deltas[0], float(null.mean()), spread, float(null.max()), (deltas[0] - float(null.mean())) / spread if spread else None)

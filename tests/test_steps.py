@@ -75,3 +75,12 @@ def test_twin_keeps_marginal_ranks(spark):
     dealt = {r["g"]: r["rho"] for r in ranks.spearman(ranks.permuted(rows, ["b"], "key", 11, ["g"]), "a", "b_permuted", ["g"]).collect()}
     real = {r["g"]: r["rho"] for r in ranks.spearman(rows, "a", "b", ["g"]).collect()}
     assert all(got[g]["n"] == 200 and abs(got[g]["rho"] - real[g]) < 1e-12 and abs(got[g]["rho_shuffled"] - dealt[g]) < 1e-12 for g in (0, 1))
+
+
+def test_ladder_keeps_rungs_without_test_rows(spark):
+    rows = spark.range(60).select(F.col("id").alias("key"), (F.col("id") % 9).cast("double").alias("y"), (F.col("id") % 5).cast("double").alias("f"), (F.col("id") % 4).cast("double").alias("c"))
+    make = lambda y: learn.ridge(y, 1e-6)
+    got = learn.rank_ladder(rows, "y", "f", {"c": ["c"]}, F.col("key") < 40, make)
+    assert {r["rung"]: r["n_test"] for r in got.collect()} == {"floor": 20, "c": 20}
+    none = learn.rank_ladder(rows, "y", "f", {"c": ["c"]}, F.lit(True), make)
+    assert {r["rung"]: (r["n_test"], r["rho"]) for r in none.collect()} == {"floor": (0, None), "c": (0, None)}
