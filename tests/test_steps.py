@@ -40,6 +40,7 @@ def test_quartile_of_a_value_that_is_worked_out_anew(spark):
 
 
 def test_sums_that_tie_are_ranked_by_key(spark, tmp_path):
+    from panelspine.plans import all_queries  # noqa: F401  (registers the queries)
     from panelspine.plans.registry import QUERIES
 
     sizes = {1: [0.1, 0.2, 0.3], 2: [0.3, 0.2, 0.1], 3: [0.2, 0.3, 0.1], 4: [0.6]}
