@@ -10,6 +10,7 @@ from ..functions import metrics as X
 from ..operators import clean as C
 from ..operators import ranks as K
 from ..operators import score as R
+from ..operators import spatial as P
 from ..operators import trailing as T
 from .bindings import CFG, CLASS
 from .registry import query
@@ -174,7 +175,7 @@ query(
 # dense panels
 query(
     "a14_cell_season_burn",
-    lambda t: t.overlap.join(t.records.select(F.col("id").alias("event"), "season_idx"), "event").join(t.supplier_grid.select("cell", "area"), "cell", "left").groupBy("cell", "season_idx").agg(F.sum("overlap").alias("acres"), F.countDistinct("event").alias("events"), F.max("area").alias("area")).withColumn("frac", F.when(F.col("area") > 0, F.least(F.col("acres") / F.col("area"), F.lit(1.0)))),
+    lambda t: P.burn_by_season(t.overlap, t.records.select(F.col("id").alias("event"), "season_idx"), t.supplier_grid, t.line_tasks),
     "SELECT cell, season_idx, sum(overlap) AS acres, count(DISTINCT event) AS events, max(area) AS area, CASE WHEN max(area) > 0 THEN least(sum(overlap) / max(area), 1.0) END AS frac FROM overlap o JOIN (SELECT id, season_idx FROM records) r ON id = event LEFT JOIN (SELECT cell, area FROM supplier_grid) g USING (cell) GROUP BY ALL",
     "acres frac",
 )

@@ -64,6 +64,36 @@ def test_a_short_table_is_spread_before_it_is_multiplied(spark):
     assert grain.dense_spine(places, 0, 3).count() == 4000
 
 
+def test_lines_of_orders_are_dealt_before_they_are_summed(spark, tmp_path, monkeypatch):
+    import duckdb
+
+    from panelspine.plans import all_queries  # noqa: F401  (registers the queries)
+    from panelspine.plans import bindings
+    from panelspine.plans.registry import QUERIES, SQL
+
+    monkeypatch.setattr(bindings, "LINES_OF_A_TASK", 100, raising=False)
+    # order 3 and supplier 2 are there twice, supplier 4 is not, and some keys and quantities are absent
+    orders = [(o, o % 3, datetime(1996, 1 + o % 12, 1)) for o in [*range(500), 3]]
+    lines = [(None if i % 97 == 0 else i % 500, None if i % 89 == 0 else i % 7 % 5, None if i % 5 == 0 else float(i % 50)) for i in range(2000)]
+    tables = {
+        "orders": ([(o, c, 1.0, d, "2-HIGH", "F") for o, c, d in orders], "o_orderkey long, o_custkey long, o_totalprice double, o_orderdate timestamp_ntz, o_orderpriority string, o_orderstatus string"),
+        "customer": ([(c, 0, 1.0, "BUILDING") for c in range(2)], "c_custkey long, c_nationkey int, c_acctbal double, c_mktsegment string"),
+        "nation": ([(0, "N", 0)], "n_nationkey int, n_name string, n_regionkey int"),
+        "region": ([(0, "R")], "r_regionkey int, r_name string"),
+        "lineitem": (lines, "l_orderkey long, l_suppkey long, l_quantity double"),
+        "supplier": ([(0, 0, 900.0), (1, 0, -5.0), (2, 0, 300.0), (2, 0, 400.0), (3, 0, None)], "s_suppkey long, s_nationkey int, s_acctbal double"),
+    }
+    con = duckdb.connect()
+    for name, (rows, schema) in tables.items():
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/{name}.parquet")
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    of_a_task = bindings.Tables(spark, str(tmp_path)).overlap.where("event is not null").groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+    assert of_a_task < 300  # of 2000
+    for name in ("a14_cell_season_burn", "w11_largest_per_key"):
+        got = QUERIES[name](spark, str(tmp_path)).collect()
+        assert sorted(map(tuple, got), key=str) == sorted(con.execute(SQL[name]).fetchall(), key=str)
+
+
 def test_permutation_is_worked_out_in_batches(spark):
     rows = spark.range(1, 300_001).select(ranks.shuffled_rank(F.col("id"), F.lit(300_000), F.lit(5)).alias("to"))
     assert rows.agg(F.countDistinct("to"), F.min("to"), F.max("to")).first() == (300_000, 1, 300_000)
