@@ -12,6 +12,10 @@ same: it is at the same distance from the word's begin or its end. This limit
 of its place is part of the join key. Pairs are verified in the join, by the
 sets of their letters and then by a banded edit distance, so that it gives
 pairs of near words alone.
+
+Joins are merge joins by hint: Spark sizes the index by the file that the words
+come from, a small part of its rows, and the other tables by compressed files,
+and would broadcast them.
 """
 
 from __future__ import annotations
@@ -179,7 +183,7 @@ def near_pairs(words: DataFrame) -> DataFrame:
     x, y = pivots.alias("x"), prefixes.alias("y")
     few = F.bit_count(F.col("x.letters").bitwiseXOR(F.col("y.letters"))) <= 2 * EDITS  # letters that one word has alone
     near = F.levenshtein(F.col("x.word"), F.col("y.word"), EDITS) == EDITS
-    found = x.join(y, (F.col("x.key") == F.col("y.key")) & few & (F.col("x.word") != F.col("y.word")) & near)
+    found = x.join(y.hint("merge"), (F.col("x.key") == F.col("y.key")) & few & (F.col("x.word") != F.col("y.word")) & near)
     one, other = F.struct("x.word", "x.n"), F.struct("y.word", "y.n")
     return found.select(F.least(one, other).alias("l"), F.greatest(one, other).alias("g")).select(F.col("l.word").alias("a"), F.col("l.n").alias("na"), F.col("g.word").alias("b"), F.col("g.n").alias("nb")).distinct()
 
@@ -190,7 +194,7 @@ def _roots(links: DataFrame) -> DataFrame:
     now = stored(links.select("word", F.col("form").alias("root")), "roots")
     while True:
         step = now.select(F.col("word").alias("root"), F.col("root").alias("further"))
-        now = stored(now.join(step, "root", "left").select("word", F.coalesce("further", "root").alias("root"), F.col("further").isNotNull().alias("moved")), "roots")
+        now = stored(now.join(step.hint("merge"), "root", "left").select("word", F.coalesce("further", "root").alias("root"), F.col("further").isNotNull().alias("moved")), "roots")
         if now.where("moved").isEmpty():
             return now.select("word", "root")
         now = now.select("word", "root")
@@ -209,11 +213,11 @@ def variants_of(words: DataFrame, *, times: int = 2) -> DataFrame:
     pairs = stored(near_pairs(words), "near-words")
     both = pairs.select(F.col("a").alias("word"), F.col("b").alias("other"), F.col("nb").alias("m")).union(pairs.select("b", "a", "na"))
     best = both.groupBy("word").agg(F.count(F.lit(1)).alias("n_near"), F.min(F.struct((-F.col("m")).alias("less"), "other")).alias("top"))
-    out = words.join(best, "word", "left").withColumn("far", -F.col("top.less") >= times * F.col("n"))
+    out = words.join(best.hint("merge"), "word", "left").withColumn("far", -F.col("top.less") >= times * F.col("n"))
     out = out.select("word", "n", F.coalesce("n_near", F.lit(0)).alias("n_near"), F.when(F.col("far"), F.col("top.other")).alias("form"), F.when(F.col("far"), -F.col("top.less")).alias("form_n"))
     out = stored(out, "forms")
     roots = _roots(out.where("form is not null"))
-    return out.join(roots, "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
+    return out.join(roots.hint("merge"), "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
 
 
 def spelling_variants(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -148,6 +148,18 @@ def test_chains_of_forms(spark):
     assert got == plain_variants(words) and got["xxxxx"][1] == "x" * 5 + "y" * 8
 
 
+def test_variants_broadcast_no_table(spark, monkeypatch):
+    plans, keep = [], spelling.stored
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(spelling, "stored", lambda df, name: (out := keep(df, name), plans.append(plan(df)))[0])
+    words = {"x" * 5 + "y" * k: 2 ** (k + 2) for k in range(4)}
+    out = spelling.variants_of(keep(spark.createDataFrame(list(words.items()), "word string, n long"), "small"))
+    got = variants(out)
+    plans.append(plan(out))  # as it ran, joins chosen anew by size included
+    assert got == plain_variants(words) and sum("SortMergeJoin" in p for p in plans) >= 4
+    assert not any("Broadcast" in p for p in plans)
+
+
 def test_variants_of_nothing(spark):
     assert spelling.spelling_variants(spark.createDataFrame([], DOCS)).count() == 0
     df, data = odd(spark)
